@@ -141,8 +141,8 @@ def multi_hot(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, array_to_string(list_filter(list_transform(string_split(lang || sep || ' '
-  || source || sep || sep || lang, sep), x -> trim(x)), x -> x <> ''), '/') AS labels
+    """SELECT doc_id, array_to_string([trim(x) for x in string_split(lang || sep || ' '
+  || source || sep || sep || lang, sep) if trim(x) <> ''], '/') AS labels
 FROM (SELECT doc_id, lang, source, CASE doc_id % 3 WHEN 0 THEN ';' WHEN 1 THEN ',' ELSE '|' END
   AS sep FROM documents)"""
 )
@@ -196,8 +196,8 @@ def spans_table(spark, sf_dir):
 @query(
     f"""SELECT doc_id, CAST(n AS INT) AS words, '[[0, ' || (k - 1) || ', "lead"], [' || k
   || ', ' || (n - 1) || ', "rest"]]' AS spans
-FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_BLANKS}+'), x -> x <> '')) AS n,
-  len(list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '{_BLANKS}+'), x -> x <> ''))
+FROM (SELECT doc_id, len([x for x in regexp_split_to_array(text, '{_BLANKS}+') if x <> '']) AS n,
+  len([x for x in regexp_split_to_array(split_part(text, chr(10), 1), '{_BLANKS}+') if x <> ''])
   AS k FROM documents)"""
 )
 def extract_spans_long(spark, sf_dir):
@@ -278,8 +278,8 @@ def custom_parser(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'),
-  x -> x <> '')) AS INT) AS words FROM documents"""
+    """SELECT doc_id, CAST(len([x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+')
+  if x <> '']) AS INT) AS words FROM documents"""
 )
 def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(

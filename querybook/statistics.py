@@ -138,10 +138,12 @@ def compare_runs_paired(spark, sf_dir):
     sql(
         _bootstrap_sql("fx_scores", 40, 100), "fx_scores",
         numbered=_NUMBERED.format(source="fx_scores") + " AND metric <> 'meteor'",
-    ).replace("8) AS", "4) AS")
+    )
 )
 def compare_runs_unpaired(spark, sf_dir):
-    report = S.compare_runs(_metrics(spark, sf_dir), RUNS, "rank-sum", n_boot=100, seed=7)
+    report = S.compare_runs(
+        _metrics(spark, sf_dir), RUNS, "rank-sum", n_boot=100, seed=7, digits=8
+    )
     return report.bootstrap
 
 

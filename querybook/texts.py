@@ -11,15 +11,15 @@ from . import fixtures as fx
 from .base import query, table
 from .fixtures import sql
 
-_TOKENS = """SELECT id, list_filter(regexp_split_to_array(lower(prediction), '[^a-z0-9]+'),
-    x -> x <> '') AS p,
-  list_filter(regexp_split_to_array(lower(reference), '[^a-z0-9]+'), x -> x <> '') AS r
+_TOKENS = """SELECT id,
+  [x for x in regexp_split_to_array(lower(prediction), '[^a-z0-9]+') if x <> ''] AS p,
+  [x for x in regexp_split_to_array(lower(reference), '[^a-z0-9]+') if x <> ''] AS r
 FROM fx_text"""
 _GRAMS = """SELECT id, 1 AS n, 'p' AS side, unnest(p) AS gram FROM tok
 UNION ALL SELECT id, 1, 'r', unnest(r) FROM tok
-UNION ALL SELECT id, 2, 'p', unnest(list_transform(range(1, len(p)), i -> p[i] || ' ' || p[i + 1]))
+UNION ALL SELECT id, 2, 'p', unnest([p[i] || ' ' || p[i + 1] for i in range(1, len(p))])
   FROM tok
-UNION ALL SELECT id, 2, 'r', unnest(list_transform(range(1, len(r)), i -> r[i] || ' ' || r[i + 1]))
+UNION ALL SELECT id, 2, 'r', unnest([r[i] || ' ' || r[i + 1] for i in range(1, len(r))])
   FROM tok"""
 _OVERLAP = """SELECT id, n, sum(least(cp, cr)) AS shared, sum(cp) AS np, sum(cr) AS nr
 FROM (SELECT id, n, gram, count(*) FILTER (side = 'p') AS cp, count(*) FILTER (side = 'r') AS cr

@@ -385,11 +385,13 @@ def compare_runs(
     seed: int = 0,
     bootstrap: str = "draws",
     p_method: str = "auto",
+    digits: int | None = 4,
 ) -> Report:
     """Bootstrap table and pairwise tests over the metrics all runs share.
 
     An unknown method means signed-rank. Signed-rank uses ids every run has a
-    number for, in both tables; rank-sum uses each run's own numbers.
+    number for, in both tables; rank-sum uses each run's own numbers. Means,
+    intervals and statistics are rounded to ``digits``.
     """
     method = method if method in METHODS else METHODS[0]
     chosen = scores_long.filter(F.col("inference_id").isin(*runs))
@@ -405,8 +407,9 @@ def compare_runs(
     pairwise = tests.select(
         *PAIR,
         F.lit(method).alias("test_method"),
-        F.round(statistic, 4).alias("statistic"),
+        (statistic if digits is None else F.round(statistic, digits)).alias("statistic"),
         "p_value",
         significant("p_value").alias("significant"),
     )
-    return Report(bootstrap_ci(base, sample_size, n_boot, seed, bootstrap), pairwise)
+    intervals = bootstrap_ci(base, sample_size, n_boot, seed, bootstrap, digits)
+    return Report(intervals, pairwise)

@@ -169,13 +169,12 @@ def nest_evaluation(
     maps = aggregates.groupBy("evaluation_id").agg(
         F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("aggregate")
     )
-    head = per_evaluation.join(maps, "evaluation_id", "left")
     chunk = F.pmod(F.xxhash64("id"), F.col("__chunks"))
     return (
-        spread_join(rows, head.select("evaluation_id", "__chunks"), ["evaluation_id"])
+        spread_join(rows, per_evaluation, ["evaluation_id"], ["id"])
         .groupBy("evaluation_id", chunk.alias("chunk"))
         .agg(F.collect_list(F.struct(*fields)).alias("rows"))
-        .join(head.select("evaluation_id", "aggregate"), "evaluation_id", "left")
+        .join(maps, "evaluation_id", "left")
     )
 
 

@@ -106,17 +106,16 @@ def running_totals(
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = 16
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], salts: int = 16
 ) -> DataFrame:
     """Inner equi-join for a left side whose keys may be hot.
 
-    Left rows get a salt from their own content and the right side, one row
-    per key, is copied once per salt, so a hot key is spread over ``salts``
-    tasks. The salt is a hash, not a random number: a retried task must send
-    every row to the same place.
+    Left rows get a salt from their ``spread`` columns and the right side, one
+    row per key, is copied once per salt, so a hot key is spread over
+    ``salts`` tasks. The salt is a hash, not a random number: a retried task
+    must send every row to the same place.
     """
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    copies = right.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    copies = right.withColumn("__salt", F.explode(every))
     return salted.join(copies, [*on, "__salt"]).drop("__salt")
