@@ -139,7 +139,7 @@ def exact_match(spark, sf_dir):
 
 @query(
     sql(
-        "SELECT id, CASE WHEN parsed = reference THEN 1.0 ELSE 0.0 END AS value FROM fx_spans",
+        "SELECT id, CASE WHEN parsed = reference THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM fx_spans",
         "fx_spans",
     )
 )
@@ -151,7 +151,7 @@ def span_accuracy(spark, sf_dir):
 
 @query(
     sql(
-        "SELECT id, CASE WHEN bool_and(p = r) THEN 1.0 ELSE 0.0 END AS value "
+        "SELECT id, CASE WHEN bool_and(p = r) THEN 1.0 ELSE 0.0 END::DOUBLE AS value "
         "FROM fx_bits GROUP BY id",
         "fx_bits",
     )
@@ -165,7 +165,7 @@ def vector_accuracy(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END AS value FROM documents"
+    "SELECT doc_id, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM documents"
 )
 def label_accuracy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(

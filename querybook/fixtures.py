@@ -245,7 +245,7 @@ FROM fx_labels x CROSS JOIN fx_runs r""",
     "fx_label_scores": (
         ("fx_label_outputs",),
         """SELECT id, inference_id, lang, reference, output, parsed,
-  CASE WHEN parsed = reference THEN 1.0 ELSE 0.0 END AS accuracy
+  CASE WHEN parsed = reference THEN 1.0 ELSE 0.0 END::DOUBLE AS accuracy
 FROM (SELECT *, CASE WHEN contains(lower(output), 'yes') THEN 'yes'
                      WHEN contains(lower(output), 'no') THEN 'no'
                      WHEN contains(lower(output), 'maybe') THEN 'maybe'

@@ -18,7 +18,7 @@ def _shape():
 
 
 @query(
-    "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS reference, length(text) AS chars, "
+    "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS reference, CAST(length(text) AS INT) AS chars, "
     "md5(text) AS digest FROM documents"
 )
 def ingest_csv(spark, sf_dir):
@@ -34,7 +34,7 @@ def ingest_csv(spark, sf_dir):
 
 @query(
     "SELECT CAST(doc_id AS VARCHAR) AS id, concat('[\"', lang, '\",\"', source, '\"]') "
-    "AS reference, length(text) AS chars, md5(text) AS digest FROM documents"
+    "AS reference, CAST(length(text) AS INT) AS chars, md5(text) AS digest FROM documents"
 )
 def ingest_json(spark, sf_dir):
     path = scratch_path(spark, "json")
@@ -47,7 +47,7 @@ def ingest_json(spark, sf_dir):
 
 
 @query(
-    "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS reference, length(text) AS chars, "
+    "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS reference, CAST(length(text) AS INT) AS chars, "
     "md5(text) AS digest FROM documents"
 )
 def ingest_parquet(spark, sf_dir):

@@ -321,7 +321,7 @@ def join_outputs(spark, sf_dir):
         """SELECT inference_id, (SELECT count(*) FROM fx_labels) AS dataset_rows,
   count(*) AS output_rows,
   (SELECT count(*) FROM fx_labels) - count(*) FILTER (lang IS NOT NULL) AS missing,
-  count(*) FILTER (lang IS NULL) AS unknown, 0 AS duplicate_outputs, 0 AS duplicate_ids,
+  count(*) FILTER (lang IS NULL) AS unknown, 0::BIGINT AS duplicate_outputs, 0::BIGINT AS duplicate_ids,
   count(*) FILTER (lang IS NULL) = 0
     AND count(*) = (SELECT count(*) FROM fx_labels) AS aligned
 FROM (SELECT o.inference_id, x.lang FROM (
