@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scoreframe.plans.scale import balance
+
 from .base import table
 
 RUNS = ("run1", "run2", "run3")
@@ -107,7 +109,8 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Generation pairs with real overlap: ``id, prediction, reference``."""
     text = F.col("text")
-    return table(spark, sf, "conversations").select(
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return balance(turns).select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
         .alias("id"),
         text.alias("reference"),

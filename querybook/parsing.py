@@ -6,6 +6,8 @@ from scoreframe.functions import parsers as P
 from scoreframe.functions.registry import ParserSpec, apply_parsers, default_parsers, register_parser
 from scoreframe.functions.text import PY_SPACES, pystrip, token_count, word_tokens
 
+from scoreframe.plans.scale import balance
+
 from . import fixtures as fx
 from .base import query, table
 from .fixtures import CLASSES, sql
@@ -208,7 +210,7 @@ def extract_spans_long(spark, sf_dir):
         F.lit('<span class="Lead">'), line, F.lit('</span> <span  class="rest">'), rest,
         F.lit("</span>"),
     )
-    return table(spark, sf_dir, "documents").select(
+    return balance(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         token_count("text").alias("words"),
         P.spans_to_json(P.extract_spans(markup)).alias("spans"),

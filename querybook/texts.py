@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scoreframe.functions.overlap import rouge, rouge_l
+from scoreframe.plans.scale import balance
 from scoreframe.operators.textscores import meteor as add_meteor
 from scoreframe.operators.tokens import embedding_match as match, mean_loglik as loglik
 from scoreframe.operators.tokens import mean_loglik_multi as loglik_multi
@@ -58,7 +59,8 @@ def rouge_documents(spark, sf_dir):
     rest = F.substring(
         F.col("text"), F.length(F.substring_index("text", "\n", 1)) + 1, F.length("text")
     )
-    scored = table(spark, sf_dir, "documents").select("doc_id", rouge(rest, "text").alias("s"))
+    docs = balance(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = docs.select("doc_id", rouge(rest, "text").alias("s"))
     return scored.select("doc_id", "s.*")
 
 

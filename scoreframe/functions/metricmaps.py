@@ -48,11 +48,8 @@ PREFERRED_METRICS = {
 
 
 def finite(c: Column | str) -> Column:
-    """True for numbers: neither null, NaN nor infinite."""
-    value = col(c)
-    return F.coalesce(
-        ~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False)
-    )
+    """True for numbers: neither null, NaN nor infinite (Spark sorts NaN last)."""
+    return F.coalesce(F.abs(col(c)) < float("inf"), F.lit(False))
 
 
 def clean_metric_list(c: Column | str) -> Column:
@@ -69,19 +66,26 @@ def clean_aggregate(c: Column | str) -> Column:
 
 def entries_to_aggregate(c: Column | str) -> Column:
     """``array<struct<key,value>>`` to a clean map; a later equal key wins."""
-    usable = F.filter(
-        col(c), lambda e: e["key"].isNotNull() & finite(e["value"].try_cast("double"))
-    )
-    backwards = F.reverse(usable)
-    keys = F.transform(backwards, lambda e: e["key"])
-    names = F.array_distinct(keys)
-    values = F.transform(
-        names,
-        lambda k: F.get(backwards, F.array_position(keys, k).cast("int") - 1)["value"]
-        .try_cast("double"),
+    typed = F.transform(
+        col(c),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].try_cast("double").alias("value")),
     )
+    usable = F.filter(typed, lambda e: e["key"].isNotNull() & finite(e["value"]))
+
+    def last_of_key(entries: Column) -> Column:
+        size = F.size(entries)
+        return F.filter(
+            entries,
+            lambda e, i: ~F.exists(
+                F.slice(entries, i + 2, F.greatest(size, F.lit(1))),
+                lambda later: later["key"] == e["key"],
+            ),
+        )
+
+    # A one-element transform names a value, so that it is computed once.
+    unique = F.get(F.transform(F.array(usable), last_of_key), F.lit(0))
     return F.coalesce(
-        F.map_from_arrays(names, values), F.create_map().cast("map<string,double>")
+        F.map_from_entries(unique), F.create_map().cast("map<string,double>")
     )
 
 
@@ -93,13 +97,14 @@ def metric_value(metrics: Column | str, key: Column | str) -> Column:
     """
     metrics = col(metrics)
     key = F.lit(key) if isinstance(key, str) else key
-    exact = F.get(
-        F.map_values(F.map_filter(metrics, lambda k, v: (k == key) & finite(v))), F.lit(0)
-    )
-    folded = F.get(
-        F.map_values(F.map_filter(metrics, lambda k, v: F.lower(k) == F.lower(key))), F.lit(0)
+    exact = F.element_at(metrics, key)
+    wanted = F.lower(key)
+    entry = F.get(
+        F.filter(F.map_entries(metrics), lambda e: F.lower(e["key"]) == wanted), F.lit(0)
+    )["value"]
+    return F.coalesce(
+        F.when(finite(exact), exact), F.get(F.filter(F.array(entry), finite), F.lit(0))
     )
-    return F.coalesce(exact, F.when(finite(folded), folded))
 
 
 def metric_label(c: Column | str) -> Column:

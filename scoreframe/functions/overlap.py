@@ -228,30 +228,38 @@ def align(pred: list[str], ref: list[str], stem, related) -> list[tuple[int, int
     and takes the last unmatched reference word that fits. Keeping reference
     positions on one stack per word makes a stage linear.
     """
-    free_p = list(range(len(pred)))
-    free_r = list(range(len(ref)))
     matches: list[tuple[int, int]] = []
+    # Unmatched (position, key) of both sides.
+    left, right = list(enumerate(pred)), list(enumerate(ref))
 
-    def stage(p_keys, r_key) -> None:
-        nonlocal free_p, free_r
+    def stage(left, right, choices):
         stacks: dict[str, list[int]] = defaultdict(list)
-        for j in free_r:
-            stacks[r_key(ref[j])].append(j)
-        used, left = set(), []
-        for i in reversed(free_p):
-            best = max((k for k in p_keys(pred[i]) if stacks.get(k)),
-                       key=lambda k: stacks[k][-1], default=None)
-            if best is None:
-                left.append(i)
-            else:
-                j = stacks[best].pop()
-                matches.append((i, j))
-                used.add(j)
-        free_p, free_r = left[::-1], [j for j in free_r if j not in used]
-
-    stage(lambda w: (w,), lambda w: w)
-    stage(lambda w: (stem(w),), stem)
-    stage(lambda w: {w, *related.get(w, ())}, lambda w: w)
+        for j, key in right:
+            stacks[key].append(j)
+        used, kept = set(), []
+        for i, key in reversed(left):
+            keys = [k for k in choices(key) if stacks.get(k)] if choices else (
+                [key] if stacks.get(key) else []
+            )
+            if not keys:
+                kept.append(i)
+                continue
+            j = stacks[keys[0] if len(keys) == 1 else max(keys, key=lambda k: stacks[k][-1])].pop()
+            matches.append((i, j))
+            used.add(j)
+        kept.reverse()
+        return kept, [j for j, _ in right if j not in used]
+
+    free_p, free_r = stage(left, right, None)
+    if free_p and free_r:
+        free_p, free_r = stage(
+            [(i, stem(pred[i])) for i in free_p], [(j, stem(ref[j])) for j in free_r], None
+        )
+    if related and free_p and free_r:
+        stage(
+            [(i, pred[i]) for i in free_p], [(j, ref[j]) for j in free_r],
+            lambda w: {w, *related.get(w, ())},
+        )
     return sorted(matches)
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .text import WS, col, fold, is_blank, pystrip, token_count
+from .text import WS, col, first_char, first_token, is_blank, pystrip, token_count
 
 MISSING = "missing"
 SPAN_TYPE = "array<struct<s:int,e:int,label:string>>"
@@ -57,17 +57,17 @@ COVID_TOPICS = (
 
 def parse_first_char(c: Column | str) -> Column:
     """First character of the folded text, null when blank."""
-    return F.nullif(F.substring(fold(c), 1, 1), F.lit(""))
+    return F.nullif(first_char(c), F.lit(""))
 
 
 def parse_first_word(c: Column | str) -> Column:
     """First whitespace token of the folded text, null when blank."""
-    return F.nullif(F.get(F.split(fold(c), WS + "+", 2), F.lit(0)), F.lit(""))
+    return F.nullif(F.lower(first_token(c)), F.lit(""))
 
 
 def parse_choice(c: Column | str, letters: str = "abcd") -> Column:
     """The leading letter when it is one of ``letters``, else "missing"."""
-    first = F.substring(fold(c), 1, 1)
+    first = first_char(c)
     return F.when(first.isin(*letters), first).otherwise(F.lit(MISSING))
 
 
@@ -165,7 +165,8 @@ _OPEN = rf'^<span{WS}+class="([^"]+)">\z'
 def strip_fence(c: Column | str) -> Column:
     """Drop a Markdown code fence around the whole text."""
     body = F.regexp_replace(pystrip(c), r"^(?:```html)?(?:```)?", "")
-    return pystrip(F.regexp_replace(body, r"```\z", ""))
+    opened = F.when(body.endswith("```"), F.substring(body, F.lit(1), F.length(body) - 3))
+    return pystrip(opened.otherwise(body))
 
 
 def extract_spans(c: Column | str) -> Column:
@@ -183,7 +184,7 @@ def extract_spans(c: Column | str) -> Column:
     """
     # The separator is not whitespace, so swapping a stray one for another
     # non-space control character leaves every token count unchanged.
-    clean = F.translate(strip_fence(c), _MARK, "\u001a")
+    clean = F.replace(strip_fence(c), F.lit(_MARK), F.lit("\u001a"))
     pieces = F.split(F.regexp_replace(clean, _TAG, f"{_MARK}$1{_MARK}"), _MARK)
 
     def describe(piece: Column) -> Column:

@@ -13,6 +13,7 @@ PY_SPACES = (
 
 # The same set as a Java regex class (plain \s covers ASCII only).
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+NOT_WS = r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 
 def col(c: Column | str) -> Column:
@@ -34,12 +35,22 @@ def is_blank(c: Column | str) -> Column:
     return F.coalesce(F.length(pystrip(c)) == 0, F.lit(True))
 
 
+def first_token(c: Column | str) -> Column:
+    """First whitespace-separated token, empty for blank text."""
+    return F.regexp_extract(col(c), NOT_WS + "+", 0)
+
+
+def first_char(c: Column | str) -> Column:
+    """First character of the folded text; only that character is lowered."""
+    head = F.substring(F.ltrim(col(c), F.lit(PY_SPACES)), 1, 1)
+    return F.substring(F.lower(head), 1, 1)
+
+
 def token_count(c: Column | str) -> Column:
     """Number of whitespace-separated tokens, 0 for blank text."""
-    body = pystrip(c)
-    return F.when(F.length(body) == 0, 0).otherwise(F.size(F.split(body, WS + "+")))
+    return F.size(F.array_remove(F.split(col(c), WS + "+"), ""))
 
 
 def word_tokens(c: Column | str) -> Column:
     """Lower-cased runs of ``[a-z0-9]``, the token form ROUGE uses."""
-    return F.filter(F.split(F.lower(col(c)), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(col(c)), "[^a-z0-9]+"), "")

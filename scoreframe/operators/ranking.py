@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.metricmaps import finite, metric_value
-from ..plans.scale import running_totals
+from ..plans.scale import cut, running_totals
 
 # The metric a task is ranked by. Relation Extraction has none.
 PRIMARY_METRIC = {
@@ -189,12 +189,15 @@ def overall_ranking(scores: DataFrame) -> DataFrame:
 
     ``scores``: ``model_key, dataset, value``. Equal mean ranks share a
     position and the next one skips. Empty with fewer than two models. Means
-    are compared as doubled integer rank sums, which keeps ties exact.
+    are compared as doubled integer rank sums, which keeps ties exact. The
+    table is read in several steps, so it is materialised between them.
     """
-    ranked = average_rank(comparable_models(scores), ["dataset"], "value")
-    means = ranked.groupBy("model_key").agg(
-        F.sum((F.col("rank") * 2).cast("long")).alias("__sum"),
-        F.count(F.lit(1)).alias("dataset_count"),
+    ranked = average_rank(cut(comparable_models(cut(scores))), ["dataset"], "value")
+    means = cut(
+        ranked.groupBy("model_key").agg(
+            F.sum((F.col("rank") * 2).cast("long")).alias("__sum"),
+            F.count(F.lit(1)).alias("dataset_count"),
+        )
     )
     levels = means.groupBy("__sum").agg(F.count(F.lit(1)).alias("__n"))
     positions = running_totals(levels, [], ["__sum"], {"__n": F.col("__n")}).select(

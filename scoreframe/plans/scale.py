@@ -52,6 +52,17 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def balance(scan: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Spread a scan over at least ``tasks`` tasks (default: the free cores).
+
+    For costly row work on few or unsplittable files. A scan that already has
+    enough tasks is returned as it is, without a shuffle. Call it on a scan
+    only: counting the tasks of a plan with shuffles would run them.
+    """
+    wanted = tasks or scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted)
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
