@@ -82,15 +82,14 @@ def upload_duplicate_ids(spark, sf_dir):
 
 
 @query(
-    "SELECT CAST(user_id AS VARCHAR) AS id, concat('[', string_agg(event_id, ',' ORDER BY "
-    "event_id), ']') AS reference FROM events GROUP BY user_id"
+    "SELECT CAST(event_id AS VARCHAR) AS id, concat('[', user_id, ',', event_id, ']') "
+    "AS reference FROM events"
 )
 def reference_arrays(spark, sf_dir):
-    # One array per user, as uploads of entity lists have.
-    grouped = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(
-        F.array_sort(F.collect_list("event_id")).alias("reference")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.array("user_id", "event_id").alias("reference")
     )
-    return normalize_reference(grouped)
+    return normalize_reference(rows)
 
 
 @query(

@@ -78,9 +78,10 @@ def rouge(
 
     @F.arrow_udf(ROUGE_TYPE)
     def score(p: pa.Array, r: pa.Array) -> pa.Array:
+        # One pair at a time: a batch of long texts is not copied as a whole.
         rows = [
-            failed if a is None or b is None else rouge_row(a, b, want)
-            for a, b in zip(p.to_pylist(), r.to_pylist())
+            rouge_row(a.as_py(), b.as_py(), want) if a.is_valid and b.is_valid else failed
+            for a, b in zip(p, r)
         ]
         fields = ("rouge1", "rouge2", "rougeL")
         return pa.StructArray.from_arrays(

@@ -64,19 +64,18 @@ def best_primary(evals: DataFrame, overrides: Mapping[str, str] | None = None) -
 def latest_completed(evals: DataFrame, keep: Sequence[str] = ("created_at",)) -> DataFrame:
     """Newest completed evaluation per run; a missing time is the oldest.
 
-    ``max_by`` combines map-side, so a run with many evaluations costs one
-    partial row per task. Equal times fall back to the smaller evaluation id.
+    Equal times go to the smaller evaluation id. Each map task keeps one row
+    per run (window group limit), so a run with many evaluations is cheap.
     """
-    rows = completed(evals).select("inference_id", "evaluation_id", *keep, "created_at")
-    newest = F.max(F.struct(F.col("created_at").alias("at"))).alias("newest")
-    top = rows.groupBy("inference_id", "evaluation_id").agg(
-        newest, *[F.max_by(c, F.struct("created_at")).alias(c) for c in keep]
+    newest = Window.partitionBy("inference_id").orderBy(
+        F.desc_nulls_last("created_at"), "evaluation_id"
     )
-    per_run = top.groupBy("inference_id").agg(F.max("newest").alias("__at"))
-    tied = top.join(per_run, "inference_id").filter(F.col("newest").eqNullSafe(F.col("__at")))
-    return tied.groupBy("inference_id").agg(
-        F.min_by("evaluation_id", "evaluation_id").alias("evaluation_id"),
-        *[F.min_by(c, "evaluation_id").alias(c) for c in keep],
+    return (
+        completed(evals)
+        .select("inference_id", "evaluation_id", *{*keep, "created_at"})
+        .withColumn("__k", F.row_number().over(newest))
+        .filter(F.col("__k") == 1)
+        .select("inference_id", "evaluation_id", *keep)
     )
 
 

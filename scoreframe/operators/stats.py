@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.significance import normal_p, signed_rank_p
-from ..plans.scale import running_totals
+from ..plans.scale import attach, cut, running_totals
 
 # Fixed value: differences up to this size count as equal scores.
 ALL_EQUAL = 1e-8
@@ -83,13 +83,17 @@ def _wide(scores_long: DataFrame, runs: Sequence[str]) -> DataFrame:
 
 def align_scores(scores_long: DataFrame, runs: Sequence[str]) -> DataFrame:
     """Long scores restricted to ids where every compared run has a number."""
+    return _long(_wide(scores_long, runs), runs)
+
+
+def _long(wide: DataFrame, runs: Sequence[str]) -> DataFrame:
     cells = F.array(
         *[
             F.struct(F.lit(run).alias("inference_id"), F.col(f"v{i}").alias("value"))
             for i, run in enumerate(runs)
         ]
     )
-    return _wide(scores_long, runs).select("metric", "id", F.inline(cells)).select(
+    return wide.select("metric", "id", F.inline(cells)).select(
         "inference_id", "id", "metric", "value"
     )
 
@@ -106,6 +110,10 @@ def wilcoxon_signed_rank(
     r_minus, statistic, tie_term, z, p_value``. Differences that are all at
     most 1e-8 give statistic 0 and p 1. Fewer than two aligned values: no row.
     """
+    return _signed_rank(_wide(scores_long, runs), runs, p_method)
+
+
+def _signed_rank(wide: DataFrame, runs: Sequence[str], p_method: str) -> DataFrame:
     place = {run: i for i, run in enumerate(runs)}
     cells = F.array(
         *[
@@ -118,8 +126,7 @@ def wilcoxon_signed_rank(
         ]
     )
     sizes = (
-        _wide(scores_long, runs)
-        .select("metric", F.inline(cells))
+        wide.select("metric", F.inline(cells))
         .groupBy(*PAIR, F.abs("d").alias("size"))
         .agg(F.count_if(F.col("d") > 0).alias("up"), F.count(F.lit(1)).alias("times"))
     )
@@ -270,11 +277,14 @@ def poisson_means(
     have mean min(1, sample_size / n), so a resample holds about
     ``sample_size`` draws. Use it when n_boot * sample_size rows are too many.
     """
-    rows = valid_scores(scores_long)
-    sizes = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"))
-    size = F.col("n") if sample_size is None else F.least(F.lit(sample_size), F.col("n"))
-    rates = sizes.select(*_GROUP, (size / F.col("n")).alias("rate"))
-    keyed = rows.join(rates, _GROUP).select(
+    rows = valid_scores(scores_long).select(*_GROUP, "id", "value")
+    if sample_size is None:
+        rated = rows.withColumn("rate", F.lit(1.0))
+    else:
+        n = F.count(F.lit(1))
+        rate = F.least(F.lit(sample_size), n) / n
+        rated = attach(rows, rows.groupBy(*_GROUP).agg(rate.alias("rate")), _GROUP, ["id"])
+    keyed = rated.select(
         *_GROUP, "rate", "value",
         F.xxhash64(F.lit(seed), "inference_id", "metric", "id").alias("key"),
     )
@@ -399,8 +409,10 @@ def compare_runs(
         "inference_id", "id", "metric", "value"
     )
     if method == "signed-rank":
-        tests = wilcoxon_signed_rank(shared, runs, p_method)
-        base, statistic = align_scores(shared, runs), F.col("statistic")
+        # Tests and intervals read the aligned table: it is made once.
+        wide = cut(_wide(shared, runs))
+        tests = _signed_rank(wide, runs, p_method)
+        base, statistic = _long(wide, runs), F.col("statistic")
     else:
         tests = rank_sum(shared, runs)
         base, statistic = shared, F.col("z")

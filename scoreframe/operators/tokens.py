@@ -42,28 +42,37 @@ def embedding_match(
     """
     pairs = _blocks(pred_tokens, "pred", block).join(_blocks(ref_tokens, "ref", block), "id")
 
+    def unit_rows(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and unit vectors of one block, without Python objects."""
+        tokens = block.values
+        flat = tokens.field("vector").flatten().to_numpy(zero_copy_only=False)
+        grid = flat.astype(np.float64).reshape(len(tokens), -1)
+        norm = np.linalg.norm(grid, axis=1, keepdims=True)
+        places = tokens.field("pos").to_numpy(zero_copy_only=False)
+        return places, grid / np.where(norm == 0, 1.0, norm)
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sides, places, values = [], [], [], []
-            for row in batch.to_pylist():
-                grids = []
-                for name in ("pred_rows", "ref_rows"):
-                    grid = np.array([t["vector"] for t in row[name]], dtype=np.float64)
-                    norm = np.linalg.norm(grid, axis=1, keepdims=True)
-                    grids.append(grid / np.where(norm == 0, 1.0, norm))
-                cosine = grids[0] @ grids[1].T
-                for name, top in (("pred", cosine.max(axis=1)), ("ref", cosine.max(axis=0))):
-                    rows = row[f"{name}_rows"]
-                    ids += [row["id"]] * len(rows)
-                    sides += [name] * len(rows)
-                    places += [t["pos"] for t in rows]
-                    values += top.tolist()
+            for key, pred, ref in zip(*(batch.column(i) for i in range(3))):
+                pred_at, pred_grid = unit_rows(pred)
+                ref_at, ref_grid = unit_rows(ref)
+                cosine = pred_grid @ ref_grid.T
+                for side, at, top in (
+                    ("pred", pred_at, cosine.max(axis=1)), ("ref", ref_at, cosine.max(axis=0)),
+                ):
+                    ids += [key.as_py()] * len(at)
+                    sides += [side] * len(at)
+                    places.append(at)
+                    values.append(top)
+            if not ids:
+                continue
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, batch.schema.field("id").type),
                     pa.array(sides, pa.string()),
-                    pa.array(places, pa.int64()),
-                    pa.array(values, pa.float64()),
+                    pa.array(np.concatenate(places), pa.int64()),
+                    pa.array(np.concatenate(values), pa.float64()),
                 ],
                 names=["id", "side", "pos", "best"],
             )

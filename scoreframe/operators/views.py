@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import pystrip
-from ..plans.scale import running_totals, spread_join
+from ..plans.scale import attach, running_totals
 
 INPUT, REFERENCE, OUTPUT = "{{input}}", "{{reference}}", "{{output}}"
 CRITERION, SCALE = "{{criterion}}", "{{scale}}"
@@ -171,7 +171,7 @@ def nest_evaluation(
     )
     chunk = F.pmod(F.xxhash64("id"), F.col("__chunks"))
     return (
-        spread_join(rows, per_evaluation, ["evaluation_id"], ["id"])
+        attach(rows, per_evaluation, ["evaluation_id"], ["id"])
         .groupBy("evaluation_id", chunk.alias("chunk"))
         .agg(F.collect_list(F.struct(*fields)).alias("rows"))
         .join(maps, "evaluation_id", "left")
@@ -296,18 +296,17 @@ def compare_outputs(dataset: DataFrame, outputs: DataFrame, runs: Sequence[str])
 
     One grouped pass over all runs instead of a join per run.
     """
+    run = F.col("inference_id")
+    names = list(dict.fromkeys(runs))
     wide = (
-        outputs.filter(F.col("inference_id").isin(*runs))
+        outputs.filter(run.isin(*names))
         .groupBy("id")
         .agg(
-            F.count_distinct("inference_id").alias("__runs"),
-            *[
-                F.max(F.when(F.col("inference_id") == r, F.col("output"))).alias(f"{r}Output")
-                for r in runs
-            ],
+            *[F.count_if(run == r).alias(f"__n{i}") for i, r in enumerate(names)],
+            *[F.max(F.when(run == r, F.col("output"))).alias(f"{r}Output") for r in names],
         )
-        .filter(F.col("__runs") == len(set(runs)))
-        .drop("__runs")
+        .filter(reduce(and_, [F.col(f"__n{i}") > 0 for i in range(len(names))]))
+        .drop(*[f"__n{i}" for i in range(len(names))])
     )
     return dataset.join(wide, "id")
 

@@ -116,6 +116,21 @@ def running_totals(
     )
 
 
+def attach(
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str]
+) -> DataFrame:
+    """Inner join of many rows with one lookup row per key.
+
+    The lookup is materialised and its size is known before the plan is made:
+    small ones are broadcast and the rows stay where they are, large ones meet
+    the rows in a salted join.
+    """
+    known = cut(lookup)
+    if fits(known):
+        return rows.join(F.broadcast(known), list(on))
+    return spread_join(rows, known, on, spread)
+
+
 def spread_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], salts: int = 16
 ) -> DataFrame:

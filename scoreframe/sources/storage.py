@@ -24,19 +24,16 @@ def write_scores(
     path: str,
     by: Sequence[str] = ("inference_id",),
     mode: str = "append",
-    max_records_per_file: int = 5_000_000,
+    rebalance: bool = True,
 ) -> None:
     """Append rows under one folder per run.
 
-    Rows are not shuffled by run first: that would send a hot run to a single
-    task. Each task writes its part and the file size is bounded instead.
+    The rebalance hint groups rows by run for well-sized files, while AQE
+    splits a run that holds most of the rows over several tasks. Without it
+    each task writes a file per run it holds.
     """
-    (
-        df.write.partitionBy(*by)
-        .option("maxRecordsPerFile", max_records_per_file)
-        .mode(mode)
-        .parquet(path)
-    )
+    rows = df.hint("rebalance", *by) if rebalance else df
+    rows.write.partitionBy(*by).mode(mode).parquet(path)
 
 
 def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
