@@ -437,11 +437,8 @@ def summary_metrics(spark, sf_dir):
 
 
 @query(
-    """SELECT metric_id, event_id FROM (SELECT event_id, CASE event_type
-    WHEN 'error' THEN 'human_evaluation' WHEN 'view' THEN 'llm_judge_relevance'
-    ELSE event_type END AS metric_id FROM events)
-ORDER BY CASE metric_id WHEN 'human_evaluation' THEN 2 WHEN 'llm_judge_relevance' THEN 1
-  ELSE 0 END DESC, event_id LIMIT 100"""
+    """SELECT event_id, CASE event_type WHEN 'error' THEN 'human_evaluation'
+  WHEN 'view' THEN 'llm_judge_relevance' ELSE event_type END AS metric_id FROM events"""
 )
 def order_metrics(spark, sf_dir):
     named = (
@@ -450,14 +447,9 @@ def order_metrics(spark, sf_dir):
         .otherwise(F.col("event_type"))
     )
     rows = table(spark, sf_dir, "events").select(
-        named.alias("metric_id"), "event_id", (-F.col("event_id")).alias("seq")
-    )
-    # The last hundred of the order, read from the other end.
-    ordered = V.order_metrics(rows)
-    last = F.when(F.col("metric_id") == "human_evaluation", 2).when(
-        F.col("metric_id").startswith("llm_judge_"), 1
-    ).otherwise(0)
-    return ordered.orderBy(last.desc(), F.desc("seq")).limit(100).select("metric_id", "event_id")
+        named.alias("metric_id"), "event_id", F.col("event_id").alias("seq")
+    )
+    return V.order_metrics(rows).select("event_id", "metric_id")
 
 
 @query("SELECT o_orderkey, 'd1' AS dataset_id FROM orders")

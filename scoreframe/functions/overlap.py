@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -169,9 +168,23 @@ def _replace_longest(word: str, rules, min_measure: int) -> str:
     return stem + hit[1] if _measure(stem) > min_measure else word
 
 
-@lru_cache(maxsize=200_000)
+# Stems already found in this worker; emptied when it grows past the limit.
+_STEMS: dict[str, str] = {}
+_STEM_LIMIT = 200_000
+
+
 def porter_stem(word: str) -> str:
-    """Porter stem of a lower-cased word, with the common extensions.
+    """Porter stem of a lower-cased word, remembered per worker."""
+    stem = _STEMS.get(word)
+    if stem is None:
+        if len(_STEMS) >= _STEM_LIMIT:
+            _STEMS.clear()
+        stem = _STEMS[word] = _stem(word)
+    return stem
+
+
+def _stem(word: str) -> str:
+    """Porter (1980) with the common extensions.
 
     The extensions are the irregular words above and a gentler treatment of
     short words in "-ies", "-ied" and "-y".

@@ -405,9 +405,9 @@ def compare_runs(
     """
     method = method if method in METHODS else METHODS[0]
     chosen = scores_long.filter(F.col("inference_id").isin(*runs))
-    shared = chosen.join(common_metrics(chosen, runs), "metric", "left_semi").select(
-        "inference_id", "id", "metric", "value"
-    )
+    shared = attach(
+        chosen, common_metrics(chosen, runs), ["metric"], ["id"], "left_semi"
+    ).select("inference_id", "id", "metric", "value")
     if method == "signed-rank":
         # Tests and intervals read the aligned table: it is made once.
         wide = cut(_wide(shared, runs))

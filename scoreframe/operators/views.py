@@ -210,7 +210,7 @@ def number_labels(runs: DataFrame, label: str = "label", order: str = "seq") ->
         F.concat(F.col(label), F.lit(" ("), (F.col("__one_before") + 1).cast("string"),
                  F.lit(")")),
     ).otherwise(F.col(label))
-    return numbered.join(counts, label).withColumn("shown_label", shown).drop(
+    return attach(numbered, counts, [label], [order]).withColumn("shown_label", shown).drop(
         "__n", "__one_before"
     )
 

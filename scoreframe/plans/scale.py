@@ -117,9 +117,13 @@ def running_totals(
 
 
 def attach(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str]
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    spread: Sequence[str],
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of many rows with one lookup row per key.
+    """Inner or left semi join of many rows with one lookup row per key.
 
     The lookup is materialised and its size is known before the plan is made:
     small ones are broadcast and the rows stay where they are, large ones meet
@@ -127,14 +131,19 @@ def attach(
     """
     known = cut(lookup)
     if fits(known):
-        return rows.join(F.broadcast(known), list(on))
-    return spread_join(rows, known, on, spread)
+        return rows.join(F.broadcast(known), list(on), how)
+    return spread_join(rows, known, on, spread, how=how)
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], salts: int = 16
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    spread: Sequence[str],
+    salts: int = 16,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner equi-join for a left side whose keys may be hot.
+    """Inner or left semi equi-join for a left side whose keys may be hot.
 
     Left rows get a salt from their ``spread`` columns and the right side, one
     row per key, is copied once per salt, so a hot key is spread over
@@ -144,4 +153,4 @@ def spread_join(
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
     copies = right.withColumn("__salt", F.explode(every))
-    return salted.join(copies, [*on, "__salt"]).drop("__salt")
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")

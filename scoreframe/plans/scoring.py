@@ -16,8 +16,8 @@ from ..functions.scores import accuracy, accuracy_spans, accuracy_vector
 from ..operators.corpus import aggregate_metrics, exact_match, f1_labels, f1_multilabel
 from ..operators.ranking import best_primary, model_dataset_scores, overall_ranking
 from ..operators.textscores import meteor
-from ..sources.storage import write_scores
-from .scale import cut
+from ..sources.storage import load_outputs, write_scores
+from .scale import scratch_path
 
 
 class ScoringPlan(NamedTuple):
@@ -173,19 +173,18 @@ def evaluate(
     """Score all runs in ``outputs`` against the dataset.
 
     Outputs are parsed and scored once. The scored rows are written (to
-    ``path``, one folder per run, or to the checkpoint folder) and every
-    corpus metric reads that table, so no parser or text metric runs twice.
+    ``path`` or to the shared folder, one folder per run) and every corpus
+    metric reads its columns of that table, so no parser or text metric runs
+    twice. ``path`` must not exist yet.
     """
     pairs = dataset.select("id", "reference").join(
         outputs.select("inference_id", "id", "output"), "id"
     )
     rows = score_rows(pairs, plan, synonyms)
-    if path is None:
-        rows = cut(rows)
-    else:
-        write_scores(rows, path)
-        rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    return Evaluation(rows, corpus_scores(rows, plan, external=external))
+    target = path or scratch_path(rows.sparkSession, "scores")
+    write_scores(rows, target, mode="errorifexists")
+    stored = load_outputs(rows.sparkSession, target, rows.schema)
+    return Evaluation(stored, corpus_scores(stored, plan, external=external))
 
 
 def leaderboard(evals: DataFrame, runs: DataFrame) -> DataFrame:

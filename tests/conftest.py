@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
+
+import __spark_entry__  # noqa: E402, F401  (row functions travel inside the tasks)
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -94,6 +94,18 @@ def test_filters(spark):
     assert V.search(rows.select("id"), "").count() == 4
 
 
+def test_orders(spark):
+    rows = spark.createDataFrame(
+        [("human_evaluation", 0, None), ("llm_judge_x", 1, True), ("bleu", 2, False), ("acc", 3, True)],
+        "metric_id string, seq int, is_favorite boolean",
+    )
+    assert [r.seq for r in V.order_metrics(rows).collect()] == [2, 3, 1, 0]
+    assert [r.seq for r in V.favourites_first(rows).collect()] == [1, 3, 0, 2]
+    assert [r.seq for r in V.page(V.sort_view(rows, "seq", False, "seq"), 1, 3).collect()] == [0]
+    named = V.number_labels(rows.withColumn("label", F.lit("x")).limit(2), "label", "seq")
+    assert {r.seq: r.shown_label for r in named.collect()} == {0: "x (1)", 1: "x (2)"}
+
+
 def test_prompts(spark):
     rows = spark.createDataFrame([("1", "a $1 \\", "R {{output}}", " out ")],
                                  "id string, input string, reference string, output string")
