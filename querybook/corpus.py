@@ -31,12 +31,24 @@ FROM fx_label_scores GROUP BY inference_id, lang""",
 )
 def accuracy_by_lang(spark, sf_dir):
     rows = score_rows(fx.label_outputs(spark, sf_dir), YES_NO)
-    long = rows.select("inference_id", "lang", F.explode("metrics").alias("metric", "value"))
-    return C.aggregate_metrics(long, ["inference_id", "lang"]).select(
+    return C.mean_metrics(rows, ["inference_id", "lang"], ["accuracy"]).select(
         "inference_id", "lang", F.round("value", 9).alias("accuracy"), "n"
     )
 
 
+@query(
+    sql(
+        """SELECT inference_id, metric, round(avg(value), 9) AS value, count(value) AS n
+FROM fx_scores GROUP BY inference_id, metric""",
+        "fx_scores",
+    )
+)
+def aggregate_metrics(spark, sf_dir):
+    return C.aggregate_metrics(fx.scores(spark, sf_dir), ["inference_id"]).withColumn(
+        "value", F.round("value", 9)
+    )
+
+
 def _f1_sql(by: str) -> str:
     return f"""SELECT {by}, round(avg(f1), 9) AS macro_f1,
   round(sum(f1 * support) / sum(support), 9) AS weighted_f1

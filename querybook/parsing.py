@@ -6,6 +6,7 @@ from scoreframe.functions import parsers as P
 from scoreframe.functions.registry import ParserSpec, apply_parsers, default_parsers, register_parser
 from scoreframe.functions.text import PY_SPACES, pystrip, token_count, word_tokens
 
+from scoreframe.operators.views import spans_table as explode_spans
 from scoreframe.plans.scale import balance
 
 from . import fixtures as fx
@@ -192,7 +193,7 @@ def reference_spans(spark, sf_dir):
     )
 )
 def spans_table(spark, sf_dir):
-    return fx.spans(spark, sf_dir).select("id", F.inline(P.extract_spans("output")))
+    return explode_spans(fx.spans(spark, sf_dir))
 
 
 @query(

@@ -25,6 +25,30 @@ def aggregate_metrics(scores_long: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def mean_metrics(rows: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """``by…, metric, value, n`` straight from the ``metrics`` map of scored rows.
+
+    The names are known, so each mean is one aggregate over the map. Exploding
+    the map would multiply the rows, and Spark would add a size filter that
+    computes every metric a second time.
+    """
+    cells = {f"__m{i}": F.element_at("metrics", F.lit(m)) for i, m in enumerate(metrics)}
+    sums = [f(c) for c in cells for f in (
+        lambda c: F.avg(c).alias(f"{c}_mean"), lambda c: F.count(c).alias(f"{c}_n"),
+    )]
+    wide = rows.select(*by, *[v.alias(c) for c, v in cells.items()]).groupBy(*by).agg(*sums)
+    out = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("metric"), F.col(f"{c}_mean").alias("value"),
+                F.col(f"{c}_n").alias("n"),
+            )
+            for c, m in zip(cells, metrics)
+        ]
+    )
+    return wide.select(*by, F.inline(out)).filter(F.col("n") > 0)
+
+
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
@@ -105,7 +129,9 @@ def f1_multilabel(
     """F1 over the positions of two 0/1 vectors; empty classes count as 0."""
     pairs = F.arrays_zip(F.col(pred).alias("p"), F.col(ref).alias("r"))
     per_class = (
-        df.select(*by, F.posexplode(pairs).alias("label", "__bit"))
+        # The outer form: a plain explode adds a filter that builds both vectors again.
+        df.select(*by, F.posexplode_outer(pairs).alias("label", "__bit"))
+        .filter(F.col("label").isNotNull())
         .select(*by, "label", "__bit.p", "__bit.r")
         .groupBy(*by, "label")
         .agg(

@@ -114,21 +114,35 @@ def run_summary(evals: DataFrame, overrides: Mapping[str, str] | None = None) ->
     """Per run: evaluation count, any running, latest completed, best primary.
 
     ``evals`` holds ``inference_id, evaluation_id, task, status,
-    effective_status, object_key, created_at, aggregate``. The running flag
-    reads the effective status, like the completed filter does.
+    effective_status, object_key, created_at, aggregate``. Both flags read the
+    effective status. Everything is one aggregation, combined map-side.
     """
-    shown = evals.withColumn("status", F.col("effective_status"))
-    counts = shown.groupBy("inference_id").agg(
-        F.count(F.lit(1)).alias("evaluations"),
-        F.bool_or(F.col("status").isin("pending", "processing")).alias("has_running"),
-    )
-    latest = latest_completed(shown).select(
-        "inference_id", F.col("evaluation_id").alias("latest_evaluation_id")
-    )
-    best = best_primary(shown, overrides).select(
-        "inference_id", F.col("metric_key"), F.col("value").alias("best_value")
+    status = F.col("effective_status")
+    done = (status == "done") & F.col("object_key").isNotNull()
+    # Newest first, a missing time last, then the smaller id.
+    age = -F.unix_micros(F.col("created_at").try_cast("timestamp"))
+    oldest = F.lit(2**63 - 1)
+    key = primary_metric("task", overrides)
+    value = F.when(done, metric_value(F.col("aggregate"), key))
+    return (
+        evals.select(
+            "inference_id",
+            status.alias("__status"),
+            F.when(
+                done, F.struct(F.coalesce(age, oldest).alias("age"), F.col("evaluation_id"))
+            ).alias("__done"),
+            key.alias("__key"),
+            value.alias("__value"),
+        )
+        .groupBy("inference_id")
+        .agg(
+            F.count(F.lit(1)).alias("evaluations"),
+            F.bool_or(F.col("__status").isin("pending", "processing")).alias("has_running"),
+            F.min("__done")["evaluation_id"].alias("latest_evaluation_id"),
+            F.max(F.when(F.col("__value").isNotNull(), F.col("__key"))).alias("metric_key"),
+            F.max("__value").alias("best_value"),
+        )
     )
-    return counts.join(latest, "inference_id", "left").join(best, "inference_id", "left")
 
 
 def dataset_placements(best: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.significance import normal_p, signed_rank_p
-from ..plans.scale import attach, cut, running_totals
+from ..plans.scale import BROADCAST_ROWS, attach, cut, running_totals
 
 # Fixed value: differences up to this size count as equal scores.
 ALL_EQUAL = 1e-8
@@ -240,24 +240,27 @@ def bootstrap_means(
     """
     rows = valid_scores(scores_long).select(*_GROUP, "id", "value")
     numbered = running_totals(rows, _GROUP, ["id"], {"one": F.lit(1)})
-    sizes = numbered.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"))
+    size = F.least(F.lit(sample_size).cast("long"), F.col("n"))
+    sizes = cut(
+        numbered.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).withColumn("size", size)
+    )
     turns = sizes.select(
-        *_GROUP, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("turn")
+        *_GROUP, "n", "size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("turn")
     ).repartition(*_GROUP, "turn")
-    last = F.least(F.lit(sample_size).cast("long"), F.col("n")) - 1
     draws = turns.select(
         *_GROUP, "turn", "n",
-        F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pick"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("pick"),
     ).select(
         *_GROUP, "turn",
         F.pmod(_draw(seed, F.col("turn"), F.col("pick")), F.col("n")).alias("row"),
     )
     source = numbered.select(*_GROUP, F.col("one_before").cast("long").alias("row"), "value")
-    return (
-        draws.join(source, [*_GROUP, "row"])
-        .groupBy(*_GROUP, "turn")
-        .agg(F.avg("value").alias("mean"))
-    )
+    # The number of draws is known: a small set goes to the rows instead of
+    # shuffling every row to find the few that are drawn.
+    total = (sizes.agg(F.sum("size")).first()[0] or 0) * n_boot
+    picked = source.join(F.broadcast(draws) if total <= BROADCAST_ROWS else draws,
+                         [*_GROUP, "row"])
+    return picked.groupBy(*_GROUP, "turn").agg(F.avg("value").alias("mean"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,10 @@ def _words(df: DataFrame, column: str) -> DataFrame:
             pa.list_(pa.string()),
         )
 
-    return df.select("__row", F.explode(words(F.col(column))).alias("word"))
+    # The outer form: a plain explode adds a filter that tokenizes again.
+    return df.select("__row", F.explode_outer(words(F.col(column))).alias("word")).filter(
+        F.col("word").isNotNull()
+    )
 
 
 def _row_synonyms(df: DataFrame, synonyms: DataFrame, pred: str, refs: str) -> DataFrame:

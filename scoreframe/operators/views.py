@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.parsers import extract_spans
 from ..functions.text import pystrip
 from ..plans.scale import attach, running_totals
 
@@ -178,6 +179,17 @@ def nest_evaluation(
     )
 
 
+def spans_table(df: DataFrame, column: str = "output", keep: Sequence[str] = ("id",)) -> DataFrame:
+    """Markup text to one row per entity span: ``keep…, s, e, label``.
+
+    The outer form of inline is used because the plain one adds a filter that
+    parses every text a second time.
+    """
+    return df.select(*keep, F.inline_outer(extract_spans(column))).filter(
+        F.col("label").isNotNull()
+    )
+
+
 def metrics_to_long(df: DataFrame, keys: Sequence[str] = ("inference_id", "id")) -> DataFrame:
     """``metrics`` map to one row per metric: ``keys…, metric, value``."""
     return df.select(*keys, F.explode("metrics").alias("metric", "value"))

@@ -13,7 +13,9 @@ from ..functions.parsers import (
 )
 from ..functions.registry import ParserSpec, apply_parsers, default_parsers, metric_plan
 from ..functions.scores import accuracy, accuracy_spans, accuracy_vector
-from ..operators.corpus import aggregate_metrics, exact_match, f1_labels, f1_multilabel
+from ..operators.corpus import (
+    aggregate_metrics, exact_match, f1_labels, f1_multilabel, mean_metrics,
+)
 from ..operators.ranking import best_primary, model_dataset_scores, overall_ranking
 from ..operators.textscores import meteor
 from ..sources.storage import load_outputs, write_scores
@@ -59,14 +61,10 @@ def parse_outputs(df: DataFrame, plan: ScoringPlan) -> DataFrame:
         return spanned.withColumn("parsed", spans_to_json("parsed_spans"))
     out = df.withColumn("parsed", parsed)
     if plan.task == "mlc":
-        label_source = "output" if plan.raw_corpus else "parsed"
-        out = out.withColumns(
-            {
-                "parsed_vector": multi_hot("parsed", plan.classes),
-                "reference_vector": multi_hot("reference", plan.classes),
-                "corpus_vector": multi_hot(label_source, plan.classes),
-            }
-        )
+        vectors = {"parsed_vector": "parsed", "reference_vector": "reference"}
+        if plan.raw_corpus:
+            vectors["raw_vector"] = "output"
+        out = out.withColumns({v: multi_hot(c, plan.classes) for v, c in vectors.items()})
     return out
 
 
@@ -131,7 +129,7 @@ def corpus_scores(
     f1 = [m for m in ("macro_f1", "weighted_f1") if m in metrics]
     if f1:
         wide = (
-            f1_multilabel(scored, "both", by, "corpus_vector", "reference_vector")
+            f1_multilabel(scored, "both", by, "raw_vector" if plan.raw_corpus else "parsed_vector")
             if plan.task == "mlc"
             else f1_labels(scored, "both", by)
         )
@@ -144,9 +142,9 @@ def corpus_scores(
             parts.append(
                 metric.corpus(scored, by).select(*by, F.lit(name).alias("metric"), "value")
             )
-    if any(m.kind in ("row", "text") or m.row is not None for m in metrics.values()):
-        long = scored.select(*by, F.explode("metrics").alias("metric", "value"))
-        parts.append(aggregate_metrics(long, by).select(*by, "metric", "value"))
+    rowwise = [m for m, k in metrics.items() if k.kind in ("row", "text") or k.row is not None]
+    if rowwise:
+        parts.append(mean_metrics(scored, by, rowwise).select(*by, "metric", "value"))
     if external is not None:
         asked = [m for m, kind in metrics.items() if kind.kind == "external"]
         parts.append(
