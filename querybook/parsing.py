@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from scoreframe.functions import parsers as P
 from scoreframe.functions.registry import ParserSpec, apply_parsers, default_parsers, register_parser
 from scoreframe.functions.text import PY_SPACES, pystrip, token_count, word_tokens
-
 from scoreframe.operators.views import spans_table as explode_spans
 from scoreframe.plans.scale import balance
 

@@ -166,6 +166,37 @@ def ranking_table(spark, sf_dir):
     return R.ranking_table(carried).withColumn("average_rank", F.round("average_rank", 9))
 
 
+@query(
+    sql(
+        _OVERALL, "fx_evaluations",
+        models="""SELECT concat(c_mktsegment, '::', c_nationkey % 2) AS model_key,
+  n_regionkey AS dataset, max(CASE task WHEN 'Generation' THEN rougel ELSE accuracy END) AS value
+FROM fx_evaluations JOIN customer ON inference_id = concat('run', c_custkey)
+JOIN nation ON c_nationkey = n_nationkey
+WHERE status = 'done' AND object_key IS NOT NULL AND task <> 'Relation Extraction'
+GROUP BY ALL HAVING value IS NOT NULL""",
+        comparable=_COMPARABLE, ranked=_RANKED,
+    )
+)
+def leaderboard(spark, sf_dir):
+    """From evaluation records to overall positions of provider::model."""
+    from scoreframe.plans.scoring import leaderboard as board
+
+    from .base import table
+
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("dataset")
+    )
+    runs = table(spark, sf_dir, "customer").join(nations, "c_nationkey").select(
+        F.concat(F.lit("run"), F.col("c_custkey").cast("string")).alias("inference_id"),
+        "dataset", F.col("c_mktsegment").alias("provider_id"),
+        (F.col("c_nationkey") % 2).cast("string").alias("model"),
+    )
+    return board(fx.evaluations(spark, sf_dir), runs).withColumn(
+        "average_rank", F.round("average_rank", 9)
+    )
+
+
 @query(sql("SELECT DISTINCT dataset FROM fx_best", "fx_best"))
 def shared_datasets(spark, sf_dir):
     return R.shared_datasets(fx.best(spark, sf_dir))

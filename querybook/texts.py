@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from scoreframe.functions.overlap import rouge, rouge_l
-from scoreframe.plans.scale import balance
+from scoreframe.functions.text import word_tokens
 from scoreframe.operators.textscores import meteor as add_meteor
 from scoreframe.operators.tokens import embedding_match as match, mean_loglik as loglik
 from scoreframe.operators.tokens import mean_loglik_multi as loglik_multi
+from scoreframe.plans.scale import balance
+from scoreframe.plans.scoring import ScoringPlan, evaluate
 
 from . import fixtures as fx
 from .base import query, table
@@ -45,6 +47,34 @@ def rouge_n(spark, sf_dir):
     )
 
 
+@query(
+    sql(
+        """SELECT metric, round(value, 9) AS value FROM (
+  SELECT unnest(['rouge1', 'rouge2']) AS metric, unnest([avg(f1), avg(f2)]) AS value
+  FROM (SELECT t.id, coalesce(max(2.0 * shared / (np + nr)) FILTER (n = 1), 0) AS f1,
+      coalesce(max(2.0 * shared / (np + nr)) FILTER (n = 2), 0) AS f2
+    FROM tok t LEFT JOIN overlap o USING (id) GROUP BY t.id)
+  UNION ALL SELECT 'llm_judge_relevance', avg(len(p) % 5 + 1.0) FROM tok)""",
+        "fx_text", tok=_TOKENS, grams=_GRAMS, overlap=_OVERLAP,
+    )
+)
+def evaluate_generation(spark, sf_dir):
+    """A whole evaluation with judge scores made elsewhere."""
+    rows = fx.texts(spark, sf_dir).select(
+        F.lit("run1").alias("inference_id"), "id", F.col("prediction").alias("output"),
+        "reference",
+    )
+    judged = rows.select(
+        "inference_id", "id", F.lit("llm_judge_relevance").alias("metric"),
+        (F.size(word_tokens("output")) % 5 + 1.0).alias("value"),
+    )
+    plan = ScoringPlan("generation", ("rouge1", "rouge2", "llm_judge_relevance"))
+    done = evaluate(
+        rows.select("id", "reference"), rows.drop("reference"), plan, external=judged
+    )
+    return done.aggregates.select("metric", F.round("value", 9).alias("value"))
+
+
 @query()
 def rouge_lcs(spark, sf_dir):
     """Subsequences are too slow in SQL; compared with a table method in the tests."""

@@ -255,11 +255,12 @@ def bootstrap_means(
         F.pmod(_draw(seed, F.col("turn"), F.col("pick")), F.col("n")).alias("row"),
     )
     source = numbered.select(*_GROUP, F.col("one_before").cast("long").alias("row"), "value")
-    # The number of draws is known: a small set goes to the rows instead of
+    # Both sizes are known: few draws from many rows go to the rows, instead of
     # shuffling every row to find the few that are drawn.
-    total = (sizes.agg(F.sum("size")).first()[0] or 0) * n_boot
-    picked = source.join(F.broadcast(draws) if total <= BROADCAST_ROWS else draws,
-                         [*_GROUP, "row"])
+    held, size = sizes.agg(F.sum("n"), F.sum("size")).first()
+    total = (size or 0) * n_boot
+    few = total <= BROADCAST_ROWS and (held or 0) > 10 * total
+    picked = source.join(F.broadcast(draws) if few else draws, [*_GROUP, "row"])
     return picked.groupBy(*_GROUP, "turn").agg(F.avg("value").alias("mean"))
 
 
@@ -386,6 +387,18 @@ def significant(p_value: Column | str, alpha: float = 0.05) -> Column:
     return (F.col(p_value) if isinstance(p_value, str) else p_value) < alpha
 
 
+# Metric names up to this number become a filter that the scan can use.
+NAMED_METRICS = 1000
+
+
+def _of_metrics(scores_long: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Scores of the given metrics."""
+    names = [row.metric for row in metrics.limit(NAMED_METRICS + 1).collect()]
+    if len(names) <= NAMED_METRICS:
+        return scores_long.filter(F.col("metric").isin(names))
+    return attach(scores_long, metrics, ["metric"], ["id"], "left_semi")
+
+
 METHODS = ("signed-rank", "rank-sum")
 
 
@@ -408,9 +421,9 @@ def compare_runs(
     """
     method = method if method in METHODS else METHODS[0]
     chosen = scores_long.filter(F.col("inference_id").isin(*runs))
-    shared = attach(
-        chosen, common_metrics(chosen, runs), ["metric"], ["id"], "left_semi"
-    ).select("inference_id", "id", "metric", "value")
+    shared = _of_metrics(chosen, common_metrics(chosen, runs)).select(
+        "inference_id", "id", "metric", "value"
+    )
     if method == "signed-rank":
         # Tests and intervals read the aligned table: it is made once.
         wide = cut(_wide(shared, runs))
