@@ -20,7 +20,8 @@ def _provider_models(spark, sf_dir):
 
 @query(
     sql(
-        """SELECT provider_id, coalesce(string_agg(model, ',' ORDER BY model), '') AS models
+        """SELECT provider_id, 0::BIGINT AS part,
+  coalesce(string_agg(model, ',' ORDER BY model), '') AS models
 FROM (SELECT provider_id FROM m UNION SELECT 'none') LEFT JOIN m USING (provider_id)
 GROUP BY provider_id""",
         m=_MODELS,
@@ -32,7 +33,7 @@ def models_per_provider(spark, sf_dir):
         spark.createDataFrame([("none",)], "provider_id string")
     )
     return K.models_per_provider(providers, models).select(
-        "provider_id", F.array_join("models", ",").alias("models")
+        "provider_id", "part", F.array_join("models", ",").alias("models")
     )
 
 
@@ -56,19 +57,19 @@ def metric_tasks(spark, sf_dir):
 
 
 @query(
-    """SELECT lang AS task_id, string_agg(DISTINCT source, ',' ORDER BY source) AS options
-FROM documents GROUP BY lang"""
+    """SELECT lang AS task_id, 0::BIGINT AS part,
+  string_agg(DISTINCT source, ',' ORDER BY source) AS options FROM documents GROUP BY lang"""
 )
 def options_by_task(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("task_id"), "source")
     tasks = docs.select("task_id").distinct()
     return K.options_by_task(tasks, docs, "source").select(
-        "task_id", F.array_join("options", ",").alias("options")
+        "task_id", "part", F.array_join("sources", ",").alias("options")
     )
 
 
 @query(
-    """SELECT c_custkey AS project_id, coalesce(string_agg(o_orderpriority, ','
+    """SELECT c_custkey AS project_id, 0::BIGINT AS part, coalesce(string_agg(o_orderpriority, ','
   ORDER BY o_orderpriority) FILTER (o_orderstatus <> 'O'), '') AS providers
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"""
 )
@@ -76,10 +77,11 @@ def providers_per_project(spark, sf_dir):
     projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
     runs = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("project_id"),
+        F.col("o_orderkey").alias("inference_id"),
         F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority")).alias("provider_id"),
     )
-    return K.provider_lists(K.providers_per_project(projects, runs)).select(
-        "project_id", F.array_join("providers", ",").alias("providers")
+    return K.providers_per_project(projects, runs).select(
+        "project_id", "part", F.array_join("provider_ids", ",").alias("providers")
     )
 
 

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.scale import running_totals
+
 # Task ids and names.
 TASKS = {
     "mcq": "Multiple Choice Questions",
@@ -137,46 +139,62 @@ def lookup_parsers(functions: DataFrame, ids: Sequence[str]) -> DataFrame:
     return functions.filter(F.col("function_id").isin(*ids))
 
 
-def providers_per_project(projects: DataFrame, runs: DataFrame) -> DataFrame:
-    """Project with the provider of each of its runs (repeats kept) as counts.
+# Longest list kept in one cell.
+LIST_SIZE = 10_000
 
-    A project may have any number of runs, so the list is kept as one row per
-    provider with ``runs``; ``provider_lists`` expands it for display.
+
+def listed(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    order: Sequence[str] | None = None,
+    size: int = LIST_SIZE,
+) -> DataFrame:
+    """Values of each group as ordered lists: ``by…, part, <value>s``.
+
+    Rows must be unique in ``by`` + ``order`` (default: the value). A group
+    longer than ``size`` continues in the next ``part``, so that no cell and
+    no task holds a group of unknown length.
     """
-    used = (
-        runs.filter(F.col("provider_id").isNotNull())
-        .groupBy("project_id", "provider_id")
-        .agg(F.count(F.lit(1)).alias("runs"))
+    keys = list(order or [value])
+    numbered = running_totals(
+        df.select(*dict.fromkeys([*by, *keys, value])), by, keys, {"__one": F.lit(1)}
+    )
+    rows = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*keys, value]))))
+    return (
+        numbered.withColumn("part", F.floor(F.col("__one_before") / size))
+        .groupBy(*by, "part")
+        .agg(F.transform(rows, lambda r: r[value]).alias(f"{value}s"))
     )
-    return projects.join(used, "project_id", "left")
 
 
-def provider_lists(per_provider: DataFrame) -> DataFrame:
-    """``project_id, providers``: provider ids repeated once per run, sorted."""
-    repeated = F.array_repeat("provider_id", F.col("runs").cast("int"))
-    return per_provider.groupBy("project_id").agg(
-        F.flatten(F.array_sort(F.collect_list(F.when(F.col("runs") > 0, repeated)))).alias(
-            "providers"
-        )
+def _with_lists(parents: DataFrame, lists: DataFrame, key: str, name: str) -> DataFrame:
+    """Parents with their lists; one without values has an empty list."""
+    return parents.join(lists, key, "left").withColumns(
+        {
+            "part": F.coalesce("part", F.lit(0).cast("long")),
+            name: F.coalesce(name, F.array().cast("array<string>")),
+        }
     )
 
 
+def providers_per_project(projects: DataFrame, runs: DataFrame) -> DataFrame:
+    """Project with the provider of each of its runs; repeats kept, nulls not."""
+    known = runs.filter(F.col("provider_id").isNotNull())
+    lists = listed(known, ["project_id"], "provider_id", ["provider_id", "inference_id"])
+    return _with_lists(projects, lists, "project_id", "provider_ids")
+
+
 def models_per_provider(providers: DataFrame, models: DataFrame) -> DataFrame:
     """Provider with the sorted list of its models (empty without any)."""
-    listed = models.groupBy("provider_id").agg(
-        F.array_sort(F.collect_list("model")).alias("models")
-    )
-    return providers.join(listed, "provider_id", "left").withColumn(
-        "models", F.coalesce("models", F.array().cast("array<string>"))
-    )
+    lists = listed(models.select("provider_id", "model").distinct(), ["provider_id"], "model")
+    return _with_lists(providers, lists, "provider_id", "models")
 
 
 def options_by_task(tasks: DataFrame, options: DataFrame, name: str) -> DataFrame:
     """Task with the sorted list of its options (metrics or datasets)."""
-    listed = options.groupBy("task_id").agg(F.array_sort(F.collect_set(name)).alias("options"))
-    return tasks.join(listed, "task_id", "left").withColumn(
-        "options", F.coalesce("options", F.array().cast("array<string>"))
-    )
+    lists = listed(options.select("task_id", name).distinct(), ["task_id"], name)
+    return _with_lists(tasks, lists, "task_id", f"{name}s")
 
 
 # --- run planning ----------------------------------------------------------

@@ -181,6 +181,22 @@ def test_generation_resumes_and_labels_errors(spark):
     assert len(got) == 18 and got["7"] == got["17"] == "[ERROR: RuntimeError]" and got["4"] == ">T4"
 
 
+def test_long_lists_continue_in_parts(spark):
+    rows = spark.range(25).select(
+        F.when(F.col("id") < 20, "hot").otherwise("cold").alias("provider_id"),
+        F.format_string("m%02d", F.col("id")).alias("model"),
+    )
+    got = {(r.provider_id, r.part): r.models
+           for r in K.listed(rows, ["provider_id"], "model", size=8).collect()}
+    assert {k: len(v) for k, v in got.items()} == {
+        ("hot", 0): 8, ("hot", 1): 8, ("hot", 2): 4, ("cold", 0): 5
+    }
+    assert got["hot", 0] + got["hot", 1] + got["hot", 2] == [f"m{i:02d}" for i in range(20)]
+    parents = spark.createDataFrame([("cold",), ("none",)], "provider_id string")
+    full = {r.provider_id: len(r.models) for r in K.models_per_provider(parents, rows).collect()}
+    assert full == {"cold": 5, "none": 0}
+
+
 def test_parameters(spark):
     spec = K.parameter_table(spark)
     rows = spark.createDataFrame(
