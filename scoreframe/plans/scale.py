@@ -81,11 +81,12 @@ def running_totals(
     evaluations of a range partitioner need not cut at the same place.
     """
     keys = [*by, *order]
-    n = partitions or int(_conf(df.sparkSession, "spark.sql.shuffle.partitions") or 200)
+    # Without a number AQE merges neighbouring small ranges.
+    number = [] if partitions is None else [partitions]
     values = {f"__{name}": value for name, value in sums.items()}
     ranged = cut(
         df.withColumns(values)
-        .repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys])
+        .repartitionByRange(*number, *[F.col(k).asc_nulls_first() for k in keys])
         .withColumn("__range", F.spark_partition_id())
     )
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(

@@ -44,30 +44,38 @@ class Evaluation(NamedTuple):
 RUN = ("inference_id",)
 
 
-def parse_outputs(df: DataFrame, plan: ScoringPlan) -> DataFrame:
-    """Add ``parsed`` and the task's structured columns, in one projection.
-
-    ``df``: ``inference_id, id, output, reference``.
-    """
+def parse_predictions(outputs: DataFrame, plan: ScoringPlan) -> DataFrame:
+    """Add ``parsed`` and the structured prediction, in one projection."""
     chain = list(plan.parsers) or default_parsers(plan.task, plan.classes)
     parsed = apply_parsers("output", chain)
     if plan.task == "ner":
-        spanned = df.withColumns(
-            {
-                "parsed_spans": sort_spans(extract_spans(parsed)),
-                "reference_spans": lower_spans(spans_from_json("reference")),
-            }
+        spans = sort_spans(extract_spans(parsed))
+        return outputs.withColumn("parsed_spans", spans).withColumn(
+            "parsed", spans_to_json("parsed_spans")
         )
-        return spanned.withColumn("parsed", spans_to_json("parsed_spans"))
-    out = df.withColumn("parsed", parsed)
+    out = outputs.withColumn("parsed", parsed)
     if plan.task == "mlc":
-        vectors = {"parsed_vector": "parsed", "reference_vector": "reference"}
+        vectors = {"parsed_vector": "parsed"}
         if plan.raw_corpus:
             vectors["raw_vector"] = "output"
         out = out.withColumns({v: multi_hot(c, plan.classes) for v, c in vectors.items()})
     return out
 
 
+def parse_references(dataset: DataFrame, plan: ScoringPlan) -> DataFrame:
+    """Add the structured reference that the task compares with."""
+    if plan.task == "ner":
+        return dataset.withColumn("reference_spans", lower_spans(spans_from_json("reference")))
+    if plan.task == "mlc":
+        return dataset.withColumn("reference_vector", multi_hot("reference", plan.classes))
+    return dataset
+
+
+def parse_outputs(df: DataFrame, plan: ScoringPlan) -> DataFrame:
+    """Both sides of joined rows ``inference_id, id, output, reference``."""
+    return parse_references(parse_predictions(df, plan), plan)
+
+
 def _row_accuracy(plan: ScoringPlan) -> Column:
     if plan.task == "ner":
         return accuracy_spans("parsed_spans", "reference_spans")
@@ -78,10 +86,16 @@ def _row_accuracy(plan: ScoringPlan) -> Column:
 
 def score_rows(
     df: DataFrame, plan: ScoringPlan, synonyms: DataFrame | None = None
+) -> DataFrame:
+    """Parse joined rows and add ``metrics`` (see ``score_parsed``)."""
+    return score_parsed(parse_outputs(df, plan), plan, synonyms)
+
+
+def score_parsed(
+    parsed: DataFrame, plan: ScoringPlan, synonyms: DataFrame | None = None
 ) -> DataFrame:
     """Add ``metrics map<string,double>`` with every row metric of the plan."""
     metrics = metric_plan(plan.metrics)
-    parsed = parse_outputs(df, plan)
     values: dict[str, Column] = {}
     if "accuracy" in metrics:
         values["accuracy"] = _row_accuracy(plan)
@@ -170,15 +184,16 @@ def evaluate(
 ) -> Evaluation:
     """Score all runs in ``outputs`` against the dataset.
 
+    Each side is parsed before the join: a reference once instead of once per
+    run, and what is shuffled of an output is its parsed form, not its text.
     Outputs are parsed and scored once. The scored rows are written (to
     ``path`` or to the shared folder, one folder per run) and every corpus
     metric reads its columns of that table, so no parser or text metric runs
     twice. ``path`` must not exist yet.
     """
-    pairs = dataset.select("id", "reference").join(
-        outputs.select("inference_id", "id", "output"), "id"
-    )
-    rows = score_rows(pairs, plan, synonyms)
+    wanted = parse_references(dataset.select("id", "reference"), plan)
+    answers = parse_predictions(outputs.select("inference_id", "id", "output"), plan)
+    rows = score_parsed(answers.drop("output").join(wanted, "id"), plan, synonyms)
     target = path or scratch_path(rows.sparkSession, "scores")
     write_scores(rows, target, mode="errorifexists")
     stored = load_outputs(rows.sparkSession, target, rows.schema)

@@ -20,13 +20,14 @@ def scores(spark, runs: dict[str, list]):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_running_totals_with_a_hot_group(spark):
+@pytest.mark.parametrize("partitions", [None, 16])
+def test_running_totals_with_a_hot_group(spark, partitions):
     rng = random.Random(7)
     rows = [("hot", i, rng.randint(0, 9)) for i in rng.sample(range(10_000), 3000)]
     rows += [(f"g{i % 40}", i, rng.randint(0, 9)) for i in range(2000)]
     rows += [(None, i, 1) for i in range(50)]
     frame = spark.createDataFrame(rows, "g string, k int, x int")
-    got = running_totals(frame, ["g"], ["k"], {"x": F.col("x"), "one": F.lit(1)}, partitions=16)
+    got = running_totals(frame, ["g"], ["k"], {"x": F.col("x"), "one": F.lit(1)}, partitions)
     seen = {(r.g, r.k): (r.x_before, r.one_before) for r in got.collect()}
     assert len(seen) == len(rows)
     totals: dict = {}
