@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import licenses, quality
 from .base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -61,3 +61,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR contains(lower(text), 'lorem ipsum')) AS kept
 FROM b
 """
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.recognise(docs).select(
+        "doc_id",
+        "n_known",
+        F.concat_ws(" ", "sentence_ids").alias("sentence_ids"),
+        F.concat_ws(" ", "licences").alias("licences"),
+    )
+
+
+def _license_sql() -> str:
+    """The same tables of sentences and rules, written out as SQL values."""
+    known = ", ".join(
+        f"('{form}', '{name}')" for name, forms in licenses.SENTENCES.items() for form in forms
+    )
+    steps = []
+    for i, (name, rule) in enumerate(licenses.RULES):
+        pattern = licenses.rule_pattern(rule)
+        steps.append(
+            f"s{i} AS (SELECT *, regexp_replace(t{i}, '{pattern}', '!', 'g') AS t{i + 1}, "
+            f"CASE WHEN regexp_matches(t{i}, '{pattern}') THEN '{name}' END AS h{i} "
+            f"FROM {f's{i - 1}' if i else 'seq'})"
+        )
+    names = [f"h{i}" for i in range(len(licenses.RULES))]
+    first = ", ".join(
+        names[:1]
+        + [
+            f"CASE WHEN {h} IN ({', '.join(f"coalesce({x}, '')" for x in names[:i])}) THEN NULL ELSE {h} END"
+            for i, h in enumerate(names) if i
+        ]
+    )
+    return f"""
+WITH known(form, name) AS (VALUES {known}),
+t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT rid, string_split(regexp_replace(regexp_replace(text, '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'),
+    '\\r?\\n([ \\t]*[^a-z0-9"''( \\t])', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM t
+),
+u AS (SELECT rid, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM m),
+n AS (
+  SELECT rid, i, regexp_replace(regexp_replace(trim(regexp_replace(
+    translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')),
+    '\\blicen[cs]e(d|s)?\\b', 'license\\1', 'g'), '{licenses.SUBJECT}', '') AS form FROM u
+),
+k AS (
+  SELECT rid, count(*) AS n_known, string_agg(name, ' ' ORDER BY i) AS ids,
+    string_agg('<' || name || '>', '' ORDER BY i) AS tags
+  FROM n JOIN known USING (form) GROUP BY rid
+),
+seq AS (
+  SELECT doc_id, coalesce(n_known, 0) AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(tags, '') AS t0
+  FROM t LEFT JOIN k USING (rid)
+),
+{", ".join(steps)}
+SELECT doc_id, n_known, sentence_ids, concat_ws(' ', {first}) AS licences
+FROM s{len(licenses.RULES) - 1}
+"""
+
+
+ORACLE["op1_license_scan"] = _license_sql()
