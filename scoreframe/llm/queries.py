@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, quality
+from . import licenses, mixing, quality
 from .base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -124,3 +124,41 @@ FROM s{len(licenses.RULES) - 1}
 
 
 ORACLE["op1_license_scan"] = _license_sql()
+
+
+@query
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.taken(mixing.mix(docs)).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
+ORACLE["op5_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, source_size * 2 AS top, [3.0, 1.0, 2.0][sid % 3 + 1]::DOUBLE AS weight FROM s
+), r AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(top) OVER (ORDER BY top / weight, sid
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(weight) OVER (ORDER BY top / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM w
+), g AS (
+  SELECT *, (SELECT rate FROM r WHERE top > rate * weight ORDER BY top / weight, sid LIMIT 1) AS free FROM r
+), p AS (
+  SELECT source, source_size, least(free * weight, top::DOUBLE) AS target FROM g
+), q AS (
+  SELECT *, floor(target)::BIGINT AS quota, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS f
+  FROM p
+), e AS (
+  SELECT doc_id, size, source_size, target, f, quota - f * source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, source_size, target, (f * size + greatest(0, least(pos + size, rest) - pos))::BIGINT AS taken FROM e
+"""
