@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, quality
+from . import licenses, mixing, ngram_join, quality
 from .base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -162,3 +162,9 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (f * size + greatest(0, least(pos + size, rest) - pos))::BIGINT AS taken FROM e
 """
+
+
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs, size=4, percent=85)
