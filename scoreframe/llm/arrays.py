@@ -132,3 +132,63 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]
 
 def digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+_GEAR = _splitmix(256, 11).astype(np.uint32)
+GEAR_BYTES = 16
+
+
+def gear(data: np.ndarray) -> np.ndarray:
+    """The gear hash ``sum(table[byte j back] << j)`` of the last 16 bytes, everywhere.
+
+    The rolling sum is built by doubling the window four times.
+    """
+    h = _GEAR[data]
+    width = 1
+    while width < GEAR_BYTES:
+        wider = h.copy()
+        wider[width:] += h[:-width] << np.uint32(width)
+        h, width = wider, 2 * width
+    return h
+
+
+def fold_runs(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``values[first:last]``, alike wherever the run lies."""
+    with np.errstate(over="ignore"):
+        n = len(values)
+        up = np.full(n, _STEP, _U)
+        up[:1] = 1
+        np.cumprod(up, out=up)
+        total = np.zeros(n + 1, _U)
+        np.cumsum(values * up, out=total[1:])
+        up.fill(_BACK)
+        up[:1] = 1
+        np.cumprod(up, out=up)
+        value = (total[last] - total[first]) * up[first]
+        return mix64(value + (last - first).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+class Chunks:
+    """Content-defined chunks of some texts: runs of words, cut where the gear hash
+    of the 16 bytes that end a word is a multiple of ``average``."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, average: int):
+        starts, stops, at = find_words(data, offsets)
+        self.rows = len(offsets) - 1
+        word = hash_words(data, starts, stops, lower=False)
+        owner = np.repeat(np.arange(self.rows), np.diff(at))
+        ends = stops - 1
+        cut = (gear(data)[ends] >> np.uint32(GEAR_BYTES - 1)) % np.uint32(average) == 0
+        # A window that reaches into the text before is no property of this one.
+        cut &= ends - offsets[owner] >= GEAR_BYTES - 1
+        cut[at[1:][np.diff(at) > 0] - 1] = True
+        last = np.flatnonzero(cut) + 1
+        first = np.concatenate([[0], last[:-1]]).astype(np.int64) if len(last) else last
+        self.words = last - first
+        self.digest = fold_runs(word, first, last) if len(last) else np.zeros(0, _U)
+        self.owner = owner[first] if len(last) else owner
+        self.at = np.searchsorted(self.owner, np.arange(self.rows + 1))
+        self.begin = starts[first] if len(last) else starts
+        # Up to the next word of the text, or to its end.
+        follow = np.append(starts, len(data))[last] if len(last) else last
+        self.end = np.minimum(follow, offsets[self.owner + 1]) if len(last) else last

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, ngram_join, quality
+from . import licenses, mixing, ngram_join, quality, substrings
 from .base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -168,3 +168,11 @@ SELECT doc_id, size, source_size, target, (f * size + greatest(0, least(pos + si
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.join(docs, size=4, percent=85)
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedupe(docs).select(
+        "doc_id", "n_spans", "removed_words", "removed_chars", "text"
+    )
