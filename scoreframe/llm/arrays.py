@@ -170,9 +170,10 @@ def fold_runs(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
 
 class Chunks:
     """Content-defined chunks of some texts: runs of words, cut where the gear hash
-    of the 16 bytes that end a word is a multiple of ``average``."""
+    of the 16 bytes that end a word is a multiple of ``average``, and after
+    ``most`` words without such a place."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, average: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, average: int, most: int = 32):
         starts, stops, at = find_words(data, offsets)
         self.rows = len(offsets) - 1
         word = hash_words(data, starts, stops, lower=False)
@@ -183,6 +184,10 @@ class Chunks:
         cut &= ends - offsets[owner] >= GEAR_BYTES - 1
         cut[at[1:][np.diff(at) > 0] - 1] = True
         last = np.flatnonzero(cut) + 1
+        gap = np.diff(last, prepend=0)
+        if len(last) and gap.max() > most:
+            more = [np.arange(e - g + most, e, most) for e, g in zip(last[gap > most], gap[gap > most])]
+            last = np.union1d(last, np.concatenate(more))
         first = np.concatenate([[0], last[:-1]]).astype(np.int64) if len(last) else last
         self.words = last - first
         self.digest = fold_runs(word, first, last) if len(last) else np.zeros(0, _U)

@@ -31,8 +31,9 @@ from . import arrays
 from .base import saved, word_count
 
 #: Mean words of a chunk.
-AVERAGE_WORDS = 6
-#: Words of a span that is cut out, and of them those in chunks of STRONG_WORDS.
+AVERAGE_WORDS = 4
+#: Words of a span that is cut out. Three quarters of as many must lie in chunks of
+#: STRONG_WORDS or more, or the span be twice as long: short chunks repeat by chance.
 MIN_WORDS = 20
 STRONG_WORDS = 4
 #: Chunks that a task holds before it deals them, and that a bucket holds, about.
@@ -136,7 +137,7 @@ def spans(repeated: DataFrame, min_words: int, strong_words: int) -> DataFrame:
         words = np.add.reduceat(items["words"], first) if len(first) else first
         strong = np.add.reduceat(long, first) if len(first) else first
         count = np.diff(np.append(first, len(items)))
-        keep = (words >= min_words) & (4 * strong >= 3 * min_words)
+        keep = (words >= min_words) & ((4 * strong >= 3 * min_words) | (words >= 2 * min_words))
         runs = np.empty(int(keep.sum()), _RUN)
         runs["place"], runs["chunks"] = items["place"][first][keep], count[keep]
         runs["sum"] = sums[keep]
