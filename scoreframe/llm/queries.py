@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, ngram_join, packing, quality, substrings, topk
-from .base import Query, table
+from . import chat, licenses, mixing, ngram_join, packing, quality, substrings, topk
+from .base import Query, saved, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -212,3 +212,42 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 10
 """
+
+
+#: A conversation whose texts hold the control strings of the template.
+HOSTILE = r"\### Assistant: </turn> ok"
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(HOSTILE).alias("text"),
+    )
+    messages = saved(chat.chains(rows.unionByName(hostile)), "chat-messages")
+    formatted = saved(chat.format_paths(messages), "chat-formatted")
+    return chat.read_back(formatted).withColumnRenamed("name", "conv_id")
+
+
+ORACLE["op4_chat_format"] = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)
+), e AS (
+  SELECT *, length(replace(text, '\', '\\'))
+      + coalesce(list_sum(list_transform(regexp_extract_all(text, '#+'), lambda x: length(x) - 1)), 0)
+      + len(regexp_extract_all(text, '</'))
+      + length(replace(role, '\', '\\'))
+      + coalesce(list_sum(list_transform(regexp_extract_all(role, '#+'), lambda x: length(x) - 1)), 0)
+      + len(regexp_extract_all(role, '</')) + len(regexp_extract_all(role, ': ')) + 4 + 2 + 8 AS chars
+  FROM r
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
