@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, licenses, mixing, ngram_join, packing, quality, substrings, topk
+from . import chat, licenses, mixing, ngram_join, packing, quality, substrings, topk, warc
+from ..plans.scale import scratch_path
 from .base import Query, saved, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -251,3 +252,26 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archive = scratch_path(spark, "warc")
+    warc.write_archive(warc.mark_revisits(pages), archive)
+    return warc.summarise(warc.read_archive(spark, archive))
+
+
+ORACLE["op7_warc_round_trip"] = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p
+), h AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS head FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < head THEN head END AS refers_to
+FROM h
+"""
