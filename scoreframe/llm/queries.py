@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, licenses, mixing, ngram_join, packing, quality, substrings, topk, warc
+from . import chat, html_text, licenses, mixing, ngram_join, packing, quality, substrings, topk, warc
 from ..plans.scale import scratch_path
 from .base import Query, saved, table
 
@@ -275,3 +275,9 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < head THEN head END AS refers_to
 FROM h
 """
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages)
