@@ -42,8 +42,8 @@ from .base import saved
 from .components import components
 
 #: Shingles that a bucket holds, about, and that a task holds before it deals them.
-BUCKET_TOKENS = 2_000_000
-FLUSH_TOKENS = 4_000_000
+BUCKET_TOKENS = 1_000_000
+FLUSH_TOKENS = 2_000_000
 #: Sets that one task searches together.
 BLOCK_SETS = 2000
 
