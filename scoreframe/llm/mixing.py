@@ -21,8 +21,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.scale import BROADCAST_ROWS
-from .base import saved, word_count
+from ..plans.scale import BROADCAST_ROWS, fits
+from .base import saved, word_count, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -250,3 +250,55 @@ def taken(plan: Mix) -> DataFrame:
     present = plan.sized.where("size > 0").join(words, ["sid", "at"], "left")
     empty = plan.sized.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return present.unionByName(empty).withColumn("taken", F.coalesce("taken", F.lit(0)))
+
+
+def texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: one row per pass over a document, columns as in ``docs``.
+
+    A document that a source's target cuts gives its first words, joined by
+    single spaces. Documents of which nothing is taken, and those without
+    words, are left out. Needs ``doc_id``, ``text`` and ``source``.
+    """
+    plan = mix(docs, **options)
+    passes = plan.spans.groupBy("sid", "at", "epoch").agg(
+        F.sum(F.col("end") - F.col("start")).alias("__take")
+    )
+    takes = (
+        plan.sized.where("size > 0").join(passes, ["sid", "at"])
+        .groupBy("sid", "at", "doc_id", "source", "size")
+        .agg(F.sort_array(F.collect_list("__take"), asc=False).alias("__takes"))
+    )
+    repeated = Window.partitionBy("doc_id", "source", "size")
+    takes = saved(
+        takes.select(
+            F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
+            F.col("size").alias("__size"), "__takes",
+            F.row_number().over(repeated.orderBy("at")).alias("__nth"),
+            F.count("*").over(repeated).alias("__same"),
+        ),
+        "mix-takes",
+    )
+    sized = docs.withColumn("__words", word_count(F.col("text"))).where("__words > 0")
+    key = (
+        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+        & (F.col("__words") == F.col("__size"))
+    )
+    alone = takes.where("__same = 1")
+    some = takes.where("__same > 1")
+    # Documents meet their takes where they are while those are few. Rows that
+    # repeat id, source and size are matched one to one by their order.
+    known = F.broadcast(alone) if fits(alone) else alone
+    again = Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text"))
+    keys = some.select("__id", "__source", "__size").distinct()
+    numbered = sized.join(F.broadcast(keys) if fits(keys) else keys, key, "left_semi").withColumn(
+        "__row", F.row_number().over(again)
+    )
+    columns = (*docs.columns, "__words", "__takes")
+    copies = (
+        sized.join(known, key).select(*columns)
+        .unionByName(numbered.join(some, key & (F.col("__row") == F.col("__nth"))).select(*columns))
+        .withColumn("__take", F.explode("__takes"))
+    )
+    part = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("__take").cast("int")), " ")
+    text = F.when(F.col("__take") == F.col("__words"), F.col("text")).otherwise(part)
+    return copies.withColumn("text", text).select(*docs.columns)
