@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; a longer text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 400_000
 
 _U = np.uint64
 

@@ -37,8 +37,8 @@ AVERAGE_WORDS = 4
 MIN_WORDS = 20
 STRONG_WORDS = 4
 #: Chunks that a task holds before it deals them, and that a bucket holds, about.
-FLUSH_CHUNKS = 1_000_000
-BUCKET_CHUNKS = 1_000_000
+FLUSH_CHUNKS = 500_000
+BUCKET_CHUNKS = 500_000
 #: Bytes of spans that may be broadcast.
 BROADCAST_BYTES = 64_000_000
 
