@@ -61,7 +61,7 @@ SENTENCES = {
         " substantial portions of the software",
     ),
     "MitAsIs": (
-        "the software is provided as is without warranty of any kind express or implied including"
+        "provided as is without warranty of any kind express or implied including"
         " but not limited to the warranties of merchantability fitness for a particular purpose"
         " and noninfringement",
     ),
@@ -167,10 +167,9 @@ RULES = (
     ("All-Rights-Reserved", "AllRights"),
 )
 
-# Every known sentence holds one of these words.
+# Every known sentence holds one of these, none of them over a line end.
 TRIGGERS = (
-    "licen", "permission", "redistribut", "warrant", "copyright", "liab", "public domain",
-    "rights reserved",
+    "licen", "permission", "redistribut", "warrant", "copyright", "liab", "domain", "rights", "cc0",
 )
 
 #: Subjects before a verb that say nothing about the licence.
