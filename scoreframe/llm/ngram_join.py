@@ -396,6 +396,9 @@ def link_blocks(members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for table in _batches(batches):
             ids, sets = _sets_of(table)
+            # Rows that repeat id and text give the same set again.
+            ids, first = np.unique(ids, return_index=True)
+            sets = [sets[k] for k in first]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(_join(ids, sets, percent))], ["set_id", "label"]
             )
@@ -463,7 +466,8 @@ def _large_groups(members: DataFrame, label: DataFrame, percent: int) -> DataFra
     largest = sizes.groupBy("grp").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
     rest = now.join(largest, "grp").where("label <> main").drop("main")
     more = search_blocks(now, elsewhere(rest), percent)
-    return labelled(saved(links.unionByName(more), "join-links")).select("set_id", "label")
+    named = labelled(saved(links.unionByName(more), "join-links"))
+    return named.select("set_id", "label").distinct()
 
 
 # --- the join -----------------------------------------------------------------
