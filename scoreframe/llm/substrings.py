@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrays
@@ -162,22 +163,25 @@ def cut_out(docs: DataFrame, found: DataFrame, average: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column("__runs").to_pylist()
-            texts = batch.column("text").to_pylist()
-            facts = np.zeros((3, len(texts)), np.int64)
-            marked = [k for k, r in enumerate(runs) if r]
-            column = pa.array([texts[k] for k in marked], pa.string())
-            for first, data, offsets in arrays.slices(column):
+            runs, texts = batch.column("__runs"), batch.column("text")
+            facts = np.zeros((3, batch.num_rows), np.int64)
+            marked = np.flatnonzero(pc.and_(runs.is_valid(), texts.is_valid()).to_numpy(False))
+            changed = []
+            for first, data, offsets in arrays.slices(texts.take(pa.array(marked))):
                 chunks = arrays.Chunks(data, offsets, average)
                 for j in range(chunks.rows):
                     k = marked[first + j]
-                    texts[k], facts[:, k] = _without(
+                    text, facts[:, k] = _without(
                         data, int(offsets[j]), int(offsets[j + 1]), chunks,
                         slice(int(chunks.at[j]), int(chunks.at[j + 1])),
-                        np.frombuffer(runs[k], _RUN),
+                        np.frombuffer(runs[k].as_py(), _RUN),
                     )
+                    changed.append(text)
+            here = np.zeros(batch.num_rows, bool)
+            here[marked] = True
+            texts = pc.replace_with_mask(texts, pa.array(here), pa.array(changed, pa.string()))
             names = [n for n in batch.schema.names if n != "__runs"]
-            arrs = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            arrs = [texts if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
                 arrs + [pa.array(f) for f in facts],
                 names + ["n_spans", "removed_words", "removed_chars"],
