@@ -117,7 +117,10 @@ def _aside(tag: str, raw: str) -> tuple[bool, str]:
     if given.get("role", "").lower() in ASIDE_ROLES:
         return True, tag
     named = f"{given.get('class', '')} {given.get('id', '')}"
-    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())
+    if tag == "article":  # "comments-open" is no comment
+        words = named.lower().split()
+    else:
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())
     plain = tag in HEADINGS or tag in ("html", "body", "main")
     if not plain and not ASIDE_WORDS.isdisjoint(words):
         return True, tag
@@ -154,6 +157,11 @@ class _Reader:
                 self.links += len(plain)
 
     def _push(self, tag: str, name: str, aside: bool) -> None:
+        if tag in CONTAINERS and not aside and self.aside and not self.articles:
+            # A wrapper such as "page with-sidebar" that holds the article is none.
+            if all(not a or t in ("div", "section") for t, _, a in self.stack):
+                self.stack = [(t, n, False) for t, n, _ in self.stack]
+                self.aside = 0
         self.stack.append((tag, name, aside))
         self.aside += aside
         if tag in CONTAINERS and not self.aside and not self.container:

@@ -202,6 +202,8 @@ class _Stream:
         """Up to and with ``mark``; None at the end."""
         while (end := self.buffer.find(mark, self.pos)) < 0:
             if not self._more():
+                if self.pos < len(self.buffer):
+                    raise ValueError("the volume ends inside a record")
                 return None
         out = self.buffer[self.pos : end + len(mark)]
         self.pos = end + len(mark)
