@@ -11,7 +11,7 @@ and documents, numbered within their length, look up their place.
 
 Texts are tokenised word by word with a cache of words in each worker, so that
 repeated words are tokenised once; white space separates tokens, which makes
-the ids those of the whole text.
+the ids those of the whole text. The cache knows words by 64-bit hashes.
 
 Null and empty texts hold the end id alone. Repeated rows are packed one by
 one. An empty table gives no rows.
@@ -34,6 +34,8 @@ SEQUENCE = 4096
 END_ID = 1
 #: Words that a worker's cache holds before it starts anew.
 CACHE_WORDS = 1_000_000
+#: Bytes of text that are tokenised at a time.
+SLICE_BYTES = 1_000_000
 #: Rows of one length that are numbered together, about.
 BUCKET_ROWS = 20_000
 _RANKS = 2**48
@@ -42,26 +44,80 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Words:
-    """Token ids of words, tokenised once."""
+    """Token ids of words, tokenised once: sorted word hashes and one flat id array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def ids(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            found = self.tokenizer.encode_batch(
-                [w.decode() for w in new], add_special_tokens=False
+        special = self.tokenizer.get_added_tokens_decoder()
+        #: A special token splits a text before anything else does.
+        self.mark = next(((i, t.content) for i, t in special.items() if t.special), None)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray):
+        """Number of ids of each word, and all ids in order.
+
+        All plain words go in one call, each followed by the special token.
+        """
+        number = np.zeros(len(starts), np.int64)
+        open_ = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        odd = np.searchsorted(open_, starts) < np.searchsorted(open_, stops)
+        if self.mark is None:
+            odd[:] = True
+        plain, parts = np.flatnonzero(~odd), []
+        if len(plain):
+            mark = np.frombuffer(self.mark[1].encode(), np.uint8)
+            size = stops[plain] - starts[plain]
+            ends = np.cumsum(size + len(mark))
+            text = np.empty(int(ends[-1]), np.uint8)
+            begins = ends - size - len(mark)
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            text[np.repeat(begins, size) + place] = data[np.repeat(starts[plain], size) + place]
+            text[(ends - len(mark))[:, None] + np.arange(len(mark))] = mark
+            found = self.tokenizer.encode_batch_fast(
+                [text.tobytes().decode()], add_special_tokens=False
             )
-            known.update(zip(new, (np.array(e.ids, np.uint32) for e in found)))
-        return [known[w] for w in words]
+            ids = np.array(found[0].ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark[0])
+            number[plain] = np.diff(marks, prepend=-1) - 1
+            parts.append(ids[ids != self.mark[0]])
+        for k in np.flatnonzero(odd).tolist():
+            word = data[starts[k] : stops[k]].tobytes().decode()
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            number[k] = len(ids)
+            parts.append(np.array(ids, np.uint32))
+        order = np.argsort(np.concatenate([plain, np.flatnonzero(odd)]), kind="stable")
+        begin = np.empty(len(starts), np.int64)
+        sizes = np.concatenate([number[plain], number[odd]])
+        begin[:] = (np.cumsum(sizes) - sizes)[order]
+        return begin, number, np.concatenate(parts)
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray):
+        """Place and number of the ids of each of the sorted ``keys``, and all ids.
+
+        The k-th key is the hash of the word ``data[starts[k]:stops[k]]``.
+        """
+        if len(self.keys) > CACHE_WORDS:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            begin, size, ids = self._encode(data, starts[new], stops[new])
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.begin = np.insert(self.begin, at[new], begin + len(self.flat))
+            self.size = np.insert(self.size, at[new], size)
+            self.flat = np.concatenate([self.flat, ids])
+            at = np.searchsorted(self.keys, keys)
+        return self.begin[at], self.size[at], self.flat
 
 
 _LOADED: dict[str, _Words] = {}
@@ -72,18 +128,14 @@ def token_ids(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, n
     if path not in _LOADED:
         _LOADED[path] = _Words(path)
     lookup = _LOADED[path]
-    for first, data, offsets in arrays.slices(column):
+    for first, data, offsets in arrays.slices(column, SLICE_BYTES):
         starts, stops, at = arrays.find_words(data, offsets)
-        _, where, word = np.unique(
+        keys, where, word = np.unique(
             arrays.hash_words(data, starts, stops, lower=False),
             return_index=True, return_inverse=True,
         )
-        raw = data.tobytes()
-        ids = lookup.ids([raw[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist())])
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
-        each = size[word]
+        begin, size, flat = lookup.find(keys, data, starts[where], stops[where])
+        each = size[word].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(each)])
         take = np.repeat(begin[word] - upto[:-1], each) + np.arange(int(upto[-1]))
         tokens = flat[take]

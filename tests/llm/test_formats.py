@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from scoreframe.llm import arrays, chat, html_text, packing, queries, warc
+from scoreframe.llm import chat, html_text, packing, queries, warc
 
 DOC = "doc_id long, text string"
 
@@ -38,7 +38,7 @@ HARD = [
 def test_ids_by_word_are_those_of_the_text(monkeypatch):
     texts = HARD + [" ".join(HARD[3:])] * 2
     for limit in (10**6, 40):
-        monkeypatch.setattr(arrays, "SLICE_BYTES", limit)
+        monkeypatch.setattr(packing, "SLICE_BYTES", limit)
         got = dict(packing.token_ids(pa.array(texts, pa.string()), queries.tokenizer_path(), 1))
         for k, want in enumerate(whole_ids(texts)):
             assert got[k].tolist() == want.tolist(), texts[k]
