@@ -63,7 +63,7 @@ _MARKS = """SELECT concat('run', event_id % 4) AS inference_id, CAST(user_id AS
         """SELECT row_id, s AS start, e AS "end" FROM (
   SELECT m.*, row_number() OVER (PARTITION BY inference_id, row_id ORDER BY version DESC) AS k
   FROM marks m WHERE e >= s) WHERE k = 1 AND inference_id = 'run1'
-  AND row_id NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'signup')""",
+  AND row_id NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'signup' AND event_id % 5 = 0)""",
         marks=_MARKS,
     )
 )
@@ -78,7 +78,7 @@ def highlights(spark, sf_dir):
         (e % 50 + F.floor("value") % 30 - 5).alias("end"),
     ).filter(A.valid_highlight())
     state = A.apply_changes(None, changes, A.NOTE_KEYS, ["start", "end"])
-    gone = events.filter(F.col("event_type") == "signup").select(
+    gone = events.filter((F.col("event_type") == "signup") & (e % 5 == 0)).select(
         F.lit("run1").alias("inference_id"), F.col("user_id").cast("string").alias("row_id")
     ).distinct()
     deleted = A.deletions(gone, {"start": "bigint", "end": "bigint"}, F.lit(2**62))

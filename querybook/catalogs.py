@@ -32,7 +32,7 @@ def models_per_provider(spark, sf_dir):
     providers = models.select("provider_id").distinct().union(
         spark.createDataFrame([("none",)], "provider_id string")
     )
-    return K.models_per_provider(providers, models).select(
+    return K.models_per_provider(providers, models, 10_000).select(
         "provider_id", "part", F.array_join("models", ",").alias("models")
     )
 
@@ -40,7 +40,7 @@ def models_per_provider(spark, sf_dir):
 @query(_MODELS)
 def provider_models(spark, sf_dir):
     models = _provider_models(spark, sf_dir)
-    nested = K.models_per_provider(models.select("provider_id").distinct(), models)
+    nested = K.models_per_provider(models.select("provider_id").distinct(), models, 7)
     return K.provider_models(nested)
 
 
@@ -63,7 +63,7 @@ def metric_tasks(spark, sf_dir):
 def options_by_task(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("task_id"), "source")
     tasks = docs.select("task_id").distinct()
-    return K.options_by_task(tasks, docs, "source").select(
+    return K.options_by_task(tasks, docs, "source", 10_000).select(
         "task_id", "part", F.array_join("sources", ",").alias("options")
     )
 
@@ -80,7 +80,7 @@ def providers_per_project(spark, sf_dir):
         F.col("o_orderkey").alias("inference_id"),
         F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority")).alias("provider_id"),
     )
-    return K.providers_per_project(projects, runs).select(
+    return K.providers_per_project(projects, runs, 10_000).select(
         "project_id", "part", F.array_join("provider_ids", ",").alias("providers")
     )
 

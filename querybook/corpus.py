@@ -203,6 +203,48 @@ def evaluate_choices(spark, sf_dir):
     return done.aggregates.withColumn("value", F.round("value", 9))
 
 
+@query(
+    sql(
+        """SELECT r.*, round(a.accuracy, 9) AS accuracy FROM (
+  SELECT inference_id, (SELECT count(*) FROM fx_labels) AS dataset_rows, count(*) AS output_rows,
+    (SELECT count(*) FROM fx_labels) - count(DISTINCT CASE WHEN known THEN id END) AS missing,
+    count(*) FILTER (NOT known) AS unknown, count(*) - count(DISTINCT id) AS duplicate_outputs,
+    0::BIGINT AS duplicate_ids,
+    count(*) = (SELECT count(*) FROM fx_labels) AND count(DISTINCT id) = count(*)
+      AND bool_and(known) AS aligned
+  FROM (SELECT *, id IN (SELECT id FROM fx_labels) AS known FROM broken) GROUP BY inference_id) r
+JOIN (SELECT inference_id, sum(CASE WHEN inference_id = 'run2' AND doc_id % 10 = 0 THEN 0.0
+    ELSE accuracy END) / (SELECT count(*) FROM fx_labels) AS accuracy
+  FROM (SELECT *, CAST(id AS BIGINT) AS doc_id FROM fx_label_scores) GROUP BY inference_id) a
+  USING (inference_id)""",
+        "fx_labels", "fx_label_scores",
+        broken="""SELECT inference_id, id FROM (SELECT *, CAST(id AS BIGINT) AS d FROM fx_label_outputs)
+  WHERE NOT (inference_id = 'run2' AND d % 10 = 0)
+  UNION ALL SELECT inference_id, id FROM fx_label_outputs
+    WHERE inference_id = 'run3' AND CAST(id AS BIGINT) % 7 = 0
+  UNION ALL SELECT inference_id, 'x' || id FROM fx_label_outputs
+    WHERE inference_id = 'run3' AND CAST(id AS BIGINT) % 11 = 0""",
+    )
+)
+def evaluate_misaligned(spark, sf_dir):
+    """Missing, repeated and unknown ids are reported; scores cover the whole dataset."""
+    outputs = fx.label_outputs(spark, sf_dir).select("inference_id", "id", "output")
+    d, run = F.col("id").cast("long"), F.col("inference_id")
+    broken = (
+        outputs.filter(~((run == "run2") & (d % 10 == 0)))
+        .unionByName(outputs.filter((run == "run3") & (d % 7 == 0)))
+        .unionByName(
+            outputs.filter((run == "run3") & (d % 11 == 0))
+            .withColumn("id", F.concat(F.lit("x"), "id"))
+        )
+    )
+    done = evaluate(fx.labels(spark, sf_dir), broken, YES_NO, on_misaligned="report")
+    accuracy = done.aggregates.filter("metric = 'accuracy'").select(
+        "inference_id", F.round("value", 9).alias("accuracy")
+    )
+    return done.alignment.join(accuracy, "inference_id")
+
+
 @query(
     sql(
         """SELECT metric, round(value, 9) AS value FROM (

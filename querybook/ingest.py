@@ -29,7 +29,45 @@ def ingest_csv(spark, sf_dir):
         ignoreTrailingWhiteSpace=False,
     ).csv(path)
     mapping = {"id": "doc_id", "input_raw": "text", "reference": "lang"}
-    return read_dataset(spark, path, "csv", mapping).select(*_shape())
+    return read_dataset(spark, path, "csv", mapping, multi_line=True).select(*_shape())
+
+
+@query(
+    "SELECT concat(lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0'), '.', doc_id) AS id, "
+    "concat(doc_id % 7, '.10') AS reference, CAST(length(x) AS INT) AS chars, md5(x) AS digest "
+    "FROM (SELECT *, concat('0', doc_id, 'e1 ', replace(replace(replace(text, chr(10), ' '), "
+    "chr(13), ' '), chr(34), chr(39))) AS x FROM documents)"
+)
+def ingest_csv_text(spark, sf_dir):
+    """Ids and labels that look like numbers stay as they are; the file can be split."""
+    path = scratch_path(spark, "csv")
+    line = F.translate("text", '\n\r"', "  '")
+    table(spark, sf_dir, "documents").select(
+        F.concat(F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("."),
+                 F.col("doc_id").cast("string")).alias("id"),
+        F.concat(F.lit("0"), F.col("doc_id").cast("string"), F.lit("e1 "), line).alias("text"),
+        F.concat((F.col("doc_id") % 7).cast("string"), F.lit(".10")).alias("label"),
+    ).write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    return read_dataset(spark, path, "csv").select(*_shape())
+
+
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS reference, CAST(length(text) AS INT) AS chars, "
+    "md5(text) AS digest FROM documents"
+)
+def ingest_json_array(spark, sf_dir):
+    """Files that hold one array of objects each."""
+    path = scratch_path(spark, "json-array")
+    one = F.to_json(F.collect_list(F.struct(
+        F.col("doc_id").alias("id"), F.col("text").alias("input_raw"), F.col("lang").alias("reference")
+    )))
+    table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 16).alias("part")).agg(
+        one.alias("value")
+    ).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    mapping = {c: c for c in ("id", "input_raw", "reference")}
+    return read_dataset(spark, path, "json", mapping).select(*_shape())
 
 
 @query(

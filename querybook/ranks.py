@@ -16,16 +16,30 @@ _VALUE = """CASE task WHEN 'Generation' THEN rougel
   WHEN 'Multiple Choice Questions' THEN accuracy END"""
 
 
+_EFFECTIVE = """SELECT *, CASE WHEN status = 'done' AND wants_human AND total > 0
+    AND rated < total THEN 'processing' ELSE status END AS effective
+FROM (SELECT e.*, coalesce(h.rated, 0) AS rated,
+        CASE WHEN total_examples > 0 THEN total_examples ELSE coalesce(h.rated, 0) END AS total
+      FROM fx_evaluations e LEFT JOIN (SELECT evaluation_id, count(*) AS rated
+        FROM fx_human_state GROUP BY evaluation_id) h USING (evaluation_id))"""
+
+
+def _effective(spark, sf_dir):
+    evals = fx.evaluations(spark, sf_dir)
+    state = apply_changes(None, fx.human_log(spark, sf_dir), SCORE_KEYS, ["score"])
+    return R.effective_status(evals, human_aggregate(state, evals))
+
+
 @query(
     sql(
         f"""SELECT inference_id, {_PRIMARY} AS metric_key, max({_VALUE}) AS value
-FROM fx_evaluations WHERE status = 'done' AND object_key IS NOT NULL AND {_VALUE} IS NOT NULL
+FROM effective WHERE effective = 'done' AND object_key IS NOT NULL AND {_VALUE} IS NOT NULL
 GROUP BY ALL""",
-        "fx_evaluations",
+        "fx_evaluations", "fx_human_state", effective=_EFFECTIVE,
     )
 )
 def best_primary(spark, sf_dir):
-    return R.best_primary(fx.evaluations(spark, sf_dir))
+    return R.best_primary(_effective(spark, sf_dir))
 
 
 _LATEST = """SELECT inference_id, evaluation_id, created_at FROM (
@@ -34,23 +48,14 @@ _LATEST = """SELECT inference_id, evaluation_id, created_at FROM (
   FROM fx_evaluations WHERE {status} = 'done' AND object_key IS NOT NULL) WHERE k = 1"""
 
 
-@query(sql(_LATEST.format(status="status"), "fx_evaluations"))
+@query(
+    sql(
+        _LATEST.format(status="effective").replace("fx_evaluations", "effective"),
+        "fx_evaluations", "fx_human_state", effective=_EFFECTIVE,
+    )
+)
 def latest_completed(spark, sf_dir):
-    return R.latest_completed(fx.evaluations(spark, sf_dir))
-
-
-_EFFECTIVE = """SELECT *, CASE WHEN status = 'done' AND wants_human AND total > 0
-    AND rated < total THEN 'processing' ELSE status END AS effective
-FROM (SELECT e.*, coalesce(h.rated, 0) AS rated,
-        CASE WHEN total_examples > 0 THEN total_examples ELSE coalesce(h.rated, 0) END AS total
-      FROM fx_evaluations e LEFT JOIN (SELECT evaluation_id, count(*) AS rated
-        FROM fx_human_state GROUP BY evaluation_id) h USING (evaluation_id))"""
-
-
-def _effective(spark, sf_dir):
-    evals = fx.evaluations(spark, sf_dir)
-    state = apply_changes(None, fx.human_log(spark, sf_dir), SCORE_KEYS, ["score"])
-    return R.effective_status(evals, human_aggregate(state, evals))
+    return R.latest_completed(_effective(spark, sf_dir))
 
 
 @query(

@@ -118,7 +118,7 @@ def bootstrap_ci(spark, sf_dir):
 @query()
 def bootstrap_poisson(spark, sf_dir):
     """Approximate by design; compared with the exact interval in the tests."""
-    return S.bootstrap_ci(_metrics(spark, sf_dir), None, 200, seed=7, method="poisson", digits=8)
+    return S.bootstrap_ci(_metrics(spark, sf_dir), None, 1000, seed=7, method="poisson", digits=8)
 
 
 @query(
@@ -130,27 +130,69 @@ def bootstrap_poisson(spark, sf_dir):
     )
 )
 def compare_runs_paired(spark, sf_dir):
-    report = S.compare_runs(_metrics(spark, sf_dir), RUNS, "signed-rank", n_boot=100)
+    report = S.compare_runs(_metrics(spark, sf_dir), RUNS, "signed-rank")
     return report.pairwise.drop("p_value", "significant")
 
 
 @query(
     sql(
-        _bootstrap_sql("fx_scores", 40, 100), "fx_scores",
+        _bootstrap_sql("fx_scores", 40, 1000), "fx_scores",
         numbered=_NUMBERED.format(source="fx_scores") + " AND metric <> 'meteor'",
     )
 )
 def compare_runs_unpaired(spark, sf_dir):
     report = S.compare_runs(
-        _metrics(spark, sf_dir), RUNS, "rank-sum", n_boot=100, seed=7, digits=8
+        _metrics(spark, sf_dir), RUNS, "rank-sum", seed=7, digits=8
     )
     return report.bootstrap
 
 
-@query()
+@query(
+    sql(
+        _bootstrap_sql("aligned_scores", 40, 1000), "fx_scores", pairs=_PAIRS,
+        aligned_scores="""SELECT * FROM fx_scores WHERE metric <> 'meteor' AND (metric, id) IN (
+  SELECT (metric, id) FROM fx_scores WHERE value IS NOT NULL GROUP BY metric, id
+  HAVING count(*) = 3)""",
+        numbered=_NUMBERED.format(source="aligned_scores"),
+    )
+)
+def compare_runs_intervals(spark, sf_dir):
+    """The bootstrap half of a paired report, over ids that every run has."""
+    return S.compare_runs(_metrics(spark, sf_dir), RUNS, seed=7, digits=8).bootstrap
+
+
+# The published rational form of erfc (error below 1.2e-7).
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398,
+         1.48851587, -0.82215223, 0.17087277)
+
+
+def _two_sided(z: str) -> str:
+    """Two-sided normal p of ``z`` in SQL."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    t = f"(1.0 / (1.0 + 0.5 * {x}))"
+    series = str(_ERFC[-1])
+    for c in reversed(_ERFC[:-1]):
+        series = f"({c} + {t} * {series})"
+    return f"({t} * exp(-{x} * {x} + {series}))"
+
+
+_TESTS = f"""SELECT run_a, run_b, metric, 'signed-rank' AS test_method, round(statistic, 4) AS statistic,
+  {_two_sided("z")} AS p FROM signed
+UNION ALL SELECT run_a, run_b, metric, 'rank-sum', round(z, 4), {_two_sided("z")} FROM ranks
+  WHERE metric <> 'meteor'"""
+
+
+@query(
+    sql(
+        "SELECT run_a, run_b, metric, test_method, statistic, round(p, 5) AS p_value, p < 0.05 AS "
+        "significant FROM tests",
+        "fx_scores", pairs=_PAIRS, aligned=_ALIGNED + " AND metric <> 'meteor'", diffs=_DIFFS,
+        signed=_SIGNED, ranks=_RANK_SUM, tests=_TESTS,
+    )
+)
 def significance(spark, sf_dir):
-    """p-values and flags of both tests; checked against closed forms in the tests."""
+    """Statistics, p-values and flags of both tests."""
     scores = _metrics(spark, sf_dir)
-    signed = S.compare_runs(scores, RUNS, "signed-rank", n_boot=10).pairwise
-    unpaired = S.compare_runs(scores, RUNS, "rank-sum", n_boot=10).pairwise
-    return signed.unionByName(unpaired)
+    signed = S.compare_runs(scores, RUNS, "signed-rank").pairwise
+    unpaired = S.compare_runs(scores, RUNS, "rank-sum").pairwise
+    return signed.unionByName(unpaired).withColumn("p_value", F.round("p_value", 5))

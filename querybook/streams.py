@@ -46,6 +46,27 @@ def stream_scores(spark, sf_dir):
     )
 
 
+@query(
+    sql(
+        """SELECT inference_id, id, CAST(id AS BIGINT) % 9 <> 0 AS known,
+  CASE WHEN CAST(id AS BIGINT) % 9 <> 0 THEN accuracy END AS accuracy FROM fx_label_scores""",
+        "fx_label_scores",
+    )
+)
+def stream_unknown_ids(spark, sf_dir):
+    """Outputs for ids that the dataset lacks are kept and marked."""
+    stream = J.dedupe_outputs(J.read_outputs(spark, _arrivals(spark, sf_dir), OUTPUTS, 4))
+    labels = fx.labels(spark, sf_dir).filter(F.col("id").cast("long") % 9 != 0)
+    path = scratch_path(spark, "scored")
+    done = J.write_stream(
+        J.stream_scores(stream, labels, YES_NO), path, scratch_path(spark, "scored-log")
+    )
+    done.awaitTermination()
+    return spark.read.parquet(path).select(
+        "inference_id", "id", "known", F.element_at("metrics", "accuracy").alias("accuracy")
+    )
+
+
 @query(
     sql(
         """SELECT inference_id, 'accuracy' AS metric, round(sum(accuracy), 9) AS total,
@@ -83,6 +104,26 @@ def stream_progress(spark, sf_dir):
     return J.latest_updates(spark, path, ["inference_id"])
 
 
+@query(
+    sql(
+        """SELECT inference_id, 'accuracy' AS metric, round(sum(accuracy), 9) AS total,
+  count(*) AS n FROM fx_label_scores GROUP BY inference_id""",
+        "fx_label_scores",
+    )
+)
+def stream_folded(spark, sf_dir):
+    """Running aggregates after their batch folders were folded into one."""
+    scored = _scored(spark, sf_dir, _arrivals(spark, sf_dir))
+    schema = spark.read.parquet(scored).schema
+    path, log = scratch_path(spark, "aggregates"), scratch_path(spark, "aggregates-log")
+    updates = J.stream_aggregates(J.read_outputs(spark, scored, schema, files_per_trigger=5))
+    J.write_updates(updates, path, log).awaitTermination()
+    J.fold_updates(spark, path, ["inference_id", "metric"])
+    return J.latest_updates(spark, path, ["inference_id", "metric"]).withColumn(
+        "total", F.round("total", 9)
+    )
+
+
 @query(sql("SELECT evaluation_id, row_id, score FROM fx_human_state", "fx_human_state"))
 def stream_changes(spark, sf_dir):
     arrivals = scratch_path(spark, "changes")

@@ -125,6 +125,17 @@ def search_page(spark, sf_dir):
     return V.page(ordered, 1, 50)
 
 
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS reference FROM documents "
+    "WHERE lang < 'es' OR (lang = 'es' AND CAST(doc_id AS VARCHAR) > '3') "
+    "ORDER BY lang DESC, id LIMIT 50"
+)
+def search_after(spark, sf_dir):
+    """The page that follows a row, without the pages before it."""
+    rows = _dataset(spark, sf_dir).select("id", "reference")
+    return V.page_after(rows, "reference", ("es", "3"), 50, ascending=False)
+
+
 @query(
     sql(
         """SELECT inference_id AS evaluation_id, id, metric, round(value, 6) AS value, n

@@ -182,9 +182,16 @@ def format_metric(c: Column | str, style: str = "row") -> Column:
         scale = F.pow(F.lit(10.0), 3 - F.coalesce(size, F.lit(0)))
         plain = (F.round(value * scale) / scale).try_cast("decimal(38,18)").cast("string")
         text = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
+        # Beyond the range of the decimal type the digits are written out.
+        digits = F.round(F.abs(value) * scale).cast("long").cast("string")
+        sign = F.when(value < 0, "-").otherwise("")
+        zeros = F.repeat(F.lit("0"), (-size - 1).cast("int"))
+        tiny = F.concat(sign, F.lit("0."), zeros, F.rtrim(digits, F.lit("0")))
+        huge = F.concat(sign, digits, F.repeat(F.lit("0"), (size - 3).cast("int")))
+        text = F.when(size >= 15, huge).when(size < -12, tiny).otherwise(text)
     else:
         raise ValueError(f"unknown style {style!r}")
-    return F.when(value.isNotNull() & ~F.isnan(value), text).otherwise(F.lit("—"))
+    return F.when(F.abs(value) < float("inf"), text).otherwise(F.lit("—"))
 
 
 def format_created(c: Column | str) -> Column:

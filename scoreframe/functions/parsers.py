@@ -296,8 +296,15 @@ def error_label(err_type: Column | str, err_msg: Column | str) -> Column:
 
 
 def parse_judge_score(c: Column | str) -> Column:
-    """A judge reply as a number; null when the reply is not one."""
-    return pystrip(c).try_cast("double")
+    """A judge reply as a finite decimal number; null when the reply is not one.
+
+    Only plain and scientific notation count: type suffixes, hexadecimal and the
+    names of infinities, which a cast alone would read, do not.
+    """
+    reply = pystrip(c)
+    plain = reply.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    value = F.when(plain, reply.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def judge_score(prediction: Column | str, reply: Column | str) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, functions as F
 
 # Fixed value: up to this many untied differences the exact distribution is used.
 EXACT_LIMIT = 50
+# The exact distribution costs the cube of the differences; more of them are an error.
+EXACT_MOST = 500
 
 
 def two_sided_normal(z: float) -> float:
@@ -21,6 +23,8 @@ def two_sided_normal(z: float) -> float:
 
 def exact_signed_rank(statistic: float, n: int) -> float:
     """Two-sided p of the smaller rank sum when ranks are 1..n without ties."""
+    if n > EXACT_MOST:
+        raise ValueError(f"exact p-values are for at most {EXACT_MOST} differences, not {n}")
     ways = [1]
     for rank in range(1, n + 1):
         grown = ways + [0] * rank

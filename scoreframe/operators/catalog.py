@@ -139,22 +139,19 @@ def lookup_parsers(functions: DataFrame, ids: Sequence[str]) -> DataFrame:
     return functions.filter(F.col("function_id").isin(*ids))
 
 
-# Longest list kept in one cell.
-LIST_SIZE = 10_000
-
-
 def listed(
     df: DataFrame,
     by: Sequence[str],
     value: str,
+    size: int,
     order: Sequence[str] | None = None,
-    size: int = LIST_SIZE,
 ) -> DataFrame:
     """Values of each group as ordered lists: ``by…, part, <value>s``.
 
-    Rows must be unique in ``by`` + ``order`` (default: the value). A group
-    longer than ``size`` continues in the next ``part``, so that no cell and
-    no task holds a group of unknown length.
+    Rows must be unique in ``by`` + ``order`` (default: the value). The caller
+    chooses the ``size`` of a list, and (by…, part) is the key of the result at
+    any size of the data: a longer group goes on in the next ``part``, so that
+    no cell and no task holds a group of unknown length.
     """
     keys = list(order or [value])
     numbered = running_totals(
@@ -178,22 +175,25 @@ def _with_lists(parents: DataFrame, lists: DataFrame, key: str, name: str) -> Da
     )
 
 
-def providers_per_project(projects: DataFrame, runs: DataFrame) -> DataFrame:
-    """Project with the provider of each of its runs; repeats kept, nulls not."""
+def providers_per_project(projects: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """Project and part with the provider of each of its runs; repeats kept, nulls not.
+
+    One row per (project, part), see ``listed``.
+    """
     known = runs.filter(F.col("provider_id").isNotNull())
-    lists = listed(known, ["project_id"], "provider_id", ["provider_id", "inference_id"])
+    lists = listed(known, ["project_id"], "provider_id", size, ["provider_id", "inference_id"])
     return _with_lists(projects, lists, "project_id", "provider_ids")
 
 
-def models_per_provider(providers: DataFrame, models: DataFrame) -> DataFrame:
-    """Provider with the sorted list of its models (empty without any)."""
-    lists = listed(models.select("provider_id", "model").distinct(), ["provider_id"], "model")
+def models_per_provider(providers: DataFrame, models: DataFrame, size: int) -> DataFrame:
+    """Provider and part with the sorted list of its models (empty without any)."""
+    lists = listed(models.select("provider_id", "model").distinct(), ["provider_id"], "model", size)
     return _with_lists(providers, lists, "provider_id", "models")
 
 
-def options_by_task(tasks: DataFrame, options: DataFrame, name: str) -> DataFrame:
-    """Task with the sorted list of its options (metrics or datasets)."""
-    lists = listed(options.select("task_id", name).distinct(), ["task_id"], name)
+def options_by_task(tasks: DataFrame, options: DataFrame, name: str, size: int) -> DataFrame:
+    """Task and part with the sorted list of its options (metrics or datasets)."""
+    lists = listed(options.select("task_id", name).distinct(), ["task_id"], name, size)
     return _with_lists(tasks, lists, "task_id", f"{name}s")
 
 

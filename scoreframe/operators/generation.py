@@ -59,3 +59,33 @@ def generate(
         error_label("err_type", "err_msg")
     )
     return answered.select("id", label.alias("output"))
+
+
+def generate_stored(
+    dataset: DataFrame,
+    make_client: Callable[[], Client],
+    template: str,
+    path: str,
+    batch_rows: int,
+    parallel: int | None = None,
+) -> DataFrame:
+    """Generate into a table under ``path`` and return it.
+
+    Rows that the table has already are not asked again, so every later read
+    and every restart costs no call for them. Pending rows are dealt by id hash
+    to batches of about ``batch_rows``; each is stored before the next is
+    asked, so a job that dies loses one batch of answers at most.
+    """
+    spark = dataset.sparkSession
+    id_type = dataset.schema["id"].dataType.simpleString()
+
+    def stored() -> DataFrame:
+        return spark.read.schema(f"id {id_type}, output string").parquet(path)
+
+    spark.createDataFrame([], f"id {id_type}, output string").write.mode("append").parquet(path)
+    batches = max(1, -(-pending_rows(dataset, stored()).count() // batch_rows))
+    for number in range(batches):
+        mine = F.pmod(F.xxhash64("id"), F.lit(batches)) == number
+        answers = generate(dataset.filter(mine), make_client, template, stored(), parallel)
+        answers.write.mode("append").parquet(path)
+    return stored()

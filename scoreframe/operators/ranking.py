@@ -39,14 +39,17 @@ def primary_metric(
 
 
 def completed(evals: DataFrame) -> DataFrame:
-    """Evaluations that are done and have a stored result."""
-    return evals.filter((F.col("status") == "done") & F.col("object_key").isNotNull())
+    """Evaluations that are effectively done and have a stored result.
+
+    Reads ``effective_status``: one whose human rating is open is not done.
+    """
+    return evals.filter((F.col("effective_status") == "done") & F.col("object_key").isNotNull())
 
 
 def best_primary(evals: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:
     """Best finite primary-metric value per run over its completed evaluations.
 
-    ``evals``: ``inference_id, task, status, object_key, aggregate``.
+    ``evals``: ``inference_id, task, effective_status, object_key, aggregate``.
     """
     key = primary_metric("task", overrides)
     valued = completed(evals).select(

@@ -294,9 +294,25 @@ def poisson_means(
     )
     steps = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
+    def flush(totals: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        sums = np.concatenate([np.zeros((2, 0)), *totals.values()], axis=1)
+        names = [[key[i] for key in totals for _ in range(n_boot)] for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(names[0], pa.string()), pa.array(names[1], pa.string()),
+                pa.array(np.tile(np.arange(n_boot, dtype=np.int32), len(totals))),
+                pa.array(sums[0]), pa.array(sums[1]),
+            ],
+            names=[*_GROUP, "turn", "total", "weight"],
+        )
+
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple, np.ndarray] = {}
+
         for batch in batches:
+            if len(totals) >= HELD_GROUPS:
+                yield flush(totals)
+                totals = {}
             frame = batch.to_pandas()
             for group, part in frame.groupby([*_GROUP, "rate"], dropna=False):
                 run, metric, rate = group
@@ -313,20 +329,7 @@ def poisson_means(
                     weights = np.searchsorted(edges, uniform, side="right").astype(float)
                     acc[0] += chunk["value"].to_numpy() @ weights
                     acc[1] += weights.sum(axis=0)
-        out = [
-            (run, metric, turn, acc[0, turn], acc[1, turn])
-            for (run, metric), acc in totals.items()
-            for turn in range(n_boot)
-        ]
-        columns = list(zip(*out)) if out else [[], [], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()),
-                pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64()),
-                pa.array(columns[4], pa.float64()),
-            ],
-            names=[*_GROUP, "turn", "total", "weight"],
-        )
+        yield flush(totals)
 
     return (
         keyed.mapInArrow(
@@ -345,10 +348,12 @@ def bootstrap_ci(
     seed: int = 0,
     method: str = "draws",
     digits: int | None = 4,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """Mean, deviation and 95 % percentile interval of resampled means.
 
-    ``inference_id, metric, mean, std, ci_low, ci_high``; a (run, metric)
+    ``inference_id, metric, mean, std, ci_low, ci_high``, one row for each
+    (run, metric) of the scores, or of ``groups`` if they are given; one
     without any number gives zeros. ``method="draws"`` resamples exactly,
     ``"poisson"`` approximates at scale.
     """
@@ -371,7 +376,7 @@ def bootstrap_ci(
         return filled if digits is None else F.round(filled, digits)
 
     return (
-        scores_long.select(*_GROUP).distinct()
+        (scores_long if groups is None else groups).select(*_GROUP).distinct()
         .join(stats, _GROUP, "left")
         .select(
             *_GROUP,
@@ -387,6 +392,8 @@ def significant(p_value: Column | str, alpha: float = 0.05) -> Column:
     return (F.col(p_value) if isinstance(p_value, str) else p_value) < alpha
 
 
+# (run, metric) pairs of a task whose sums are held before they are sent on.
+HELD_GROUPS = 256
 # Metric names up to this number become a filter that the scan can use.
 NAMED_METRICS = 1000
 
@@ -439,5 +446,6 @@ def compare_runs(
         "p_value",
         significant("p_value").alias("significant"),
     )
-    intervals = bootstrap_ci(base, sample_size, n_boot, seed, bootstrap, digits)
+    # A shared metric without an aligned id has a row too.
+    intervals = bootstrap_ci(base, sample_size, n_boot, seed, bootstrap, digits, shared)
     return Report(intervals, pairwise)

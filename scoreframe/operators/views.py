@@ -154,14 +154,16 @@ def unnest_evaluation(df: DataFrame) -> DataFrame:
 
 
 def nest_evaluation(
-    rows: DataFrame, aggregates: DataFrame, chunk_rows: int = 10_000
+    rows: DataFrame, aggregates: DataFrame, chunk_rows: int
 ) -> DataFrame:
     """Rows to wrapper rows ``evaluation_id, chunk, rows, aggregate``.
 
     The stored form keeps a whole evaluation in one cell. An evaluation of
     unknown size cannot be one cell here, so its rows are dealt by id hash
-    into chunks of about ``chunk_rows``; small evaluations stay one wrapper
-    row. ``unnest_evaluation`` reads either.
+    into chunks of about the ``chunk_rows`` that the caller chooses, and
+    (evaluation_id, chunk) is the key at any size. The aggregate stands in one
+    row of an evaluation, its first chunk. Evaluations without rows have an
+    empty list, those without an aggregate an empty map.
     """
     per_evaluation = rows.groupBy("evaluation_id").agg(
         F.ceil(F.count(F.lit(1)) / chunk_rows).alias("__chunks")
@@ -171,11 +173,23 @@ def nest_evaluation(
         F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("aggregate")
     )
     chunk = F.pmod(F.xxhash64("id"), F.col("__chunks"))
-    return (
+    chunks = (
         attach(rows, per_evaluation, ["evaluation_id"], ["id"])
         .groupBy("evaluation_id", chunk.alias("chunk"))
         .agg(F.collect_list(F.struct(*fields)).alias("rows"))
-        .join(maps, "evaluation_id", "left")
+    )
+    kinds = {f.name: f.dataType for f in chunks.schema.fields}
+    first = chunks.groupBy("evaluation_id").agg(F.min("chunk").alias("chunk"))
+    # Chunks may be empty, so an evaluation's first need not be number 0.
+    placed = maps.join(first, "evaluation_id", "left").withColumn(
+        "chunk", F.coalesce("chunk", F.lit(0).cast("long"))
+    )
+    joined = chunks.join(placed, ["evaluation_id", "chunk"], "full")
+    empty = F.create_map().cast(maps.schema["aggregate"].dataType)
+    return joined.select(
+        "evaluation_id", "chunk",
+        F.coalesce("rows", F.array().cast(kinds["rows"])).alias("rows"),
+        F.coalesce("aggregate", empty).alias("aggregate"),
     )
 
 
@@ -408,6 +422,27 @@ def page(df: DataFrame, number: int = 0, size: int = 50) -> DataFrame:
     return df.offset(number * size).limit(size)
 
 
+def page_after(
+    df: DataFrame, column: str, last: tuple | None = None, size: int = 50,
+    ascending: bool = True, tie: str = "id",
+) -> DataFrame:
+    """The page after the row ``last`` = (value, tie) of ``sort_view``'s order.
+
+    The next page starts from where the last one ended, so page n costs what
+    page 0 does; ``page`` carries all earlier rows along. Values are in order,
+    nulls last.
+    """
+    ordered = sort_view(df, column, ascending, tie)
+    if last is None:
+        return ordered.limit(size)
+    value, at = last
+    c, later = _quoted(column), F.col(tie) > F.lit(at)
+    if value is None:
+        return ordered.filter(c.isNull() & later).limit(size)
+    beyond = c > F.lit(value) if ascending else c < F.lit(value)
+    return ordered.filter(c.isNull() | beyond | ((c == F.lit(value)) & later)).limit(size)
+
+
 def favourites_first(runs: DataFrame, order: str = "seq") -> DataFrame:
     return runs.orderBy(F.coalesce(F.col("is_favorite"), F.lit(False)).desc(), order)
 

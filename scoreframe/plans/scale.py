@@ -6,7 +6,10 @@ ends a lineage safely, and ``fits`` decides whether a table may be broadcast.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -14,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Largest lookup table that is shipped to every executor.
 BROADCAST_ROWS = 1_000_000
+# Rows of a hot key that one task joins, about.
+ROWS_PER_SALT = 1_000_000
 
 
 def _conf(spark: SparkSession, key: str) -> str | None:
@@ -24,14 +29,23 @@ def _conf(spark: SparkSession, key: str) -> str | None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own.
+    Only a local-mode session without that setting gets a folder of its own:
+    one for the whole session, removed when the program ends.
     """
-    folder = _conf(spark, "spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = _conf(spark, "spark.checkpoint.dir") or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="scoreframe-")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="scoreframe-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], ignore_errors=True)
+    return _OWN[context.applicationId]
+
+
+# The folder of each local session that names none.
+_OWN: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -78,7 +92,9 @@ def running_totals(
     range-partitioned, so a hot group spans many tasks: sums run inside each
     range, and one small window over range totals (one row per range and group
     in it) supplies the offset. The ranges are written out once, because two
-    evaluations of a range partitioner need not cut at the same place.
+    evaluations of a range partitioner need not cut at the same place. After
+    that rows are shuffled once more, by range and a hash of the group, which
+    serves the sums inside the range and the join with its offset.
     """
     keys = [*by, *order]
     # Without a number AQE merges neighbouring small ranges.
@@ -87,28 +103,28 @@ def running_totals(
     ranged = cut(
         df.withColumns(values)
         .repartitionByRange(*number, *[F.col(k).asc_nulls_first() for k in keys])
-        .withColumn("__range", F.spark_partition_id())
+        .withColumns({"__range": F.spark_partition_id(), "__group": F.xxhash64(F.lit(0), *by)})
     )
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    within = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(
+    within = Window.partitionBy("__range", "__group", *by).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        ranged.groupBy(*by, "__range")
+        ranged.groupBy(*by, "__group", "__range")
         .agg(*[F.sum(f"__{name}").alias(f"__{name}") for name in sums])
         .select(
             *[F.col(k).alias(f"__by_{k}") for k in by],
-            F.col("__range").alias("__at"),
+            F.col("__range").alias("__at"), F.col("__group").alias("__of"),
             *[F.coalesce(F.sum(f"__{name}").over(earlier), F.lit(0)).alias(f"__{name}_off")
               for name in sums],
         )
     )
-    local = ranged.withColumns(
+    local = ranged.repartition("__range", "__group").withColumns(
         {f"__{name}_in": F.coalesce(F.sum(f"__{name}").over(within), F.lit(0)) for name in sums}
     )
-    same = [F.col("__range") == F.col("__at")]
+    same = [F.col("__range") == F.col("__at"), F.col("__group") == F.col("__of")]
     same += [F.col(k).eqNullSafe(F.col(f"__by_{k}")) for k in by]
     return local.join(offsets, same, "inner").select(
         *df.columns,
@@ -141,17 +157,31 @@ def spread_join(
     right: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
-    salts: int = 16,
+    rows_per_salt: int = ROWS_PER_SALT,
     how: str = "inner",
 ) -> DataFrame:
     """Inner or left semi equi-join for a left side whose keys may be hot.
 
-    Left rows get a salt from their ``spread`` columns and the right side, one
-    row per key, is copied once per salt, so a hot key is spread over
-    ``salts`` tasks. The salt is a hash, not a random number: a retried task
-    must send every row to the same place.
+    Keys with more than ``rows_per_salt`` left rows are counted first; there
+    are at most ``rows / rows_per_salt`` of them, so their list is broadcast.
+    Such a key is spread over as many tasks as its rows call for: left rows get
+    a salt from their ``spread`` columns, and the right side's row is copied
+    once per salt of its key. All other keys have one salt. The salt is a hash,
+    not a random number: a retried task must send every row to the same place.
     """
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    copies = right.withColumn("__salt", F.explode(every))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    hot = F.broadcast(
+        cut(
+            left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+            .filter(F.col("__n") > rows_per_salt)
+            .select(*on, F.ceil(F.col("__n") / rows_per_salt).alias("__salts"))
+        )
+    )
+
+    def salts(side: DataFrame) -> DataFrame:
+        one = F.coalesce("__salts", F.lit(1).cast("long"))
+        return side.join(hot, list(on), "left").withColumn("__salts", one)
+
+    salted = salts(left).withColumn("__salt", F.pmod(F.xxhash64(*spread), F.col("__salts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)
+    copies = salts(right).withColumn("__salt", F.explode(every)).drop("__salts")
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt", "__salts")

@@ -18,6 +18,7 @@ from ..operators.corpus import (
 )
 from ..operators.ranking import best_primary, model_dataset_scores, overall_ranking
 from ..operators.textscores import meteor
+from ..operators.views import check_alignment, require_alignment
 from ..sources.storage import load_outputs, write_scores
 from .scale import scratch_path
 
@@ -39,6 +40,7 @@ class ScoringPlan(NamedTuple):
 class Evaluation(NamedTuple):
     rows: DataFrame
     aggregates: DataFrame
+    alignment: DataFrame | None = None
 
 
 RUN = ("inference_id",)
@@ -181,9 +183,17 @@ def evaluate(
     path: str | None = None,
     synonyms: DataFrame | None = None,
     external: DataFrame | None = None,
+    on_misaligned: str = "raise",
 ) -> Evaluation:
     """Score all runs in ``outputs`` against the dataset.
 
+    The output ids of every run must be exactly the dataset's ids. By default a
+    run that misses ids, repeats them or names unknown ones is an error before
+    anything is scored. ``on_misaligned="report"`` scores every run over the
+    whole dataset instead: a missing output is an empty answer, of repeated
+    outputs or dataset rows the smallest counts, unknown ids are not scored.
+    The report itself is ``alignment`` of the result.
+
     Each side is parsed before the join: a reference once instead of once per
     run, and what is shuffled of an output is its parsed form, not its text.
     Outputs are parsed and scored once. The scored rows are written (to
@@ -191,19 +201,41 @@ def evaluate(
     metric reads its columns of that table, so no parser or text metric runs
     twice. ``path`` must not exist yet.
     """
+    if on_misaligned not in ("raise", "report"):
+        raise ValueError(f"unknown choice {on_misaligned!r} for misaligned outputs")
+    alignment = check_alignment(dataset, outputs)
+    if on_misaligned == "raise":
+        require_alignment(dataset, outputs)
+    else:
+        dataset, outputs = complete(dataset, outputs)
     wanted = parse_references(dataset.select("id", "reference"), plan)
     answers = parse_predictions(outputs.select("inference_id", "id", "output"), plan)
     rows = score_parsed(answers.drop("output").join(wanted, "id"), plan, synonyms)
     target = path or scratch_path(rows.sparkSession, "scores")
     write_scores(rows, target, mode="errorifexists")
     stored = load_outputs(rows.sparkSession, target, rows.schema)
-    return Evaluation(stored, corpus_scores(stored, plan, external=external))
+    return Evaluation(stored, corpus_scores(stored, plan, external=external), alignment)
+
+
+def complete(dataset: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per id, and for every run one output per id of the dataset.
+
+    The names of the runs are one small list; ids meet outputs in an equi-join.
+    """
+    rows = dataset.groupBy("id").agg(F.min("reference").alias("reference"))
+    first = outputs.groupBy("inference_id", "id").agg(F.min("output").alias("output"))
+    runs = outputs.agg(F.collect_set("inference_id")).scalar()
+    wanted = dataset.select("id").distinct().withColumn("inference_id", F.explode(runs))
+    filled = wanted.join(first, ["inference_id", "id"], "left").withColumn(
+        "output", F.coalesce("output", F.lit(""))
+    )
+    return rows, filled
 
 
 def leaderboard(evals: DataFrame, runs: DataFrame) -> DataFrame:
     """Overall model ranking of a project.
 
-    ``evals`` as for ``best_primary``; ``runs``: ``inference_id, dataset,
+    ``evals`` as for ``best_primary``, with the effective status; ``runs``: ``inference_id, dataset,
     provider_id, model``.
     """
     key = F.concat_ws("::", "provider_id", "model").alias("model_key")

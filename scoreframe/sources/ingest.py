@@ -16,20 +16,20 @@ class Checked(NamedTuple):
 
 
 def scan(
-    spark: SparkSession, path: str | Sequence[str], fmt: str, schema: T.StructType | None = None
+    spark: SparkSession, path: str | Sequence[str], fmt: str,
+    schema: T.StructType | None = None, multi_line: bool = False,
 ) -> DataFrame:
     """Read CSV, JSON, JSON Lines or Parquet.
 
-    ``json`` is one array of objects per file and cannot be split; ``jsonl``
-    and the other formats can. Give a ``schema`` to skip the inference pass.
+    CSV columns are text, as they stand in the file, so that an id ``007`` or a
+    label ``1.10`` stays one. ``json`` is one array of objects per file and
+    cannot be split, nor can CSV with line ends inside quotes, which needs
+    ``multi_line``; all else can. Give JSON a ``schema`` to skip its inference.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        options = {"header": True, "multiLine": True, "escape": '"'}
-        if schema is None:
-            options["inferSchema"] = True
-        return reader.options(**options).csv(paths)
+        return reader.options(header=True, multiLine=multi_line, escape='"').csv(paths)
     if fmt == "json":
         return reader.option("multiLine", True).json(paths)
     if fmt == "jsonl":
@@ -122,11 +122,12 @@ def read_dataset(
     mapping: Mapping[str, str] | None = None,
     mode: str = "fail",
     schema: T.StructType | None = None,
+    multi_line: bool = False,
 ) -> DataFrame | Checked:
     """Scan, map, normalise and check a dataset file."""
-    mapped = map_columns(scan(spark, path, fmt, schema), mapping)
+    mapped = map_columns(scan(spark, path, fmt, schema, multi_line), mapping)
     kinds = {f.name: f.dataType for f in mapped.schema.fields}
-    # Inferred numbers and dates (CSV) are text in a dataset.
+    # Numbers and dates of a given schema (CSV) are text in a dataset.
     plain = {
         c: F.col(c).cast("string")
         for c in TARGETS

@@ -41,11 +41,18 @@ def dedupe_outputs(
 def stream_scores(stream: DataFrame, dataset: DataFrame, plan: ScoringPlan) -> DataFrame:
     """Arriving outputs joined with the dataset, parsed and scored.
 
-    ``inference_id, id, parsed, metrics``. The dataset is a static side: only
-    the id and reference columns are read per batch.
+    ``inference_id, id, parsed, metrics, known``. The dataset is a static side:
+    only the id and reference columns are read per batch. An output whose id
+    the dataset does not have is kept with ``known`` false and without metrics;
+    missing ids show in the progress of the run.
     """
-    pairs = stream.join(dataset.select("id", "reference"), "id")
-    return score_rows(pairs, plan).select("inference_id", "id", "parsed", "metrics")
+    wanted = dataset.select("id", "reference", F.lit(True).alias("known"))
+    scored = score_rows(stream.join(wanted, "id", "left"), plan)
+    known = F.coalesce("known", F.lit(False))
+    return scored.select(
+        "inference_id", "id", "parsed", F.when(known, F.col("metrics")).alias("metrics"),
+        known.alias("known"),
+    )
 
 
 def write_stream(
@@ -114,6 +121,44 @@ def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
     )
 
 
+def fold_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> int:
+    """Replace the batch folders of ``write_updates`` by one; returns how many went.
+
+    To be run between runs of the stream. The newest row per key is kept under
+    the newest batch's number, which the stream may write again.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(name: str):
+        return spark._jvm.org.apache.hadoop.fs.Path(root, name)
+
+    def batches() -> list[int]:
+        names = [s.getPath().getName() for s in files.listStatus(root)]
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+    def finish() -> int:
+        """Put a complete folded table in the place of the folders it holds."""
+        target = spark.read.parquet(f"{path}/_folded").agg(F.max("batch")).first()[0]
+        gone = [n for n in batches() if target is not None and n <= target]
+        for number in gone:
+            files.delete(at(f"batch={number}"), True)
+        rows = spark.read.parquet(f"{path}/_folded").drop("batch")
+        if target is not None:
+            rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={target}")
+        files.delete(at("_folded"), True)
+        return len(gone)
+
+    if files.exists(at("_folded/_SUCCESS")):
+        finish()  # an earlier fold was cut short
+    known = batches()
+    if len(known) < 2:
+        return 0
+    folded = latest_updates(spark, path, keys).withColumn("batch", F.lit(known[-1]).cast("long"))
+    folded.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_folded")
+    return finish()
+
+
 def stream_changes(
     changes: DataFrame,
     path: str,

@@ -38,7 +38,7 @@ def test_json_array_file_and_csv_with_quotes(spark, tmp_path):
                          {c: c for c in ("id", "input_raw", "reference")}).first()
     assert (row.id, row.input) == ("7", "x\ny") and row.reference == '[["0","1","a"]]'
     (tmp_path / "b.csv").write_text('n,text,label\n1,"say ""hi""\nthere",yes\n')
-    row = I.read_dataset(spark, str(tmp_path / "b.csv"), "csv").first()
+    row = I.read_dataset(spark, str(tmp_path / "b.csv"), "csv", multi_line=True).first()
     assert tuple(row) == ("1", 'say "hi"\nthere', "yes")
 
 
@@ -62,7 +62,7 @@ def test_evaluate_and_leaderboard(spark):
     assert got == {"r1": 1.0, "r2": 0.5}
     evals = done.aggregates.groupBy("inference_id").agg(
         F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("aggregate")
-    ).select("inference_id", "aggregate", F.lit("done").alias("status"),
+    ).select("inference_id", "aggregate", F.lit("done").alias("effective_status"),
              F.lit("k").alias("object_key"), F.lit("Multiple Choice Questions").alias("task"))
     runs = spark.createDataFrame([("r1", "d", "p", "a"), ("r2", "d", "p", "b")],
                                  "inference_id string, dataset string, provider_id string, model string")
@@ -193,7 +193,7 @@ def test_long_lists_continue_in_parts(spark):
     }
     assert got["hot", 0] + got["hot", 1] + got["hot", 2] == [f"m{i:02d}" for i in range(20)]
     parents = spark.createDataFrame([("cold",), ("none",)], "provider_id string")
-    full = {r.provider_id: len(r.models) for r in K.models_per_provider(parents, rows).collect()}
+    full = {r.provider_id: len(r.models) for r in K.models_per_provider(parents, rows, 10_000).collect()}
     assert full == {"cold": 5, "none": 0}
 
 

@@ -141,7 +141,7 @@ def test_hot_groups_are_pruned_before_the_shuffle(spark):
     assert [r.tier for r in hot.collect()] == ["gold", "silver", "bronze"]
     evals = best.select(
         F.col("dataset").alias("inference_id"), F.col("inference_id").alias("evaluation_id"),
-        F.lit("done").alias("status"), F.lit("k").alias("object_key"),
+        F.lit("done").alias("effective_status"), F.lit("k").alias("object_key"),
         F.when(F.col("value") < 16, F.col("value")).alias("created_at"),
     )
     newest = latest_completed(evals)
@@ -154,6 +154,6 @@ def test_lookup_joins(spark):
     lookup = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
     want = sorted((r.id, r.v) for r in rows.join(lookup, "k").collect())
     assert sorted((r.id, r.v) for r in attach(rows, lookup, ["k"], ["id"]).collect()) == want
-    salted = spread_join(rows, lookup, ["k"], ["id"], salts=4)
+    salted = spread_join(rows, lookup, ["k"], ["id"], rows_per_salt=50)
     assert sorted((r.id, r.v) for r in salted.collect()) == want
     assert balance(spark.range(10, numPartitions=2), 6).rdd.getNumPartitions() == 6
