@@ -173,12 +173,12 @@ def ranking_table(spark, sf_dir):
 
 @query(
     sql(
-        _OVERALL, "fx_evaluations",
+        _OVERALL, "fx_evaluations", "fx_human_state", effective=_EFFECTIVE,
         models="""SELECT concat(c_mktsegment, '::', c_nationkey % 2) AS model_key,
   n_regionkey AS dataset, max(CASE task WHEN 'Generation' THEN rougel ELSE accuracy END) AS value
-FROM fx_evaluations JOIN customer ON inference_id = concat('run', c_custkey)
+FROM effective JOIN customer ON inference_id = concat('run', c_custkey)
 JOIN nation ON c_nationkey = n_nationkey
-WHERE status = 'done' AND object_key IS NOT NULL AND task <> 'Relation Extraction'
+WHERE effective = 'done' AND object_key IS NOT NULL AND task <> 'Relation Extraction'
 GROUP BY ALL HAVING value IS NOT NULL""",
         comparable=_COMPARABLE, ranked=_RANKED,
     )
@@ -197,7 +197,7 @@ def leaderboard(spark, sf_dir):
         "dataset", F.col("c_mktsegment").alias("provider_id"),
         (F.col("c_nationkey") % 2).cast("string").alias("model"),
     )
-    return board(fx.evaluations(spark, sf_dir), runs).withColumn(
+    return board(_effective(spark, sf_dir), runs).withColumn(
         "average_rank", F.round("average_rank", 9)
     )
 
