@@ -3,10 +3,11 @@
 The text blocks of a page are gathered by their root-to-leaf tag path. For each
 path the mean text length and the mean number of punctuation marks of its blocks
 are taken (links do not count), smoothed over neighbouring paths in page order
-and fused to one score. The scores of the paths add up per container: the
-outermost ``article`` or ``main`` around a path, or the path itself where there
-is none. Containers that reach a share of the best one are the content, and all
-their blocks are kept, in page order. What a tag, class, id or role names as a
+and fused to one score. The scores of the paths add up per container, which is
+the outermost ``article`` or ``main``; those that reach a share of the best one
+are the content, and all their blocks are kept, in page order. On a page without
+them the content is the deepest element that holds most of the score; where that
+is the body, its weak parts are left out. What a tag, class, id or role names as a
 menu, header, footer, sidebar, notice, advert, form or comment, and what is
 hidden, has no path.
 
@@ -45,6 +46,9 @@ DROPPED = frozenset(
 )
 CONTAINERS = ("article", "main")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+TEXT = HEADINGS | frozenset(
+    "address blockquote dd dl dt figcaption figure li ol p pre table tbody td tfoot th thead tr ul".split()
+)
 # Words of a class or id that name something beside the text.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
@@ -73,6 +77,10 @@ ENDED_BY = {
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Share of the best container's score that content reaches.
 THRESHOLD = 0.5
+#: Share of the score that an element holds if the content lies in it, and share
+#: of the best part's score below which a part of a body is left out.
+MOST = 0.7
+WEAK = 0.1
 #: How much more an article counts than text outside of one.
 ARTICLE_WEIGHT = 50.0
 
@@ -91,10 +99,10 @@ ATTRIBUTE = re.compile(
 class Block:
     """A run of text inside one path."""
 
-    __slots__ = ("path", "container", "text", "own", "marks")
+    __slots__ = ("path", "nodes", "container", "text", "own", "marks")
 
-    def __init__(self, path, container, text, links):
-        self.path, self.container, self.text = path, container, text
+    def __init__(self, path, nodes, container, text, links):
+        self.path, self.nodes, self.container, self.text = path, nodes, container, text
         self.own = max(0, len(text) - links)
         self.marks = len(PUNCTUATION.findall(text))
 
@@ -131,7 +139,9 @@ class _Reader:
     """Reads a page into blocks with a stack of open block elements."""
 
     def __init__(self):
-        self.stack: list[tuple[str, str, bool]] = []  # tag, name in the path, aside
+        # tag, name in the path, aside, number of the element
+        self.stack: list[tuple[str, str, bool, int]] = []
+        self.elements = 0
         self.aside = 0
         self.articles = 0
         self.container: tuple = ()
@@ -144,8 +154,9 @@ class _Reader:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path = tuple(name for _, name, _ in self.stack)
-                self.blocks.append(Block(path, self.container or path, text, self.links))
+                path = tuple(name for _, name, _, _ in self.stack)
+                nodes = tuple((number, tag) for tag, _, _, number in self.stack)
+                self.blocks.append(Block(path, nodes, self.container, text, self.links))
             self.parts = []
         self.links, self.in_link = 0, False
 
@@ -159,17 +170,18 @@ class _Reader:
     def _push(self, tag: str, name: str, aside: bool) -> None:
         if tag in CONTAINERS and not aside and self.aside and not self.articles:
             # A wrapper such as "page with-sidebar" that holds the article is none.
-            if all(not a or t in ("div", "section") for t, _, a in self.stack):
-                self.stack = [(t, n, False) for t, n, _ in self.stack]
+            if all(not a or t in ("div", "section") for t, _, a, _ in self.stack):
+                self.stack = [(t, n, False, k) for t, n, _, k in self.stack]
                 self.aside = 0
-        self.stack.append((tag, name, aside))
+        self.elements += 1
+        self.stack.append((tag, name, aside, self.elements))
         self.aside += aside
         if tag in CONTAINERS and not self.aside and not self.container:
             self.articles += 1
-            self.container = (*(n for _, n, _ in self.stack), self.articles)
+            self.container = (*(n for _, n, _, _ in self.stack), self.articles)
 
     def _pop(self) -> None:
-        _, _, aside = self.stack.pop()
+        _, _, aside, _ = self.stack.pop()
         self.aside -= aside
         if self.container and len(self.stack) < len(self.container) - 1:
             self.container = ()
@@ -187,7 +199,7 @@ class _Reader:
                 top = self.stack[-1][0]
                 if tag in ENDED_BY.get(top, ()) or (top not in BLOCK and top not in DROPPED):
                     self._pop()
-                elif tag in CONTAINERS and any(t == "nav" for t, _, _ in self.stack):
+                elif tag in CONTAINERS and any(t == "nav" for t, *_ in self.stack):
                     self._pop()
                 else:
                     break
@@ -258,14 +270,53 @@ def select(blocks: list[Block], threshold: float = THRESHOLD) -> list[Block]:
     """The blocks of the containers whose paths score near the best."""
     if not blocks:
         return []
+    scores = path_scores(blocks)
+    if not any(b.container for b in blocks):
+        return _densest(blocks, scores)
     total: dict[tuple, float] = {}
-    for (container, path), score in path_scores(blocks).items():
-        inside = isinstance(container[-1] if container else None, int)
-        total[container] = total.get(container, 0.0) + score * (ARTICLE_WEIGHT if inside else 1.0)
+    for (container, _), score in scores.items():
+        weight = ARTICLE_WEIGHT if container else 1.0
+        total[container] = total.get(container, 0.0) + score * weight
     bar = threshold * max(total.values())
     return [b for b in blocks if total[b.container] >= bar]
 
 
+def _densest(blocks: list[Block], scores: dict[tuple, float]) -> list[Block]:
+    """The blocks of the deepest element that holds most of the score."""
+    count: dict[tuple, int] = {}
+    for block in blocks:
+        key = (block.container, block.path)
+        count[key] = count.get(key, 0) + 1
+    each = {key: score / count[key] for key, score in scores.items()}
+
+    def parts(level: int) -> dict:
+        """Blocks by their element at a level; texts of one path are one part."""
+        out: dict = {}
+        for block in blocks:
+            own = len(block.nodes) <= level or block.nodes[level][1] in TEXT
+            out.setdefault(block.path if own else block.nodes[level], []).append(block)
+        return out
+
+    def weight(some: list[Block]) -> float:
+        return sum(each[b.container, b.path] for b in some)
+
+    level = 0
+    while True:
+        found = parts(level)
+        best = max(found, key=lambda k: weight(found[k]))
+        container = len(best) == 2 and isinstance(best[0], int)
+        if not container or weight(found[best]) < MOST * weight(blocks):
+            break
+        blocks, level = found[best], level + 1
+    if level and blocks[0].nodes[level - 1][1] not in ("html", "body"):
+        return blocks
+    # Smoothing lends weight to small neighbours, so parts are compared without it.
+    plain = {k: sum(b.own * (1 + b.marks) ** 0.5 for b in some) for k, some in found.items()}
+    bar = WEAK * max(plain.values())
+    kept = {id(b) for k, some in found.items() if plain[k] >= bar for b in some}
+    return [b for b in blocks if id(b) in kept or (b.nodes and b.nodes[-1][1] in HEADINGS)]
+
+
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     return "\n".join(b.text for b in select(read_blocks(page or ""), threshold))
 

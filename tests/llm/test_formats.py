@@ -322,6 +322,13 @@ HTML = {
     "<div><ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul></div>":
         "No article here, but this text is long enough, with commas, to be the content.\n"
         "Second paragraph, also with a lot of text in it, so it is kept.",
+    "<body><div class=top>Site</div><div class=content><h1>Title</h1><p>A long paragraph, with commas, and"
+    " enough words to be the text of the page, surely.</p><p>Short.</p><ul><li>one</li></ul></div>"
+    "<div class=bottom>Company, 2020</div></body>":
+        "Title\nA long paragraph, with commas, and enough words to be the text of the page, surely.\nShort.\none",
+    "<body><h1>Head</h1><p>A long paragraph, with commas, and enough words to be the text.</p><p>No.</p>"
+    "<div>Fine print</div></body>": "Head\nA long paragraph, with commas, and enough words to be the text.\nNo.",
+    "plain text, no markup": "plain text, no markup",
     "": "", "   ": "", "<nav>only menu</nav>": "",
     "<nav><ul><li>unclosed menu<article><p>Story.</p></article>": "Story.",
 }
@@ -353,7 +360,7 @@ def test_smoothing_and_fusion():
     assert html_text._smooth(np.array([4.0, 0.0, 0.0])).tolist() == [3.0, 1.0, 0.0]
     blocks = html_text.read_blocks("<div><p>Long, text, with, marks.</p></div><ul><li>x<li>y</ul>")
     scores = html_text.path_scores(blocks)
-    assert scores[("div", "p"), ("div", "p")] > scores[("ul", "li"), ("ul", "li")]
+    assert scores[(), ("div", "p")] > scores[(), ("ul", "li")]
 
 
 def test_queries_are_registered():
