@@ -100,16 +100,24 @@ def rouge_l(pred: Column | str, ref: Column | str, on_error: str = "null") -> Co
 
 # --- METEOR ----------------------------------------------------------------
 
-# Clitics split off as their own token; abbreviations with inner periods and
-# hyphenated words stay whole; every other mark is a token.
+# Clitics and the parts of fused words are their own tokens; abbreviations with
+# inner periods and hyphenated words stay whole; every other mark is a token.
+# The fused words of the Treebank tokenisation.
 _METEOR_WORD = re.compile(
-    r"\w+(?=n't\b)|n't\b|'(?:s|re|ve|ll|d|m)\b"
+    r"``|''|\b(?:can(?=not\b)|gim(?=me\b)|gon(?=na\b)|got(?=ta\b)|lem(?=me\b)|wan(?=na\b))"
+    r"|\bd(?='ye\b)|'ye\b|\bmore(?='n\b)|'n\b|(?<!\w)'t(?=(?:is|was)\b)"
+    r"|\w+(?=n't\b)|n't\b|'(?:s|re|ve|ll|d|m)\b"
     r"|\d+(?:[.,:]\d+)+|(?:\w\.){2,}|\w+(?:-\w+)*|\.{3}|[^\w\s]"
 )
 
 
+# A double quote opens at the start and after a space or a bracket, else it closes.
+_OPENING = re.compile(r'(^|[\s(\[{<])"')
+
+
 def meteor_tokens(text: str) -> list[str]:
-    return _METEOR_WORD.findall(text.lower())
+    quoted = _OPENING.sub(r"\1``", text.lower()).replace('"', "''")
+    return _METEOR_WORD.findall(quoted)
 
 
 def _measure(stem: str) -> int:

@@ -28,18 +28,22 @@ def _words(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _row_synonyms(df: DataFrame, synonyms: DataFrame, pred: str, refs: str) -> DataFrame:
+def _row_synonyms(
+    df: DataFrame, synonyms: DataFrame, pred: str, refs: str, small: bool
+) -> DataFrame:
     """Lexicon entries each row can use, as ``__pairs`` next to the row.
 
-    The lexicon meets the words by joins, so it is never shipped whole: an
+    The lexicon meets the words by joins and never comes to the driver: an
     entry reaches a row only if the prediction has the word and the reference
-    has the synonym.
+    has the synonym. A ``small`` lexicon is broadcast, which leaves the words,
+    some of them in most rows, where they are.
     """
+    lexicon = synonyms.select("word", "synonym").distinct()
     keyed = df.withColumn("__row", F.xxhash64(pred, refs))
     texts = keyed.select("__row", pred, refs).dropDuplicates(["__row", pred, refs])
     flat = texts.select("__row", F.array_join(refs, " ").alias("__ref"))
     left = _words(texts.select("__row", pred), pred).join(
-        synonyms.select("word", "synonym").distinct(), "word"
+        F.broadcast(lexicon) if small else lexicon, "word"
     )
     right = _words(flat, "__ref").withColumnRenamed("word", "synonym").distinct()
     pairs = (
@@ -66,21 +70,13 @@ def meteor(
     """Add the METEOR score of each row.
 
     ``ref`` is a text or an array of texts (the best one counts). ``synonyms``
-    is a table ``word, synonym``. Up to ``broadcast_rows`` entries it becomes
-    a dictionary on every executor; a larger one is joined in word by word.
-    A null text has no score.
+    is a table ``word, synonym``, joined in word by word; up to
+    ``broadcast_rows`` entries are broadcast. A null text has no score.
     """
     refs = "__refs"
     multiple = df.schema[ref].dataType.typeName() == "array"
     rows = df.withColumn(refs, F.col(ref) if multiple else F.array(ref))
 
-    shared = None
-    if synonyms is not None and fits(synonyms, broadcast_rows):
-        table: dict[str, set[str]] = defaultdict(set)
-        for word, synonym in synonyms.select("word", "synonym").toLocalIterator():
-            table[word].add(synonym)
-        shared = df.sparkSession.sparkContext.broadcast(dict(table))
-
     def best(prediction, references, related):
         if prediction is None or not references or any(r is None for r in references):
             return None
@@ -88,14 +84,12 @@ def meteor(
             meteor_row(prediction, r, related, alpha, beta, gamma, stem) for r in references
         )
 
-    if synonyms is None or shared is not None:
+    if synonyms is None:
 
         @F.arrow_udf("double")
         def score(p: pa.Array, r: pa.Array) -> pa.Array:
-            related = shared.value if shared is not None else {}
             return pa.array(
-                [best(a, b, related) for a, b in zip(p.to_pylist(), r.to_pylist())],
-                pa.float64(),
+                [best(a, b, {}) for a, b in zip(p.to_pylist(), r.to_pylist())], pa.float64()
             )
 
         return rows.withColumn(name, score(F.col(pred), F.col(refs))).drop(refs)
@@ -110,7 +104,8 @@ def meteor(
             out.append(best(a, b, related))
         return pa.array(out, pa.float64())
 
-    joined = _row_synonyms(rows, synonyms, pred, refs)
+    small = fits(synonyms, broadcast_rows)
+    joined = _row_synonyms(rows, synonyms, pred, refs, small)
     return joined.withColumn(
         name, score_with(F.col(pred), F.col(refs), F.col("__pairs"))
     ).drop(refs, "__pairs")

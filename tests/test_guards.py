@@ -191,3 +191,13 @@ def test_embedding_blocks_are_crossed(spark):
     many = sorted(map(tuple, embedding_match(tokens, tokens.filter("pos % 3 = 0"), 3).collect()))
     assert [r[0] for r in one] == [r[0] for r in many]
     assert all(a == pytest.approx(b) for a, b in zip(one, many))
+
+
+def test_fused_words_and_quotes_are_taken_apart():
+    from scoreframe.functions.overlap import meteor_tokens
+
+    assert meteor_tokens('I cannot say "gonna" ("wanna"), can\'t I?') == [
+        "i", "can", "not", "say", "``", "gon", "na", "\'\'", "(", "``", "wan", "na", "\'\'", ")", ",",
+        "ca", "n\'t", "i", "?"]
+    assert meteor_tokens("\'Tis more\'n d\'ye gotta, gimme cannot-do") == [
+        "\'t", "is", "more", "\'n", "d", "\'ye", "got", "ta", ",", "gim", "me", "can", "not-do"]
