@@ -36,12 +36,32 @@ def mix64(z: np.ndarray) -> np.ndarray:
 _BYTE = _splitmix(256, 7)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEP = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 2**64)
 
 
+#: Powers of the step and of its inverse; those of usual texts are kept.
+_KEPT_POWERS = 2_000_000
+_POWERS = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    found = []
+    with np.errstate(over="ignore"):
+        for base in (_STEP, _BACK):
+            grown = np.full(n, base, _U)
+            grown[0] = 1
+            found.append(np.cumprod(grown, out=grown))
+    if n <= _KEPT_POWERS:
+        _POWERS[:] = found
+    return found[0], found[1]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,15 +108,12 @@ def hash_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: b
         return np.zeros(0, _U)
     with np.errstate(over="ignore"):
         n = len(data)
-        up = np.full(n, _STEP, _U)
-        up[0] = 1
-        np.cumprod(up, out=up)
+        up, back = _powers(n)
+        terms = (_BYTE_LOWER if lower else _BYTE)[data]
+        terms *= up
         total = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[_LOWER[data] if lower else data] * up, out=total[1:])
-        up.fill(_BACK)
-        up[0] = 1
-        np.cumprod(up, out=up)
-        value = (total[stops] - total[starts]) * up[starts]
+        np.cumsum(terms, out=total[1:])
+        value = (total[stops] - total[starts]) * back[starts]
         return mix64(value ^ ((stops - starts).astype(_U) * _U(0x9E3779B97F4A7C15)))
 
 
@@ -156,15 +173,10 @@ def fold_runs(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     """A 64-bit hash of each run ``values[first:last]``, alike wherever the run lies."""
     with np.errstate(over="ignore"):
         n = len(values)
-        up = np.full(n, _STEP, _U)
-        up[:1] = 1
-        np.cumprod(up, out=up)
+        up, back = _powers(n)
         total = np.zeros(n + 1, _U)
         np.cumsum(values * up, out=total[1:])
-        up.fill(_BACK)
-        up[:1] = 1
-        np.cumprod(up, out=up)
-        value = (total[last] - total[first]) * up[first]
+        value = (total[last] - total[first]) * back[first]
         return mix64(value + (last - first).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 

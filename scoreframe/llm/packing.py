@@ -19,6 +19,7 @@ one. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -43,17 +44,63 @@ _RANKS = 2**48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# The split of the lower-casing word vocabulary, for which runs of
+# plain letters, of marks and single digits are words of their own.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_LETTER, _MARK, _DIGIT = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[ord("'")] = 0
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Letter, mark or digit for each byte of ASCII and Latin-1 letters, else 0."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the two signs
+    kind[lead] = kind[lead + 1] = _LETTER
+    return kind
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    out = data.copy()
+    out[(data >= 65) & (data < 91)] += 32
+    tail = np.flatnonzero(data[:-1] == 0xC3) + 1
+    tail = tail[(data[tail] >= 0x80) & (data[tail] < 0x9F) & (data[tail] != 0x97)]
+    out[tail] += 32
+    return out
+
+
 class _Words:
     """Token ids of words, tokenised once: sorted word hashes and one flat id array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = self.tokenizer.get_added_tokens_decoder()
-        #: A special token splits a text before anything else does.
-        self.mark = next(((i, t.content) for i, t in special.items() if t.special), None)
+        self.plain = None
+        shape = json.loads(self.tokenizer.to_str())
+        steps = (shape["normalizer"] or {}).get("normalizers", [])
+        splits = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        if (
+            [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+            and splits[0].get("pattern") == {"Regex": WORD_SPLIT}
+            and shape["model"].get("end_of_word_suffix") == "</w>"
+        ):
+            # The same model, for text that is lower case and split already.
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ])
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -61,41 +108,47 @@ class _Words:
         self.size, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _encode(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray):
-        """Number of ids of each word, and all ids in order.
+        """First id and number of ids of each word, and all ids.
 
-        All plain words go in one call, each followed by the special token.
+        Words of ASCII and Latin-1 letters, digits and marks go in one call,
+        their parts split here; an id that ends a part tells where it ends. All
+        other words are tokenised one by one.
         """
         number = np.zeros(len(starts), np.int64)
+        kind = _kinds(data)
+        bad = np.concatenate([[0], np.cumsum(kind == 0)])
+        odd = bad[stops] > bad[starts]
         open_ = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
-        odd = np.searchsorted(open_, starts) < np.searchsorted(open_, stops)
-        if self.mark is None:
+        odd |= np.searchsorted(open_, starts) < np.searchsorted(open_, stops)
+        if self.plain is None:
             odd[:] = True
-        plain, parts = np.flatnonzero(~odd), []
-        if len(plain):
-            mark = np.frombuffer(self.mark[1].encode(), np.uint8)
-            size = stops[plain] - starts[plain]
-            ends = np.cumsum(size + len(mark))
-            text = np.empty(int(ends[-1]), np.uint8)
-            begins = ends - size - len(mark)
+        easy, hard, parts = np.flatnonzero(~odd), np.flatnonzero(odd), []
+        if len(easy):
+            size = stops[easy] - starts[easy]
             place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            text[np.repeat(begins, size) + place] = data[np.repeat(starts[plain], size) + place]
-            text[(ends - len(mark))[:, None] + np.arange(len(mark))] = mark
-            found = self.tokenizer.encode_batch_fast(
+            take = np.repeat(starts[easy], size) + place
+            here = kind[take]
+            fresh = (place == 0) | (here == _DIGIT)
+            fresh[1:] |= here[1:] != here[:-1]
+            text = np.full(len(take) + int(fresh.sum()), 32, np.uint8)
+            text[np.arange(len(take)) + np.cumsum(fresh)] = _lowered(data[take])
+            found = self.plain.encode_batch_fast(
                 [text.tobytes().decode()], add_special_tokens=False
             )
             ids = np.array(found[0].ids, np.uint32)
-            marks = np.flatnonzero(ids == self.mark[0])
-            number[plain] = np.diff(marks, prepend=-1) - 1
-            parts.append(ids[ids != self.mark[0]])
-        for k in np.flatnonzero(odd).tolist():
+            # Each part ends with one id of the kind that ends parts.
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            pieces = np.add.reduceat(fresh, np.cumsum(size) - size, dtype=np.int64)
+            number[easy] = np.diff(stop[np.cumsum(pieces) - 1], prepend=0)
+            parts.append(ids)
+        for k in hard.tolist():
             word = data[starts[k] : stops[k]].tobytes().decode()
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             number[k] = len(ids)
             parts.append(np.array(ids, np.uint32))
-        order = np.argsort(np.concatenate([plain, np.flatnonzero(odd)]), kind="stable")
+        order = np.concatenate([easy, hard])
         begin = np.empty(len(starts), np.int64)
-        sizes = np.concatenate([number[plain], number[odd]])
-        begin[:] = (np.cumsum(sizes) - sizes)[order]
+        begin[order] = np.cumsum(number[order]) - number[order]
         return begin, number, np.concatenate(parts)
 
     def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray):
