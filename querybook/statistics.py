@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scoreframe.operators import stats as S
 
 from . import fixtures as fx
-from .base import query
+from .base import query, table
 from .fixtures import RUNS, sql
 
 _PAIRS = "SELECT * FROM (VALUES ('run1','run2'),('run1','run3'),('run2','run3')) AS t(run_a, run_b)"
@@ -196,3 +196,57 @@ def significance(spark, sf_dir):
     signed = S.compare_runs(scores, RUNS, "signed-rank").pairwise
     unpaired = S.compare_runs(scores, RUNS, "rank-sum").pairwise
     return signed.unionByName(unpaired).withColumn("p_value", F.round("p_value", 5))
+
+
+@query(
+    sql(
+        """SELECT 'run1' AS run_a, 'twin' AS run_b, metric, 'signed-rank' AS test_method,
+  0.0::DOUBLE AS statistic, 1.0::DOUBLE AS p_value, FALSE AS significant
+FROM fx_scores WHERE inference_id = 'run1' GROUP BY metric HAVING count(value) >= 2""",
+        "fx_scores",
+    )
+)
+def equal_runs(spark, sf_dir):
+    """Equal scores end the test early; an unknown method is the signed-rank test;
+    a metric with a single aligned id has no row."""
+    run = _metrics(spark, sf_dir).filter(F.col("inference_id") == "run1")
+    first = run.groupBy("inference_id").agg(F.min("id").alias("id")).select(
+        "id", "inference_id", F.lit("lone").alias("metric"), F.lit(0.5).alias("value")
+    )
+    run = run.unionByName(first)
+    twin = run.withColumn("inference_id", F.lit("twin"))
+    return S.compare_runs(run.unionByName(twin), ["run1", "twin"], "no such method").pairwise
+
+
+@query(
+    """WITH RECURSIVE ways(k, s, w) AS (
+  SELECT 0, 0, 1.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, s + d * (k + 1), sum(w) FROM ways, (VALUES (0), (1)) t(d) WHERE k < 20 GROUP BY ALL
+), r AS (
+  SELECT c_custkey // 20 AS part, c_acctbal AS d, count(*) OVER (PARTITION BY c_custkey // 20) AS n,
+    rank() OVER (PARTITION BY c_custkey // 20 ORDER BY abs(c_acctbal)) AS r FROM customer
+), g AS (
+  SELECT part, n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS t,
+    count(DISTINCT abs(d)) = n AND min(abs(d)) > 0 AS clean
+  FROM r GROUP BY part, n
+)
+SELECT 'b' || part AS metric, n, round(least(1.0, 2.0 * sum(w) / pow(2.0, n)), 9) AS p_value
+FROM g JOIN ways ON k = n AND s <= t WHERE n >= 2 AND clean GROUP BY part, n"""
+)
+def exact_p_values(spark, sf_dir):
+    """Signed-rank tests of twenty untied differences, by the exact distribution."""
+    balance = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.concat(F.lit("b"), F.floor(F.col("c_custkey") / 20).cast("string")).alias("metric"),
+        F.col("c_acctbal").alias("value"),
+    )
+    scores = balance.withColumn("inference_id", F.lit("a")).unionByName(
+        balance.withColumn("value", F.lit(0.0)).withColumn("inference_id", F.lit("b"))
+    )
+    tested = S.wilcoxon_signed_rank(scores, ["a", "b"], "auto")
+    few = (F.col("n") <= 50) & (F.col("tie_term") == 0)
+    counts = scores.filter("inference_id = 'a' and value <> 0").groupBy("metric").count()
+    return tested.join(counts, "metric").filter(few & (F.col("n") == F.col("count"))).select(
+        "metric", "n", F.round("p_value", 9).alias("p_value")
+    )

@@ -75,23 +75,51 @@ def evaluate_generation(spark, sf_dir):
     return done.aggregates.select("metric", F.round("value", 9).alias("value"))
 
 
+@query(
+    sql(
+        """SELECT t.id, CASE WHEN t.id LIKE '%-1' THEN 0.0 ELSE
+    round(coalesce(max(2.0 * shared / (np + nr)) FILTER (n = 1), 0), 9) END AS zero,
+  CASE WHEN t.id NOT LIKE '%-1' THEN
+    round(coalesce(max(2.0 * shared / (np + nr)) FILTER (n = 1), 0), 9) END AS missing
+FROM tok t LEFT JOIN overlap o USING (id) GROUP BY t.id""",
+        "fx_text", tok=_TOKENS, grams=_GRAMS, overlap=_OVERLAP,
+    )
+)
+def failure_values(spark, sf_dir):
+    """Scores of rows whose prediction is missing, with both choices."""
+    lost = F.when(~F.col("id").endswith("-1"), F.col("prediction"))
+    scored = fx.texts(spark, sf_dir).withColumn("prediction", lost).select(
+        "id", rouge("prediction", "reference", ("rouge1",), on_error="zero").alias("z"),
+        rouge("prediction", "reference", ("rouge1",)).alias("m"),
+    )
+    return scored.select(
+        "id", F.round("z.rouge1", 9).alias("zero"), F.round("m.rouge1", 9).alias("missing")
+    )
+
+
 # The dynamic program a row at a time: row i has the longest subsequences of the
 # first i predicted tokens and each prefix of the reference.
-_LCS = """SELECT id, 0 AS i, j, 0 AS v FROM (SELECT id, unnest(range(1, len(r) + 1)) AS j FROM tok)
+_LCS = """SELECT n, 0 AS i, j, 0 AS v FROM ref
 UNION ALL
-SELECT id, i + 1, j, max(v) OVER (PARTITION BY id ORDER BY j) FROM (
-  SELECT l.id, l.i, l.j, greatest(l.v, coalesce(lag(l.v) OVER (PARTITION BY l.id ORDER BY l.j), 0)
-    + CASE WHEN t.p[l.i + 1] = t.r[l.j] THEN 1 ELSE 0 END) AS v
-  FROM lcs l JOIN tok t USING (id) WHERE l.i < len(t.p))"""
+SELECT n, i + 1, j, max(v) OVER (PARTITION BY n ORDER BY j) FROM (
+  SELECT l.n, l.i, l.j, greatest(l.v, coalesce(lag(l.v) OVER (PARTITION BY l.n ORDER BY l.j), 0)
+    + CASE WHEN p.word = r.word THEN 1 ELSE 0 END) AS v
+  FROM lcs l JOIN pred p ON p.n = l.n AND p.i = l.i + 1 JOIN ref r ON r.n = l.n AND r.j = l.j)"""
 
 
 @query(
     sql(
         """SELECT t.id, CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0
   ELSE round(2.0 * v / (len(p) + len(r)), 9) END AS rougeL
-FROM tok t LEFT JOIN lcs l ON l.id = t.id AND l.i = len(t.p) AND l.j = len(t.r)""",
-        "fx_text", tok=_TOKENS, lcs=_LCS,
-    ).replace("WITH ", "WITH RECURSIVE ", 1).replace("lcs AS (", "lcs(id, i, j, v) AS (", 1)
+FROM num t LEFT JOIN lcs l ON l.n = t.n AND l.i = len(t.p) AND l.j = len(t.r)""",
+        "fx_text", tok=_TOKENS, num="SELECT *, row_number() OVER () AS n FROM tok",
+        pred="SELECT n, generate_subscripts(p, 1) AS i, hash(unnest(p)) AS word FROM num",
+        ref="SELECT n, generate_subscripts(r, 1) AS j, hash(unnest(r)) AS word FROM num",
+        lcs=_LCS,
+    ).replace("WITH ", "WITH RECURSIVE ", 1).replace("lcs AS (", "lcs(n, i, j, v) AS (", 1)
+    .replace("num AS (", "num AS MATERIALIZED (", 1)
+    .replace("pred AS (", "pred AS MATERIALIZED (", 1)
+    .replace("ref AS (", "ref AS MATERIALIZED (", 1)
 )
 def rouge_lcs(spark, sf_dir):
     return fx.texts(spark, sf_dir).select(

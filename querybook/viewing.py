@@ -467,3 +467,9 @@ def order_metrics(spark, sf_dir):
 def same_dataset(spark, sf_dir):
     runs = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("d1").alias("dataset_id"))
     return V.assert_same_dataset(runs)
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents")
+def first_row(spark, sf_dir):
+    """The first row of an ordered view, as a page of one."""
+    return V.page(table(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id"), 0, 1)
