@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.scale import fits
 from .base import saved
 
 # The marks of the template.
@@ -130,9 +131,11 @@ def format_paths(
     reach = paths(messages)
     chosen = choose(reach, messages, branches)
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(AFTER_ROLE))
+    places = saved(reach.join(chosen, ["tree", "leaf"]), "chat-places")
+    # The texts stay where they are while the places are few.
+    known = F.broadcast(places) if fits(places) else places
     turns = (
-        reach.join(chosen, ["tree", "leaf"])
-        .join(messages.select("tree", "node", "name", "role", "text"), ["tree", "node"])
+        messages.select("tree", "node", "name", "role", "text").join(known, ["tree", "node"])
         .select("tree", "name", "leaf", "rank", "up", head.alias("head"),
                 escape(F.col("text")).alias("body"), (F.col("role") == learned).alias("learn"))
     )
