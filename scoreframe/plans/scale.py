@@ -48,9 +48,30 @@ def shared_folder(spark: SparkSession) -> str:
 _OWN: dict[str, str] = {}
 
 
+# Scratch folders of this program, each removed once when it ends.
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    """A new path in this application's scratch folder under the shared folder.
+
+    The folder goes when the program ends. Until then its tables can be read by
+    any frame that was built on them; what is to stay gets a path of its own.
+    """
+    context = spark.sparkContext
+    root = f"{shared_folder(spark).rstrip('/')}/scratch-{context.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        atexit.register(_remove, context._jvm, root)
+    return f"{root}/{name}-{os.urandom(8).hex()}"
+
+
+def _remove(jvm, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # the JVM went first; the folder is the cluster's to clean
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:

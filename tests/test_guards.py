@@ -1,6 +1,8 @@
 """Rules that keep faults visible and sizes bounded."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,6 +195,21 @@ def test_embedding_blocks_are_crossed(spark):
     assert all(a == pytest.approx(b) for a, b in zip(one, many))
 
 
+def test_scratch_goes_with_the_program(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+from scoreframe.plans.scale import scratch_path
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate())
+spark.range(3).write.parquet(scratch_path(spark, "kept"))
+assert spark.read.parquet(scratch_path(spark, "x").rsplit("/", 1)[0] + "/kept-*").count() == 3
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, capture_output=True)
+    assert not list(tmp_path.glob("scratch-*"))
+
+
 def test_fused_words_and_quotes_are_taken_apart():
     from scoreframe.functions.overlap import meteor_tokens
 
