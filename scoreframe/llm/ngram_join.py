@@ -44,6 +44,8 @@ from .components import components
 #: Shingles that a bucket holds, about, and that a task holds before it deals them.
 BUCKET_TOKENS = 1_000_000
 FLUSH_TOKENS = 2_000_000
+#: Sets whose counts one task adds up.
+PART_SETS = 20_000
 #: Sets that one task searches together.
 BLOCK_SETS = 2000
 
@@ -490,9 +492,10 @@ def join(
         F.min("doc_id").alias("set_id"), F.first("key").alias("key"),
         F.first("n_shingles").alias("n"),
     )
-    tokens = int(present.agg(F.sum("n_shingles")).first()[0] or 0)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(parts, tokens // BUCKET_TOKENS + 1)
+    count, tokens = present.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    cores = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(cores, count // PART_SETS + 1)
+    buckets = max(cores, tokens // BUCKET_TOKENS + 1)
     known = source.where(F.col("doc_id").isNotNull())
     shared = shared_counts(known, size, buckets, parts)
     alive = saved(
@@ -502,7 +505,7 @@ def join(
     )
     sets = saved(load_sets(known, alive.select("doc_id", "key"), size), "join-tokens")
     left = int(alive.agg(F.sum("n")).first()[0] or 0)
-    rare = saved(rare_tokens(sets, percent, max(parts, left // BUCKET_TOKENS + 1), parts), "join-rare")
+    rare = saved(rare_tokens(sets, percent, max(cores, left // BUCKET_TOKENS + 1), parts), "join-rare")
     grouped = saved(groups(rare), "join-groups")
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / block_sets)
