@@ -6,6 +6,7 @@ are known by 64-bit hashes from here on.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -43,6 +44,14 @@ _STEP = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 2**64)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers wait for their next task with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Powers of the step and of its inverse; those of usual texts are kept.
 _KEPT_POWERS = 2_000_000
 _POWERS = [np.ones(1, _U), np.ones(1, _U)]

@@ -42,7 +42,7 @@ from .base import saved
 from .components import components
 
 #: Shingles that a bucket holds, about, and that a task holds before it deals them.
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 4_000_000
 FLUSH_TOKENS = 2_000_000
 #: Sets whose counts one task adds up.
 PART_SETS = 20_000
@@ -77,6 +77,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                  pa.array(digests, pa.binary())],
                 ["doc_id", "n_shingles", "key", "digest"],
             )
+        arrays.release()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_shingles long, key long, digest binary"
@@ -102,22 +103,23 @@ class _Dealer:
         if not self.size:
             return None
         keys = np.array(self.keys, np.int64)
-        owner = np.repeat(np.arange(len(keys)), [len(s) for s in self.sets])
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in self.sets])
         tokens = np.concatenate(self.sets)
-        bucket = (tokens % _U(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, owner, tokens = bucket[order], owner[order], tokens[order]
+        self.keys, self.sets, self.size = [], [], 0
+        bucket = (tokens % _U(self.buckets)).astype(np.uint32)
         if self.narrow:
             tokens = (tokens >> _U(32)).astype(np.uint32)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        order = np.argsort(bucket, kind="stable")
+        bucket, owner, tokens = bucket[order], owner[order], tokens[order]
+        del order
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         rows = []
-        for part in np.split(np.arange(len(bucket)), cuts):
-            own = owner[part[0] : part[-1] + 1]
+        for a, b in zip(edges, edges[1:]):
+            own = owner[a:b]
             first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
             counts = np.diff(np.append(first, len(own))).astype(np.int32)
-            rows.append((int(bucket[part[0]]), keys[own[first]].tobytes(), counts.tobytes(),
-                         tokens[part[0] : part[-1] + 1].tobytes()))
-        self.keys, self.sets, self.size = [], [], 0
+            rows.append((int(bucket[a]), keys[own[first]].tobytes(), counts.tobytes(),
+                         tokens[a:b].tobytes()))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64())]
             + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)],
@@ -142,7 +144,9 @@ def _read(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarr
     _, first = np.unique(keys, return_index=True)
     keep = np.zeros(len(keys), bool)
     keep[first] = True
-    owner = np.repeat(np.arange(len(keys)), counts)
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
+    if keep.all():
+        return keys, owner, tokens
     kept = keep[owner]
     return keys, owner[kept], tokens[kept]
 
@@ -173,8 +177,10 @@ def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataF
             yield from _dealt(sets(batch), dealer)
         if (last := dealer.flush()) is not None:
             yield last
+        arrays.release()
 
     def count(table: pa.Table) -> pa.Table:
+        arrays.release()
         keys, owner, marks = _read(table, np.uint32)
         hits = np.bincount(owner[_lengths(marks) > 1], minlength=len(keys))
         keys, hits = keys[hits > 0], hits[hits > 0].astype(np.int32)
@@ -188,6 +194,7 @@ def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataF
         )
 
     def total(table: pa.Table) -> pa.Table:
+        arrays.release()
         keys = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")])
         hits = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("hits")])
         each, at = np.unique(keys, return_inverse=True)
@@ -238,8 +245,10 @@ def rare_tokens(sets: DataFrame, percent: int, buckets: int, parts: int) -> Data
             yield from _dealt(((i, np.frombuffer(t.as_py(), _U)) for i, t in rows), dealer)
         if (last := dealer.flush()) is not None:
             yield last
+        arrays.release()
 
     def count(table: pa.Table) -> pa.Table:
+        arrays.release()
         keys, owner, tokens = _read(table, _U)
         length = _lengths(tokens)
         every = np.bincount(owner, minlength=len(keys)).astype(np.int32)
@@ -261,6 +270,8 @@ def rare_tokens(sets: DataFrame, percent: int, buckets: int, parts: int) -> Data
         )
 
     def choose(table: pa.Table) -> pa.Table:
+        arrays.release()
+
         def whole(name, kind):
             return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
 

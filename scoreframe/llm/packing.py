@@ -230,6 +230,7 @@ def tokenise(
                 out.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
+        arrays.release()
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(run, schema)

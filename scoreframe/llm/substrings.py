@@ -103,8 +103,11 @@ def repeats(docs: DataFrame, average: int, buckets: int, parts: int) -> DataFram
                     held, size = [], 0
         if size:
             yield _rows(split(np.concatenate(held)))
+        del held
+        arrays.release()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
+        arrays.release()
         blocks = [np.frombuffer(x.as_py(), _ITEM) for x in table.column("items")]
         if key[0].as_py() < 0:
             rows = [(-1 - key[0].as_py(), b.tobytes()) for b in blocks]
@@ -123,6 +126,7 @@ def spans(repeated: DataFrame, min_words: int, strong_words: int) -> DataFrame:
     """(doc_id, runs): per document its spans as (first place, chunks, digest sum)."""
 
     def collect(table: pa.Table) -> pa.Table:
+        arrays.release()
         items = np.concatenate([np.frombuffer(x.as_py(), _ITEM) for x in table.column("items")])
         # The same place may be named twice, also with two digests where rows share an id.
         items = np.unique(items)
@@ -186,6 +190,7 @@ def cut_out(docs: DataFrame, found: DataFrame, average: int) -> DataFrame:
                 arrs + [pa.array(f) for f in facts],
                 names + ["n_spans", "removed_words", "removed_chars"],
             )
+        arrays.release()
 
     keep = [n for n in docs.columns if n not in ("n_spans", "removed_words", "removed_chars")]
     joined = docs.select(*keep).join(found.withColumnRenamed("runs", "__runs"), "doc_id", "left")
