@@ -301,3 +301,21 @@ FROM h
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages)
+
+
+# The given pages have one article of headings and paragraphs, which SQL can cut out;
+# other shapes of pages are covered by the tests.
+ORACLE["op10_html_text"] = r"""
+WITH p AS (
+  SELECT page_id, url, string_split_regex(replace(regexp_extract(coalesce(html, ''),
+    '<article[^>]*>(.*)</article>', 1, 's'), '<br>', ' '), '</?(?:p|h[1-6])[^>]*>') AS parts FROM pages
+), b AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+      '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'),
+    '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM p
+), t AS (
+  SELECT page_id, url, array_to_string(blocks, chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
