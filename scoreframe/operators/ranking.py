@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.metricmaps import finite, metric_value
-from ..plans.scale import cut, running_totals
+from ..plans.scale import BROADCAST_ROWS, cut, fits, running_totals
 
 # The metric a task is ranked by. Relation Extraction has none.
 PRIMARY_METRIC = {
@@ -200,25 +200,40 @@ def average_rank(
     return df.join(placed, [*part, value])
 
 
-def overall_ranking(scores: DataFrame) -> DataFrame:
+def overall_ranking(scores: DataFrame, small_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Overall positions of comparable models by mean rank over all datasets.
 
     ``scores``: ``model_key, dataset, value``. Equal mean ranks share a
     position and the next one skips. Empty with fewer than two models. Means
     are compared as doubled integer rank sums, which keeps ties exact. The
-    table is read in several steps, so it is materialised between them.
+    table, a row per model and dataset, is made once and counted: up to
+    ``small_rows`` plain windows rank it, beyond that ``running_totals`` does,
+    with the same result.
     """
-    ranked = average_rank(cut(comparable_models(cut(scores))), ["dataset"], "value")
+    known = cut(scores)
+    small = fits(known, small_rows)
+    if small:
+        within = Window.partitionBy("dataset").orderBy(F.desc("value"))
+        tied = F.count(F.lit(1)).over(Window.partitionBy("dataset", "value"))
+        ranked = comparable_models(known).withColumn(
+            "rank", F.rank().over(within) + (tied - 1) / 2.0
+        )
+    else:
+        ranked = average_rank(cut(comparable_models(known)), ["dataset"], "value")
     means = cut(
         ranked.groupBy("model_key").agg(
             F.sum((F.col("rank") * 2).cast("long")).alias("__sum"),
             F.count(F.lit(1)).alias("dataset_count"),
         )
     )
-    levels = means.groupBy("__sum").agg(F.count(F.lit(1)).alias("__n"))
-    positions = running_totals(levels, [], ["__sum"], {"__n": F.col("__n")}).select(
-        "__sum", (F.col("__n_before") + 1).alias("position")
-    )
+    if small:
+        place = F.rank().over(Window.orderBy("__sum")).cast("long")
+        positions = means.select("__sum", place.alias("position")).distinct()
+    else:
+        levels = means.groupBy("__sum").agg(F.count(F.lit(1)).alias("__n"))
+        positions = running_totals(levels, [], ["__sum"], {"__n": F.col("__n")}).select(
+            "__sum", (F.col("__n_before") + 1).alias("position")
+        )
     models = means.agg(F.count(F.lit(1))).scalar()
     return (
         means.join(positions, "__sum")

@@ -124,6 +124,9 @@ def test_average_rank_and_positions(spark):
     ranks = {r.model_key: r.rank for r in average_rank(frame, ["dataset"], "value").collect()}
     assert ranks == {"a": 1.5, "b": 1.5, "c": 3.0}
     places = {r.model_key: r.position for r in overall_ranking(frame).collect()}
+    large = {r.model_key: r.position for r in overall_ranking(frame, small_rows=0).collect()}
+    assert large == places
+    assert overall_ranking(frame).dtypes == overall_ranking(frame, small_rows=0).dtypes
     assert places == {"a": 1, "b": 1, "c": 3}
     partial = frame.union(spark.createDataFrame([("e", "a", 1.0)], frame.schema))
     assert {r.model_key for r in comparable_models(partial).collect()} == {"a"}
