@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from scoreframe.llm import chat, html_text, packing, queries, warc
 
