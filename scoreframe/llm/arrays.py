@@ -7,7 +7,10 @@ are known by 64-bit hashes from here on.
 from __future__ import annotations
 
 import ctypes
+import gc
 import hashlib
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,22 +47,38 @@ _STEP = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 2**64)
 
 
-def release() -> None:
-    """Give freed memory back to the system: workers wait for their next task with it."""
+def release(task: bool = True) -> None:
+    """Give freed memory back to the system: workers wait for their next task with it.
+
+    At the end of a ``task`` what its functions leave behind is collected too.
+    """
+    if task:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
-#: Powers of the step and of its inverse; those of usual texts are kept.
+def worker_store() -> dict:
+    """What a worker process keeps from task to task.
+
+    Row functions travel by value, and every task makes their modules' globals
+    anew; this dictionary belongs to the process.
+    """
+    name = "_scoreframe_worker"
+    return vars(sys.modules.setdefault(name, types.ModuleType(name)))
+
+
+#: Powers of the step and of its inverse up to this number are kept.
 _KEPT_POWERS = 2_000_000
-_POWERS = [np.ones(1, _U), np.ones(1, _U)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) >= n:
-        return _POWERS[0][:n], _POWERS[1][:n]
+    store = worker_store()
+    known = store.get("powers")
+    if known is not None and len(known[0]) >= n:
+        return known[0][:n], known[1][:n]
     found = []
     with np.errstate(over="ignore"):
         for base in (_STEP, _BACK):
@@ -67,7 +86,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             grown[0] = 1
             found.append(np.cumprod(grown, out=grown))
     if n <= _KEPT_POWERS:
-        _POWERS[:] = found
+        store["powers"] = found
     return found[0], found[1]
 
 

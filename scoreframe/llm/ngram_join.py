@@ -180,7 +180,7 @@ def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataF
         arrays.release()
 
     def count(table: pa.Table) -> pa.Table:
-        arrays.release()
+        arrays.release(task=False)
         keys, owner, marks = _read(table, np.uint32)
         hits = np.bincount(owner[_lengths(marks) > 1], minlength=len(keys))
         keys, hits = keys[hits > 0], hits[hits > 0].astype(np.int32)
@@ -194,7 +194,7 @@ def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataF
         )
 
     def total(table: pa.Table) -> pa.Table:
-        arrays.release()
+        arrays.release(task=False)
         keys = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")])
         hits = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("hits")])
         each, at = np.unique(keys, return_inverse=True)
@@ -248,7 +248,7 @@ def rare_tokens(sets: DataFrame, percent: int, buckets: int, parts: int) -> Data
         arrays.release()
 
     def count(table: pa.Table) -> pa.Table:
-        arrays.release()
+        arrays.release(task=False)
         keys, owner, tokens = _read(table, _U)
         length = _lengths(tokens)
         every = np.bincount(owner, minlength=len(keys)).astype(np.int32)
@@ -270,7 +270,7 @@ def rare_tokens(sets: DataFrame, percent: int, buckets: int, parts: int) -> Data
         )
 
     def choose(table: pa.Table) -> pa.Table:
-        arrays.release()
+        arrays.release(task=False)
 
         def whole(name, kind):
             return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])

@@ -173,14 +173,12 @@ class _Words:
         return self.begin[at], self.size[at], self.flat
 
 
-_LOADED: dict[str, _Words] = {}
-
-
 def token_ids(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of every text, ``end_id`` last."""
-    if path not in _LOADED:
-        _LOADED[path] = _Words(path)
-    lookup = _LOADED[path]
+    loaded = arrays.worker_store().setdefault("words", {})
+    if path not in loaded:
+        loaded[path] = _Words(path)
+    lookup = loaded[path]
     for first, data, offsets in arrays.slices(column, SLICE_BYTES):
         starts, stops, at = arrays.find_words(data, offsets)
         keys, where, word = np.unique(

@@ -107,7 +107,7 @@ def repeats(docs: DataFrame, average: int, buckets: int, parts: int) -> DataFram
         arrays.release()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        arrays.release()
+        arrays.release(task=False)
         blocks = [np.frombuffer(x.as_py(), _ITEM) for x in table.column("items")]
         if key[0].as_py() < 0:
             rows = [(-1 - key[0].as_py(), b.tobytes()) for b in blocks]
@@ -126,7 +126,7 @@ def spans(repeated: DataFrame, min_words: int, strong_words: int) -> DataFrame:
     """(doc_id, runs): per document its spans as (first place, chunks, digest sum)."""
 
     def collect(table: pa.Table) -> pa.Table:
-        arrays.release()
+        arrays.release(task=False)
         items = np.concatenate([np.frombuffer(x.as_py(), _ITEM) for x in table.column("items")])
         # The same place may be named twice, also with two digests where rows share an id.
         items = np.unique(items)
