@@ -295,3 +295,27 @@ def fill_params(spark, sf_dir):
         "run_id", "parameter", F.round(number, 9).alias("number"),
         F.when(number.isNull(), F.col("value")).alias("word"),
     )
+
+
+@query(
+    sql(
+        """SELECT run_id, parameter, value,
+  CASE WHEN parameter = 'reasoning_effort' AND problem THEN 'unsupported effort' END AS problem
+FROM sent""",
+        params=_PARAMS,
+        sent="""SELECT run_id, CASE
+    WHEN provider_id = 'azure' AND model = 'o1' AND parameter = 'max_tokens' THEN 'max_completion_tokens'
+    WHEN provider_id = 'google' AND parameter = 'max_tokens' THEN 'maxOutputTokens'
+    WHEN provider_id = 'google' AND parameter = 'top_p' THEN 'topP' ELSE parameter END AS parameter, value,
+    provider_id = 'azure' AND model = 'o1' AND value = 'minimal' AS problem
+  FROM params WHERE CASE provider_id
+    WHEN 'azure' THEN CASE model WHEN 'o1' THEN parameter IN ('max_tokens', 'reasoning_effort')
+      ELSE parameter IN ('temperature', 'top_p', 'max_tokens') END
+    WHEN 'anthropic' THEN parameter IN ('max_tokens', 'temperature') AND value <> ''
+    WHEN 'google' THEN parameter IN ('max_tokens', 'temperature', 'top_p') AND value <> ''
+    ELSE TRUE END""",
+    )
+)
+def request_params(spark, sf_dir):
+    """What the requests state; every fifth reasoning run asks for an effort that is not there."""
+    return K.request_params(_params(spark, sf_dir))

@@ -305,3 +305,71 @@ def fill_params(params: DataFrame, spec: DataFrame) -> DataFrame:
         .filter(F.col("value").isNotNull() & (F.col("value") != ""))
         .select(*params.columns)
     )
+
+
+# What the providers' requests take, by kind of model.
+REQUEST_PARAMETERS = {
+    "azure": ("temperature", "top_p", "presence_penalty", "frequency_penalty", "stop", "n", "stream",
+              "logprobs", "response_format", "max_tokens"),
+    "azure reasoning": ("max_completion_tokens", "reasoning_effort"),
+    "anthropic": ("max_tokens", "temperature"),
+    "google": ("maxOutputTokens", "temperature", "topP"),
+}
+REQUEST_NAMES = {
+    "azure": {"max_new_tokens": "max_tokens", "repetition_penalty": "frequency_penalty"},
+    "azure reasoning": {"max_new_tokens": "max_completion_tokens",
+                        "max_tokens": "max_completion_tokens"},
+    "google": {"max_tokens": "maxOutputTokens", "top_p": "topP"},
+}
+# The limit that a request must state, and its default.
+REQUEST_LIMIT = {"azure reasoning": "max_completion_tokens", "anthropic": "max_tokens",
+                 "google": "maxOutputTokens"}
+DEFAULT_LIMIT = "4096"
+REASONING = r"^(o1|o3|o4|gpt-5)"
+
+
+def request_params(params: DataFrame) -> DataFrame:
+    """Parameters as a provider's request has them: ``run_id, parameter, value, problem``.
+
+    Names are those of the provider, what it does not take is left out, and a
+    limit that must be stated is. Models are known as reasoning ones by the
+    start of their names; an effort that such a model does not have is a
+    problem. A renamed parameter wins over one that had the name already.
+    Providers that are not listed take everything as it is.
+    """
+    azure = F.col("provider_id") == "azure"
+    reasoning = azure & F.lower("model").rlike(REASONING)
+    kind = F.when(reasoning, "azure reasoning").otherwise(F.col("provider_id"))
+    rows = params.withColumn("__kind", kind)
+    name, taken = F.col("parameter"), F.lit(True)
+    for group, names in REQUEST_NAMES.items():
+        for old, new in names.items():
+            here = (F.col("__kind") == group) & (F.col("parameter") == old)
+            name = F.when(here, new).otherwise(name)
+    rows = rows.withColumn("__name", name)
+    for group, allowed in REQUEST_PARAMETERS.items():
+        taken = F.when(F.col("__kind") == group, F.col("__name").isin(*allowed)).otherwise(taken)
+    stated = ~F.col("provider_id").isin("anthropic", "google") | (
+        F.coalesce("value", F.lit("")) != ""
+    )
+    sent = (
+        rows.filter(taken & stated)
+        .groupBy("run_id", "model", "__kind", "__name")
+        .agg(F.max_by("value", F.col("__name") != F.col("parameter")).alias("value"))
+    )
+    limit: Column = F.lit(None).cast("string")
+    for group, needed in REQUEST_LIMIT.items():
+        limit = F.when(F.col("__kind") == group, needed).otherwise(limit)
+    runs = rows.select("run_id", "model", "__kind").distinct().withColumn("__name", limit)
+    missing = runs.filter(F.col("__name").isNotNull()).join(
+        sent.select("run_id", "__name"), ["run_id", "__name"], "left_anti"
+    )
+    efforts: Column = F.array(*map(F.lit, DEFAULT_EFFORTS))
+    for model, known in EFFORTS.items():
+        efforts = F.when(F.lower("model") == model, F.array(*map(F.lit, known))).otherwise(efforts)
+    wrong = (F.col("__name") == "reasoning_effort") & (F.col("__kind") == "azure reasoning")
+    wrong = wrong & ~F.array_contains(efforts, F.col("value"))
+    return sent.unionByName(missing.withColumn("value", F.lit(DEFAULT_LIMIT))).select(
+        "run_id", F.col("__name").alias("parameter"), "value",
+        F.when(wrong, "unsupported effort").alias("problem"),
+    )

@@ -18,7 +18,7 @@ from ..operators.corpus import (
 )
 from ..operators.ranking import best_primary, model_dataset_scores, overall_ranking
 from ..operators.textscores import meteor
-from ..operators.views import check_alignment, require_alignment
+from ..operators.views import check_alignment, nest_evaluation, require_alignment
 from ..sources.storage import load_outputs, write_scores
 from .scale import scratch_path
 
@@ -184,6 +184,7 @@ def evaluate(
     synonyms: DataFrame | None = None,
     external: DataFrame | None = None,
     on_misaligned: str = "raise",
+    resume: bool = False,
 ) -> Evaluation:
     """Score all runs in ``outputs`` against the dataset.
 
@@ -199,7 +200,8 @@ def evaluate(
     Outputs are parsed and scored once. The scored rows are written (to
     ``path`` or to the shared folder, one folder per run) and every corpus
     metric reads its columns of that table, so no parser or text metric runs
-    twice. ``path`` must not exist yet.
+    twice. ``path`` must not exist yet, unless ``resume`` is set: then the
+    rows that it has already are kept, and only the others are scored.
     """
     if on_misaligned not in ("raise", "report"):
         raise ValueError(f"unknown choice {on_misaligned!r} for misaligned outputs")
@@ -209,14 +211,38 @@ def evaluate(
     else:
         dataset, outputs = complete(dataset, outputs)
     wanted = parse_references(dataset.select("id", "reference"), plan)
-    answers = parse_predictions(outputs.select("inference_id", "id", "output"), plan)
+    target = path or scratch_path(dataset.sparkSession, "scores")
+    asked = outputs.select("inference_id", "id", "output")
+    if resume:
+        asked = _unscored(asked, target)
+    answers = parse_predictions(asked, plan)
     rows = score_parsed(answers.drop("output").join(wanted, "id"), plan, synonyms)
-    target = path or scratch_path(rows.sparkSession, "scores")
-    write_scores(rows, target, mode="errorifexists")
+    write_scores(rows, target, mode="append" if resume else "errorifexists")
     stored = load_outputs(rows.sparkSession, target, rows.schema)
     return Evaluation(stored, corpus_scores(stored, plan, external=external), alignment)
 
 
+def _unscored(outputs: DataFrame, path: str) -> DataFrame:
+    """Outputs that the table under ``path``, which need not exist, does not have."""
+    keys = "inference_id string, id string"
+    spark = outputs.sparkSession
+    spark.createDataFrame([], keys).write.mode("append").parquet(path)
+    return outputs.join(spark.read.schema(keys).parquet(path), ["inference_id", "id"], "left_anti")
+
+
+def stored_form(done: Evaluation, chunk_rows: int) -> DataFrame:
+    """Scored runs as stored evaluations: ``evaluation_id, chunk, rows, aggregate``.
+
+    Rows hold ``id, parsed, metrics`` and, for multi-label tasks,
+    ``parsedVector, referenceVector``; see ``nest_evaluation``.
+    """
+    names = {"parsed_vector": "parsedVector", "reference_vector": "referenceVector"}
+    kept = [F.col(c).alias(names[c]) for c in names if c in done.rows.columns]
+    run = F.col("inference_id").alias("evaluation_id")
+    rows = done.rows.select(run, "id", "parsed", "metrics", *kept)
+    return nest_evaluation(rows, done.aggregates.select(run, "metric", "value"), chunk_rows)
+
+
 def complete(dataset: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per id, and for every run one output per id of the dataset.
 

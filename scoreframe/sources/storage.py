@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -86,3 +86,19 @@ def export_evaluation(df: DataFrame, path: str, mode: str = "errorifexists") ->
     """Nested evaluations as Parquet, with the stored 32-bit metric values."""
     floats = F.transform_values("aggregate", lambda k, v: v.cast("float"))
     df.withColumn("aggregate", floats).write.mode(mode).parquet(path)
+
+
+def rewrite(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace a stored table by ``keep`` of it, for instance ``purge`` of deleted keys.
+
+    The new table is complete next to the old one before their names change
+    places; what a crash leaves is one of the two under a name of its own.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh, old = root.suffix("-new"), root.suffix("-old")
+    keep(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{path.rstrip('/')}-new")
+    files.delete(old, True)
+    if not (files.rename(root, old) and files.rename(fresh, root)):
+        raise OSError(f"{path} could not be replaced")
+    files.delete(old, True)

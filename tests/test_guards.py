@@ -15,7 +15,9 @@ from scoreframe.operators.generation import generate_stored
 from scoreframe.operators.ranking import best_primary
 from scoreframe.operators.tokens import embedding_match
 from scoreframe.plans.scale import running_totals, scratch_path, spread_join
+from scoreframe.plans.scoring import stored_form
 from scoreframe.sources import ingest as I
+from scoreframe.sources.storage import rewrite
 from scoreframe.streaming import jobs as J
 
 PLAN = ScoringPlan("mcq", ("accuracy",), (ParserSpec("process_mcq_yes_no_maybe"),))
@@ -35,6 +37,29 @@ def test_misaligned_outputs_are_an_error_or_a_report(spark):
     assert (report.missing, report.unknown, report.duplicate_outputs, report.aligned) == (3, 1, 1, False)
 
 
+def test_scoring_goes_on_after_what_is_stored(spark):
+    dataset = spark.createDataFrame([(str(i), "yes") for i in range(6)], "id string, reference string")
+    outputs = spark.createDataFrame([("r", str(i), "yes" if i else "no") for i in range(6)], OUTPUT)
+    path = scratch_path(spark, "scores")
+    some = evaluate(dataset.filter("id < '3'"), outputs.filter("id < '3'"), PLAN, path, resume=True)
+    assert some.rows.count() == 3
+    changed = outputs.withColumn("output", F.lit("no"))
+    done = evaluate(dataset, changed, PLAN, path, resume=True)
+    rows = {r.id: r.metrics["accuracy"] for r in done.rows.collect()}
+    assert rows == {"0": 0.0, "1": 1.0, "2": 1.0, "3": 0.0, "4": 0.0, "5": 0.0}
+    stored = stored_form(done, 100).first()
+    assert stored.evaluation_id == "r" and len(stored.rows) == 6
+    assert stored.aggregate == {"accuracy": pytest.approx(1 / 3)}
+
+
+def test_deleted_rows_leave_the_store(spark):
+    path = scratch_path(spark, "store")
+    spark.range(10).write.parquet(path)
+    gone = spark.createDataFrame([(3,), (4,)], "id long")
+    rewrite(spark, path, lambda table: V.purge(table, gone, ["id"]))
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 5, 6, 7, 8, 9]
+
+
 def test_rankings_read_the_effective_status(spark):
     evals = spark.createDataFrame(
         [("r", "Multiple Choice Questions", "processing", "done", "k", {"accuracy": 0.9}),
