@@ -17,7 +17,7 @@ for every document the smallest document id that links reach.
    of them is probed by binary search in the long ones and kept when it
    reaches the required overlap. Pairs that links already join are not probed
    again, so a group of near copies costs a chain of links and not all pairs.
-5. A group beyond ``block_sets`` is dealt to blocks. Links inside blocks come
+5. A group beyond ``block_sets`` (or BLOCK_TOKENS shingles) is dealt to blocks. Links inside blocks come
    first, then each block's components are met with the others' smallest
    members, and the sets outside the largest component of the group are
    searched in every other block. A pair that is in no common component after
@@ -46,8 +46,9 @@ BUCKET_TOKENS = 4_000_000
 FLUSH_TOKENS = 2_000_000
 #: Sets whose counts one task adds up.
 PART_SETS = 20_000
-#: Sets that one task searches together.
+#: Sets that one task searches together, and their shingles, about.
 BLOCK_SETS = 2000
+BLOCK_TOKENS = 4_000_000
 
 _U = np.uint64
 
@@ -518,8 +519,9 @@ def join(
     left = int(alive.agg(F.sum("n")).first()[0] or 0)
     rare = saved(rare_tokens(sets, percent, max(cores, left // BUCKET_TOKENS + 1), parts), "join-rare")
     grouped = saved(groups(rare), "join-groups")
-    sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / block_sets)
+    counted = grouped.join(alive.select(F.col("doc_id").alias("set_id"), "n"), "set_id")
+    sizes = counted.groupBy("grp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("tokens") / BLOCK_TOKENS))
     dealt = grouped.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn(
         "block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))
     )
