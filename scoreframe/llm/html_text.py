@@ -54,9 +54,9 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
     "subscribe subscription signup share sharing social related recommended comment comments "
-    "commentlist disqus reply replies respond discussion sidebar aside widget widgets menu nav "
-    "navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar "
-    "toolbar login search copyright disclaimer".split()
+    "commentlist disqus reply replies respond discussion sidebar side aside widget widgets menu nav "
+    "navbar topnav subnav sidenav navigation breadcrumb breadcrumbs pagination pager footer header "
+    "masthead topbar toolbar login search copyright colophon disclaimer adsbygoogle".split()
 )
 ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
