@@ -1,8 +1,10 @@
 """Licence recognition by sentence identifiers and ordered rules.
 
-A text is cut into sentences, each is normalised and looked up among known
-licence sentences, and the sequence of identifiers found in a text is matched
-against ordered licence rules: a rule that finds its identifiers in sequence
+A text is normalised and cut into pieces at sentence ends, marks and line
+starts. Known licence sentences are looked for among runs of whole pieces, the
+longest first, so that it does not matter how a notice is wrapped and which
+marks it has inside ("v. 2.0", "Foundation; either version 2"). The sequence of
+identifiers found in a text is matched against ordered licence rules: a rule that finds its identifiers in sequence
 names its licence and consumes them, so a later and weaker rule cannot name
 the same sentences again. All of it is one narrow pass of Column expressions;
 the sentences of one text meet in one row only, and texts without any of the
@@ -10,8 +12,8 @@ trigger words, one of which every known sentence holds, are not cut at all.
 
 Null and empty texts, and texts without a known sentence, have zero known
 sentences, an empty identifier sequence and no licence. Repeated rows are
-judged one by one. Sentences wrapped over lines are joined when the next line
-starts with a lower-case letter, a digit, a quote or a bracket.
+judged one by one. A known sentence has to begin and end where a piece does;
+inside a longer sentence it does not count.
 """
 
 from __future__ import annotations
@@ -180,31 +182,45 @@ SUBJECT = (
 BREAK = "\x01"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: lower case, spelling ``license``, single spaces.
+def marked(text: Column) -> Column:
+    """The normalised text, a mark before and after each of its pieces.
 
-    A sentence ends at ``.!?;:`` before white space, at a blank line, and at a
+    A piece ends at ``.!?;:`` before white space, at a blank line, and at a
     line end when the next line starts with an upper-case letter or a mark.
     """
-    marked = F.regexp_replace(text, r"([.!?;:])[ \t\r\n]+", "$1" + BREAK)
-    marked = F.regexp_replace(marked, r"\r?\n([ \t]*[^a-z0-9\"'( \t])", BREAK + "$1")
-    return F.transform(F.split(marked, BREAK), normalise)
+    cut = F.regexp_replace(text, r"([.!?;:])[ \t\r\n]+", "$1" + BREAK)
+    cut = F.regexp_replace(cut, r"\r?\n([ \t]*[^a-z0-9\"'( \t])", BREAK + "$1")
+    low = F.translate(cut, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = _spelling(F.regexp_replace(low, f"[^a-z0-9{BREAK}]+", " "))
+    return F.regexp_replace(F.concat(F.lit(BREAK), plain, F.lit(BREAK)), f" ?{BREAK}[ {BREAK}]*", BREAK)
 
 
 def normalise(sentence: Column) -> Column:
+    """Lower case, spelling ``license``, single spaces, no empty subject."""
     low = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
-    plain = F.regexp_replace(plain, r"\blicen[cs]e(d|s)?\b", "license$1")
+    plain = _spelling(F.trim(F.regexp_replace(low, "[^a-z0-9]+", " ")))
     return F.regexp_replace(plain, SUBJECT, "")
 
 
+def _spelling(plain: Column) -> Column:
+    return F.regexp_replace(plain, r"\blicen[cs]e(d|s)?\b", "license$1")
+
+
+def known_pattern(known: dict[str, Sequence[str]]) -> str:
+    """A pattern over a marked text: known sentences of whole pieces, the longest first."""
+    forms = sorted({form for forms in known.values() for form in forms}, key=len, reverse=True)
+    pattern = f"(?:{SUBJECT.lstrip('^')})?+(?:{'|'.join(forms)})".replace(" ", f"[ {BREAK}]")
+    return f"{BREAK}{pattern}(?={BREAK})"
+
+
 def identifiers(text: Column, known: dict[str, Sequence[str]] | None = None) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     known = SENTENCES if known is None else known
     table = F.create_map(
         *[F.lit(x) for name, forms in known.items() for form in forms for x in (form, name)]
     )
-    found = let(table, lambda t: F.transform(sentences(text), lambda s: F.try_element_at(t, s)))
+    hits = F.regexp_extract_all(marked(text), F.lit(known_pattern(known)), F.lit(0))
+    found = let(table, lambda t: F.transform(hits, lambda s: F.try_element_at(t, normalise(s))))
     return F.filter(found, lambda name: name.isNotNull())
 
 

@@ -58,6 +58,84 @@ def test_every_sentence_has_a_trigger_and_is_normal(spark):
     assert rows.where(licenses.normalise(F.col("form")) != F.col("form")).count() == 0
 
 
+NOTICES = {
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+               " If a copy of the MPL was not distributed with this\nfile, You can obtain one at"
+               " http://mozilla.org/MPL/2.0/.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under"
+                        " the terms of the GNU General Public License as published by\nthe Free Software"
+                        " Foundation; either version 2 of the License, or\n(at your option) any later"
+                        " version.\n\nThis program is distributed in the hope that it will be useful,\nbut"
+                        " WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or"
+                        " FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more"
+                        " details.\n\nYou should have received a copy of the GNU General Public License"
+                        " along\nwith this program; if not, write to the Free Software Foundation.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software"
+           ' and associated documentation files (the "Software"), to deal\nin the Software without'
+           " restriction, including without limitation the rights\nto use, copy, modify, merge, publish,"
+           " distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom"
+           " the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above"
+           " copyright notice and this permission notice shall be included in all\ncopies or substantial"
+           ' portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,'
+           " EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS"
+           " FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT"
+           " HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF"
+           " CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE"
+           " USE OR OTHER DEALINGS IN THE\nSOFTWARE.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file'
+                  " except in compliance with the License.\nYou may obtain a copy of the License at\n\n   "
+                  " http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed"
+                  " to in writing, software\ndistributed under the License is distributed on an \"AS IS\""
+                  " BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the"
+                  " License for the specific language governing permissions and\nlimitations under the License.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are"
+                    " permitted provided that the following conditions are met:\n\n1. Redistributions of"
+                    " source code must retain the above copyright notice, this\n   list of conditions and the"
+                    " following disclaimer.\n\n2. Redistributions in binary form must reproduce the above"
+                    " copyright notice,\n   this list of conditions and the following disclaimer in the"
+                    " documentation\n   and/or other materials provided with the distribution.\n\n3. Neither"
+                    " the name of the copyright holder nor the names of its\n   contributors may be used to"
+                    " endorse or promote products derived from\n   this software without specific prior"
+                    " written permission.",
+}
+NOTICE_IDS = {
+    "MPL-2.0": "MplUnder",
+    "GPL-2.0-or-later": "GplVersion2Later GplNoWarranty GplSeeCopy GplSeeCopy",
+    "MIT": "MitGrant MitNotice MitAsIs MitLiability",
+    "Apache-2.0": "ApacheUnder ApacheObtain ApacheAsIs ApacheLimits",
+    "BSD-3-Clause": "BsdRedistribution BsdSource BsdBinary BsdEndorse",
+}
+
+
+@pytest.mark.parametrize("shape", ["published", "unwrapped", "narrow", "commented"])
+def test_published_notices(spark, shape):
+    import textwrap
+
+    def shaped(text):
+        parts = [" ".join(p.split()) for p in text.split("\n\n")]
+        if shape == "unwrapped":
+            return "\n\n".join(parts)
+        if shape == "narrow":
+            return "\n\n".join(textwrap.fill(p, 34) for p in parts)
+        if shape == "commented":
+            return "".join(f"\n * {line}" for line in text.split("\n"))
+        return text
+
+    rows = [(i, f"Some prose.\n\n{shaped(t)}\n", None) for i, t in enumerate(NOTICES.values())]
+    got = {r.doc_id: r for r in licenses.recognise(spark.createDataFrame(rows, DOC)).collect()}
+    for i, name in enumerate(NOTICES):
+        assert (got[i].licences, got[i].sentence_ids) == ([name], NOTICE_IDS[name].split()), name
+        assert got[i].n_known == len(got[i].sentence_ids)
+
+
+def test_known_words_inside_a_longer_sentence_do_not_count(spark):
+    texts = ["It is not licensed under the MIT\nLicense.", "Licensed under the MIT\nLicense of old.",
+             "The GPL;\nlicensed under the\nMIT License? Yes"]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r.sentence_ids for r in licenses.recognise(rows).collect()}
+    assert got == {0: [], 1: [], 2: ["MitUnder"]}
+
+
 def test_rules_are_ordered_and_consume(spark):
     rows = spark.createDataFrame([(1, "alpha licence. beta licence. alpha licence.", None)], DOC)
     known = {"A": ["alpha license"], "B": ["beta license"]}
