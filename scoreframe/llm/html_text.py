@@ -6,8 +6,9 @@ are taken (links do not count), smoothed over neighbouring paths in page order
 and fused to one score. The scores of the paths add up per container, which is
 the outermost ``article`` or ``main``; those that reach a share of the best one
 are the content, and all their blocks are kept, in page order. On a page without
-them the content is the deepest element that holds most of the score; where that
-is the body, its weak parts are left out. What a tag, class, id or role names as a
+them the content is the deepest element that holds most of the score, with what
+stands beside it or its parents and is not weak, and the headings before that;
+where it is the body, its weak parts are left out. What a tag, class, id or role names as a
 menu, header, footer, sidebar, notice, advert, form or comment, and what is
 hidden, has no path.
 
@@ -78,9 +79,11 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Share of the best container's score that content reaches.
 THRESHOLD = 0.5
 #: Share of the score that an element holds if the content lies in it, and share
-#: of the best part's score below which a part of a body is left out.
+#: of the best part's score below which a part beside others is left out.
 MOST = 0.7
 WEAK = 0.1
+#: Characters without links below which a text is a label and no prose.
+SHORT = 60
 #: How much more an article counts than text outside of one.
 ARTICLE_WEIGHT = 50.0
 
@@ -281,8 +284,39 @@ def select(blocks: list[Block], threshold: float = THRESHOLD) -> list[Block]:
     return [b for b in blocks if total[b.container] >= bar]
 
 
+def _plain(blocks: list[Block]) -> float:
+    """Score without smoothing, which lends weight to small neighbours."""
+    return sum(b.own * (1 + b.marks) ** 0.5 for b in blocks)
+
+
+def _heading(block: Block) -> bool:
+    return bool(block.nodes) and block.nodes[-1][1] in HEADINGS
+
+
+def _strong(found: dict) -> set:
+    """The parts that are not weak, by score or by length."""
+    plain = {k: _plain(some) for k, some in found.items()}
+    own = {k: sum(b.own for b in some) for k, some in found.items()}
+    bar, least = WEAK * max(plain.values()), max(SHORT, WEAK * max(own.values()))
+    return {k for k in found if plain[k] >= bar or own[k] >= least}
+
+
+def _beside(found: dict, best: tuple, place: dict[int, int]) -> set[int]:
+    """Of the parts beside the best one: those that are not weak, and the headings
+    before the last of them all, but for titles of link lists."""
+    strong = {k for k in _strong(found) if any(b.own for b in found[k])} | {best}
+    last = max(place[id(found[k][-1])] for k in strong)
+    kept = {id(b) for k in strong - {best} for b in found[k]}
+    for key in found.keys() - strong:
+        rest = [b for b in found[key] if not _heading(b)]
+        if 2 * sum(b.own for b in rest) >= sum(len(b.text) for b in rest):
+            kept |= {id(b) for b in found[key] if _heading(b) and place[id(b)] < last}
+    return kept
+
+
 def _densest(blocks: list[Block], scores: dict[tuple, float]) -> list[Block]:
-    """The blocks of the deepest element that holds most of the score."""
+    """The blocks of the deepest element that holds most of the score, and what
+    stands beside it or its parents and is not weak."""
     count: dict[tuple, int] = {}
     for block in blocks:
         key = (block.container, block.path)
@@ -300,21 +334,22 @@ def _densest(blocks: list[Block], scores: dict[tuple, float]) -> list[Block]:
     def weight(some: list[Block]) -> float:
         return sum(each[b.container, b.path] for b in some)
 
-    level = 0
+    level, page, kept = 0, blocks, set()
+    place = {id(b): i for i, b in enumerate(page)}
     while True:
         found = parts(level)
         best = max(found, key=lambda k: weight(found[k]))
         container = len(best) == 2 and isinstance(best[0], int)
         if not container or weight(found[best]) < MOST * weight(blocks):
             break
+        kept |= _beside(found, best, place)
         blocks, level = found[best], level + 1
     if level and blocks[0].nodes[level - 1][1] not in ("html", "body"):
-        return blocks
-    # Smoothing lends weight to small neighbours, so parts are compared without it.
-    plain = {k: sum(b.own * (1 + b.marks) ** 0.5 for b in some) for k, some in found.items()}
-    bar = WEAK * max(plain.values())
-    kept = {id(b) for k, some in found.items() if plain[k] >= bar for b in some}
-    return [b for b in blocks if id(b) in kept or (b.nodes and b.nodes[-1][1] in HEADINGS)]
+        kept |= {id(b) for b in blocks}
+    else:
+        kept |= {id(b) for k in _strong(found) for b in found[k]}
+        kept |= {id(b) for b in blocks if _heading(b)}
+    return [b for b in page if id(b) in kept]
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:

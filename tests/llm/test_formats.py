@@ -338,6 +338,26 @@ def test_page_text(page):
     assert html_text.main_text(page) == HTML[page]
 
 
+PROSE = "This sentence is prose, it has commas, and it goes on for a while. "
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><h1>Title</h1><div class=content><p>{PROSE * 5}</p><p>{PROSE * 4}</p></div></body>",
+     ["Title", PROSE * 5, PROSE * 4]),
+    # A lead, a second column with its heading, and a wrapped title.
+    (f"<body><div class=lead><p>{PROSE * 2}</p></div><div class=content><p>{PROSE * 9}</p><p>{PROSE * 9}</p></div>"
+     f"<h2>More</h2><div class=column><p>{PROSE * 2}</p></div><div><a href=1>one</a></div></body>",
+     [PROSE * 2, PROSE * 9, PROSE * 9, "More", PROSE * 2]),
+    (f"<body><div class=lead><p>{PROSE * 2}</p></div><div class=content><p>{PROSE * 9}</p><p>{PROSE * 9}</p></div>"
+     "<div><a href=1>one</a></div></body>", [PROSE * 2, PROSE * 9, PROSE * 9]),
+    (f"<body><div class=top><h2>Title</h2><p>By Ann</p></div><div><h3>Topics</h3><ul><li><a href=1>one</a></ul></div>"
+     f"<div class=page><div>Small</div><h2>Part</h2><div><p>{PROSE * 5}</p><p>{PROSE * 5}</p></div></div></body>",
+     ["Title", "Part", PROSE * 5, PROSE * 5]),
+])
+def test_what_stands_beside_the_densest_element(page, want):
+    assert html_text.main_text(page) == "\n".join(x.strip() for x in want)
+
+
 def test_long_article_beside_long_adverts():
     advert = "<div class=ad><p>" + "Buy this, now! " * 500 + "</p></div>"
     page = advert + "<article><h1>Short</h1><p>Tiny.</p></article>" + "<div><p>" + "Stray, text. " * 20 + "</p></div>"
