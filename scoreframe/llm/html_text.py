@@ -10,7 +10,9 @@ them the content is the deepest element that holds most of the score, with what
 stands beside it or its parents and is not weak, and the headings before that;
 where it is the body, its weak parts are left out. What a tag, class, id or role names as a
 menu, header, footer, sidebar, notice, advert, form or comment, and what is
-hidden, has no path.
+hidden, has no path. Some names are ordinary words ("discussion", "related"): in
+an article, and on a page without one, an element that only they name goes if it
+is short, mostly links or a run of replies, and stays if it is prose.
 
 Character references are decoded, white space in a block (also from ``<br>``)
 becomes one space, and blocks are joined by line feeds. Broken markup is read
@@ -59,6 +61,13 @@ ASIDE_WORDS = frozenset(
     "navbar topnav subnav sidenav navigation breadcrumb breadcrumbs pagination pager footer header "
     "masthead topbar toolbar login search copyright colophon disclaimer adsbygoogle".split()
 )
+#: Those of them that are ordinary words and may name a part of the text.
+DOUBTFUL = frozenset(
+    "sponsor sponsored promotion banner consent notice notices alert share sharing social related "
+    "recommended reply replies respond discussion side aside widget widgets menu navigation login "
+    "signup subscription search copyright disclaimer".split()
+)
+REPLIES = frozenset("reply replies respond response responses message post thread".split())
 ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
     "toolbar".split()
@@ -94,6 +103,7 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
+CONTAINER = re.compile(r"<(?:article|main)\b", re.I)
 ATTRIBUTE = re.compile(
     r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?", re.S
 )
@@ -114,34 +124,46 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(raw)}
 
 
-def _aside(tag: str, raw: str) -> tuple[bool, str]:
-    """Whether the element stands beside the text, and its name in a path."""
+def _words(named: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())
+
+
+def _aside(tag: str, raw: str) -> tuple[bool, bool, str]:
+    """Whether the element stands beside the text, whether only a doubtful word says
+    so, and its name in a path."""
     if tag in DROPPED:
-        return True, tag
+        return True, False, tag
     if not raw or raw.isspace():
-        return False, tag
+        return False, False, tag
     given = _attributes(raw)
     if "hidden" in given or given.get("aria-hidden") == "true":
-        return True, tag
+        return True, False, tag
     if re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
-        return True, tag
+        return True, False, tag
     if given.get("role", "").lower() in ASIDE_ROLES:
-        return True, tag
+        return True, False, tag
     named = f"{given.get('class', '')} {given.get('id', '')}"
     if tag == "article":  # "comments-open" is no comment
         words = named.lower().split()
     else:
-        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())
+        words = _words(named)
     plain = tag in HEADINGS or tag in ("html", "body", "main")
-    if not plain and not ASIDE_WORDS.isdisjoint(words):
-        return True, tag
-    return False, f"{tag}.{'.'.join(given.get('class', '').split())}" if given.get("class") else tag
+    name = f"{tag}.{'.'.join(given.get('class', '').split())}" if given.get("class") else tag
+    found = set() if plain else ASIDE_WORDS.intersection(words)
+    if found and found <= DOUBTFUL:
+        return True, True, name
+    return bool(found), False, tag if found else name
 
 
 class _Reader:
     """Reads a page into blocks with a stack of open block elements."""
 
-    def __init__(self):
+    def __init__(self, contained: bool = True):
+        #: Whether the page has an article or main.
+        self.contained = contained
+        #: Numbers of the doubtful elements; open doubtful spans with the text before them.
+        self.doubts: set[int] = set()
+        self.spans: list[tuple[int, int, int]] = []
         # tag, name in the path, aside, number of the element
         self.stack: list[tuple[str, str, bool, int]] = []
         self.elements = 0
@@ -153,7 +175,18 @@ class _Reader:
         self.in_link = False
         self.blocks: list[Block] = []
 
+    def _settle(self) -> None:
+        """Ends a doubtful span: a label or a link goes, prose stays."""
+        _, at, links = self.spans.pop()
+        text = " ".join("".join(self.parts[at:]).split())
+        own = len(text) - (self.links - links)
+        if own < SHORT or 2 * own < len(text):
+            del self.parts[at:]
+            self.links = links
+
     def flush(self) -> None:
+        while self.spans:
+            self._settle()
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
@@ -184,8 +217,10 @@ class _Reader:
             self.container = (*(n for _, n, _, _ in self.stack), self.articles)
 
     def _pop(self) -> None:
-        _, _, aside, _ = self.stack.pop()
+        _, _, aside, number = self.stack.pop()
         self.aside -= aside
+        if self.spans and self.spans[-1][0] == number:
+            self._settle()
         if self.container and len(self.stack) < len(self.container) - 1:
             self.container = ()
 
@@ -195,7 +230,11 @@ class _Reader:
             return
         if tag in VOID:
             return
-        aside, name = _aside(tag, raw)
+        aside, doubt, name = _aside(tag, raw)
+        if doubt:  # outside of the article it is none of the text
+            judged = self.container or not self.contained or (tag == "article" and not self.articles)
+            aside = not judged
+            doubt = bool(judged)
         if tag in BLOCK:
             self.flush()
             while self.stack:
@@ -207,9 +246,14 @@ class _Reader:
                 else:
                     break
             self._push(tag, name, aside)
-        elif aside:
+            if doubt:
+                self.doubts.add(self.elements)
+        elif aside or doubt:
             if not raw.rstrip().endswith("/"):
-                self._push(tag, name, True)
+                self._push(tag, name, aside)
+                if doubt:
+                    self.spans.append((self.elements, len(self.parts), self.links))
+                    self.in_link = self.in_link or tag == "a"
         elif tag == "a":
             self.in_link = True
 
@@ -233,7 +277,7 @@ class _Reader:
 
 
 def read_blocks(page: str) -> list[Block]:
-    reader, at = _Reader(), 0
+    reader, at = _Reader(CONTAINER.search(page) is not None), 0
     for token in TOKEN.finditer(page):
         if token.start() > at:
             reader.text(page[at : token.start()])
@@ -246,7 +290,58 @@ def read_blocks(page: str) -> list[Block]:
     if at < len(page):
         reader.text(page[at:])
     reader.flush()
-    return reader.blocks
+    return _judged(reader.blocks, reader.doubts) if reader.doubts else reader.blocks
+
+
+def _judged(blocks: list[Block], doubts: set[int]) -> list[Block]:
+    """The blocks without the doubtful elements that are no prose, inner ones first."""
+    inside: dict[int, list[Block]] = {}
+    level: dict[int, int] = {}
+    for block in blocks:
+        for k, (number, _) in enumerate(block.nodes):
+            if number in doubts:
+                inside.setdefault(number, []).append(block)
+                level[number] = k
+    alike: dict[tuple, int] = {}  # doubtful elements of one name under one parent
+    for number, some in inside.items():
+        key = _sibling(some[0], level[number])
+        alike[key] = alike.get(key, 0) + 1
+    gone: set[int] = set()
+    for number in sorted(inside, reverse=True):
+        some = [b for b in inside[number] if id(b) not in gone]
+        own, key = sum(b.own for b in some), _sibling(inside[number][0], level[number])
+        replies = alike[key] > 1 and not REPLIES.isdisjoint(_words(key[1]))
+        if replies or own < SHORT or 2 * own < sum(len(b.text) for b in some) or _threaded(some, level[number]):
+            gone |= {id(b) for b in some}
+    return [b for b in blocks if id(b) not in gone]
+
+
+def _sibling(block: Block, level: int) -> tuple[int, str]:
+    """The parent of a block's element at a level, and the element's name."""
+    return block.nodes[level - 1][0] if level else 0, block.path[level]
+
+
+def _threaded(blocks: list[Block], level: int) -> bool:
+    """Whether most of an element's text stands in repeats like comments: nested
+    articles, elements named as replies, or named elements without heading that
+    begin with a short line such as a name and a date."""
+    kinds: dict[tuple, dict[int, list[Block]]] = {}
+    for block in blocks:
+        for k in range(level + 1, len(block.nodes)):
+            if block.nodes[k][1] in ("article", "div", "li", "section"):
+                kinds.setdefault(_sibling(block, k), {}).setdefault(block.nodes[k][0], []).append(block)
+    for (_, name), each in kinds.items():
+        if len(each) < 2 or 2 * sum(b.own for some in each.values() for b in some) < sum(b.own for b in blocks):
+            continue
+        tag, _, classes = name.partition(".")
+        signed = all(
+            len(some) > 1 and len(some[0].text) < SHORT and not PUNCTUATION.match(some[0].text[-1])
+            and not any(b.own and _heading(b) for b in some)
+            for some in each.values()
+        )
+        if tag == "article" or not REPLIES.isdisjoint(_words(classes)) or (classes and signed):
+            return True
+    return False
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:

@@ -358,6 +358,41 @@ def test_what_stands_beside_the_densest_element(page, want):
     assert html_text.main_text(page) == "\n".join(x.strip() for x in want)
 
 
+ORDINARY = ["discussion", "related-work", "social-history", "notice", "search", "shareAlike", "disclaimer", "reply"]
+
+
+@pytest.mark.parametrize("word", ORDINARY)
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_prose_stays_whatever_ordinary_word_names_it(word, outer):
+    head = f"<body><{outer}><h1>Title</h1><p>{PROSE * 4}</p>"
+    tail = f"<p>{PROSE}</p></{outer}></body>"
+    for name in (f"class='{word}'", f"id='{word}'"):
+        page = f"{head}<section {name}><h2>Part</h2><p>{PROSE * 3}</p><div><p>{PROSE * 2}</p></div></section>{tail}"
+        want = ["Title", PROSE * 4, "Part", PROSE * 3, PROSE * 2, PROSE]
+        assert html_text.main_text(page) == "\n".join(x.strip() for x in want)
+    inline = f"{head}<p>Before <span class={word}>{PROSE}</span> after.</p>{tail}"
+    assert f"Before {PROSE.strip()} after." in html_text.main_text(inline)
+
+
+@pytest.mark.parametrize("part", [
+    "<div class=share>Share this</div>",
+    "<p>x <span class=share>Share</span></p>",
+    "<p>x <a class=share href=1>Share this story with all of your friends and with everybody else you know</a></p>",
+    f"<div class=related><h2>Related</h2><ul><li><a href=1>{PROSE}</a><li><a href=2>{PROSE}</a></ul></div>",
+    f"<div class=related><article><h3><a href=1>One</a></h3><p>{PROSE}</p></article>"
+    f"<article><h3><a href=2>Two</a></h3><p>{PROSE}</p></article></div>",
+    f"<section id=discussion><div class=item><b>Ann, May 2</b><p>{PROSE * 2}</p></div>"
+    f"<div class=item><b>Bob, May 3</b><p>{PROSE}</p></div></section>",
+    f"<div class=reply><p>{PROSE}</p></div><div class=reply><p>{PROSE}</p></div>",
+    f"<div class='ad related'><p>{PROSE * 3}</p></div><div class=cookie><p>{PROSE * 3}</p></div>"
+    f"<div id=comments><p>{PROSE * 3}</p></div><div class=navbar><p>{PROSE * 3}</p></div>",
+])
+def test_labels_links_and_replies_go(part):
+    page = f"<article><h1>Title</h1><p>{PROSE * 4}</p>{part}<p>End.</p></article><div class=related><p>{PROSE * 9}</p></div>"
+    want = f"Title\n{(PROSE * 4).strip()}\n{'x\n' if part.startswith('<p>') else ''}End."
+    assert html_text.main_text(page) == want
+
+
 def test_long_article_beside_long_adverts():
     advert = "<div class=ad><p>" + "Buy this, now! " * 500 + "</p></div>"
     page = advert + "<article><h1>Short</h1><p>Tiny.</p></article>" + "<div><p>" + "Stray, text. " * 20 + "</p></div>"
