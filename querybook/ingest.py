@@ -1,5 +1,8 @@
 """Sources and sinks."""
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scoreframe.plans.scale import scratch_path
@@ -13,6 +16,10 @@ from . import fixtures as fx
 from .base import query, table
 from .fixtures import sql
 
+#: Characters of an array of objects in one file; a longer object is a file of its own.
+ARRAY_CHARS = 4_000_000
+
+
 def _shape():
     return ["id", "reference", F.length("input").alias("chars"), F.md5("input").alias("digest")]
 
@@ -53,19 +60,39 @@ def ingest_csv_text(spark, sf_dir):
     return read_dataset(spark, path, "csv").select(*_shape())
 
 
+def _arrays(batches):
+    """Rows of one column ``value``: arrays of objects, as many as a task's rows need."""
+
+    def whole():
+        return pa.RecordBatch.from_arrays([pa.array([f"[{','.join(held)}]"], pa.string())], ["value"])
+
+    held, chars = [], 0
+    for batch in batches:
+        columns = [batch.column(c) for c in batch.schema.names]
+        for row in zip(*columns):
+            one = json.dumps(
+                dict(zip(batch.schema.names, (x.as_py() for x in row))), ensure_ascii=False
+            )
+            if held and chars + len(one) + 2 > ARRAY_CHARS:
+                yield whole()
+                held, chars = [], 0
+            held.append(one)
+            chars += len(one) + 1
+    if held:
+        yield whole()
+
+
 @query(
     "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS reference, CAST(length(text) AS INT) AS chars, "
     "md5(text) AS digest FROM documents"
 )
 def ingest_json_array(spark, sf_dir):
-    """Files that hold one array of objects each."""
+    """Files that hold one array of objects each, of ARRAY_CHARS at most."""
     path = scratch_path(spark, "json-array")
-    one = F.to_json(F.collect_list(F.struct(
+    rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("input_raw"), F.col("lang").alias("reference")
-    )))
-    table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 16).alias("part")).agg(
-        one.alias("value")
-    ).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    )
+    rows.mapInArrow(_arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
     mapping = {c: c for c in ("id", "input_raw", "reference")}
     return read_dataset(spark, path, "json", mapping).select(*_shape())
 

@@ -241,3 +241,20 @@ def test_dedupe_with_arrival_time_bounds_state(spark):
     stream = spark.readStream.schema(schema).parquet(folder)
     plan = J.dedupe_outputs(stream, arrived="at", delay="10 minutes")
     assert "Watermark" in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_array_files_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    import querybook.ingest as Q
+
+    # Ids that a fixed number of groups would gather in one file.
+    long = F.repeat(F.concat(F.lit('wort "x"\n'), F.col("id").cast("string")), 50_000)
+    frame = spark.range(0, 16 * 24, 16, 2).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 32 == 0, "kurz\té").otherwise(long).alias("text"),
+        F.lit("de").alias("lang"))
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(Q, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = {r.id: (r.chars, r.digest, r.reference) for r in Q.ingest_json_array(spark, str(tmp_path)).collect()}
+    want = frame.select("doc_id", F.length("text"), F.md5("text"), "lang").collect()
+    assert got == {str(r[0]): tuple(r[1:]) for r in want}
+    sizes = [f.stat().st_size for f in (tmp_path / "json-array").glob("part-*")]
+    assert max(sizes) < 5_000_000 and sum(sizes) > 7_000_000
