@@ -23,9 +23,10 @@ for every document the smallest document id that links reach.
    searched in every other block. A pair that is in no common component after
    that has been compared, so nothing is lost.
 
-Sets and shingles are known by 64-bit hashes. Documents with null id take no
-part (null component); texts without words link with nothing. Documents that
-repeat an id count one by one and share their id's name.
+Sets and shingles are known by 64-bit hashes; a set's id is its hash, and only
+the result names it by a document. Documents with null id take no part (null
+component); texts without words link with nothing. Documents that repeat an id
+count one by one and share their id's name.
 """
 
 from __future__ import annotations
@@ -210,17 +211,17 @@ def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataF
 
 
 def load_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_id, tokens) of the wanted (doc_id, key): the texts are read again."""
+    """(set_id, tokens) of the wanted (doc_id, key), by key: the texts are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, want = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
+            want = batch.column("key").to_numpy()
             out, seen = [], set()
             for row, tokens in arrays.shingle_sets(batch.column("text"), size):
                 key = int(_keys([arrays.digest(tokens)])[0])
                 if key == want[row] and key not in seen:
                     seen.add(key)
-                    out.append((int(ids[row]), tokens.tobytes()))
+                    out.append((key, tokens.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()),
                  pa.array([o[1] for o in out], pa.binary())],
@@ -501,7 +502,7 @@ def join(
     rows = saved(describe(source, size), "join-sets")
     present = rows.where("n_shingles > 0 and doc_id is not null")
     reps = present.groupBy("digest").agg(
-        F.min("doc_id").alias("set_id"), F.first("key").alias("key"),
+        F.min("doc_id").alias("name"), F.first("key").alias("set_id"),
         F.first("n_shingles").alias("n"),
     )
     count, tokens = present.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
@@ -511,15 +512,16 @@ def join(
     known = source.where(F.col("doc_id").isNotNull())
     shared = shared_counts(known, size, buckets, parts)
     alive = saved(
-        reps.join(shared, "key").where(100 * F.col("shared") >= percent * F.col("n"))
-        .select(F.col("set_id").alias("doc_id"), "key", "n"),
+        reps.join(shared.withColumnRenamed("key", "set_id"), "set_id")
+        .where(100 * F.col("shared") >= percent * F.col("n"))
+        .select(F.col("name").alias("doc_id"), F.col("set_id").alias("key"), "n"),
         "join-alive",
     )
     sets = saved(load_sets(known, alive.select("doc_id", "key"), size), "join-tokens")
     left = int(alive.agg(F.sum("n")).first()[0] or 0)
     rare = saved(rare_tokens(sets, percent, max(cores, left // BUCKET_TOKENS + 1), parts), "join-rare")
     grouped = saved(groups(rare), "join-groups")
-    counted = grouped.join(alive.select(F.col("doc_id").alias("set_id"), "n"), "set_id")
+    counted = grouped.join(alive.select(F.col("key").alias("set_id"), "n"), "set_id")
     sizes = counted.groupBy("grp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
     blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("tokens") / BLOCK_TOKENS))
     dealt = grouped.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn(
@@ -531,13 +533,16 @@ def join(
     if large.limit(1).count():
         big = saved(_large_groups(sets.join(large, "set_id"), label, percent), "join-large")
         label = label.join(big.select("set_id"), "set_id", "left_anti").unionByName(big)
+    named_sets = label.join(alive.select(F.col("key").alias("set_id"), F.col("doc_id").alias("name")), "set_id")
+    least = named_sets.groupBy("label").agg(F.min("name").alias("component"))
     moved = (
-        reps.select("digest", "set_id").join(label, "set_id", "left")
-        .withColumn("component", F.coalesce("label", "set_id"))
+        reps.select("digest", "set_id", "name")
+        .join(label.join(least, "label").drop("label"), "set_id", "left")
+        .withColumn("component", F.coalesce("component", "name"))
     )
     # Most documents are alone in their component and need no partner here.
     copies = present.groupBy("digest").agg(F.count("*").alias("rows"))
-    named = moved.join(copies, "digest").where("rows > 1 or component <> set_id")
+    named = moved.join(copies, "digest").where("rows > 1 or component <> name")
     return rows.join(named.select("digest", "component"), "digest", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0),

@@ -94,6 +94,19 @@ def test_join_of_groups_in_many_blocks(spark, seed):
         assert sorted(map(tuple, got), key=repr) == want
 
 
+@pytest.mark.parametrize("size", [3, 2000])
+def test_texts_under_one_id_link_on_their_own(spark, size):
+    first, second = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(5, " ".join(first)), (5, " ".join(second)), (7, " ".join(first + ["more"])),
+            (9, " ".join(second + ["more"])), (11, "a text by itself, of some words")]
+    rows += [(None if d is None else 100 + d // 4, t) for d, t in near_copies(6)]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    got = sorted(map(tuple, ngram_join.join(docs, 4, 85, block_sets=size).collect()), key=repr)
+    assert got == brute_join(rows, 4, 85)
+    kept = [r.doc_id for r in ngram_join.keep_one(docs.where("doc_id < 12")).collect()]
+    assert sorted(kept) == [5, 5, 11]
+
+
 def test_join_of_nothing_and_small_buffers(spark, monkeypatch):
     assert ngram_join.join(spark.createDataFrame([], DOC)).count() == 0
     blank = spark.createDataFrame([(1, None), (2, "")], DOC)
