@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, html_text, licenses, mixing, ngram_join, packing, quality, substrings, topk, warc
+from . import bpe, chat, html_text, licenses, mixing, ngram_join, packing, quality, substrings, topk, warc
 from ..plans.scale import scratch_path
 from .base import Query, saved, table
 
@@ -319,3 +319,21 @@ WITH p AS (
 )
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 """
+
+
+BYTE_TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = str(public_tokenizers.path(BYTE_TOKENIZER))
+    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"),
+    )
