@@ -117,9 +117,45 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
         row = stop
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def parts(
+    column: pa.Array, limit: int = SLICE_BYTES, outside: np.ndarray = _SPACE
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(first row, bytes, offsets, goes on): ``slices`` that cut longer texts too.
+
+    A text of more than ``limit`` bytes comes alone, bit by bit, each ending after
+    a byte that is ``outside`` of words; with ``goes on`` the next slice has more.
+    """
+    if len(column) == 0:
+        return
+    raw, offsets = buffers(column)
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        at, end = int(offsets[row]), int(offsets[row + 1])
+        if end - at <= limit:
+            stop = int(np.searchsorted(offsets, at + limit, "right")) - 1
+            yield row, raw[at : offsets[stop]], offsets[row : stop + 1] - at, False
+            row = stop
+            continue
+        while at < end:
+            to = at + limit
+            while to < end:
+                ahead = outside[raw[to - 1 : min(to - 1 + limit, end)]]
+                first = int(ahead.argmax())
+                if ahead[first]:
+                    to += first
+                    break
+                to += len(ahead)
+            to = min(to, end)
+            yield row, raw[at:to], np.array([0, to - at]), to < end
+            at = to
+        row += 1
+
+
+def find_words(
+    data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the index of each text's first word."""
-    inside = ~_SPACE[data]
+    inside = ~outside[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]

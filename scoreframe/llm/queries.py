@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_text, licenses, mixing, ngram_join, packing, quality, substrings, topk, warc
+from . import bpe, chat, html_text, lexical, licenses, mixing, negatives, ngram_join, packing, quality, substrings, topk, warc
 from ..plans.scale import scratch_path
 from .base import Query, saved, table
 
@@ -337,3 +337,74 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.rank(docs, items, k=10)
+
+
+ORACLE["op12_lexical_search"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, row_number() OVER () AS iid, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), q AS (
+  SELECT item_id, iid, term, count(*) AS times FROM i GROUP BY ALL
+), s AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0
+), u AS (
+  SELECT rid, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d
+), p AS (
+  SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM u GROUP BY ALL
+), f AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM p, s GROUP BY term, n_docs
+), c AS (
+  SELECT item_id, iid, rid, doc_id, sum(times * weight
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY item_id, iid, rid, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+    (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (
+  SELECT row_number() OVER () AS aid, * FROM (SELECT DISTINCT vec_id, label, e FROM v WHERE vec_id % 100 = 0)
+), s AS (
+  SELECT a.aid, a.vec_id AS anchor_id, v.rid, v.vec_id, a.label = v.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.e, v.e), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e)
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id) AS place FROM s WHERE same)
+  WHERE place <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.aid, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.aid = s.aid AND NOT s.same
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
