@@ -280,12 +280,14 @@ def _kinds() -> np.ndarray:
     """Letter, number, space or other for every code point."""
     kept = arrays.worker_store()
     if "kinds" not in kept:
-        # Surrogates are no characters of texts.
-        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        every, kinds = "".join(map(chr, points)), np.full(0x110000, _OTHER, np.uint8)
-        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-            for run in regex.finditer(pattern, every):
-                kinds[[ord(c) for c in run.group()]] = kind
+        kinds = np.full(0x110000, _OTHER, np.uint8)
+        for at in range(0, 0x110000, 4096):
+            if 0xD800 <= at < 0xE000:  # surrogates are no characters of texts
+                continue
+            every = "".join(map(chr, range(at, at + 4096)))
+            for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+                for run in regex.finditer(pattern, every):
+                    kinds[at + run.start() : at + run.end()] = kind
         kept["kinds"] = kinds
     return kept["kinds"]
 

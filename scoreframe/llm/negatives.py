@@ -71,8 +71,11 @@ def _directions(x: np.ndarray) -> np.ndarray:
 def fit_centres(x: np.ndarray, number: int = CENTRES, rounds: int = ROUNDS) -> np.ndarray:
     """Directions that represent the given vectors: spherical k-means, the same each time."""
     points = _directions(x)
-    points = points[np.lexsort(points.T[::-1])] if len(points) else points
-    centres = points[np.unique(np.linspace(0, len(points) - 1, min(number, len(points))).astype(int))] if len(points) else points
+    if not points.size:
+        return points[:1]
+    points = points[np.lexsort(points.T[::-1])]
+    chosen = np.unique(np.linspace(0, len(points) - 1, min(number, len(points))).astype(int))
+    centres = points[chosen]
     for _ in range(rounds):
         mine = (points @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
