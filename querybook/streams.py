@@ -1,9 +1,9 @@
 """Streaming jobs run to the end of their input; batch SQL is the oracle."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from scoreframe.operators.annotations import SCORE_KEYS
-from scoreframe.plans.scale import scratch_path
+from scoreframe.plans.scale import cut, scratch_path
 from scoreframe.schemas import OUTPUTS
 from scoreframe.streaming import jobs as J
 
@@ -13,20 +13,29 @@ from .corpus import YES_NO
 from .fixtures import sql
 
 _COLUMNS = ["inference_id", "id", "output"]
+_ARRIVED = T.StructType([*OUTPUTS.fields, T.StructField("arrived", T.TimestampType())])
 
 
 def _arrivals(spark, sf_dir) -> str:
-    """Outputs in ten files, and a part of them delivered again."""
+    """Outputs in ten files a minute apart, and a part of them delivered again later."""
     path = scratch_path(spark, "arrivals")
-    outputs = fx.label_outputs(spark, sf_dir).select(*_COLUMNS)
+    minute = F.pmod(F.xxhash64("id"), F.lit(10))
+    outputs = fx.label_outputs(spark, sf_dir).select(
+        *_COLUMNS, F.timestamp_seconds(1_700_000_000 + 60 * minute).alias("arrived"))
     outputs.repartition(10, "id").write.parquet(path)
-    again = F.pmod(F.xxhash64("id"), F.lit(10)) == 3
-    outputs.filter(again).coalesce(1).write.mode("append").parquet(path)
+    again = outputs.filter(minute == 3).withColumn("arrived", F.expr("arrived + INTERVAL 20 MINUTES"))
+    again.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
+def _once(spark, arrivals):
+    """Arriving outputs; a key is remembered for an hour after it came."""
+    stream = J.read_outputs(spark, arrivals, _ARRIVED, files_per_trigger=4)
+    return J.dedupe_outputs(stream, arrived="arrived", delay="1 hour")
+
+
 def _scored(spark, sf_dir, arrivals) -> str:
-    stream = J.dedupe_outputs(J.read_outputs(spark, arrivals, OUTPUTS, files_per_trigger=4))
+    stream = _once(spark, arrivals)
     scores = J.stream_scores(stream, fx.labels(spark, sf_dir), YES_NO)
     path = scratch_path(spark, "scored")
     done = J.write_stream(scores, path, scratch_path(spark, "scored-log"))
@@ -55,7 +64,7 @@ def stream_scores(spark, sf_dir):
 )
 def stream_unknown_ids(spark, sf_dir):
     """Outputs for ids that the dataset lacks are kept and marked."""
-    stream = J.dedupe_outputs(J.read_outputs(spark, _arrivals(spark, sf_dir), OUTPUTS, 4))
+    stream = _once(spark, _arrivals(spark, sf_dir))
     labels = fx.labels(spark, sf_dir).filter(F.col("id").cast("long") % 9 != 0)
     path = scratch_path(spark, "scored")
     done = J.write_stream(
@@ -96,7 +105,7 @@ def stream_progress(spark, sf_dir):
     totals = fx.label_outputs(spark, sf_dir).groupBy("inference_id").agg(
         (2 * F.count(F.lit(1))).alias("total")
     )
-    stream = J.dedupe_outputs(J.read_outputs(spark, _arrivals(spark, sf_dir), OUTPUTS, 4))
+    stream = _once(spark, _arrivals(spark, sf_dir))
     path = scratch_path(spark, "progress")
     J.write_updates(
         J.stream_progress(stream, totals), path, scratch_path(spark, "progress-log")
@@ -112,16 +121,19 @@ def stream_progress(spark, sf_dir):
     )
 )
 def stream_folded(spark, sf_dir):
-    """Running aggregates after their batch folders were folded into one."""
+    """Running aggregates whose batches were folded, then the newest one repeated."""
     scored = _scored(spark, sf_dir, _arrivals(spark, sf_dir))
     schema = spark.read.parquet(scored).schema
     path, log = scratch_path(spark, "aggregates"), scratch_path(spark, "aggregates-log")
     updates = J.stream_aggregates(J.read_outputs(spark, scored, schema, files_per_trigger=5))
     J.write_updates(updates, path, log).awaitTermination()
-    J.fold_updates(spark, path, ["inference_id", "metric"])
-    return J.latest_updates(spark, path, ["inference_id", "metric"]).withColumn(
-        "total", F.round("total", 9)
-    )
+    keys = ["inference_id", "metric"]
+    J.fold_updates(spark, path, keys)
+    J.fold_updates(spark, path, keys)
+    newest = max(r.batch for r in spark.read.parquet(path).select("batch").distinct().collect())
+    again = spark.read.parquet(f"{path}/batch={newest}")
+    cut(again).write.mode("overwrite").parquet(f"{path}/batch={newest}")
+    return J.latest_updates(spark, path, keys).withColumn("total", F.round("total", 9))
 
 
 @query(sql("SELECT evaluation_id, row_id, score FROM fx_human_state", "fx_human_state"))
@@ -134,4 +146,23 @@ def stream_changes(spark, sf_dir):
     J.stream_changes(
         stream, path, scratch_path(spark, "state-log"), SCORE_KEYS, ["score"]
     ).awaitTermination()
+    J.fold_changes(spark, path, SCORE_KEYS, ["score"])
     return J.annotation_state(spark, path, SCORE_KEYS, ["score"]).drop("version")
+
+
+@query(sql("SELECT evaluation_id, row_id, score FROM fx_human_state", "fx_human_state"))
+def stream_keyed_state(spark, sf_dir):
+    """One value of state per key; the stream is stopped and goes on with late changes."""
+    log = fx.human_log(spark, sf_dir).withColumn(
+        "at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("version")))
+    arrivals, path, done = (scratch_path(spark, n) for n in ("changes", "keyed", "keyed-log"))
+
+    def drain(part):
+        log.filter(part).repartition(3, "version").write.mode("append").parquet(arrivals)
+        stream = J.read_outputs(spark, arrivals, log.schema, files_per_trigger=2)
+        J.keyed_state(stream, path, done, SCORE_KEYS, ["score"], "at", "365 days").awaitTermination()
+
+    drain(F.col("version") % 4 != 3)
+    drain(F.col("version") % 4 == 3)
+    J.fold_updates(spark, path, SCORE_KEYS)
+    return J.keyed_rows(spark, path, SCORE_KEYS).drop("version")

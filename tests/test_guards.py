@@ -1,5 +1,6 @@
 """Rules that keep faults visible and sizes bounded."""
 
+import datetime
 import os
 import subprocess
 import sys
@@ -202,12 +203,63 @@ def test_folding_bounds_the_batches(spark, tmp_path):
         spark.createDataFrame([("a", batch), (f"k{batch}", batch)], "k string, v int").write.parquet(
             f"{path}/batch={batch}")
     want = sorted((r.k, r.v) for r in J.latest_updates(spark, path, ["k"]).collect())
-    assert J.fold_updates(spark, path, ["k"]) == 6
-    assert [p.name for p in (tmp_path / "log").iterdir() if p.name.startswith(("batch", "_"))] == ["batch=5"]
-    assert sorted((r.k, r.v) for r in J.latest_updates(spark, path, ["k"]).collect()) == want
+
+    def now():
+        return sorted((r.k, r.v) for r in J.latest_updates(spark, path, ["k"]).collect())
+
+    def folders():
+        return sorted(p.name for p in (tmp_path / "log").iterdir() if not p.name.startswith("."))
+
+    assert J.fold_updates(spark, path, ["k"]) == 5 and now() == want
+    assert J.fold_updates(spark, path, ["k"]) == 0 and now() == want
+    assert folders() == ["_folded-4", "batch=5"]
+    # The stream repeats its newest batch, which changed fewer keys.
+    spark.createDataFrame([("k5", 7)], "k string, v int").write.mode("overwrite").parquet(f"{path}/batch=5")
+    assert now() == [("a", 4), *[(f"k{i}", i) for i in range(5)], ("k5", 7)]
     spark.createDataFrame([("a", 99)], "k string, v int").write.parquet(f"{path}/batch=6")
-    assert {r.k: r.v for r in J.latest_updates(spark, path, ["k"]).collect()}["a"] == 99
-    assert J.fold_updates(spark, path, ["k"]) == 2
+    assert dict(now())["a"] == 99
+    # A fold that was cut short leaves a table without its mark: it does not count.
+    spark.createDataFrame([("a", -1, 5)], "k string, v int, batch long").write.parquet(f"{path}/_folded-5")
+    os.remove(f"{path}/_folded-5/_SUCCESS")
+    assert dict(now())["a"] == 99
+    assert J.fold_updates(spark, path, ["k"]) == 1 and dict(now())["a"] == 99 and len(now()) == 7
+
+
+def test_folded_changes_keep_their_deletions(spark, tmp_path):
+    path, keys = str(tmp_path / "log"), ["e", "r"]
+    rows = "e string, r string, version long, score int"
+    for batch, changes in enumerate([[("e", "1", 5, None), ("e", "2", 1, 3)], [("e", "3", 1, 1)], [("e", "2", 2, 4)]]):
+        spark.createDataFrame(changes, rows).write.parquet(f"{path}/batch={batch}")
+    assert J.fold_changes(spark, path, keys, ["score"]) == 2
+    spark.createDataFrame([("e", "1", 4, 2)], rows).write.parquet(f"{path}/batch=3")  # older than the deletion
+    state = J.annotation_state(spark, path, keys, ["score"])
+    assert sorted((r.r, r.score) for r in state.collect()) == [("2", 4), ("3", 1)]
+    assert J.fold_changes(spark, path, keys, ["score"]) == 1
+    assert sorted((r.r, r.score) for r in J.annotation_state(spark, path, keys, ["score"]).collect()) == [("2", 4), ("3", 1)]
+
+
+def test_keyed_state_holds_live_keys(spark, tmp_path):
+    rows = "e string, version long, score int, at timestamp"
+    arrivals, path, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+
+    def drain(*changes):
+        frame = spark.createDataFrame(
+            [(k, v, s, datetime.datetime.fromtimestamp(1_700_000_000 + 60 * v)) for k, v, s in changes], rows)
+        frame.coalesce(1).write.mode("append").parquet(arrivals)
+        stream = J.read_outputs(spark, arrivals, frame.schema)
+        J.keyed_state(stream, path, log, ["e"], ["score"], "at", "10 minutes").awaitTermination()
+        held = spark.read.format("statestore").option("path", log).option("stateVarName", "last").load()
+        return (sorted((r.e, r.score) for r in J.keyed_rows(spark, path, ["e"]).collect()),
+                sorted(r[0] for r in held.select("key.e").collect()))
+
+    assert drain(("a", 1, 5), ("b", 2, 3), ("c", 3, 4)) == ([("a", 5), ("b", 3), ("c", 4)], ["a", "b", "c"])
+    # A deletion leaves a mark, an older change that comes later changes nothing.
+    assert drain(("a", 6, None)) == ([("b", 3), ("c", 4)], ["a", "b", "c"])
+    assert drain(("a", 4, 2), ("b", 7, 1)) == ([("b", 1), ("c", 4)], ["a", "b", "c"])
+    # Long after, the mark goes; the key can come back.
+    drain(("d", 60, 2))
+    assert drain(("d", 61, 3)) == ([("b", 1), ("c", 4), ("d", 3)], ["b", "c", "d"])
+    assert drain(("a", 62, 1)) == ([("a", 1), ("b", 1), ("c", 4), ("d", 3)], ["a", "b", "c", "d"])
 
 
 def test_embedding_blocks_are_crossed(spark):
