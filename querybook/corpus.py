@@ -8,9 +8,10 @@ from scoreframe.functions.scores import accuracy, accuracy_spans, accuracy_vecto
 from scoreframe.operators import corpus as C
 from scoreframe.plans.scale import scratch_path
 from scoreframe.plans.scoring import ScoringPlan, corpus_scores, evaluate, score_rows
+from scoreframe.sources import storage
 
 from . import fixtures as fx
-from .base import query, table
+from .base import ORACLE, query, table
 from .fixtures import CLASSES, sql
 
 YES_NO = ScoringPlan("mcq", ("accuracy",), (ParserSpec("process_mcq_yes_no_maybe"),))
@@ -203,6 +204,18 @@ def evaluate_choices(spark, sf_dir):
     return done.aggregates.withColumn("value", F.round("value", 9))
 
 
+@query(ORACLE["evaluate_choices"])
+def evaluate_resumed(spark, sf_dir):
+    """A run that broke off after some outputs goes on with the others."""
+    outputs = fx.label_outputs(spark, sf_dir).select("inference_id", "id", "output")
+    labels, path = fx.labels(spark, sf_dir), scratch_path(spark, "scores")
+    plan = YES_NO._replace(metrics=("accuracy", "macro_f1", "weighted_f1"))
+    early = F.col("id").cast("long") % 3 == 0
+    evaluate(labels.filter(early), outputs.filter(early), plan, path, resume=True)
+    done = evaluate(labels, outputs, plan, path, resume=True)
+    return done.aggregates.withColumn("value", F.round("value", 9))
+
+
 @query(
     sql(
         """SELECT r.*, round(a.accuracy, 9) AS accuracy FROM (
@@ -369,6 +382,38 @@ def facet_counts(spark, sf_dir):
     return C.facet_counts(docs, "lang")
 
 
+@query(
+    """SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents
+WHERE source IN ('src0', 'src3', 'src5') GROUP BY lang
+UNION ALL SELECT 'source', source, count(*) FROM documents WHERE lang IN ('en', 'de') GROUP BY source
+UNION ALL SELECT 'long', CAST(n_chars > 1000 AS VARCHAR), count(*) FROM documents
+WHERE source IN ('src0', 'src3', 'src5') AND lang IN ('en', 'de') GROUP BY n_chars > 1000"""
+)
+def facets(spark, sf_dir):
+    """All facets in one pass, each under the choices of the others."""
+    docs = table(spark, sf_dir, "documents").withColumn("long", F.col("n_chars") > 1000)
+    return C.facets(docs, ["lang", "source", "long"], {"source": ["src0", "src3", "src5"], "lang": ["en", "de"]})
+
+
 @query("SELECT DISTINCT source FROM documents")
 def distinct_sorted(spark, sf_dir):
     return C.distinct_sorted(table(spark, sf_dir, "documents"), "source")
+
+
+@query(
+    sql(
+        """SELECT inference_id, id, output FROM fx_label_outputs
+WHERE inference_id <> 'run2' AND NOT (inference_id = 'run1' AND CAST(id AS BIGINT) % 5 = 0)""",
+        "fx_label_outputs",
+    )
+)
+def delete_rows(spark, sf_dir):
+    """A whole run and some rows of another leave a stored table; other folders stay."""
+    path = scratch_path(spark, "outputs")
+    outputs = fx.label_outputs(spark, sf_dir).select("inference_id", "id", "output")
+    storage.write_scores(outputs, path)
+    some = (F.col("inference_id") == "run1") & (F.col("id").cast("long") % 5 == 0)
+    gone = outputs.filter(some).select("inference_id", "id").unionByName(
+        spark.createDataFrame([("run2", None)], "inference_id string, id string"))
+    storage.delete_rows(spark, path, gone)
+    return spark.read.parquet(path)

@@ -166,3 +166,40 @@ def stream_keyed_state(spark, sf_dir):
     drain(F.col("version") % 4 == 3)
     J.fold_updates(spark, path, SCORE_KEYS)
     return J.keyed_rows(spark, path, SCORE_KEYS).drop("version")
+
+
+@query(
+    sql(
+        """SELECT coalesce(o.inference_id, e.inference_id) AS inference_id, coalesce(o.id, e.id) AS id,
+  CASE WHEN e.id IS NULL THEN 'unknown' WHEN o.id IS NULL THEN 'missing' ELSE 'met' END AS status,
+  CASE WHEN e.id IS NOT NULL AND o.id IS NOT NULL THEN o.accuracy END AS accuracy
+FROM (SELECT * FROM fx_label_scores WHERE CAST(id AS BIGINT) % 7 <> 2) o
+FULL JOIN (SELECT DISTINCT inference_id, l.id FROM fx_labels l, fx_label_outputs
+  WHERE CAST(l.id AS BIGINT) % 7 <> 4) e ON o.inference_id = e.inference_id AND o.id = e.id""",
+        "fx_label_scores", "fx_labels", "fx_label_outputs",
+    )
+)
+def stream_late_rows(spark, sf_dir):
+    """Examples come before or after their outputs, or never; so do outputs."""
+    number = F.col("id").cast("long")
+    outputs = fx.label_outputs(spark, sf_dir).select(*_COLUMNS).filter(number % 7 != 2)
+    examples = fx.labels(spark, sf_dir).select("id", "reference").filter(number % 7 != 4)
+    runs = [r[0] for r in outputs.select("inference_id").distinct().collect()]
+
+    def arrive(frame, name, minutes):
+        path = scratch_path(spark, name)
+        stamped = frame.withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * minutes))
+        # What has nothing to wait for comes five hours later and moves the time on.
+        later = number % 7 == 0
+        stamped.filter(~later).repartition(4, "id").write.parquet(path)
+        late = stamped.filter(later).withColumn("arrived", F.expr("arrived + INTERVAL 5 HOURS"))
+        late.coalesce(1).write.mode("append").parquet(path)
+        return J.read_outputs(spark, path, stamped.schema, files_per_trigger=2)
+
+    came = arrive(outputs, "outputs", number % 30)
+    asked = arrive(examples, "examples", (number * 13) % 30)
+    met = J.join_arrivals(came, J.expected_rows(asked, runs), wait="1 hour", delay="1 hour")
+    path = scratch_path(spark, "met")
+    J.write_stream(J.score_arrivals(met, YES_NO), path, scratch_path(spark, "met-log")).awaitTermination()
+    return spark.read.parquet(path).select(
+        "inference_id", "id", "status", F.element_at("metrics", "accuracy").alias("accuracy"))

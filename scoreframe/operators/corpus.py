@@ -7,7 +7,7 @@ partial rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -238,5 +238,39 @@ def facet_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def facets(df: DataFrame, columns: Sequence[str], chosen: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """Counts of all facet columns in one pass: ``facet, value, n``.
+
+    ``chosen`` holds the picked values of some columns. The values of a facet are
+    counted over the rows that pass the choices of all others, its own left open, so
+    that more of its values can be picked. One set of groups per column and one
+    shuffle for all; values without rows are left out, null is a value.
+    """
+    chosen = chosen or {}
+    passes = {c: F.coalesce(F.col(f"`{c}`").isin(*v), F.lit(False)) for c, v in chosen.items() if len(v)}
+    if unknown := passes.keys() - set(columns):
+        raise ValueError(f"no facets: {sorted(unknown)}")
+    failed = sum((F.when(p, 0).otherwise(1) for p in passes.values()), F.lit(0))
+    shown = df.select(
+        *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(columns)],
+        # How many choices a row fails, without the facet's own.
+        *[(failed - (F.when(passes[c], 0).otherwise(1) if c in passes else F.lit(0)) == 0).alias(f"__in{i}")
+          for i, c in enumerate(columns)],
+    )
+    keys = [f"__{i}" for i in range(len(columns))]
+    every = 2 ** len(columns) - 1
+    sets = {i: every - 2 ** (len(columns) - 1 - i) for i in range(len(columns))}  # grouping_id of each set
+    which = F.coalesce(*[F.when(F.col("__set") == n, i) for i, n in sets.items()])
+    counted = shown.groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id().alias("__set"), *[F.count_if(f"__in{i}").alias(f"__n{i}") for i in range(len(columns))]
+    )
+    pick = lambda cells: F.element_at(F.array(*cells), which + 1)
+    return counted.select(
+        pick([F.lit(c) for c in columns]).alias("facet"),
+        pick([F.col(k).cast("string") for k in keys]).alias("value"),
+        pick([F.col(f"__n{i}") for i in range(len(columns))]).alias("n"),
+    ).filter("n > 0")
+
+
 def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)

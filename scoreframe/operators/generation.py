@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.parsers import error_label
+from ..plans.scale import scratch_path
 from .views import pending_rows, render_prompt
 
 Client = Callable[[str], str | None]
@@ -72,9 +73,11 @@ def generate_stored(
     """Generate into a table under ``path`` and return it.
 
     Rows that the table has already are not asked again, so every later read
-    and every restart costs no call for them. Pending rows are dealt by id hash
-    to batches of about ``batch_rows``; each is stored before the next is
-    asked, so a job that dies loses one batch of answers at most.
+    and every restart costs no call for them. Pending rows are found in one pass,
+    dealt by id hash to batches of about ``batch_rows`` and written by batch; each
+    batch reads its own part and is stored before the next is asked, so a job
+    that dies loses one batch of answers at most. The dataset and the store are
+    read as often for a thousand batches as for one.
     """
     spark = dataset.sparkSession
     id_type = dataset.schema["id"].dataType.simpleString()
@@ -83,9 +86,13 @@ def generate_stored(
         return spark.read.schema(f"id {id_type}, output string").parquet(path)
 
     spark.createDataFrame([], f"id {id_type}, output string").write.mode("append").parquet(path)
-    batches = max(1, -(-pending_rows(dataset, stored()).count() // batch_rows))
-    for number in range(batches):
-        mine = F.pmod(F.xxhash64("id"), F.lit(batches)) == number
-        answers = generate(dataset.filter(mine), make_client, template, stored(), parallel)
+    pending = pending_rows(dataset, stored())
+    batches = max(1, -(-pending.count() // batch_rows))
+    dealt = pending.withColumn("__batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
+    todo = scratch_path(spark, "pending")
+    dealt.hint("rebalance", "__batch").write.partitionBy("__batch").parquet(todo)
+    for number in sorted(r[0] for r in spark.read.parquet(todo).select("__batch").distinct().collect()):
+        mine = spark.read.schema(pending.schema).parquet(f"{todo}/__batch={number}")
+        answers = generate(mine, make_client, template, parallel=parallel)
         answers.write.mode("append").parquet(path)
     return stored()

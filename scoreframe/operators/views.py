@@ -311,10 +311,15 @@ def check_alignment(dataset: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def require_alignment(dataset: DataFrame, outputs: DataFrame) -> DataFrame:
     """The outputs, if every run is aligned; otherwise an error."""
-    bad = check_alignment(dataset, outputs).filter(~F.col("aligned")).limit(5).collect()
+    require_aligned(check_alignment(dataset, outputs))
+    return outputs
+
+
+def require_aligned(report: DataFrame) -> None:
+    """An error if a run of the report of ``check_alignment`` is not aligned."""
+    bad = report.filter(~F.col("aligned")).limit(5).collect()
     if bad:
         raise ValueError("outputs do not match the dataset: " + "; ".join(map(str, bad)))
-    return outputs
 
 
 def compare_outputs(dataset: DataFrame, outputs: DataFrame, runs: Sequence[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.overlap import rouge
 from ..functions.parsers import (
@@ -18,9 +19,9 @@ from ..operators.corpus import (
 )
 from ..operators.ranking import best_primary, model_dataset_scores, overall_ranking
 from ..operators.textscores import meteor
-from ..operators.views import check_alignment, nest_evaluation, require_alignment
+from ..operators.views import check_alignment, nest_evaluation, require_aligned
 from ..sources.storage import load_outputs, write_scores
-from .scale import scratch_path
+from .scale import cut, scratch_path
 
 
 class ScoringPlan(NamedTuple):
@@ -201,27 +202,51 @@ def evaluate(
     ``path`` or to the shared folder, one folder per run) and every corpus
     metric reads its columns of that table, so no parser or text metric runs
     twice. ``path`` must not exist yet, unless ``resume`` is set: then the
-    rows that it has already are kept, and only the others are scored.
+    rows that it has already are kept, and only the others are scored. The plan
+    is stored with the rows before the first of them; going on with another
+    plan, or with rows that name none, is an error.
     """
     if on_misaligned not in ("raise", "report"):
         raise ValueError(f"unknown choice {on_misaligned!r} for misaligned outputs")
-    alignment = check_alignment(dataset, outputs)
+    alignment = cut(check_alignment(dataset, outputs))
     if on_misaligned == "raise":
-        require_alignment(dataset, outputs)
+        require_aligned(alignment)
     else:
         dataset, outputs = complete(dataset, outputs)
     wanted = parse_references(dataset.select("id", "reference"), plan)
     target = path or scratch_path(dataset.sparkSession, "scores")
+    _keep_plan(dataset.sparkSession, target, plan, synonyms is not None, resume)
     asked = outputs.select("inference_id", "id", "output")
     if resume:
         asked = _unscored(asked, target)
     answers = parse_predictions(asked, plan)
     rows = score_parsed(answers.drop("output").join(wanted, "id"), plan, synonyms)
-    write_scores(rows, target, mode="append" if resume else "errorifexists")
+    write_scores(rows, target)
     stored = load_outputs(rows.sparkSession, target, rows.schema)
     return Evaluation(stored, corpus_scores(stored, plan, external=external), alignment)
 
 
+def _keep_plan(spark: SparkSession, path: str, plan: ScoringPlan, synonyms: bool, resume: bool) -> None:
+    """Store the plan beside the rows to come, or compare it with the stored one."""
+    parsers = [[spec.id, dict(spec.args)] for spec in plan.parsers]
+    text = json.dumps({**plan._asdict(), "parsers": parsers, "synonyms": synonyms}, sort_keys=True, default=str)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = f"{path.rstrip('/')}/_plan"
+    if files.exists(root) and not resume:
+        raise ValueError(f"{path} exists already; resume=True goes on with it")
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")):
+        stored = spark.read.text(folder).first()[0]
+        if stored != text:
+            raise ValueError(f"{path} holds rows of another plan: {stored}")
+    elif files.exists(root) and any(
+        not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(root)
+    ):
+        raise ValueError(f"{path} holds rows, but no plan that they were scored by")
+    else:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
 def _unscored(outputs: DataFrame, path: str) -> DataFrame:
     """Outputs that the table under ``path``, which need not exist, does not have."""
     keys = "inference_id string, id string"

@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..plans.scale import cut
+
 
 def load_outputs(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None
@@ -92,13 +94,54 @@ def rewrite(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFram
     """Replace a stored table by ``keep`` of it, for instance ``purge`` of deleted keys.
 
     The new table is complete next to the old one before their names change
-    places; what a crash leaves is one of the two under a name of its own.
+    places. A call that finds what a crash left puts the table back first.
+    ``delete_rows`` leaves the folders of other runs as they are.
     """
-    root = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path.rstrip("/"))
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     fresh, old = root.suffix("-new"), root.suffix("-old")
+    if not files.exists(root):
+        whole = fresh if files.exists(hadoop(fresh, "_SUCCESS")) else old
+        if not (files.exists(whole) and files.rename(whole, root)):
+            raise OSError(f"there is no table at {path}")
     keep(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{path.rstrip('/')}-new")
     files.delete(old, True)
     if not (files.rename(root, old) and files.rename(fresh, root)):
         raise OSError(f"{path} could not be replaced")
     files.delete(old, True)
+
+
+def delete_rows(spark: SparkSession, path: str, gone: DataFrame, by: str = "inference_id", key: str = "id") -> int:
+    """Delete rows of a table with a folder per run; returns the number of folders touched.
+
+    ``gone`` names a run by ``by`` and a row of it by ``key``, or with a null key all
+    rows of the run. Whole runs lose their folder. Of the others only the folders
+    with deleted rows are read and replaced, all other files stay as they are. The
+    rows that remain are stored before the first folder is replaced; a call that
+    dies is repeated.
+    """
+    named = gone.select(F.col(by).cast("string").alias(by), F.col(key).alias("__key")).distinct()
+    whole = {r[0] for r in named.filter("__key IS NULL").select(by).distinct().collect()}
+    part = {r[0] for r in named.filter("__key IS NOT NULL").select(by).distinct().collect()} - whole
+    root = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Folder names are escaped, so they are taken from what is there.
+    table = spark.read.option("basePath", path).parquet(path).withColumn("__run", F.col(by).cast("string"))
+    folders = {
+        r["__run"]: r["folder"] for r in table.filter(F.col("__run").isin(*whole, *part)).select(
+            "__run", F.regexp_replace(F.input_file_name(), "/[^/]+$", "").alias("folder")).distinct().collect()
+    } if whole | part else {}
+    part &= folders.keys()
+    if part:
+        runs = table.filter(F.col("__run").isin(*part))
+        lost = named.filter(F.col(by).isin(*part)).select(F.col(by).alias("__run"), F.col("__key").alias(key))
+        rows = cut(runs.join(lost, ["__run", key], "left_anti").drop("__run").select(*table.drop("__run").columns))
+        left = {str(r[0]) for r in rows.select(by).distinct().collect()}
+        # One write replaces the folders that keep rows.
+        (rows.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(by).parquet(path))
+        whole |= part - left
+    for run in whole & folders.keys():
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folders[run]), True)
+    return len(part | (whole & folders.keys()))

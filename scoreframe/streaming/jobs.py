@@ -55,6 +55,42 @@ def stream_scores(stream: DataFrame, dataset: DataFrame, plan: ScoringPlan) -> D
     )
 
 
+def expected_rows(examples: DataFrame, runs: Sequence[str]) -> DataFrame:
+    """A row per arriving example and run that has to answer it."""
+    return examples.withColumn("inference_id", F.explode(F.array(*[F.lit(r) for r in runs])))
+
+
+def join_arrivals(
+    outputs: DataFrame, expected: DataFrame, wait: str = "1 hour", delay: str = "1 hour"
+) -> DataFrame:
+    """Outputs and the examples they answer, whichever of the two comes first.
+
+    ``outputs``: ``inference_id, id, output, arrived``; ``expected``: ``inference_id,
+    id, reference, arrived``; both may stream. A pair meets if its two sides arrive
+    at most ``wait`` apart. What has met nothing when the watermarks (``delay`` behind
+    each side's newest time) say that its time is up is named: an output as
+    ``unknown``, an example as ``missing``. The state holds that span only. Rows are
+    ``inference_id, id, output, reference, status``.
+    """
+    o = outputs.withWatermark("arrived", delay).select(
+        F.col("inference_id").alias("__run"), F.col("id").alias("__id"), "output", F.col("arrived").alias("__came"))
+    e = expected.withWatermark("arrived", delay).select("inference_id", "id", "reference", "arrived")
+    span = F.expr(f"INTERVAL {wait}")
+    met = o.join(e, (F.col("__run") == F.col("inference_id")) & (F.col("__id") == F.col("id"))
+                 & (F.col("__came") >= F.col("arrived") - span) & (F.col("__came") <= F.col("arrived") + span),
+                 "full_outer")
+    status = F.when(F.col("id").isNull(), "unknown").when(F.col("__id").isNull(), "missing").otherwise("met")
+    return met.select(
+        F.coalesce("inference_id", "__run").alias("inference_id"), F.coalesce("id", "__id").alias("id"),
+        "output", "reference", status.alias("status"))
+
+
+def score_arrivals(met: DataFrame, plan: ScoringPlan) -> DataFrame:
+    """Rows of ``join_arrivals``, parsed, with metrics where both sides have come."""
+    return score_rows(met, plan).select(
+        "inference_id", "id", "parsed", F.when(F.col("status") == "met", F.col("metrics")).alias("metrics"), "status")
+
+
 def write_stream(
     scores: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ("inference_id",),
     files_per_run: int = 2,

@@ -12,13 +12,14 @@ from scoreframe import ParserSpec, ScoringPlan, evaluate
 from scoreframe.functions import metricmaps as M, parsers as P
 from scoreframe.functions.significance import exact_signed_rank
 from scoreframe.operators import stats as S, views as V
+from scoreframe.operators.corpus import facets
 from scoreframe.operators.generation import generate_stored
 from scoreframe.operators.ranking import best_primary
 from scoreframe.operators.tokens import embedding_match
 from scoreframe.plans.scale import running_totals, scratch_path, spread_join
 from scoreframe.plans.scoring import stored_form
 from scoreframe.sources import ingest as I
-from scoreframe.sources.storage import rewrite
+from scoreframe.sources.storage import delete_rows, rewrite, write_scores
 from scoreframe.streaming import jobs as J
 
 PLAN = ScoringPlan("mcq", ("accuracy",), (ParserSpec("process_mcq_yes_no_maybe"),))
@@ -48,6 +49,15 @@ def test_scoring_goes_on_after_what_is_stored(spark):
     done = evaluate(dataset, changed, PLAN, path, resume=True)
     rows = {r.id: r.metrics["accuracy"] for r in done.rows.collect()}
     assert rows == {"0": 0.0, "1": 1.0, "2": 1.0, "3": 0.0, "4": 0.0, "5": 0.0}
+    for other in (PLAN._replace(metrics=("rouge1",)), PLAN._replace(parsers=()), PLAN._replace(on_error="zero")):
+        with pytest.raises(ValueError, match="another plan"):
+            evaluate(dataset, changed, other, path, resume=True)
+    with pytest.raises(ValueError, match="exists already"):
+        evaluate(dataset, changed, PLAN, path)
+    bare = scratch_path(spark, "scores")
+    done.rows.write.parquet(bare)
+    with pytest.raises(ValueError, match="no plan"):
+        evaluate(dataset, changed, PLAN, bare, resume=True)
     stored = stored_form(done, 100).first()
     assert stored.evaluation_id == "r" and len(stored.rows) == 6
     assert stored.aggregate == {"accuracy": pytest.approx(1 / 3)}
@@ -59,6 +69,52 @@ def test_deleted_rows_leave_the_store(spark):
     gone = spark.createDataFrame([(3,), (4,)], "id long")
     rewrite(spark, path, lambda table: V.purge(table, gone, ["id"]))
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 5, 6, 7, 8, 9]
+    # A replacement that died between its two renames is taken up again.
+    os.rename(path, f"{path}-old")
+    spark.range(3).write.parquet(f"{path}-new")
+    os.remove(f"{path}-new/_SUCCESS")
+    rewrite(spark, path, lambda table: table)
+    assert spark.read.parquet(path).count() == 8
+
+
+def test_deleting_rows_leaves_other_folders_alone(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(r, str(i), "x") for r in ("a", "b", "c", "d/e") for i in range(4)]
+    write_scores(spark.createDataFrame(rows, OUTPUT), path)
+
+    def files(run):
+        return {f.name for f in (tmp_path / "store" / f"inference_id={run}").glob("*.parquet")}
+
+    before = {r: files(r) for r in "abc"}
+    gone = spark.createDataFrame(
+        [("a", "1"), ("a", "3"), ("a", "9"), ("b", None), ("b", "1"), ("d/e", "0"), ("none", None),
+         *[("c", "9")] * 2], "inference_id string, id string")
+    assert delete_rows(spark, path, gone) == 4
+    left = {(r.inference_id, r.id) for r in spark.read.parquet(path).collect()}
+    assert left == {(r, i) for r, i, _ in rows} - {("a", "1"), ("a", "3"), ("d/e", "0"), *[("b", str(i)) for i in range(4)]}
+    assert files("a") != before["a"] and not files("b")
+    every = spark.createDataFrame([("a", "0"), ("a", "2")], "inference_id string, id string")
+    same = files("c")
+    assert delete_rows(spark, path, every) == 1 and not (tmp_path / "store" / "inference_id=a").exists()
+    assert files("c") == same and delete_rows(spark, path, every.limit(0)) == 0
+
+
+def test_facets_count_under_the_other_choices(spark):
+    rows = [(a, b) for a in ("x", "y", None) for b in (1, 2) for _ in range(3 if a == "x" else 1)]
+    frame = spark.createDataFrame(rows, "a string, `b.c` int")
+
+    def counts(chosen):
+        return {(r.facet, r.value): r.n for r in facets(frame, ["a", "b.c"], chosen).collect()}
+
+    assert counts({}) == {("a", "x"): 6, ("a", "y"): 2, ("a", None): 2, ("b.c", "1"): 5, ("b.c", "2"): 5}
+    assert counts({"a": ["x"]}) == {("a", "x"): 6, ("a", "y"): 2, ("a", None): 2, ("b.c", "1"): 3, ("b.c", "2"): 3}
+    assert counts({"a": ["y"], "b.c": [1]}) == {
+        ("a", "x"): 3, ("a", "y"): 1, ("a", None): 1, ("b.c", "1"): 1, ("b.c", "2"): 1}
+    plan = facets(frame, ["a", "b.c"], {"a": ["x"]})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    with pytest.raises(ValueError, match="no facets"):
+        facets(frame, ["a"], {"b.c": [1]})
+
 
 
 def test_rankings_read_the_effective_status(spark):
