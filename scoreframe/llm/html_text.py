@@ -43,10 +43,12 @@ BLOCK = frozenset(
     "menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr "
     "ul".split()
 )
-DROPPED = frozenset(
-    "nav header footer aside form search menu dialog button select textarea fieldset noscript "
-    "template iframe object svg math canvas audio video head".split()
+BESIDE = frozenset("nav header footer aside form search menu dialog fieldset".split())
+DROPPED = BESIDE | frozenset(
+    "button select textarea noscript template iframe object svg math canvas audio video head".split()
 )
+#: Those that may stand around a whole page.
+AROUND = frozenset(("form", "fieldset"))
 CONTAINERS = ("article", "main")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 TEXT = HEADINGS | frozenset(
@@ -67,6 +69,14 @@ DOUBTFUL = frozenset(
     "recommended reply replies respond discussion side aside widget widgets menu navigation login "
     "signup subscription search copyright disclaimer".split()
 )
+#: Those that no content makes a part of the text.
+ALWAYS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle comment comments "
+    "commentlist disqus nav navbar topnav subnav sidenav navigation breadcrumb breadcrumbs "
+    "pagination pager gdpr".split()
+)
+#: Words with which a class says what the page has and not what the element is.
+HAVING = frozenset("no has have with without not hide show".split())
 REPLIES = frozenset("reply replies respond response responses message post thread".split())
 ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
@@ -93,6 +103,8 @@ MOST = 0.7
 WEAK = 0.1
 #: Characters without links below which a text is a label and no prose.
 SHORT = 60
+#: Characters and marks of a part that is prose whatever its name says.
+LONG, MARKS = 300, 3
 #: How much more an article counts than text outside of one.
 ARTICLE_WEIGHT = 50.0
 
@@ -110,14 +122,43 @@ ATTRIBUTE = re.compile(
 
 
 class Block:
-    """A run of text inside one path."""
+    """A run of text inside one element."""
 
-    __slots__ = ("path", "nodes", "container", "text", "own", "marks")
+    __slots__ = ("node", "path", "container", "text", "own", "marks", "heading")
 
-    def __init__(self, path, nodes, container, text, links):
-        self.path, self.nodes, self.container, self.text = path, nodes, container, text
+    def __init__(self, node, path, container, text, links, heading):
+        self.node, self.path, self.container, self.text = node, path, container, text
         self.own = max(0, len(text) - links)
         self.marks = len(PUNCTUATION.findall(text))
+        self.heading = heading
+
+
+class Tree:
+    """The block elements of a page by number, parents before children; 0 is the page.
+
+    Paths are numbered as well, by the path of the parent and the name, so that
+    nothing here grows with the depth of a page.
+    """
+
+    def __init__(self):
+        self.parent, self.tag, self.name, self.path = [0], [""], [""], [0]
+        self._paths: dict[tuple[int, str], int] = {}
+
+    def add(self, parent: int, tag: str, name: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.name.append(name)
+        self.path.append(self._paths.setdefault((self.path[parent], name), len(self._paths) + 1))
+        return len(self.parent) - 1
+
+    def sums(self, own: dict[int, float]) -> list[float]:
+        """Per element the sum over all inside of it."""
+        total = [0.0] * len(self.parent)
+        for node, value in own.items():
+            total[node] += value
+        for node in range(len(total) - 1, 0, -1):
+            total[self.parent[node]] += total[node]
+        return total
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -128,48 +169,60 @@ def _words(named: str) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())
 
 
-def _aside(tag: str, raw: str) -> tuple[bool, bool, str]:
-    """Whether the element stands beside the text, whether only a doubtful word says
-    so, and its name in a path."""
-    if tag in DROPPED:
-        return True, False, tag
+def _aside(tag: str, raw: str) -> tuple[bool, frozenset[str], str]:
+    """Whether the element stands beside the text whatever its content, the words of
+    its names that say so, and its name in a path."""
+    if tag in DROPPED and tag not in BESIDE:
+        return True, frozenset(), tag
     if not raw or raw.isspace():
-        return False, False, tag
+        return False, frozenset(), tag
     given = _attributes(raw)
     if "hidden" in given or given.get("aria-hidden") == "true":
-        return True, False, tag
+        return True, frozenset(), tag
     if re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
-        return True, False, tag
+        return True, frozenset(), tag
     if given.get("role", "").lower() in ASIDE_ROLES:
-        return True, False, tag
-    named = f"{given.get('class', '')} {given.get('id', '')}"
+        return True, frozenset(), tag
+    if tag in BESIDE:
+        return False, frozenset(), tag
+    named = f"{given.get('class', '')} {given.get('id', '')}".split()
     if tag == "article":  # "comments-open" is no comment
-        words = named.lower().split()
+        words = [w.lower() for w in named]
     else:
-        words = _words(named)
+        words = [w for one in named for w in _naming(one)]
     plain = tag in HEADINGS or tag in ("html", "body", "main")
     name = f"{tag}.{'.'.join(given.get('class', '').split())}" if given.get("class") else tag
-    found = set() if plain else ASIDE_WORDS.intersection(words)
-    if found and found <= DOUBTFUL:
-        return True, True, name
-    return bool(found), False, tag if found else name
+    found = frozenset() if plain else ASIDE_WORDS.intersection(words)
+    return False, found, tag if found and not found <= DOUBTFUL else name
+
+
+def _naming(one: str) -> list[str]:
+    """The words of a class or id that name the element."""
+    words = _words(one)
+    return [] if HAVING.intersection(words) else words
 
 
 class _Reader:
-    """Reads a page into blocks with a stack of open block elements."""
+    """Reads a page into blocks with a stack of open elements."""
 
     def __init__(self, contained: bool = True):
         #: Whether the page has an article or main.
         self.contained = contained
-        #: Numbers of the doubtful elements; open doubtful spans with the text before them.
-        self.doubts: set[int] = set()
+        self.tree = Tree()
+        #: Elements that stand beside the text unless their content says otherwise,
+        #: with the words that name them; doubtful elements of the text.
+        self.marked: dict[int, frozenset[str]] = {}
+        self.doubts: dict[int, bool] = {}
+        #: Open doubtful spans with the text before them.
         self.spans: list[tuple[int, int, int]] = []
-        # tag, name in the path, aside, number of the element
-        self.stack: list[tuple[str, str, bool, int]] = []
-        self.elements = 0
-        self.aside = 0
+        # number, whether nothing in it is text
+        self.stack: list[tuple[int, bool]] = []
+        self.open: dict[str, int] = {}
+        self.blind = 0  # open elements without text
+        self.beside = 0  # open marked elements
+        self.fixed = 0  # those of them that hold no article
         self.articles = 0
-        self.container: tuple = ()
+        self.container = self.container_depth = 0
         self.parts: list[str] = []
         self.links = 0
         self.in_link = False
@@ -190,39 +243,46 @@ class _Reader:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path = tuple(name for _, name, _, _ in self.stack)
-                nodes = tuple((number, tag) for tag, _, _, number in self.stack)
-                self.blocks.append(Block(path, nodes, self.container, text, self.links))
+                node = self.stack[-1][0] if self.stack else 0
+                heading = self.tree.tag[node] in HEADINGS
+                self.blocks.append(Block(node, self.tree.path[node], self.container, text, self.links, heading))
             self.parts = []
         self.links, self.in_link = 0, False
 
     def text(self, raw: str) -> None:
-        if not self.aside:
+        if not self.blind:
             plain = html.unescape(raw) if "&" in raw else raw
             self.parts.append(plain)
             if self.in_link:
                 self.links += len(plain)
 
-    def _push(self, tag: str, name: str, aside: bool) -> None:
-        if tag in CONTAINERS and not aside and self.aside and not self.articles:
-            # A wrapper such as "page with-sidebar" that holds the article is none.
-            if all(not a or t in ("div", "section") for t, _, a, _ in self.stack):
-                self.stack = [(t, n, False, k) for t, n, _, k in self.stack]
-                self.aside = 0
-        self.elements += 1
-        self.stack.append((tag, name, aside, self.elements))
-        self.aside += aside
-        if tag in CONTAINERS and not self.aside and not self.container:
+    def _push(self, tag: str, name: str, blind: bool) -> int:
+        if tag in CONTAINERS and not blind and not self.blind and self.beside and not self.articles and not self.fixed:
+            # A wrapper such as "page with sidebar" that holds the article is none.
+            for number, _ in self.stack:
+                self.marked.pop(number, None)
+            self.beside = 0
+        number = self.tree.add(self.stack[-1][0] if self.stack else 0, tag, name)
+        self.stack.append((number, blind))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.blind += blind
+        if tag in CONTAINERS and not self.blind and not self.beside and not self.container:
             self.articles += 1
-            self.container = (*(n for _, n, _, _ in self.stack), self.articles)
+            self.container, self.container_depth = self.articles, len(self.stack)
+        return number
 
     def _pop(self) -> None:
-        _, _, aside, number = self.stack.pop()
-        self.aside -= aside
+        number, blind = self.stack.pop()
+        tag = self.tree.tag[number]
+        self.open[tag] -= 1
+        self.blind -= blind
+        if number in self.marked:
+            self.beside -= 1
+            self.fixed -= tag not in ("div", "section", "form")
         if self.spans and self.spans[-1][0] == number:
             self._settle()
-        if self.container and len(self.stack) < len(self.container) - 1:
-            self.container = ()
+        if len(self.stack) < self.container_depth:
+            self.container = self.container_depth = 0
 
     def start(self, tag: str, raw: str) -> None:
         if tag == "br" or tag == "hr":
@@ -230,29 +290,33 @@ class _Reader:
             return
         if tag in VOID:
             return
-        aside, doubt, name = _aside(tag, raw)
-        if doubt:  # outside of the article it is none of the text
-            judged = self.container or not self.contained or (tag == "article" and not self.articles)
-            aside = not judged
-            doubt = bool(judged)
-        if tag in BLOCK:
+        blind, found, name = _aside(tag, raw)
+        # A doubtful name outside of the article is that of no text.
+        inside = self.container or not self.contained or (tag == "article" and not self.articles)
+        doubt = bool(found) and bool(inside) and (found <= DOUBTFUL or (bool(self.container) and not found & ALWAYS))
+        mark = not blind and not doubt and (bool(found) or tag in BESIDE)
+        if tag in BLOCK or tag in BESIDE:
             self.flush()
             while self.stack:
-                top = self.stack[-1][0]
+                top = self.tree.tag[self.stack[-1][0]]
                 if tag in ENDED_BY.get(top, ()) or (top not in BLOCK and top not in DROPPED):
                     self._pop()
-                elif tag in CONTAINERS and any(t == "nav" for t, *_ in self.stack):
+                elif tag in CONTAINERS and self.open.get("nav"):
                     self._pop()
                 else:
                     break
-            self._push(tag, name, aside)
+            number = self._push(tag, name, blind)
             if doubt:
-                self.doubts.add(self.elements)
-        elif aside or doubt:
+                self.doubts[number] = found <= DOUBTFUL
+            elif mark:
+                self.marked[number] = found
+                self.beside += 1
+                self.fixed += tag not in ("div", "section", "form")
+        elif blind or mark or doubt:
             if not raw.rstrip().endswith("/"):
-                self._push(tag, name, aside)
+                number = self._push(tag, name, blind or mark)
                 if doubt:
-                    self.spans.append((self.elements, len(self.parts), self.links))
+                    self.spans.append((number, len(self.parts), self.links))
                     self.in_link = self.in_link or tag == "a"
         elif tag == "a":
             self.in_link = True
@@ -262,21 +326,24 @@ class _Reader:
             self.in_link = False
         if tag == "br":
             self.text(" ")
+        if not self.open.get(tag):
+            return
         at = len(self.stack) - 1
-        while at >= 0 and self.stack[at][0] != tag:
+        while at >= 0 and (top := self.tree.tag[self.stack[at][0]]) != tag:
             # An inline or paragraph end does not reach out of its container.
-            if (tag not in BLOCK or tag == "p") and self.stack[at][0] in BLOCK and tag not in DROPPED:
+            if (tag not in BLOCK or tag == "p") and top in BLOCK and tag not in DROPPED:
                 return
             at -= 1
         if at < 0:
             return
-        if tag in BLOCK:
+        if tag in BLOCK or tag in BESIDE:
             self.flush()
         while len(self.stack) > at:
             self._pop()
 
 
-def read_blocks(page: str) -> list[Block]:
+def read_blocks(page: str) -> tuple[Tree, list[Block]]:
+    """The elements of a page, and the blocks of text that stand beside none of it."""
     reader, at = _Reader(CONTAINER.search(page) is not None), 0
     for token in TOKEN.finditer(page):
         if token.start() > at:
@@ -290,58 +357,128 @@ def read_blocks(page: str) -> list[Block]:
     if at < len(page):
         reader.text(page[at:])
     reader.flush()
-    return _judged(reader.blocks, reader.doubts) if reader.doubts else reader.blocks
+    facts = _Facts(reader.tree, reader.blocks)
+    gone = _beside_text(reader, facts) if reader.marked else set()
+    if reader.doubts:
+        gone |= _judged(reader, gone)
+    blocks = _outside(reader.tree, reader.blocks, gone, reader) if gone else reader.blocks
+    return reader.tree, blocks
+
+
+def _outside(tree: Tree, blocks: list[Block], gone: set[int], reader: _Reader | None = None) -> list[Block]:
+    """The blocks in none of the elements; headings of a header in the article stay."""
+    near = [0] * len(tree.parent)  # the outermost of the elements around each
+    for node in range(1, len(near)):
+        near[node] = near[tree.parent[node]] or (node if node in gone else 0)
+
+    def stays(block: Block) -> bool:
+        around = near[block.node]
+        titled = reader is not None and block.heading and block.container and tree.tag[around] == "header"
+        return not around or bool(titled)
+
+    return [b for b in blocks if stays(b)]
+
+
+class _Facts:
+    """Sums over the blocks inside each element, and the best thread there: the most
+    text in repeats like comments, which are nested articles, elements named as
+    replies, or named elements without heading that begin with a short line such as
+    a name and a date."""
+
+    def __init__(self, tree: Tree, blocks: list[Block]):
+        size = len(tree.parent)
+        self.tree = tree
+        self.count, self.own, self.length, self.prose, self.marks = ([0] * size for _ in range(5))
+        self.headed, self.first = [False] * size, [None] * size
+        self.children: list[list[int]] = [[] for _ in range(size)]
+        self.thread = [0] * size
+        for node in range(1, size):
+            self.children[tree.parent[node]].append(node)
+        for block in reversed(blocks):
+            node = block.node
+            self.count[node] += 1
+            self.own[node] += block.own
+            self.length[node] += len(block.text)
+            self.marks[node] += block.marks
+            self.prose[node] += block.own if block.own >= SHORT and block.marks else 0
+            self.headed[node] |= bool(block.own) and block.heading
+            self.first[node] = block
+        order = {id(b): i for i, b in enumerate(blocks)}
+        self.place = lambda b: order[id(b)]
+
+    def gather(self, node: int) -> None:
+        """Add up an element whose children have been added up."""
+        kinds: dict[str, list[int]] = {}
+        for child in self.children[node]:
+            if not self.count[child]:
+                continue
+            for sums in (self.count, self.own, self.length, self.prose, self.marks):
+                sums[node] += sums[child]
+            self.headed[node] |= self.headed[child]
+            if self.first[node] is None or self.place(self.first[child]) < self.place(self.first[node]):
+                self.first[node] = self.first[child]
+            self.thread[node] = max(self.thread[node], self.thread[child])
+            if self.tree.tag[child] in ("article", "div", "li", "section"):
+                kinds.setdefault(self.tree.name[child], []).append(child)
+        for name, each in kinds.items():
+            if len(each) < 2:
+                continue
+            tag, _, classes = name.partition(".")
+            signed = classes and all(
+                self.count[e] > 1 and len(self.first[e].text) < SHORT
+                and not PUNCTUATION.match(self.first[e].text[-1]) and not self.headed[e]
+                for e in each
+            )
+            if tag == "article" or signed or not REPLIES.isdisjoint(_words(classes)):
+                self.thread[node] = max(self.thread[node], sum(self.own[e] for e in each))
+
+    def forget(self, node: int) -> None:
+        for sums in (self.count, self.own, self.length, self.prose, self.marks, self.thread):
+            sums[node] = 0
+        self.headed[node], self.first[node] = False, None
+
+
+def _beside_text(reader: _Reader, facts: _Facts) -> set[int]:
+    """The marked elements that are beside the text. One that holds most of the prose
+    of the page, and no run of replies, is the page."""
+    tree = facts.tree
+    for node in range(len(tree.parent) - 1, -1, -1):
+        facts.gather(node)
+    gone = set()
+    for node, found in reader.marked.items():
+        wraps = (
+            (tree.tag[node] in AROUND or found) and not found & ALWAYS and facts.count[node] > 1
+            and facts.prose[node] >= max(LONG, MOST * facts.prose[0])
+            and 2 * facts.thread[node] < facts.own[node]
+        )
+        if not wraps:
+            gone.add(node)
+    return gone
 
 
-def _judged(blocks: list[Block], doubts: set[int]) -> list[Block]:
-    """The blocks without the doubtful elements that are no prose, inner ones first."""
-    inside: dict[int, list[Block]] = {}
-    level: dict[int, int] = {}
-    for block in blocks:
-        for k, (number, _) in enumerate(block.nodes):
-            if number in doubts:
-                inside.setdefault(number, []).append(block)
-                level[number] = k
+def _judged(reader: _Reader, gone: set[int]) -> set[int]:
+    """The doubtful elements that are no prose, inner ones first."""
+    tree, doubts = reader.tree, reader.doubts
+    facts = _Facts(tree, _outside(tree, reader.blocks, gone, reader))
     alike: dict[tuple, int] = {}  # doubtful elements of one name under one parent
-    for number, some in inside.items():
-        key = _sibling(some[0], level[number])
-        alike[key] = alike.get(key, 0) + 1
-    gone: set[int] = set()
-    for number in sorted(inside, reverse=True):
-        some = [b for b in inside[number] if id(b) not in gone]
-        own, key = sum(b.own for b in some), _sibling(inside[number][0], level[number])
-        replies = alike[key] > 1 and not REPLIES.isdisjoint(_words(key[1]))
-        if replies or own < SHORT or 2 * own < sum(len(b.text) for b in some) or _threaded(some, level[number]):
-            gone |= {id(b) for b in some}
-    return [b for b in blocks if id(b) not in gone]
-
-
-def _sibling(block: Block, level: int) -> tuple[int, str]:
-    """The parent of a block's element at a level, and the element's name."""
-    return block.nodes[level - 1][0] if level else 0, block.path[level]
-
-
-def _threaded(blocks: list[Block], level: int) -> bool:
-    """Whether most of an element's text stands in repeats like comments: nested
-    articles, elements named as replies, or named elements without heading that
-    begin with a short line such as a name and a date."""
-    kinds: dict[tuple, dict[int, list[Block]]] = {}
-    for block in blocks:
-        for k in range(level + 1, len(block.nodes)):
-            if block.nodes[k][1] in ("article", "div", "li", "section"):
-                kinds.setdefault(_sibling(block, k), {}).setdefault(block.nodes[k][0], []).append(block)
-    for (_, name), each in kinds.items():
-        if len(each) < 2 or 2 * sum(b.own for some in each.values() for b in some) < sum(b.own for b in blocks):
+    some = tree.sums({n: c for n, c in enumerate(facts.count) if c})
+    for node in doubts:
+        if some[node]:
+            key = tree.parent[node], tree.name[node]
+            alike[key] = alike.get(key, 0) + 1
+    out = set()
+    for node in range(len(tree.parent) - 1, -1, -1):
+        facts.gather(node)
+        if node not in doubts or not facts.count[node]:
             continue
-        tag, _, classes = name.partition(".")
-        signed = all(
-            len(some) > 1 and len(some[0].text) < SHORT and not PUNCTUATION.match(some[0].text[-1])
-            and not any(b.own and _heading(b) for b in some)
-            for some in each.values()
-        )
-        if tag == "article" or not REPLIES.isdisjoint(_words(classes)) or (classes and signed):
-            return True
-    return False
+        own = facts.own[node]
+        replies = alike[tree.parent[node], tree.name[node]] > 1 and not REPLIES.isdisjoint(_words(tree.name[node]))
+        # A name that is no ordinary word asks for more of the content.
+        short = own < SHORT if doubts[node] else own < LONG or facts.marks[node] < MARKS
+        if replies or short or 2 * own < facts.length[node] or 0 < facts.thread[node] * 2 >= own:
+            out.add(node)
+            facts.forget(node)
+    return out
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -364,13 +501,13 @@ def path_scores(blocks: list[Block]) -> dict[tuple, float]:
     return dict(zip(keys, fused.tolist()))
 
 
-def select(blocks: list[Block], threshold: float = THRESHOLD) -> list[Block]:
+def select(tree: Tree, blocks: list[Block], threshold: float = THRESHOLD) -> list[Block]:
     """The blocks of the containers whose paths score near the best."""
     if not blocks:
         return []
     scores = path_scores(blocks)
     if not any(b.container for b in blocks):
-        return _densest(blocks, scores)
+        return _densest(tree, blocks, scores)
     total: dict[tuple, float] = {}
     for (container, _), score in scores.items():
         weight = ARTICLE_WEIGHT if container else 1.0
@@ -379,76 +516,110 @@ def select(blocks: list[Block], threshold: float = THRESHOLD) -> list[Block]:
     return [b for b in blocks if total[b.container] >= bar]
 
 
-def _plain(blocks: list[Block]) -> float:
-    """Score without smoothing, which lends weight to small neighbours."""
-    return sum(b.own * (1 + b.marks) ** 0.5 for b in blocks)
+class _Part:
+    """An element inside another, or the texts of one path in it."""
 
+    __slots__ = ("node", "blocks", "weight", "plain", "own", "last")
 
-def _heading(block: Block) -> bool:
-    return bool(block.nodes) and block.nodes[-1][1] in HEADINGS
+    def __init__(self, node=None):
+        self.node, self.blocks = node, []
+        self.weight = self.plain = self.own = 0.0
+        self.last = -1
 
 
-def _strong(found: dict) -> set:
+def _strong(parts: list[_Part]) -> list[_Part]:
     """The parts that are not weak, by score or by length."""
-    plain = {k: _plain(some) for k, some in found.items()}
-    own = {k: sum(b.own for b in some) for k, some in found.items()}
-    bar, least = WEAK * max(plain.values()), max(SHORT, WEAK * max(own.values()))
-    return {k for k in found if plain[k] >= bar or own[k] >= least}
-
-
-def _beside(found: dict, best: tuple, place: dict[int, int]) -> set[int]:
-    """Of the parts beside the best one: those that are not weak, and the headings
-    before the last of them all, but for titles of link lists."""
-    strong = {k for k in _strong(found) if any(b.own for b in found[k])} | {best}
-    last = max(place[id(found[k][-1])] for k in strong)
-    kept = {id(b) for k in strong - {best} for b in found[k]}
-    for key in found.keys() - strong:
-        rest = [b for b in found[key] if not _heading(b)]
-        if 2 * sum(b.own for b in rest) >= sum(len(b.text) for b in rest):
-            kept |= {id(b) for b in found[key] if _heading(b) and place[id(b)] < last}
-    return kept
-
-
-def _densest(blocks: list[Block], scores: dict[tuple, float]) -> list[Block]:
+    bar = WEAK * max(p.plain for p in parts)
+    least = max(SHORT, WEAK * max(p.own for p in parts))
+    return [p for p in parts if p.plain >= bar or p.own >= least]
+
+
+def _densest(tree: Tree, blocks: list[Block], scores: dict[tuple, float]) -> list[Block]:
     """The blocks of the deepest element that holds most of the score, and what
-    stands beside it or its parents and is not weak."""
+    stands beside it or its parents and is not weak, with the headings before the
+    last of them all, but for titles of link lists."""
     count: dict[tuple, int] = {}
     for block in blocks:
         key = (block.container, block.path)
         count[key] = count.get(key, 0) + 1
-    each = {key: score / count[key] for key, score in scores.items()}
-
-    def parts(level: int) -> dict:
-        """Blocks by their element at a level; texts of one path are one part."""
-        out: dict = {}
-        for block in blocks:
-            own = len(block.nodes) <= level or block.nodes[level][1] in TEXT
-            out.setdefault(block.path if own else block.nodes[level], []).append(block)
-        return out
-
-    def weight(some: list[Block]) -> float:
-        return sum(each[b.container, b.path] for b in some)
-
-    level, page, kept = 0, blocks, set()
-    place = {id(b): i for i, b in enumerate(page)}
+    size = len(tree.parent)
+    # Sums over each element; its blocks are neighbours in page order.
+    weight, plain, own = [0.0] * size, [0.0] * size, [0.0] * size
+    first, last, texts = [len(blocks)] * size, [-1] * size, [[] for _ in range(size)]
+    children: list[list[int]] = [[] for _ in range(size)]
+    each = []
+    for i, block in enumerate(blocks):
+        key, node = (block.container, block.path), block.node
+        # Smoothing lends weight to small neighbours; the plain score has none.
+        each.append((scores[key] / count[key], block.own * (1 + block.marks) ** 0.5))
+        weight[node] += each[i][0]
+        plain[node] += each[i][1]
+        own[node] += block.own
+        first[node], last[node] = min(first[node], i), i
+        texts[node].append(i)
+    for node in range(size - 1, 0, -1):
+        up = tree.parent[node]
+        weight[up] += weight[node]
+        plain[up] += plain[node]
+        own[up] += own[node]
+        first[up], last[up] = min(first[up], first[node]), max(last[up], last[node])
+    for node in range(1, size):
+        if last[node] >= 0:
+            children[tree.parent[node]].append(node)
+
+    def parts(node: int) -> list[_Part]:
+        """What an element is made of, in page order."""
+        lines: dict[int, _Part] = {}
+        inside = list(texts[node])
+        found: list[_Part] = []
+        for child in children[node]:
+            if tree.tag[child] in TEXT:
+                inside.extend(range(first[child], last[child] + 1))
+                continue
+            part = _Part(child)
+            part.weight, part.plain, part.own, part.last = weight[child], plain[child], own[child], last[child]
+            found.append(part)
+        for i in inside:
+            part = lines.setdefault(blocks[i].path, _Part())
+            part.blocks.append(i)
+            part.weight += each[i][0]
+            part.plain += each[i][1]
+            part.own += blocks[i].own
+            part.last = max(part.last, i)
+        return found + list(lines.values())
+
+    def held(part: _Part):
+        return part.blocks if part.node is None else range(first[part.node], last[part.node] + 1)
+
+    here, kept = 0, set()
     while True:
-        found = parts(level)
-        best = max(found, key=lambda k: weight(found[k]))
-        container = len(best) == 2 and isinstance(best[0], int)
-        if not container or weight(found[best]) < MOST * weight(blocks):
+        found = parts(here)
+        best = max(found, key=lambda p: p.weight)
+        if best.node is None or best.weight < MOST * weight[here]:
             break
-        kept |= _beside(found, best, place)
-        blocks, level = found[best], level + 1
-    if level and blocks[0].nodes[level - 1][1] not in ("html", "body"):
-        kept |= {id(b) for b in blocks}
+        strong = [p for p in _strong(found) if p.own and p is not best]
+        end = max(p.last for p in [*strong, best])
+        names = {id(p) for p in [*strong, best]}
+        for part in strong:
+            kept.update(held(part))
+        for part in found:
+            if id(part) in names:
+                continue
+            rest = [blocks[i] for i in held(part) if not blocks[i].heading]
+            if 2 * sum(b.own for b in rest) >= sum(len(b.text) for b in rest):
+                kept.update(i for i in held(part) if blocks[i].heading and i < end)
+        here = best.node
+    if here and tree.tag[here] not in ("html", "body"):
+        kept.update(range(first[here], last[here] + 1))
     else:
-        kept |= {id(b) for k in _strong(found) for b in found[k]}
-        kept |= {id(b) for b in blocks if _heading(b)}
-    return [b for b in page if id(b) in kept]
+        for part in _strong(found):
+            kept.update(held(part))
+        kept.update(i for i in range(first[here], last[here] + 1) if blocks[i].heading)
+    return [b for i, b in enumerate(blocks) if i in kept]
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
-    return "\n".join(b.text for b in select(read_blocks(page or ""), threshold))
+    return "\n".join(b.text for b in select(*read_blocks(page or ""), threshold))
 
 
 def extract(pages: DataFrame, column: str = "html", threshold: float = THRESHOLD) -> DataFrame:
