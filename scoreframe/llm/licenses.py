@@ -18,6 +18,7 @@ inside a longer sentence it does not count.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -134,9 +135,87 @@ SENTENCES = {
     "PublicDomain": ("released into the public domain", "dedicated to the public domain"),
     "SpdxApache": ("spdx license identifier apache 2 0",),
     "SpdxMit": ("spdx license identifier mit",),
-    "SpdxGpl3": ("spdx license identifier gpl 3 0 only", "spdx license identifier gpl 3 0 or later"),
     "SpdxBsd3": ("spdx license identifier bsd 3 clause",),
+    "Lgpl21Later": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public"
+        " license as published by the free software foundation either version 2 1 of the license or"
+        " at your option any later version",
+    ),
+    "Lgpl3Later": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public"
+        " license as published by the free software foundation either version 3 of the license or"
+        " at your option any later version",
+    ),
+    "AgplLater": (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public"
+        " license as published by the free software foundation either version 3 of the license or"
+        " at your option any later version",
+    ),
+    "IscGrant": (
+        "permission to use copy modify and or distribute this software for any purpose with or"
+        " without fee is hereby granted provided that the above copyright notice and this"
+        " permission notice appear in all copies",
+    ),
+    "ZeroGrant": (
+        "permission to use copy modify and or distribute this software for any purpose with or"
+        " without fee is hereby granted",
+    ),
+    "UnlicenseFree": (
+        "free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain",
+    ),
+    "BoostGrant": (
+        "distributed under the boost software license version 1 0",
+    ),
+}
+
+# Names by which notices speak of a licence, and its SPDX identifier.
+SHORT_NAMES = {
+    "Apache-2.0": ("apache license 2 0", "apache license version 2 0", "apache 2 0 license", "apache 2 0"),
+    "MIT": ("mit license", "mit"),
+    "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license"),
+    "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license"),
+    "LGPL-2.1": ("gnu lesser general public license version 2 1",),
+    "LGPL-3.0": ("gnu lesser general public license version 3",),
+    "AGPL-3.0": ("gnu affero general public license version 3",),
+    "ISC": ("isc license",),
+    "Unlicense": ("unlicense",),
+    "BSL-1.0": ("boost software license version 1 0",),
+    "Zlib": ("zlib license",),
+    "EPL-2.0": ("eclipse public license 2 0", "eclipse public license version 2 0"),
+    "MPL-2.0": ("mozilla public license 2 0",),
+    "MIT AND Apache-2.0": ("mit license and the apache license version 2 0",),
+    "MIT OR Apache-2.0": ("mit license or the apache license version 2 0",),
 }
+# Identifiers of SPDX lines that stand for themselves.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0 OR MIT", "BSD-2-Clause", "BSL-1.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT OR Apache-2.0", "MPL-2.0", "Unlicense", "Zlib",
+)
+
+
+def _identifier(kind: str, name: str) -> str:
+    return kind + re.sub("[^A-Za-z0-9]", "", name)
+
+
+def _add_notices() -> None:
+    """Sentences made of a verb, a name and an ending, unless they are known already."""
+    have = {form for forms in SENTENCES.values() for form in forms}
+    for licence, names in SHORT_NAMES.items():
+        made = (
+            f"{verb} under {the}{name}{end}" for name in names for verb in ("licensed", "released")
+            for the in ("the ", "") for end in ("", " see the license file for details")
+        )
+        SENTENCES[_identifier("Under", licence)] = tuple(
+            f for f in made if f not in have and "licen" in f)
+    for licence in SPDX:
+        plain = re.sub("[^a-z0-9]+", " ", licence.lower())
+        SENTENCES[_identifier("Spdx", licence)] = (f"spdx license identifier {plain}",)
+
+
+_add_notices()
 
 # Ordered rules, licence name and its identifiers in sequence.
 # ``?`` after an identifier: it may be missing.
@@ -156,7 +235,13 @@ RULES = (
     ("GPL-2.0-or-later", "GplVersion2Later GplNoWarranty? GplSeeCopy?"),
     ("GPL-3.0", "Gpl3Under"),
     ("GPL-2.0", "Gpl2Under"),
-    ("GPL-3.0", "SpdxGpl3"),
+    ("LGPL-2.1-or-later", "Lgpl21Later"),
+    ("LGPL-3.0-or-later", "Lgpl3Later"),
+    ("AGPL-3.0-or-later", "AgplLater"),
+    ("ISC", "IscGrant"),
+    ("0BSD", "ZeroGrant"),
+    ("Unlicense", "UnlicenseFree"),
+    ("BSL-1.0", "BoostGrant"),
     ("MPL-2.0", "MplUnder"),
     ("CC-BY-NC-ND-4.0", "CcByNcNd"),
     ("CC-BY-NC-SA-4.0", "CcByNcSa"),
@@ -167,6 +252,8 @@ RULES = (
     ("CC0-1.0", "CcZero"),
     ("Public-Domain", "PublicDomain"),
     ("All-Rights-Reserved", "AllRights"),
+    *((licence, _identifier("Under", licence)) for licence in SHORT_NAMES),
+    *((licence, _identifier("Spdx", licence)) for licence in SPDX),
 )
 
 # Every known sentence holds one of these, none of them over a line end.

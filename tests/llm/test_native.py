@@ -51,6 +51,35 @@ def test_licences(spark):
     assert got[10].licences == ["MIT"]
 
 
+EVERYDAY = {
+    "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+    "Licensed under the Apache License 2.0.": "Apache-2.0",
+    "Licensed under Apache 2.0.": "Apache-2.0",
+    "Licensed under the MIT license and the Apache License, Version 2.0.": "MIT AND Apache-2.0",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU\n"
+    "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the\n"
+    "License, or (at your option) any later version.": "LGPL-2.1-or-later",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+    "published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+    "later version.": "AGPL-3.0-or-later",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+    "hereby granted, provided that the above copyright notice and this permission notice appear in all "
+    "copies.": "ISC",
+    "This is free and unencumbered software released into the public domain.": "Unlicense",
+    "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only",
+    "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+    "SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later",
+}
+
+
+def test_everyday_notices(spark):
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(EVERYDAY)], DOC)
+    got = {r.doc_id: r.licences for r in licenses.recognise(rows).collect()}
+    assert got == {i: [name] for i, name in enumerate(EVERYDAY.values())}
+
+
 def test_every_sentence_has_a_trigger_and_is_normal(spark):
     forms = [f for known in licenses.SENTENCES.values() for f in known]
     assert all(any(t in f for t in licenses.TRIGGERS) for f in forms)
