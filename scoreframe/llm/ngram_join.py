@@ -153,6 +153,12 @@ def _read(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return keys, owner[kept], tokens[kept]
 
 
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first, last) of the runs of equal values."""
+    edges = [0, *(np.flatnonzero(np.diff(sorted_)) + 1).tolist(), len(sorted_)]
+    return [(int(sorted_[a]), a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
 def _lengths(tokens: np.ndarray) -> np.ndarray:
     """For each token how often it occurs."""
     order = np.argsort(tokens, kind="stable")
@@ -186,9 +192,9 @@ def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataF
         keys, owner, marks = _read(table, np.uint32)
         hits = np.bincount(owner[_lengths(marks) > 1], minlength=len(keys))
         keys, hits = keys[hits > 0], hits[hits > 0].astype(np.int32)
-        part = keys % parts
-        rows = [(int(p), keys[part == p].tobytes(), hits[part == p].tobytes())
-                for p in np.unique(part)]
+        order = np.argsort(keys % parts, kind="stable")
+        keys, hits = keys[order], hits[order]
+        rows = [(p, keys[a:b].tobytes(), hits[a:b].tobytes()) for p, a, b in _runs(keys % parts)]
         return pa.table(
             {"part": pa.array([r[0] for r in rows], pa.int64()),
              "keys": pa.array([r[1] for r in rows], pa.binary()),
@@ -256,15 +262,21 @@ def rare_tokens(sets: DataFrame, percent: int, buckets: int, parts: int) -> Data
         every = np.bincount(owner, minlength=len(keys)).astype(np.int32)
         more = length > 1
         own, tokens, length = owner[more], tokens[more], length[more]
-        part = keys % parts
-        rows = []
-        for p in np.unique(part):
-            mine = np.flatnonzero((part == p) & (every > 0))
-            pick = part[own] == p
-            hits = np.bincount(own[pick], minlength=len(keys))[mine].astype(np.int32)
-            order = np.argsort(own[pick], kind="stable")
-            rows.append((int(p), keys[mine].tobytes(), every[mine].tobytes(), hits.tobytes(),
-                         tokens[pick][order].tobytes(), length[pick][order].tobytes()))
+        hits = np.bincount(own, minlength=len(keys)).astype(np.int32)
+        # Sets by part, and their tokens in the order of the sets.
+        by_part = np.argsort(keys % parts, kind="stable")
+        by_part = by_part[every[by_part] > 0]
+        place = np.empty(len(keys), np.int32)
+        place[by_part] = np.arange(len(by_part), dtype=np.int32)
+        order = np.argsort(place[own], kind="stable")
+        tokens, length = tokens[order], length[order]
+        keys, every, hits = keys[by_part], every[by_part], hits[by_part]
+        ends = np.concatenate([[0], np.cumsum(hits)])
+        rows = [
+            (p, keys[a:b].tobytes(), every[a:b].tobytes(), hits[a:b].tobytes(),
+             tokens[ends[a] : ends[b]].tobytes(), length[ends[a] : ends[b]].tobytes())
+            for p, a, b in _runs(keys % parts)
+        ]
         return pa.table(
             {"part": pa.array([r[0] for r in rows], pa.int64())}
             | {name: pa.array([r[i] for r in rows], pa.binary())
