@@ -244,20 +244,35 @@ def fold_runs(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
         return mix64(value + (last - first).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def one_blank(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one blank after each, and where each begins in that."""
+    begins = np.cumsum(stops - starts + 1) - (stops - starts + 1)
+    if not len(starts):
+        return data[:0], begins
+    source = np.arange(int(begins[-1] + stops[-1] - starts[-1]) + 1)
+    source += np.repeat(starts - begins, stops - starts + 1)
+    joined = data[np.minimum(source, len(data) - 1)]
+    joined[begins[1:] - 1] = 32
+    joined[-1] = 32
+    return joined, begins
+
+
 class Chunks:
     """Content-defined chunks of some texts: runs of words, cut where the gear hash
     of the 16 bytes that end a word is a multiple of ``average``, and after
-    ``most`` words without such a place."""
+    ``most`` words without such a place. The hash runs over the words with one
+    blank between them, so cuts do not depend on the white space of a text."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, average: int, most: int = 32):
         starts, stops, at = find_words(data, offsets)
         self.rows = len(offsets) - 1
         word = hash_words(data, starts, stops, lower=False)
         owner = np.repeat(np.arange(self.rows), np.diff(at))
-        ends = stops - 1
-        cut = (gear(data)[ends] >> np.uint32(GEAR_BYTES - 1)) % np.uint32(average) == 0
+        joined, begins = one_blank(data, starts, stops)
+        ends = begins + (stops - starts) - 1
+        cut = (gear(joined)[ends] >> np.uint32(GEAR_BYTES - 1)) % np.uint32(average) == 0
         # A window that reaches into the text before is no property of this one.
-        cut &= ends - offsets[owner] >= GEAR_BYTES - 1
+        cut &= ends - np.append(begins, 0)[at[owner]] >= GEAR_BYTES - 1
         cut[at[1:][np.diff(at) > 0] - 1] = True
         last = np.flatnonzero(cut) + 1
         gap = np.diff(last, prepend=0)

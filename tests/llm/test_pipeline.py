@@ -47,17 +47,18 @@ def chunks(text):
     """(words, begin, end) of each chunk, by plain loops."""
     data = text.encode()
     words = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
-    out, held = [], []
+    out, held, read = [], [], b""
     for i, m in enumerate(words):
         held.append(m)
-        value = 0
-        for b in data[max(0, m.end() - arrays.GEAR_BYTES) : m.end()]:
+        value, read = 0, read + m[0]  # the words with one blank between them
+        for b in read[-arrays.GEAR_BYTES :]:
             value = ((value << 1) + int(arrays._GEAR[b])) % 2**32
-        cut = m.end() >= arrays.GEAR_BYTES and (value >> 15) % substrings.AVERAGE_WORDS == 0
+        cut = len(read) >= arrays.GEAR_BYTES and (value >> 15) % substrings.AVERAGE_WORDS == 0
         if cut or len(held) == 32 or i == len(words) - 1:
             end = words[i + 1].start() if i + 1 < len(words) else len(data)
             out.append((tuple(x[0] for x in held), held[0].start(), end))
             held = []
+        read = read[-arrays.GEAR_BYTES :] + b" "
     return out
 
 

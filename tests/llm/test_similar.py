@@ -297,3 +297,15 @@ def test_bounds_hold():
         if last is not None:
             assert bound.mean() <= last.mean() + 1e-6  # finer is tighter
         last = bound
+
+
+def test_copied_passages_are_found_however_they_are_wrapped(spark):
+    rng, rows = random.Random(7), []
+    for i in range(30):
+        passage = [f"w{rng.randrange(10**7)}" for _ in range(80)]
+        around = [[f"x{rng.randrange(10**7)}" for _ in range(60)] for _ in range(2)]
+        wrapped = "".join(w + ("\n" if k % 8 == 7 else "  " if k % 3 == 0 else " ") for k, w in enumerate(passage))
+        rows += [(i, " ".join([*around[0], *passage])), (100 + i, wrapped + " ".join(around[1]))]
+    got = {r.doc_id: r.removed_words for r in substrings.dedupe(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(got[i] == 0 for i in range(30))
+    assert min(got[100 + i] for i in range(30)) >= 50 and sum(got[100 + i] for i in range(30)) >= 30 * 60
