@@ -420,3 +420,49 @@ def test_smoothing_and_fusion():
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+LONG = "".join(f"<p>{'A long paragraph of several words, with marks; it goes on and on. ' * 5}{i}</p>" for i in range(3))
+WRAPPED = [
+    ('<div id="page" class="no-sidebar">%s</div>', ""),
+    ('<div class="layout-with-sidebar">%s</div>', ""),
+    ('<div class="wrap has-header sticky-footer">%s</div>', ""),
+    ('<form id="aspnetForm">%s</form>', ""),
+    ('<form id="aspnetForm"><article>%s</article></form>', ""),
+    ('<form><div class="sidebar"><p>Beside it, in words.</p></div><article>%s</article></form>', ""),
+    ('<article><div class="has-comments">%s</div></article>', ""),
+    ('<article><h1>T</h1><div class="no-ads">%s</div></article>', "T\n"),
+    ('<article><h1>Baking</h1><section id="cookies">%s</section></article>', "Baking\n"),
+    ('<article><section id="http-header">%s</section></article>', ""),
+    ('<article><header><h1>Title</h1><p>3 May</p></header>%s</article>', "Title\n"),
+    ('<div class="cookie-notice"><p>We use cookies, accept them.</p></div><div>%s</div>', ""),
+    ('<div class="has-sidebar"><div>%s</div><aside class="sidebar"><p>Beside it, in words.</p></aside></div>', ""),
+    ('<div>%s</div><div class="comments">' + LONG.replace("A long", "My") + "</div>", ""),
+    ('<article>%s<div class="newsletter"><p>Subscribe, it is free.</p></div></article>', ""),
+]
+
+
+@pytest.mark.parametrize("page, head", WRAPPED)
+def test_a_name_alone_takes_no_page_away(page, head):
+    want = "\n".join(p.strip() for p in LONG.replace("<p>", "").split("</p>") if p)
+    assert html_text.main_text(page % LONG) == head + want
+
+
+def test_what_only_looks_like_a_page_is_none():
+    assert html_text.main_text("<footer><p>All rights reserved, 2020.</p></footer>") == ""
+    assert html_text.main_text('<div class="cookie"><p>We use cookies, accept them.</p></div>') == ""
+    assert html_text.main_text('<div class="comments">' + LONG + "</div>") == ""
+
+
+@pytest.mark.parametrize("open_", [
+    "<div>x ", "<div class=related>x ", "<aside><article>x ", "<ul><li>y ", "<article><p>x ",
+    "<div class=sidebar><p>some words, with marks. ", "<form><section id=notice>x "])
+def test_deep_pages_take_time_in_proportion(open_):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text(open_ * n + "</section>" * n)
+        return time.process_time() - start
+
+    assert seconds(20_000) < 10
