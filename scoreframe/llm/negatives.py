@@ -52,6 +52,8 @@ ROUNDS = 5
 STEP = 256
 
 _GROUP = ("width", "slot", "chunk")
+_RESULT = ("anchor_id long, positive_id long, rank int, negative_id long, positive_score long, "
+           "negative_score long")
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
@@ -174,6 +176,8 @@ def mine(
     anchors = rows.where("asks").select("id", "label", "v", "width").distinct()
     widths = {r.width: r for r in rows.groupBy("width").agg(
         F.count("*").alias("n"), F.count_if("asks").alias("asked")).where("asked > 0").collect()}
+    if not widths:
+        return vectors.sparkSession.createDataFrame([], _RESULT)
     chunked = saved(_clusters(anchors, list(widths), centres, chunk_values), "negatives-anchors")
     cores = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     slots = {w: max(1, min(cores, -(-r.n // 1024)), -(-r.n * w // slot_values)) for w, r in widths.items()}
@@ -216,7 +220,7 @@ def _clusters(anchors: DataFrame, widths: list[int], centres: int, chunk_values:
         if parts > 1:
             chunk, held = chunk + parts, 0
     known = F.create_map(*[F.lit(x) for (w, c), (first, parts) in place.items()
-                           for x in (f"{w}:{c}", first * 2**20 + parts)]) if place else F.create_map()
+                           for x in (f"{w}:{c}", first * 2**20 + parts)])
     code = known[F.concat_ws(":", "width", "cluster")].cast("long")
     first, parts = F.shiftright(code, 20), code.bitwiseAND(F.lit(2**20 - 1))
     return near.withColumn("chunk", (first + F.pmod(F.xxhash64("id", "v"), parts)).cast("int"))
@@ -225,9 +229,6 @@ def _clusters(anchors: DataFrame, widths: list[int], centres: int, chunk_values:
 def _windows(rows: DataFrame, chunked: DataFrame, slots: dict[int, int], positives: int, k: int,
              shares: tuple[int, int]) -> DataFrame:
     spark = rows.sparkSession
-    if not slots:
-        return spark.createDataFrame([], (
-            "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"))
     every = F.explode(F.sequence(F.lit(0), _sized(slots) - 1)).alias("slot")
     pairs = spark.createDataFrame(
         chunked.select("width", "chunk").distinct().collect(), "width int, chunk int")
