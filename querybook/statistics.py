@@ -250,3 +250,111 @@ def exact_p_values(spark, sf_dir):
     return tested.join(counts, "metric").filter(few & (F.col("n") == F.col("count"))).select(
         "metric", "n", F.round("p_value", 9).alias("p_value")
     )
+
+
+@query(
+    """WITH RECURSIVE d AS (
+  SELECT c_custkey // 20 AS part, floor(c_acctbal / 1000) AS d FROM customer
+), r AS (
+  SELECT part, d, row_number() OVER (PARTITION BY part ORDER BY abs(d)) AS k,
+    2 * rank() OVER (PARTITION BY part ORDER BY abs(d)) + count(*) OVER (PARTITION BY part, abs(d)) - 1
+      AS r2
+  FROM d WHERE d <> 0
+), ways(part, k, s, w) AS (
+  SELECT DISTINCT part, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM d
+  UNION ALL
+  SELECT ways.part, r.k, (s + up * r2)::BIGINT, sum(w) FROM ways JOIN r ON r.part = ways.part
+    AND r.k = ways.k + 1, (VALUES (0), (1)) t(up) GROUP BY ALL
+), g AS (
+  SELECT part, count(*) AS held FROM d GROUP BY part HAVING count(*) >= 2
+), t AS (
+  SELECT g.part, count(k) AS n, least(coalesce(sum(r2) FILTER (d > 0), 0),
+    coalesce(sum(r2) FILTER (d < 0), 0)) AS t2
+  FROM g LEFT JOIN r USING (part) GROUP BY g.part
+)
+SELECT 'b' || t.part AS metric, n, t2 / 2.0 AS statistic,
+  round(least(1.0, 2.0 * sum(w) / pow(2.0, n)), 9) AS p_value
+FROM t JOIN ways ON ways.part = t.part AND ways.k = n AND s <= t2 GROUP BY t.part, n, t2"""
+)
+def exact_p_tied(spark, sf_dir):
+    """Signed-rank tests by the exact distribution where differences tie or are zero."""
+    balance = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.concat(F.lit("b"), F.floor(F.col("c_custkey") / 20).cast("string")).alias("metric"),
+        F.floor(F.col("c_acctbal") / 1000).cast("double").alias("value"),
+    )
+    scores = balance.withColumn("inference_id", F.lit("a")).unionByName(
+        balance.withColumn("value", F.lit(0.0)).withColumn("inference_id", F.lit("b"))
+    )
+    return S.wilcoxon_signed_rank(scores, ["a", "b"], "exact").select(
+        "metric", "n", "statistic", F.round("p_value", 9).alias("p_value")
+    )
+
+
+def _mixed(x: str) -> str:
+    """The 64-bit finaliser of the resamples in SQL."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = f"(xor({x}, {x} >> {shift})::UHUGEINT * {factor}::UHUGEINT % {2**64}::UHUGEINT)::UBIGINT"
+    return f"xor({x}, {x} >> 31)"
+
+
+def _stepped(x: str, steps: str) -> str:
+    """``x`` plus ``steps`` times the golden step, modulo 2^64."""
+    return (f"(({x}::UHUGEINT + ({steps})::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) "
+            f"% {2**64}::UHUGEINT)::UBIGINT")
+
+
+def _split_sql(size: int, turns: int, width: int) -> str:
+    return f"""SELECT inference_id, metric, round(avg(mean), 8) AS mean,
+  round(stddev_samp(mean), 8) AS std, round(quantile_cont(mean, 0.025), 8) AS ci_low,
+  round(quantile_cont(mean, 0.975), 8) AS ci_high
+FROM (WITH RECURSIVE sizes AS (
+    SELECT inference_id, metric, count(*) AS n, least({size}, count(*)) AS c,
+      ('0x' || substr(md5(concat_ws('|', '7', inference_id, metric)), 1, 15))::UBIGINT AS base
+    FROM numbered GROUP BY inference_id, metric
+  ), turns AS (
+    SELECT inference_id, metric, n, c, turn, {_mixed("k")} AS mine
+    FROM (SELECT *, {_stepped("base", "turn + 1")} AS k
+          FROM (SELECT *, unnest(range({turns})) AS turn FROM sizes))
+  ), tree AS (
+    SELECT inference_id, metric, turn, mine, n, 0::BIGINT AS low,
+      ((n + {width - 1}) // {width})::BIGINT AS high, 1::BIGINT AS node, c::BIGINT AS c FROM turns
+    UNION ALL
+    SELECT inference_id, metric, turn, mine, n, CASE side WHEN 0 THEN low ELSE middle END,
+      CASE side WHEN 0 THEN middle ELSE high END, 2 * node + side,
+      CASE side WHEN 0 THEN to_left ELSE c - to_left END
+    FROM (SELECT *, least(c, len(list_filter(range(c + 1),
+            lambda k: list_sum(chances[1 : k + 1]) <= {_mixed("h")} / pow(2.0, 64))))::BIGINT AS to_left
+          FROM (SELECT *, list_transform(range(c + 1), lambda k: exp(lgamma(c + 1) - lgamma(k + 1)
+                  - lgamma(c - k + 1) + k * ln(share) + (c - k) * ln(1.0 - share))) AS chances
+                FROM (SELECT *, {_stepped("mine", "node")} AS h,
+                        (middle - low) * {width} / (least(high * {width}, n) - low * {width})::DOUBLE
+                          AS share
+                      FROM (SELECT *, (low + high) // 2 AS middle FROM tree
+                            WHERE high - low > 1 AND c > 0)))),
+      (VALUES (0), (1)) sides(side)
+  ), picks AS (
+    SELECT inference_id, metric, turn, low * {width} + {_mixed("k")}
+        % least({width}, n - low * {width}) AS row
+    FROM (SELECT *, {_stepped("leaf", "j + 1")} AS k
+          FROM (SELECT *, {_mixed("h")} AS leaf, unnest(range(c)) AS j
+                FROM (SELECT *, {_stepped("mine", "node")} AS h FROM tree
+                      WHERE high - low = 1 AND c > 0)))
+  )
+  SELECT p.inference_id, p.metric, turn, avg(value) AS mean FROM picks p JOIN numbered s
+    ON s.inference_id = p.inference_id AND s.metric = p.metric AND s.row = p.row
+  GROUP BY p.inference_id, p.metric, turn)
+GROUP BY inference_id, metric"""
+
+
+@query(
+    sql(
+        _split_sql(40, 1000, 64), "fx_scores",
+        numbered=_NUMBERED.format(source="fx_scores"),
+    )
+)
+def bootstrap_split(spark, sf_dir):
+    """Exact resampling by a tree of binomials, without a table of draws."""
+    return S.bootstrap_ci(
+        _metrics(spark, sf_dir), 40, 1000, seed=7, method="split", digits=8, range_rows=64
+    )

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.significance import normal_p, signed_rank_p
+from ..functions.significance import EXACT_MOST, normal_p, signed_rank_p
 from ..plans.scale import BROADCAST_ROWS, attach, cut, running_totals
 
 # Fixed value: differences up to this size count as equal scores.
@@ -109,6 +109,8 @@ def wilcoxon_signed_rank(
     Columns: ``run_a, run_b, metric, n`` (non-zero differences), ``r_plus,
     r_minus, statistic, tie_term, z, p_value``. Differences that are all at
     most 1e-8 give statistic 0 and p 1. Fewer than two aligned values: no row.
+    ``p_method="exact"`` counts all sign patterns of the ranks, tied ones
+    included, for up to 2000 non-zero differences, and approximates beyond.
     """
     return _signed_rank(_wide(scores_long, runs), runs, p_method)
 
@@ -132,6 +134,8 @@ def _signed_rank(wide: DataFrame, runs: Sequence[str], p_method: str) -> DataFra
     )
     moved = F.when(F.col("size") > 0, F.col("times")).otherwise(F.lit(0))
     ranked = running_totals(sizes, PAIR, ["size"], {"moved": moved})
+    if p_method == "exact":
+        ranked = cut(ranked)
     # Average rank of a tied block: rows before it plus half of its own.
     rank = F.col("moved_before") + (F.col("times") + 1) / 2.0
     live = F.col("size") > 0
@@ -156,13 +160,29 @@ def _signed_rank(wide: DataFrame, runs: Sequence[str], p_method: str) -> DataFra
         .withColumn("z", F.when(~equal, F.try_divide(least - n * (n + 1) / 4, spread)))
     )
     clean = (F.col("tie_term") == 0) & (F.col("values") == F.col("n"))
-    p = signed_rank_p(F.col("z"), F.col("statistic"), F.col("n"), clean, p_method)
+    blocks = None
+    if p_method == "exact":
+        tested = cut(tested)
+        tested = tested.join(_rank_blocks(ranked, tested.filter(~equal), rank), PAIR, "left")
+        blocks = F.col("__blocks")
+    p = signed_rank_p(F.col("z"), F.col("statistic"), F.col("n"), clean, p_method, blocks)
     return tested.withColumn("__p", p).select(
         *PAIR, "n", "r_plus", "r_minus", "statistic", "tie_term", "z",
         F.when(equal, F.lit(1.0)).otherwise(F.col("__p")).alias("p_value"),
     )
 
 
+def _rank_blocks(ranked: DataFrame, tested: DataFrame, rank: Column) -> DataFrame:
+    """The distinct ranks of each test of at most ``EXACT_MOST`` differences."""
+    few = tested.filter(F.col("n").between(1, EXACT_MOST)).select(*PAIR)
+    block = F.struct((2 * rank).cast("long").alias("rank"), F.col("times"))
+    return (
+        attach(ranked.filter(F.col("size") > 0), few, PAIR, ["size"], "left_semi")
+        .groupBy(*PAIR)
+        .agg(F.collect_list(block).alias("__blocks"))
+    )
+
+
 def rank_sum(scores_long: DataFrame, runs: Sequence[str]) -> DataFrame:
     """Unpaired test for every pair of runs and metric (no tie correction).
 
@@ -341,6 +361,124 @@ def poisson_means(
     )
 
 
+# Rows of a range in a split resample: one group of ``applyInArrow``.
+RANGE_ROWS = 4096
+# Up to this many draws a binomial is read off its distribution by one hash, which
+# any engine repeats; more draws come from numpy's generator, keyed by the hash.
+INVERTED = 1024
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, INVERTED + 1)))])
+
+
+def _binomial(draws: np.ndarray, share: float, keys: np.ndarray) -> np.ndarray:
+    """A Binomial(draws, share) for each turn, by the turn's hash."""
+    out = np.zeros_like(draws)
+    for count in np.unique(draws[(draws > 0) & (draws <= INVERTED)]):
+        k = np.arange(count + 1)
+        logs = _LOG_FACTORIAL[count] - _LOG_FACTORIAL[k] - _LOG_FACTORIAL[count - k]
+        logs += k * np.log(share) + (count - k) * np.log(1.0 - share)
+        at = draws == count
+        found = np.searchsorted(np.cumsum(np.exp(logs)), keys[at] / 2.0**64, side="right")
+        out[at] = np.minimum(found, count)
+    large = draws > INVERTED
+    if large.any():
+        generator = np.random.Generator(np.random.Philox(key=int(keys[0])))
+        out[large] = generator.binomial(draws[large], share)
+    return out
+
+
+def _sent_to(
+    at: int, rows: int, draws: int, turns: np.ndarray, range_rows: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Draws of each turn that fall into range ``at``, and the range's hash per turn.
+
+    The ranges are the leaves of a binary tree. A node's draws are split by a
+    binomial from hashes of (turn, node), so every range finds its own number on
+    its way down from the root, and all ranges agree.
+    """
+    sent = np.full(len(turns), draws, np.int64)
+    low, high, node = 0, -(-rows // range_rows), 1
+
+    def keys() -> np.ndarray:
+        return _mix(turns + np.array([node], np.uint64) * _STEP)
+
+    while high - low > 1 and sent.any():
+        middle = (low + high) // 2
+        share = (middle - low) * range_rows / (min(high * range_rows, rows) - low * range_rows)
+        left = _binomial(sent, share, keys())
+        if at < middle:
+            sent, high, node = left, middle, 2 * node
+        else:
+            sent, low, node = sent - left, middle, 2 * node + 1
+    return sent, keys()
+
+
+def split_means(
+    scores_long: DataFrame,
+    sample_size: int | None = None,
+    n_boot: int = 1000,
+    seed: int = 0,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """Exact resample means without a table of draws: ``inference_id, metric, turn, mean``.
+
+    Multinomial splitting: the rows of a (run, metric), numbered by id, form
+    ranges; how many draws of a turn fall into a range comes from a tree of
+    binomials, and inside the range rows are picked by hash. Only the scores
+    are shuffled, and one sum per (range, turn). ``sample_size=None`` draws as
+    many as there are rows. Same distribution as ``bootstrap_means``, other draws.
+    """
+    rows = valid_scores(scores_long).select(*_GROUP, "id", "value")
+    numbered = running_totals(rows, _GROUP, ["id"], {"one": F.lit(1)})
+    n = F.count(F.lit(1))
+    size = n if sample_size is None else F.least(F.lit(sample_size).cast("long"), n)
+    label = F.md5(F.concat_ws("|", F.lit(str(seed)), *_GROUP))
+    sizes = rows.groupBy(*_GROUP).agg(n.alias("n"), size.alias("size")).withColumn(
+        "base", F.conv(F.substring(label, 1, 15), 16, 10).cast("long")
+    )
+    place = F.col("one_before").cast("long")
+    ranged = attach(numbered, sizes, _GROUP, ["id"]).select(
+        *_GROUP, "base", "n", "size", "value",
+        F.floor(place / range_rows).alias("at"), F.pmod(place, F.lit(range_rows)).alias("place"),
+    )
+
+    def sums(part: pa.Table) -> pa.Table:
+        run, metric, base, rows, draws, at = (
+            part[c][0].as_py() for c in (*_GROUP, "base", "n", "size", "at")
+        )
+        values = np.empty(part.num_rows)
+        values[part["place"].to_numpy()] = part["value"].to_numpy()
+        turns = _mix(np.uint64(base) + np.arange(1, n_boot + 1, dtype=np.uint64) * _STEP)
+        sent, keys = _sent_to(at, rows, draws, turns, range_rows)
+        total = np.zeros(n_boot)
+        hit = np.flatnonzero(sent)
+        # Some turns at a time: about a million picks are held.
+        for some in np.split(hit, np.flatnonzero(np.diff(np.cumsum(sent[hit]) >> 20)) + 1):
+            turn = np.repeat(some, sent[some])
+            first = np.repeat(np.cumsum(sent[some]) - sent[some], sent[some])
+            pick = (np.arange(len(turn)) - first + 1).astype(np.uint64)
+            row = _mix(keys[turn] + pick * _STEP) % np.uint64(len(values))
+            total += np.bincount(turn, values[row.astype(np.int64)], n_boot)
+        return pa.table(
+            {
+                "inference_id": pa.array([run] * len(hit), pa.string()),
+                "metric": pa.array([metric] * len(hit), pa.string()),
+                "turn": pa.array(hit, pa.int32()),
+                "total": pa.array(total[hit]),
+                "draws": pa.array(sent[hit]),
+            }
+        )
+
+    return (
+        ranged.groupBy(*_GROUP, "at")
+        .applyInArrow(
+            sums, "inference_id string, metric string, turn int, total double, draws bigint"
+        )
+        .groupBy(*_GROUP, "turn")
+        .agg((F.sum("total") / F.sum("draws")).alias("mean"))
+    )
+
+
 def bootstrap_ci(
     scores_long: DataFrame,
     sample_size: int | None = 40,
@@ -349,18 +487,21 @@ def bootstrap_ci(
     method: str = "draws",
     digits: int | None = 4,
     groups: DataFrame | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Mean, deviation and 95 % percentile interval of resampled means.
 
     ``inference_id, metric, mean, std, ci_low, ci_high``, one row for each
     (run, metric) of the scores, or of ``groups`` if they are given; one
-    without any number gives zeros. ``method="draws"`` resamples exactly,
-    ``"poisson"`` approximates at scale.
+    without any number gives zeros. ``method="draws"`` resamples exactly by a
+    table of draws, ``"split"`` exactly without one, ``"poisson"`` approximates.
     """
     if method == "draws":
         if sample_size is None:
             raise ValueError("exact draws need a sample_size")
         means = bootstrap_means(scores_long, sample_size, n_boot, seed)
+    elif method == "split":
+        means = split_means(scores_long, sample_size, n_boot, seed, range_rows)
     elif method == "poisson":
         means = poisson_means(scores_long, sample_size, n_boot, seed)
     else:

@@ -35,7 +35,7 @@ PYTHON = {
     "custom_parser", "generate_pending", "rouge_n", "rouge_lcs", "rouge_documents", "meteor",
     "meteor_joined_lexicon", "meteor_references", "embedding_match", "bootstrap_poisson",
     "significance", "compare_runs_paired", "wilcoxon_signed_rank", "rank_sum",
-    "failure_values", "equal_runs", "exact_p_values",
+    "failure_values", "equal_runs", "exact_p_values", "exact_p_tied", "bootstrap_split",
 }
 
 

@@ -1,11 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import models
-from scoreframe.functions.significance import exact_signed_rank, two_sided_normal
+from scoreframe.functions import significance
+from scoreframe.functions.significance import exact_signed_rank, exact_tied_rank, two_sided_normal
 from scoreframe.operators import stats as S
 from scoreframe.operators.ranking import (
     average_rank, comparable_models, dataset_placements, latest_completed, overall_ranking,
@@ -68,6 +70,37 @@ def test_exact_p(spark):
     assert got.p_value == pytest.approx(models.exact_signed_rank_p(got.statistic, 5))
 
 
+def test_exact_p_with_ties(spark):
+    rng = random.Random(11)
+    a = [rng.randint(0, 4) / 2 for _ in range(14)]
+    b = [rng.randint(0, 4) / 2 for _ in range(14)]
+    ranks = models.average_ranks([abs(x - y) for x, y in zip(a, b) if x != y])
+    n, plus, minus, _ = models.signed_rank(a, b)
+    low = sum(
+        sum(r for i, r in enumerate(ranks) if mask >> i & 1) <= min(plus, minus)
+        for mask in range(2**n)
+    )
+    got = S.wilcoxon_signed_rank(scores(spark, {"x": a, "y": b}), ["x", "y"], "exact").first()
+    assert got.n == n < 14
+    assert got.p_value == pytest.approx(min(1.0, 2 * low / 2**n))
+
+
+def test_exact_p_of_many_differences(spark, monkeypatch):
+    blocks = [(7, 3), (12, 2), *((2 * rank, 1) for rank in range(8, 151))]
+    for reach in (200, 3000, 9000, 11_000):
+        shifted = significance._shifted_tail(reach, blocks)
+        assert significance._tilted_tail(reach, blocks) == pytest.approx(shifted, rel=1e-9)
+    # As the normal law says, where it is good; the tail is not lost in rounding.
+    n = 600
+    mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    assert exact_signed_rank(int(mean - 2 * sd), n) == pytest.approx(two_sided_normal(2), rel=0.01)
+    assert 0 < exact_signed_rank(0, n) == pytest.approx(2.0 ** (1 - n), rel=1e-6)
+    monkeypatch.setattr(S, "EXACT_MOST", 4)
+    frame = scores(spark, {"x": [1.0, 2.0, 3.0, 4.0, 5.0], "y": [0.0] * 5})
+    got = S.wilcoxon_signed_rank(frame, ["x", "y"], "exact").first()
+    assert got.p_value == pytest.approx(two_sided_normal(got.z))
+
+
 def test_all_equal_and_too_few(spark):
     frame = scores(spark, {"x": [1.0, 2.0, 3.0], "y": [1.0, 2.0, 3.0 + 1e-9], "z": [5.0]})
     got = S.wilcoxon_signed_rank(frame, ["x", "y"]).first()
@@ -105,6 +138,56 @@ def test_bootstrap_forms_agree(spark):
     assert part["x"].std == pytest.approx(near["x"].std * 10**0.5, rel=0.2)
 
 
+@pytest.mark.parametrize("draws", [30, S.INVERTED, S.INVERTED + 1])
+def test_split_draws_fit_the_binomial(draws):
+    turns, share = 40_000, 0.3
+    keys = S._mix(np.arange(1, turns + 1, dtype=np.uint64) * S._STEP)
+    got = S._binomial(np.full(turns, draws), share, keys)
+    chance = [
+        math.exp(math.lgamma(draws + 1) - math.lgamma(k + 1) - math.lgamma(draws - k + 1)
+                 + k * math.log(share) + (draws - k) * math.log(1 - share))
+        for k in range(draws + 1)
+    ]
+    # Chi-squared over the values that are expected at least twenty times.
+    cells = [k for k in range(draws + 1) if chance[k] * turns >= 20]
+    seen = np.bincount(got, minlength=draws + 1)
+    chi = sum((seen[k] - chance[k] * turns) ** 2 / (chance[k] * turns) for k in cells)
+    assert chi < len(cells) + 5 * math.sqrt(2 * len(cells))
+
+
+@pytest.mark.parametrize("draws", [0, 1, 50, 5000])
+def test_split_ranges_share_all_draws(draws):
+    turns = S._mix(np.arange(1, 201, dtype=np.uint64) * S._STEP)
+    sent = [S._sent_to(at, 1003, draws, turns, 64)[0] for at in range(16)]
+    assert (sum(sent) == draws).all() and min(s.min() for s in sent) >= 0
+    # The last range holds 43 of 1003 rows.
+    assert sent[15].mean() == pytest.approx(draws * 43 / 1003, rel=0.15, abs=0.02)
+
+
+def test_split_resamples(spark):
+    rng = random.Random(12)
+    values = [rng.random() ** 2 for _ in range(3000)]
+    frame = scores(spark, {"x": values, "few": [1.0, None, 1.0], "empty": [None]})
+
+    def intervals(method, size, **more):
+        out = S.bootstrap_ci(frame, size, 400, seed=3, method=method, digits=None, **more)
+        return {r.inference_id: r for r in out.collect()}
+
+    drawn = intervals("draws", 3000)["x"]
+    for size, width in ((None, 100), (3000, S.RANGE_ROWS), (3000, 7)):
+        split = intervals("split", size, range_rows=width)
+        assert split["few"][2:] == (1.0, 0.0, 1.0, 1.0) and split["empty"][2:] == (0.0,) * 4
+        assert split["x"].mean == pytest.approx(drawn.mean, abs=0.002)
+        assert split["x"].std == pytest.approx(drawn.std, rel=0.15)
+        assert split["x"].ci_low == pytest.approx(drawn.ci_low, abs=0.004)
+    # Each turn draws as many rows as were asked for, whatever the partitions.
+    one = S.split_means(frame, 40, 50, seed=1, range_rows=64).collect()
+    two = S.split_means(frame.repartition(5), 40, 50, seed=1, range_rows=64).collect()
+    means = {(r.inference_id, r.turn): r["mean"] for r in one}
+    assert len(means) == 100
+    assert all(r["mean"] == pytest.approx(means[r.inference_id, r.turn], abs=1e-12) for r in two)
+
+
 def test_compare_runs(spark):
     frame = scores(spark, {"x": [1.0, 2.0, None, 4.0], "y": [2.0, 1.0, 3.0, 9.0]}).union(
         spark.createDataFrame([("x", "00000", "only_x", 1.0)], SCHEMA)
