@@ -87,35 +87,47 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 
 
 class _Dealer:
-    """Collects (key, tokens) and deals them to buckets as packed blocks."""
+    """Collects (key, tokens) and deals them to buckets as packed blocks.
 
-    def __init__(self, buckets: int, narrow: bool):
-        self.buckets, self.narrow = buckets, narrow
-        self.keys: list[int] = []
+    With ``parts`` it deals 32-bit marks, and counts them first: what two sets
+    of the buffer hold is shared for certain. Such a mark is dealt once, for all
+    of them, and their counts go to bucket ``-1 - part``. So a shingle that a
+    third of all sets hold, and a text that a third of all rows hold, take one
+    place of a bucket per buffer.
+    """
+
+    def __init__(self, buckets: int, parts: int | None = None):
+        self.buckets, self.parts = buckets, parts
+        self.keys: dict[int, None] = {}
         self.sets: list[np.ndarray] = []
         self.size = 0
 
     def add(self, key: int, tokens: np.ndarray) -> bool:
-        self.keys.append(key)
-        self.sets.append(tokens)
-        self.size += len(tokens)
+        if key not in self.keys:
+            self.keys[key] = None
+            self.sets.append(tokens)
+            self.size += len(tokens)
         return self.size >= FLUSH_TOKENS
 
     def flush(self) -> pa.RecordBatch | None:
         if not self.size:
             return None
-        keys = np.array(self.keys, np.int64)
+        keys = np.array(list(self.keys), np.int64)
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in self.sets])
         tokens = np.concatenate(self.sets)
-        self.keys, self.sets, self.size = [], [], 0
+        self.keys, self.sets, self.size = {}, [], 0
         bucket = (tokens % _U(self.buckets)).astype(np.uint32)
-        if self.narrow:
+        rows = []
+        if self.parts is not None:
             tokens = (tokens >> _U(32)).astype(np.uint32)
+            times, again = _lengths(bucket.astype(_U) << _U(32) | tokens)
+            hits = np.bincount(owner[times > 1], minlength=len(keys)).astype(np.int32)
+            rows = [(-1 - p, k, h, b"") for p, k, h in _by_part(keys, hits, self.parts)]
+            bucket, owner, tokens = bucket[~again], owner[~again], tokens[~again]
         order = np.argsort(bucket, kind="stable")
         bucket, owner, tokens = bucket[order], owner[order], tokens[order]
         del order
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-        rows = []
         for a, b in zip(edges, edges[1:]):
             own = owner[a:b]
             first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
@@ -159,22 +171,47 @@ def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(sorted_[a]), a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
-def _lengths(tokens: np.ndarray) -> np.ndarray:
-    """For each token how often it occurs."""
+def _by_part(keys: np.ndarray, hits: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """(part, keys, hits) of the keys that have any."""
+    keys, hits = keys[hits > 0], hits[hits > 0]
+    order = np.argsort(keys % parts, kind="stable")
+    keys, hits = keys[order], hits[order]
+    return [(p, keys[a:b].tobytes(), hits[a:b].tobytes()) for p, a, b in _runs(keys % parts)]
+
+
+def _lengths(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token how often it occurs, and whether it stood before."""
     order = np.argsort(tokens, kind="stable")
     sorted_ = tokens[order]
     first = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1])
     runs = np.diff(np.append(first, len(tokens)))
     out = np.empty(len(tokens), np.int32)
     out[order] = np.repeat(runs, runs).astype(np.int32)
-    return out
+    again = np.ones(len(tokens), bool)
+    again[order[first]] = False
+    return out, again
+
+
+def _marks_shared(table: pa.Table, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """(part, keys, hits) of one bucket; a bucket below 0 holds counts already."""
+    if (bucket := table.column("bucket")[0].as_py()) < 0:
+        held = [table.column(c).to_pylist() for c in ("keys", "counts")]
+        return list(zip([-1 - bucket] * table.num_rows, *held))
+    keys, owner, marks = _read(table, np.uint32)
+    times, _ = _lengths(marks)
+    return _by_part(keys, np.bincount(owner[times > 1], minlength=len(keys)).astype(np.int32), parts)
 
 
 def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataFrame:
-    """(key, shared): marks of each set that another set holds as well, at least."""
+    """(key, shared): marks of each set that another set holds as well, at least.
+
+    A set whose copies lie in several buffers may count a mark more than once,
+    never less: the first buffer that holds a mark deals it for all its sets,
+    and no copy of those stands in an earlier one.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(buckets, narrow=True)
+        dealer = _Dealer(buckets, parts)
 
         def sets(batch):
             for _, tokens in arrays.shingle_sets(batch.column("text"), size):
@@ -189,12 +226,7 @@ def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataF
 
     def count(table: pa.Table) -> pa.Table:
         arrays.release(task=False)
-        keys, owner, marks = _read(table, np.uint32)
-        hits = np.bincount(owner[_lengths(marks) > 1], minlength=len(keys))
-        keys, hits = keys[hits > 0], hits[hits > 0].astype(np.int32)
-        order = np.argsort(keys % parts, kind="stable")
-        keys, hits = keys[order], hits[order]
-        rows = [(p, keys[a:b].tobytes(), hits[a:b].tobytes()) for p, a, b in _runs(keys % parts)]
+        rows = _marks_shared(table, parts)
         return pa.table(
             {"part": pa.array([r[0] for r in rows], pa.int64()),
              "keys": pa.array([r[1] for r in rows], pa.binary()),
@@ -247,7 +279,7 @@ def rare_tokens(sets: DataFrame, percent: int, buckets: int, parts: int) -> Data
     rarest first, for the sets that can link at all."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(buckets, narrow=False)
+        dealer = _Dealer(buckets)
         for batch in batches:
             rows = zip(batch.column("set_id").to_pylist(), batch.column("tokens"))
             yield from _dealt(((i, np.frombuffer(t.as_py(), _U)) for i, t in rows), dealer)
@@ -258,7 +290,7 @@ def rare_tokens(sets: DataFrame, percent: int, buckets: int, parts: int) -> Data
     def count(table: pa.Table) -> pa.Table:
         arrays.release(task=False)
         keys, owner, tokens = _read(table, _U)
-        length = _lengths(tokens)
+        length, _ = _lengths(tokens)
         every = np.bincount(owner, minlength=len(keys)).astype(np.int32)
         more = length > 1
         own, tokens, length = owner[more], tokens[more], length[more]

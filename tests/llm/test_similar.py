@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,37 @@ def test_join_of_nothing_and_small_buffers(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_join(rows, 4, 85)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_a_mark_of_all_sets_is_dealt_once_per_buffer(monkeypatch, seed):
+    monkeypatch.setattr(ngram_join, "FLUSH_TOKENS", 200)
+    rng, buckets, parts = random.Random(seed), 3, 4
+    hot = 2**63 + 12345
+    sets = {}
+    for key in range(-60, 60):
+        sets[key] = {hot, *(rng.randrange(200) * (2**55 + 7) for _ in range(rng.randint(0, 20)))}
+    dealer, batches = ngram_join._Dealer(buckets, parts), []
+    stream = [*sets, *rng.choices(list(sets), k=200), *[7] * 500]
+    rng.shuffle(stream)
+    for key in stream:
+        if dealer.add(key, np.array(sorted(sets[key]), np.uint64)):
+            batches.append(dealer.flush())
+    batches += [last] if (last := dealer.flush()) is not None else []
+    table = pa.Table.from_batches(batches)
+    shared, places = {}, 0
+    for bucket in set(table["bucket"].to_pylist()):
+        part = table.filter(pa.compute.equal(table["bucket"], bucket))
+        if bucket >= 0:
+            marks = np.concatenate([np.frombuffer(x, np.uint32) for x in part["tokens"].to_pylist()])
+            places += (marks == hot >> 32).sum() if bucket == hot % buckets else 0
+        for _, keys, hits in ngram_join._marks_shared(part, parts):
+            for key, n in zip(np.frombuffer(keys, np.int64), np.frombuffer(hits, np.int32)):
+                shared[int(key)] = shared.get(int(key), 0) + int(n)
+    assert 1 <= places <= len(batches) < len(stream) / 5
+    for key, tokens in sets.items():
+        others = set().union(*(s for k, s in sets.items() if k != key))
+        assert shared.get(key, 0) >= len(tokens & others) > 0
+
+
 def test_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(7, base, 1), (3, base + " more", 2), (9, base, 3), (11, "quite another text", 4),
