@@ -45,6 +45,8 @@ from .components import components
 #: Shingles that a bucket holds, about, and that a task holds before it deals them.
 BUCKET_TOKENS = 4_000_000
 FLUSH_TOKENS = 2_000_000
+#: A mark that so many sets of one buffer hold is counted there and dealt once.
+HOT_SETS = 64
 #: Sets whose counts one task adds up.
 PART_SETS = 20_000
 #: Sets that one task searches together, and their shingles, about.
@@ -89,11 +91,11 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 class _Dealer:
     """Collects (key, tokens) and deals them to buckets as packed blocks.
 
-    With ``parts`` it deals 32-bit marks, and counts them first: what two sets
-    of the buffer hold is shared for certain. Such a mark is dealt once, for all
-    of them, and their counts go to bucket ``-1 - part``. So a shingle that a
-    third of all sets hold, and a text that a third of all rows hold, take one
-    place of a bucket per buffer.
+    With ``parts`` it deals 32-bit marks. What HOT_SETS of the buffer hold is
+    shared for certain: such a mark is dealt once, for all of them, and their
+    counts go to bucket ``-1 - part``. So a shingle that a third of all sets
+    hold takes less than HOT_SETS places of a bucket per buffer, and a text that
+    a third of all rows hold takes one.
     """
 
     def __init__(self, buckets: int, parts: int | None = None):
@@ -121,7 +123,9 @@ class _Dealer:
         if self.parts is not None:
             tokens = (tokens >> _U(32)).astype(np.uint32)
             times, again = _lengths(bucket.astype(_U) << _U(32) | tokens)
-            hits = np.bincount(owner[times > 1], minlength=len(keys)).astype(np.int32)
+            hot = times >= HOT_SETS
+            again &= hot
+            hits = np.bincount(owner[hot], minlength=len(keys)).astype(np.int32)
             rows = [(-1 - p, k, h, b"") for p, k, h in _by_part(keys, hits, self.parts)]
             bucket, owner, tokens = bucket[~again], owner[~again], tokens[~again]
         order = np.argsort(bucket, kind="stable")
@@ -205,9 +209,9 @@ def _marks_shared(table: pa.Table, parts: int) -> list[tuple[int, bytes, bytes]]
 def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataFrame:
     """(key, shared): marks of each set that another set holds as well, at least.
 
-    A set whose copies lie in several buffers may count a mark more than once,
-    never less: the first buffer that holds a mark deals it for all its sets,
-    and no copy of those stands in an earlier one.
+    A set whose copies lie in several buffers may count a hot mark more than
+    once, never less: the first buffer with a mark of another set deals it for
+    a set of which no copy stands in an earlier one.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

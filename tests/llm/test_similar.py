@@ -120,9 +120,11 @@ def test_join_of_nothing_and_small_buffers(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_join(rows, 4, 85)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_a_mark_of_all_sets_is_dealt_once_per_buffer(monkeypatch, seed):
+@pytest.mark.parametrize("hot_sets", [2, 5])
+@pytest.mark.parametrize("seed", range(4))
+def test_a_mark_of_all_sets_takes_few_places_per_buffer(monkeypatch, seed, hot_sets):
     monkeypatch.setattr(ngram_join, "FLUSH_TOKENS", 200)
+    monkeypatch.setattr(ngram_join, "HOT_SETS", hot_sets)
     rng, buckets, parts = random.Random(seed), 3, 4
     hot = 2**63 + 12345
     sets = {}
@@ -145,7 +147,7 @@ def test_a_mark_of_all_sets_is_dealt_once_per_buffer(monkeypatch, seed):
         for _, keys, hits in ngram_join._marks_shared(part, parts):
             for key, n in zip(np.frombuffer(keys, np.int64), np.frombuffer(hits, np.int32)):
                 shared[int(key)] = shared.get(int(key), 0) + int(n)
-    assert 1 <= places <= len(batches) < len(stream) / 5
+    assert 1 <= places < hot_sets * len(batches) and len(batches) < len(stream) / 5
     for key, tokens in sets.items():
         others = set().union(*(s for k, s in sets.items() if k != key))
         assert shared.get(key, 0) >= len(tokens & others) > 0
