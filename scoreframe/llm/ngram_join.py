@@ -253,7 +253,11 @@ def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataF
 
 
 def load_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_id, tokens) of the wanted (doc_id, key), by key: the texts are read again."""
+    """(set_id, tokens) of the wanted (doc_id, key), by key: the texts are read again.
+
+    Up to a million wanted rows of two numbers go to the texts, beyond it they meet
+    in a shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,6 +274,8 @@ def load_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 ["set_id", "tokens"],
             )
 
+    if fits(wanted):
+        wanted = F.broadcast(wanted)
     return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(
         run, "set_id long, tokens binary"
     )
