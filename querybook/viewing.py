@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from scoreframe.functions import metricmaps as M
 from scoreframe.operators import views as V
 from scoreframe.operators.views import Condition
+from scoreframe.plans.scale import scratch_path
+from scoreframe.sources import storage
 
 from . import fixtures as fx
 from .base import query, table
@@ -136,6 +138,18 @@ def search_after(spark, sf_dir):
     return V.page_after(rows, "reference", ("es", "3"), 50, ascending=False)
 
 
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS reference FROM documents "
+    "ORDER BY lang DESC, id LIMIT 50 OFFSET 150"
+)
+def stored_page(spark, sf_dir):
+    """A page by its number: only the range that holds it is read and sorted."""
+    rows = _dataset(spark, sf_dir).select("id", "reference")
+    path = scratch_path(spark, "view")
+    storage.store_view(rows, path, "reference", ascending=False, ranges=16)
+    return storage.stored_page(spark, path, rows.schema, "reference", 3, 50, ascending=False)
+
+
 @query(
     sql(
         """SELECT inference_id AS evaluation_id, id, metric, round(value, 6) AS value, n
@@ -327,6 +341,27 @@ def join_outputs(spark, sf_dir):
     return V.join_outputs(fx.labels(spark, sf_dir).select("id", "reference"), outputs)
 
 
+@query(
+    sql(
+        "SELECT x.id, x.reference, o.inference_id, o.output FROM fx_labels x "
+        "JOIN fx_label_outputs o ON x.id = o.id",
+        "fx_labels", "fx_label_outputs",
+    )
+)
+def join_bucketed(spark, sf_dir):
+    """Dataset and outputs stored by id: their join shuffles nothing."""
+    parts = {
+        "dataset": fx.labels(spark, sf_dir).select("id", "reference"),
+        "outputs": fx.label_outputs(spark, sf_dir).select("id", "inference_id", "output"),
+    }
+    stored = []
+    for name, frame in parts.items():
+        path = scratch_path(spark, name)
+        known = f"{name}_{path.rsplit('-', 1)[-1]}"
+        stored.append(storage.store_bucketed(frame, known, path, buckets=8))
+    return V.join_outputs(*stored)
+
+
 @query(
     sql(
         """SELECT inference_id, (SELECT count(*) FROM fx_labels) AS dataset_rows,

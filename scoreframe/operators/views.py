@@ -413,10 +413,14 @@ def purge(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- order and pages -------------------------------------------------------
 
 
-def sort_view(df: DataFrame, column: str, ascending: bool = True, tie: str = "id") -> DataFrame:
+def view_order(column: str, ascending: bool = True, tie: str = "id") -> list[Column]:
     c = _quoted(column)
     keys = [c.asc_nulls_last() if ascending else c.desc_nulls_last()]
-    return df.orderBy(*keys, *([] if column == tie else [F.col(tie)]))
+    return keys + ([] if column == tie else [F.col(tie).asc()])
+
+
+def sort_view(df: DataFrame, column: str, ascending: bool = True, tie: str = "id") -> DataFrame:
+    return df.orderBy(*view_order(column, ascending, tie))
 
 
 def page(df: DataFrame, number: int = 0, size: int = 50) -> DataFrame:

@@ -6,8 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.views import view_order
 from ..plans.scale import cut
 
+# The folder column of a stored view.
+RANGE = "__range"
+
 
 def load_outputs(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None
@@ -145,3 +149,59 @@ def delete_rows(spark: SparkSession, path: str, gone: DataFrame, by: str = "infe
     for run in whole & folders.keys():
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(folders[run]), True)
     return len(part | (whole & folders.keys()))
+
+
+def store_view(
+    df: DataFrame, path: str, column: str, ascending: bool = True, tie: str = "id", ranges: int = 200
+) -> None:
+    """Store a view in the order of ``sort_view`` as ranges, with the rows of each.
+
+    ``path/rows`` has a folder per range, ``path/directory`` a row per range.
+    ``column`` and ``tie`` together name a row, so equal values are cut as well.
+    """
+    dealt = df.repartitionByRange(ranges, *view_order(column, ascending, tie)).withColumn(
+        RANGE, F.spark_partition_id()
+    )
+    dealt.write.partitionBy(RANGE).parquet(f"{path}/rows")
+    stored = df.sparkSession.read.schema(dealt.schema).parquet(f"{path}/rows")
+    held = stored.groupBy(RANGE).agg(F.count(F.lit(1)).alias("rows"))
+    held.coalesce(1).write.parquet(f"{path}/directory")
+
+
+def stored_page(
+    spark: SparkSession, path: str, schema: T.StructType, column: str, number: int = 0,
+    size: int = 50, ascending: bool = True, tie: str = "id",
+) -> DataFrame:
+    """Page ``number`` (from 0) of a stored view, by position.
+
+    The directory names the ranges that hold the page; only those are read and
+    sorted, whatever the number. ``schema`` is the view's.
+    """
+    first, last = number * size, (number + 1) * size
+    before, skipped, wanted = 0, 0, []
+    for held in spark.read.parquet(f"{path}/directory").orderBy(RANGE).collect():
+        if before + held.rows <= first:
+            skipped = before + held.rows
+        elif before < last:
+            wanted.append(held[RANGE])
+        before += held.rows
+    if not wanted:
+        return empty_table(spark, schema)
+    named = T.StructType([*schema.fields, T.StructField(RANGE, T.IntegerType())])
+    rows = spark.read.schema(named).parquet(f"{path}/rows").filter(F.col(RANGE).isin(wanted))
+    ordered = rows.orderBy(*view_order(column, ascending, tie)).drop(RANGE)
+    return ordered.offset(first - skipped).limit(size)
+
+
+def store_bucketed(df: DataFrame, name: str, path: str, key: str = "id", buckets: int = 200) -> DataFrame:
+    """Store a table under ``path`` by hash of ``key``, known to the catalog as ``name``.
+
+    Tables of as many buckets join on the key without a shuffle: dataset,
+    outputs and scores are dealt once, when they are stored. One sorted file a
+    bucket; choose ``buckets`` so that one fits a task.
+    """
+    (
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+        .option("path", path).saveAsTable(name)
+    )
+    return df.sparkSession.table(name)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -258,3 +260,43 @@ def test_array_files_grow_with_the_rows(spark, tmp_path, monkeypatch):
     assert got == {str(r[0]): tuple(r[1:]) for r in want}
     sizes = [f.stat().st_size for f in (tmp_path / "json-array").glob("part-*")]
     assert max(sizes) < 5_000_000 and sum(sizes) > 7_000_000
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_pages_of_a_stored_view(spark, tmp_path, ascending):
+    rows = spark.createDataFrame(
+        [(f"{i:04d}", None if i % 11 == 0 else float(i % 3)) for i in range(1000)],
+        "id string, `a.score` double",
+    ).repartition(5)
+    path = str(tmp_path / "view")
+    ST.store_view(rows, path, "a.score", ascending, ranges=20)
+    want = [tuple(r) for r in V.sort_view(rows, "a.score", ascending).collect()]
+    for number, size in ((0, 7), (13, 50), (19, 50), (20, 50), (3, 300), (0, 2000)):
+        got = ST.stored_page(spark, path, rows.schema, "a.score", number, size, ascending)
+        assert [tuple(r) for r in got.collect()] == want[number * size : (number + 1) * size]
+    # A page reads the range that holds it (at its edge two), and no other.
+    late = ST.stored_page(spark, path, rows.schema, "a.score", 400, 2, ascending)
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*__range#\d+ (= \d+|IN \(\d+,\d+\))", plan)
+    none = rows.limit(0)
+    ST.store_view(none, str(tmp_path / "none"), "a.score", ranges=4)
+    assert ST.stored_page(spark, str(tmp_path / "none"), rows.schema, "a.score").count() == 0
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    data = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit("r").alias("reference"))
+    outputs = spark.range(900).select(
+        (F.col("id") % 600).cast("string").alias("id"), F.lit("run").alias("inference_id"),
+        F.col("id").alias("output"),
+    )
+    a = ST.store_bucketed(data, "flow_data", str(tmp_path / "a"), buckets=6)
+    b = ST.store_bucketed(outputs, "flow_outputs", str(tmp_path / "b"), buckets=6)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = V.join_outputs(a, b)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert sorted(joined.collect()) == sorted(V.join_outputs(data, outputs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
