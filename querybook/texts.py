@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from scoreframe.functions.overlap import rouge, rouge_l
 from scoreframe.functions.text import word_tokens
 from scoreframe.operators.textscores import meteor as add_meteor
-from scoreframe.operators.tokens import embedding_match as match, mean_loglik as loglik
+from scoreframe.operators.tokens import embedding_match as match, embedding_match_pruned as match_pruned
+from scoreframe.operators.tokens import mean_loglik as loglik
 from scoreframe.operators.tokens import mean_loglik_multi as loglik_multi
 from scoreframe.plans.scale import balance
 from scoreframe.plans.scoring import ScoringPlan, evaluate
@@ -199,6 +200,24 @@ def embedding_match(spark, sf_dir):
     )
 
 
+@query(
+    """WITH t AS (SELECT vec_id AS pos, label AS id, vec_id % 2 AS side, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+b AS (SELECT p.id, p.pos AS p, r.pos AS r, list_cosine_similarity(p.v, r.v) AS c
+  FROM t p JOIN t r ON p.id = r.id AND p.side = 0 AND r.side = 1),
+x AS (SELECT id, avg(best) AS p FROM (SELECT id, max(c) AS best FROM b GROUP BY id, p) GROUP BY id),
+y AS (SELECT id, avg(best) AS r FROM (SELECT id, max(c) AS best FROM b GROUP BY id, r) GROUP BY id)
+SELECT id, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1
+FROM x JOIN y USING (id)"""
+)
+def embedding_match_pruned(spark, sf_dir):
+    """Few texts of many tokens: blocks by direction, bounds, products of what is left."""
+    tokens = table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"),
+    )
+    scored = match_pruned(tokens.filter("pos % 2 = 0"), tokens.filter("pos % 2 = 1"), block=64)
+    return scored.select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query("SELECT user_id AS id, round(avg(-value), 9) AS score FROM events GROUP BY user_id")
 def mean_loglik(spark, sf_dir):
     tokens = table(spark, sf_dir, "events").select(

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from scoreframe.functions import metricmaps as M
-from scoreframe.operators import views as V
+from scoreframe.operators import textindex, views as V
 from scoreframe.operators.views import Condition
-from scoreframe.plans.scale import scratch_path
+from scoreframe.plans.scale import balance, scratch_path
 from scoreframe.sources import storage
 
 from . import fixtures as fx
@@ -150,6 +150,19 @@ def stored_page(spark, sf_dir):
     return storage.stored_page(spark, path, rows.schema, "reference", 3, 50, ascending=False)
 
 
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest, lang AS reference FROM documents "
+    "WHERE contains(lower(text), 'licensed under') OR contains(lower(lang), 'licensed under') "
+    "OR contains(CAST(doc_id AS VARCHAR), 'licensed under')"
+)
+def search_indexed(spark, sf_dir):
+    """A text in any column, by the trigrams of the stored table."""
+    path = scratch_path(spark, "search")
+    textindex.store_search_index(balance(_dataset(spark, sf_dir)), path, buckets=8)
+    found = textindex.search_stored(spark, path, "Licensed UNDER")
+    return found.select("id", F.md5("input").alias("digest"), "reference")
+
+
 @query(
     sql(
         """SELECT inference_id AS evaluation_id, id, metric, round(value, 6) AS value, n

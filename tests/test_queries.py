@@ -33,7 +33,8 @@ def test_query(spark, sf_dir, con, name):
 # Queries whose work Python functions do, by design.
 PYTHON = {
     "custom_parser", "generate_pending", "rouge_n", "rouge_lcs", "rouge_documents", "meteor",
-    "meteor_joined_lexicon", "meteor_references", "embedding_match", "bootstrap_poisson",
+    "meteor_joined_lexicon", "meteor_references", "embedding_match", "embedding_match_pruned",
+    "bootstrap_poisson",
     "significance", "compare_runs_paired", "wilcoxon_signed_rank", "rank_sum",
     "failure_values", "equal_runs", "exact_p_values", "exact_p_tied", "bootstrap_split",
 }
