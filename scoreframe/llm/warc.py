@@ -3,9 +3,14 @@
 Oversized payloads are segmented the way the format has it: a response record
 with the first chunk and continuation records with the others, none larger than
 ``chunk_bytes``. Writer and reader see one chunk at a time; digests are carried
-from chunk to chunk. Reading gives a table of chunks (record, chunk number,
-data), and the chunks of one record, which may lie in several files, meet in
-order in one stream and never as one value.
+from chunk to chunk. Reading gives a table of chunks (record, segment as
+``chunk``, part of it, data): a segment longer than a part is several rows,
+made while it is read. The rows of one record, which may lie in several files,
+meet in order in one stream and never as one value.
+
+Archives that others wrote are read as well: any record names (``page_id`` is
+null, ``refers_to_id`` the name that a revisit gives), plain or compressed
+files, digests in base 16 or 32, resources beside responses.
 
 Archives are written by Spark's text writer, one volume per file and compressed,
 and read by its binary reader, so they go through the same file systems and
@@ -23,7 +28,10 @@ of the same name and type, one each. An empty table gives an empty archive.
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -37,15 +45,18 @@ from .base import saved
 CHUNK_BYTES = 1_000_000
 VOLUME_BYTES = 16_000_000
 REVISIT_BYTES = 1000
+HEAD_BYTES = 1_000_000  # the longest header
 DATE = "2026-01-01T00:00:00Z"
 
 # Names of the format.
 VERSION = b"WARC/1.1\r\n"
+PAYLOADS = ("response", "resource", "continuation")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 CHUNKS = (
-    "record_id string, page_id long, record_type string, refers_to long, payload_bytes long, "
-    "payload_digest string, chunk int, last boolean, data binary"
+    "record_id string, page_id long, record_type string, refers_to long, refers_to_id string, "
+    "target_uri string, payload_bytes long, payload_digest string, chunk int, part int, "
+    "last boolean, data binary"
 )
 
 
@@ -137,19 +148,30 @@ def records(page: dict, chunk: int, date: str) -> Iterator[Iterator[bytes]]:
 
 def write_archive(
     marked: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES,
-    volume_bytes: int = VOLUME_BYTES, date: str = DATE,
+    volume_bytes: int = VOLUME_BYTES, date: str = DATE, seekable: bool = False,
 ) -> None:
-    """Write the records of ``mark_revisits`` as compressed volumes under ``path``."""
+    """Write the records of ``mark_revisits`` as compressed volumes under ``path``.
+
+    ``seekable`` compresses each record by itself, as tools that look up single
+    records want it; Spark then names the files without an ending of their own.
+    """
+    ending = b"\0" if seekable else b"\n"
     info = b"software: scoreframe\r\nformat: WARC File Format 1.1\r\n"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def volume(parts):
-            # The writer ends every file with the line feed that is left out here.
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["volume"])
+            # The writer ends every file with the byte that is left out here: the line
+            # feed of the last record, or the highest byte of its length.
+            data = b"".join(parts)
+            end = -1 if data.endswith(ending) else len(data)
+            return pa.RecordBatch.from_arrays([pa.array([data[:end]], pa.binary())], ["volume"])
 
-        head = list(_record([("WARC-Type", "warcinfo"), ("WARC-Date", date),
+        def packed(record):
+            return [gzip.compress(b"".join(record), mtime=0)] if seekable else record
+
+        head = list(packed(_record([("WARC-Type", "warcinfo"), ("WARC-Date", date),
                              ("WARC-Record-ID", "<urn:x-volume>"),
-                             ("Content-Type", "application/warc-fields")], [info]))
+                             ("Content-Type", "application/warc-fields")], [info])))
         parts, size, used = list(head), 0, False
         for batch in batches:
             names = batch.schema.names
@@ -157,7 +179,7 @@ def write_archive(
                 page = {n: batch.column(n)[k].as_py() for n in names}
                 # A revisit has no payload in the archive, but its length.
                 for record in records(page, chunk_bytes, date):
-                    for part in record:
+                    for part in packed(record):
                         parts.append(part)
                         size += len(part)
                     used = True
@@ -171,36 +193,54 @@ def write_archive(
     volumes = marked.select(*columns).mapInArrow(run, "volume binary")
     (
         volumes.select(F.col("volume").cast("string").alias("value")).write
-        .option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+        .option("maxRecordsPerFile", 1).option("lineSep", ending.decode())
+        .option("compression", "none" if seekable else "gzip").text(path)
     )
 
 
 class _Stream:
-    """Bytes of a compressed volume, inflated as they are asked for."""
+    """Bytes of a volume, plain or compressed, inflated as they are asked for."""
 
-    def __init__(self, data: bytes, step: int = 1 << 18):
+    def __init__(self, data, step: int = 1 << 18):
         self.data, self.step, self.at = memoryview(data), step, 0
-        self.inflate, self.buffer, self.pos = zlib.decompressobj(47), b"", 0
+        plain = bytes(self.data[:2]) != b"\x1f\x8b"
+        self.inflate, self.buffer, self.pos = None if plain else zlib.decompressobj(47), b"", 0
 
     def _more(self) -> bool:
-        while self.at < len(self.data) or self.inflate.unconsumed_tail:
-            given = self.inflate.unconsumed_tail
+        while self.at < len(self.data) or (self.inflate and self.inflate.unconsumed_tail):
+            given = self.inflate.unconsumed_tail if self.inflate else b""
             if not given:
                 given = self.data[self.at : self.at + self.step]
                 self.at += len(given)
-            more = self.inflate.decompress(given, 4 * self.step)
-            if self.inflate.eof and self.inflate.unused_data:  # the next member of the file
+            if self.inflate is None:
+                more = bytes(given)
+            elif self.inflate.eof:  # the next member of the file, or the padding at its end
+                padding = len(given) - len(bytes(given).lstrip(b"\0"))
+                self.at -= len(given) - padding
+                if padding < len(given):
+                    self.inflate = zlib.decompressobj(47)
+                continue
+            else:
+                more = self.inflate.decompress(given, 4 * self.step)
                 self.at -= len(self.inflate.unused_data)
-                self.inflate = zlib.decompressobj(47)
             if more:
                 self.buffer = self.buffer[self.pos :] + more
                 self.pos = 0
                 return True
         return False
 
-    def until(self, mark: bytes) -> bytes | None:
+    def skip_blank(self) -> None:
+        """Past line ends between records."""
+        while self.pos < len(self.buffer) or self._more():
+            if self.buffer[self.pos] not in b"\r\n":
+                return
+            self.pos += 1
+
+    def until(self, mark: bytes, most: int = HEAD_BYTES) -> bytes | None:
         """Up to and with ``mark``; None at the end."""
         while (end := self.buffer.find(mark, self.pos)) < 0:
+            if len(self.buffer) - self.pos > most:
+                raise ValueError("not a record")
             if not self._more():
                 if self.pos < len(self.buffer):
                     raise ValueError("the volume ends inside a record")
@@ -222,51 +262,121 @@ class _Stream:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    lines = head.decode().split("\r\n")
-    return {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:] if line)}
+    """Named fields; a line that starts with white space goes on with the one before."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", head.decode(errors="replace")).splitlines()
+    pairs = (line.partition(":") for line in lines[1:] if line)
+    return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
 def _page_of(name: str) -> tuple[str, int | None]:
-    """(record name of the first segment, page id)."""
+    """(record name of the first segment, page id if the name is one of ours)."""
+    if not name.startswith("<urn:x-page:"):
+        return name, None
     page, digest = name.strip("<>").split(":")[2:4]
     return f"<urn:x-page:{page}:{digest}>", int(page) if page else None
 
 
-def parse_volume(data: bytes) -> Iterator[tuple]:
-    """Chunk rows of one volume, as in CHUNKS."""
+def _digest(value: str | None) -> tuple[str, str] | None:
+    """(algorithm, hexadecimal digits) of a digest field, which may be in base 32."""
+    kind, _, digits = (value or "").strip().partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    if len(digits) == 2 * hashlib.new(kind).digest_size:
+        return kind, digits.lower()
+    try:
+        return kind, base64.b32decode(digits.upper() + "=" * (-len(digits) % 8)).hex()
+    except ValueError:
+        return None
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.isascii() and value.isdigit() else None
+
+
+def parse_volume(data, part_bytes: int = CHUNK_BYTES, verify: bool = True) -> Iterator[tuple]:
+    """Chunk rows of one volume, as in CHUNKS, made while a record is read.
+
+    No more than ``part_bytes`` of a record and its header are held, whatever
+    its length. ``verify`` raises where a block digest does not hold.
+    """
     stream = _Stream(data)
-    while (head := stream.until(b"\r\n\r\n")) is not None:
-        if not head.startswith(b"WARC/"):
-            raise ValueError("not a record")
+    while True:
+        stream.skip_blank()
+        head = stream.until(b"\r\n\r\n")
+        if head is None:
+            return
         fields = _fields(head)
-        block = stream.take(int(fields["content-length"]))
-        stream.take(4)
-        found = fields.get("warc-block-digest")
-        if found and found != f"sha1:{hashlib.sha1(block).hexdigest()}":
-            raise ValueError(f"damaged record {fields['warc-record-id']}")
-        kind = fields["warc-type"]
-        if kind not in ("response", "revisit", "continuation"):
-            continue
-        name, page = _page_of(fields.get("warc-segment-origin-id", fields["warc-record-id"]))
-        chunk = int(fields.get("warc-segment-number", 1))
+        left = _number(fields.get("content-length"))
+        if not head.startswith(b"WARC/") or left is None or "warc-record-id" not in fields:
+            raise ValueError("not a record")
+        name, known = fields["warc-record-id"], _digest(fields.get("warc-block-digest"))
+        running = hashlib.new(known[0]) if known and verify else None
+        kind = fields.get("warc-type", "").lower()
         if kind == "continuation":
+            name = fields.get("warc-segment-origin-id", name)
             last = "warc-segment-total-length" in fields
-            yield name, page, "response", None, None, None, chunk, last, block
-            continue
-        http, _, body = block.partition(b"\r\n\r\n")
-        size = int(_fields(http)["content-length"])
-        digest = fields["warc-payload-digest"].partition(":")[2]
-        refers = _page_of(fields["warc-refers-to"])[1] if kind == "revisit" else None
-        last = "warc-segment-number" not in fields
-        yield name, page, kind, refers, size, digest, chunk, last, body if kind == "response" else None
-
-
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table of all volumes under ``path``."""
+        else:
+            last = "warc-segment-number" not in fields
+        record, page = _page_of(name)
+        chunk = _number(fields.get("warc-segment-number")) or 1
+        size = refers = refers_id = None
+        digest = _digest(fields.get("warc-payload-digest"))
+        digest = digest[1] if digest and digest[0] == "sha1" else None
+
+        held = stream.take(min(left, part_bytes))
+        left -= len(held)
+        if running:
+            running.update(held)
+        if kind in ("response", "revisit") and held.startswith(b"HTTP/"):
+            while (end := held.find(b"\r\n\r\n")) < 0 and left and len(held) < HEAD_BYTES:
+                more = stream.take(min(left, part_bytes))
+                left -= len(more)
+                held += more
+                if running:
+                    running.update(more)
+            if end >= 0:
+                size = _number(_fields(held[: end + 4]).get("content-length"))
+                held = held[end + 4 :]
+        if kind == "revisit":
+            refers_id = fields.get("warc-refers-to")
+            refers = _page_of(refers_id)[1] if refers_id else None
+        own = (record, page, "response" if kind == "continuation" else kind, refers, refers_id,
+               fields.get("warc-target-uri"), size, digest, chunk)
+        part = 1
+        while left:
+            if kind in PAYLOADS:
+                yield *own, part, False, held
+                part += 1
+            held = stream.take(min(left, part_bytes))
+            left -= len(held)
+            if running:
+                running.update(held)
+        if running and running.hexdigest() != known[1]:
+            raise ValueError(f"damaged record {name}")
+        if stream.take(4) != b"\r\n\r\n":
+            raise ValueError(f"record {name} is longer than it says")
+        if kind in PAYLOADS:
+            yield *own, part, last, held
+        elif kind == "revisit":
+            yield *own, 1, True, None
+
+
+def read_archive(
+    spark: SparkSession, path: str, part_bytes: int = CHUNK_BYTES, verify: bool = True
+) -> DataFrame:
+    """The chunk table of all volumes under ``path``, or matching it, whoever wrote them.
+
+    Volumes are plain or compressed, whole or record by record; names don't
+    matter. One volume is one value of Spark's binary reader (under 2 GB as
+    stored); records are inflated and cut as they are read. Requests, metadata
+    and the like give no rows. Payloads are the bytes after the HTTP header, as
+    stored; records that are no HTTP message are payload as a whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(),
-                 pa.int32(), pa.bool_(), pa.binary())
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(),
+                 pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
         names = [field.split()[0] for field in CHUNKS.split(", ")]
 
         def table(rows):
@@ -277,7 +387,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
-                for row in parse_volume(content.as_py()):
+                for row in parse_volume(content.as_buffer(), part_bytes, verify):
                     rows.append(row)
                     size += len(row[-1] or b"") + 200
                     if size > 4 * CHUNK_BYTES:
@@ -285,7 +395,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield table(rows)
 
-    volumes = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    volumes = spark.read.format("binaryFile").load(path)
     return volumes.select("content").mapInArrow(run, CHUNKS)
 
 
@@ -301,7 +411,8 @@ def summarise(chunks: DataFrame) -> DataFrame:
     brought together in order, and a running digest goes over them. Revisits
     have the length and digest of the record that they name.
     """
-    whole = chunks.where("chunk = 1 and last").select(
+    single = "chunk = 1 and part = 1 and last"
+    whole = chunks.where(single).select(
         "page_id",
         F.when(F.col("record_type") == "revisit", F.col("payload_bytes"))
         .otherwise(F.octet_length("data").cast("long")).alias("payload_bytes"),
@@ -311,29 +422,33 @@ def summarise(chunks: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, copies, done, name, number = None, 0, [], None, 0
+        state, copies, done, name, number, closed = None, 0, [], None, (0, 0), True
 
         def end():
             if state is not None:
-                done.extend([(page, size, state.hexdigest(), "response", None)] * copies)
+                if not closed:
+                    raise ValueError(f"{name} lacks a chunk")
+                done.extend([(page, size, state.hexdigest(), kind, None)] * copies)
 
         for batch in batches:
             for row in range(batch.num_rows):
-                here, chunk = batch.column("record_id")[row].as_py(), batch.column("chunk")[row].as_py()
+                here, chunk, part, last = (
+                    batch.column(c)[row].as_py() for c in ("record_id", "chunk", "part", "last")
+                )
                 if here != name:
                     end()
-                    name, state, copies, number, size = here, hashlib.sha1(), 0, 0, 0
-                    page = batch.column("page_id")[row].as_py()
-                if chunk == number:  # a row that repeats id and payload
-                    copies += number == 1
+                    name, state, copies, number, size = here, hashlib.sha1(), 0, (0, 0), 0
+                    page, kind = (batch.column(c)[row].as_py() for c in ("page_id", "record_type"))
+                if (chunk, part) == number:  # a row that repeats id and payload
+                    copies += number == (1, 1)
                     continue
-                if chunk != number + 1:
+                if (chunk, part) not in ((number[0], number[1] + 1), (number[0] + 1, 1)):
                     raise ValueError(f"{name} lacks a chunk")
-                copies += chunk == 1
+                copies, closed = copies + ((chunk, part) == (1, 1)), last
                 data = batch.column("data")[row].as_buffer()
                 state.update(data)
                 size += data.size
-                number = chunk
+                number = (chunk, part)
             if done:
                 yield _table(done)
                 done.clear()
@@ -341,8 +456,9 @@ def summarise(chunks: DataFrame) -> DataFrame:
         yield _table(done)
 
     parts = (
-        chunks.where("not (chunk = 1 and last)").select("record_id", "page_id", "chunk", "data")
-        .repartition("record_id").sortWithinPartitions("record_id", "chunk")
+        chunks.where(f"not ({single})")
+        .select("record_id", "page_id", "record_type", "chunk", "part", "last", "data")
+        .repartition("record_id").sortWithinPartitions("record_id", "chunk", "part")
         .mapInArrow(run, RECORDS)
     )
     return whole.unionByName(parts)

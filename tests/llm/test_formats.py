@@ -1,9 +1,11 @@
 """Packing, chat formatting, archives, page text: round trips and edge cases."""
 
+import base64
 import gzip
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -292,6 +294,89 @@ def test_damaged_volume():
         list(warc.parse_volume(gzip.compress(record[:-6])))
 
 
+def foreign():
+    """Records as other tools write them."""
+    body = b"<p>" + "caf\u00e9 ".encode() * 400
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n"
+
+    def record(kind, name, block, *fields):
+        lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", *fields,
+                 f"Content-Length:{len(block)}"]
+        return b"WARC/1.0\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    block = base64.b32encode(hashlib.sha1(http + body).digest()).decode()
+    return body, [
+        record("warcinfo", "0", b"software: other\r\n"),
+        record("request", "1", b"GET / HTTP/1.0\r\n\r\n"),
+        record("response", "2", http + body, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{sha}",
+               f"warc-block-digest: sha1:{block}", "X-Long: folded\r\n  over lines"),
+        record("resource", "3", b"plain bytes", "Content-Type: text/plain", "WARC-Block-Digest: crc32:00"),
+        record("revisit", "4", b"", "WARC-Refers-To: <urn:uuid:2>", f"WARC-Payload-Digest: sha1:{sha}"),
+        record("response", "5", http + body[:1000], "WARC-Segment-Number: 1"),
+        record("continuation", "6", body[1000:], "WARC-Segment-Origin-ID: <urn:uuid:5>",
+               "WARC-Segment-Number: 2", f"WARC-Segment-Total-Length: {len(http + body)}"),
+        record("response", "7", b""), record("response", "8", http),
+    ]
+
+
+@pytest.mark.parametrize("packing", ["plain", "whole", "members"])
+def test_archives_of_others(spark, tmp_path, packing):
+    body, parts = foreign()
+    data = {"plain": b"".join(parts), "whole": gzip.compress(b"".join(parts)),
+            "members": b"".join(map(gzip.compress, parts)) + b"\0\0"}[packing]
+    (tmp_path / "crawl.warc.gz").write_bytes(data)
+    chunks = warc.read_archive(spark, str(tmp_path), part_bytes=300)
+    by = {}
+    for r in chunks.orderBy("record_id", "chunk", "part").collect():
+        by.setdefault(r.record_id[10:-1], []).append(r)
+    payload = {k: b"".join(r.data or b"" for r in rows) for k, rows in by.items()}
+    assert payload == {"2": body, "3": b"plain bytes", "4": b"", "5": body, "7": b"", "8": b""}
+    assert all(len(r.data or b"") <= 300 and r.page_id is None for rows in by.values() for r in rows)
+    assert by["2"][0].target_uri == "http://a/" and by["4"][0].refers_to_id == "<urn:uuid:2>"
+    digest = hashlib.sha1(body).hexdigest()
+    found = sorted((r.record_type, r.payload_bytes, r.payload_digest) for r in warc.summarise(chunks).collect()
+                   if r.payload_bytes != 0)
+    assert found == [("resource", 11, hashlib.sha1(b"plain bytes").hexdigest()),
+                     ("response", len(body), digest), ("response", len(body), digest), ("revisit", None, digest)]
+
+
+def test_archive_member_per_record(spark, tmp_path):
+    rows = pages()
+    got = archive_rows(spark, rows, str(tmp_path / "a"), chunk_bytes=700, volume_bytes=4000, seekable=True)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_archive(rows)
+    for path in (tmp_path / "a").glob("part-*"):
+        data = path.read_bytes()
+        gzip.decompress(data)
+        while data:  # each member is one whole record
+            member = zlib.decompressobj(31)
+            record = member.decompress(data)
+            head, _, rest = record.partition(b"\r\n\r\n")
+            size = int(head.rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0])
+            assert head.startswith(b"WARC/1.1") and len(rest) == size + 4 and rest.endswith(b"\r\n\r\n")
+            data = member.unused_data
+
+
+def test_huge_record_is_read_in_parts():
+    size = 200_000_000
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: {size}\r\n\r\n"
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    data = [pack.compress(head.encode())]
+    data += [pack.compress(b"x" * 1_000_000) for _ in range(size // 1_000_000)]
+    volume = b"".join([*data, pack.compress(b"\r\n\r\n"), pack.flush()])
+    tracemalloc.start()
+    total = sum(len(row[-1]) for row in warc.parse_volume(volume))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == size and peak < 50_000_000
+
+
+def test_no_archive():
+    for data in (b"hello\r\n\r\n", b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", b"x" * 1_100_000):
+        with pytest.raises(ValueError, match="not a record"):
+            list(warc.parse_volume(data))
+
+
 # --- pages --------------------------------------------------------------------------
 
 HTML = {
