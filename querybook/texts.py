@@ -143,7 +143,7 @@ def _lexicon(spark, sf_dir):
     """Synonym pairs that Spark derives from the texts: a word and its plural."""
     words = table(spark, sf_dir, "conversations").select(
         F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    ).filter(F.length("word") > 3).distinct()
+    ).filter("word <> ''").distinct()
     plural = words.select(F.concat("word", F.lit("s")).alias("word"))
     return words.join(plural, "word").select(
         "word", F.expr("substring(word, 1, length(word) - 1)").alias("synonym")

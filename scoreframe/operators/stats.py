@@ -313,13 +313,15 @@ def poisson_means(
         F.xxhash64(F.lit(seed), "inference_id", "metric", "id").alias("key"),
     )
     steps = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    held = max(1, min(HELD_GROUPS, HELD_BYTES // (16 * n_boot)))
 
     def flush(totals: dict[tuple, np.ndarray]) -> pa.RecordBatch:
         sums = np.concatenate([np.zeros((2, 0)), *totals.values()], axis=1)
-        names = [[key[i] for key in totals for _ in range(n_boot)] for i in (0, 1)]
+        each = np.repeat(np.arange(len(totals)), n_boot)
+        runs, metrics = (pa.array([key[i] for key in totals], pa.string()).take(pa.array(each)) for i in (0, 1))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(names[0], pa.string()), pa.array(names[1], pa.string()),
+                runs, metrics,
                 pa.array(np.tile(np.arange(n_boot, dtype=np.int32), len(totals))),
                 pa.array(sums[0]), pa.array(sums[1]),
             ],
@@ -330,12 +332,12 @@ def poisson_means(
         totals: dict[tuple, np.ndarray] = {}
 
         for batch in batches:
-            if len(totals) >= HELD_GROUPS:
-                yield flush(totals)
-                totals = {}
             frame = batch.to_pandas()
             for group, part in frame.groupby([*_GROUP, "rate"], dropna=False):
                 run, metric, rate = group
+                if len(totals) >= held and (run, metric) not in totals:
+                    yield flush(totals)
+                    totals = {}
                 # Cumulative Poisson probabilities; a uniform draw indexes them.
                 terms = [np.exp(-rate)]
                 while len(terms) < 40:
@@ -535,6 +537,7 @@ def significant(p_value: Column | str, alpha: float = 0.05) -> Column:
 
 # (run, metric) pairs of a task whose sums are held before they are sent on.
 HELD_GROUPS = 256
+HELD_BYTES = 32_000_000
 # Metric names up to this number become a filter that the scan can use.
 NAMED_METRICS = 1000
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.overlap import meteor_row, meteor_tokens, porter_stem
-from ..plans.scale import BROADCAST_ROWS, fits
+from ..plans.scale import BROADCAST_ROWS, cut, fits, spread_join
 
 
 def _words(df: DataFrame, column: str) -> DataFrame:
@@ -36,15 +36,18 @@ def _row_synonyms(
     The lexicon meets the words by joins and never comes to the driver: an
     entry reaches a row only if the prediction has the word and the reference
     has the synonym. A ``small`` lexicon is broadcast, which leaves the words,
-    some of them in most rows, where they are.
+    some of them in most rows, where they are. A larger one meets them in a salted
+    join, which spreads the words that most rows have.
     """
     lexicon = synonyms.select("word", "synonym").distinct()
     keyed = df.withColumn("__row", F.xxhash64(pred, refs))
     texts = keyed.select("__row", pred, refs).dropDuplicates(["__row", pred, refs])
     flat = texts.select("__row", F.array_join(refs, " ").alias("__ref"))
-    left = _words(texts.select("__row", pred), pred).join(
-        F.broadcast(lexicon) if small else lexicon, "word"
-    )
+    words = _words(texts.select("__row", pred), pred)
+    if small:
+        left = words.join(F.broadcast(lexicon), "word")
+    else:
+        left = spread_join(cut(words), lexicon, ["word"], ["__row"])
     right = _words(flat, "__ref").withColumnRenamed("word", "synonym").distinct()
     pairs = (
         left.distinct()

@@ -1,10 +1,13 @@
-"""The trigram index finds what the scan finds; the pruned token match equals the plain one."""
+"""The trigram index finds what the scan finds; the pruned token match equals the plain one; hot words and many groups."""
+
+from functools import partial
 
 import numpy as np
 import pytest
 
-from scoreframe.operators import textindex, tokens
+from scoreframe.operators import stats, textindex, textscores, tokens
 from scoreframe.operators.views import search
+from scoreframe.plans.scale import spread_join
 
 ROWS = [
     (1, "The MIT License", "en"), (2, "mit", None), (3, None, "THE"), (4, "", ""),
@@ -81,3 +84,26 @@ def test_pruned_match_of_nothing(spark):
     assert tokens.embedding_match_pruned(none, none).count() == 0
     one = tokens.embedding_match_pruned(_tokens(spark, {"a": [[1, 0]]}), none).first()
     assert tuple(one) == ("a", 0.0, 0.0, 0.0)
+
+
+def test_lexicon_meets_hot_words_in_parts(spark, monkeypatch):
+    rows = [(i, f"the cat number{i} sat", f"a feline number{i} sat down the") for i in range(30)]
+    frame = spark.createDataFrame([*rows, (30, None, "x"), (31, "", "")], "id long, prediction string, reference string")
+    lexicon = spark.createDataFrame([("cat", "feline"), ("the", "a"), ("the", "this"), ("dog", "hound")],
+                                    "word string, synonym string")
+    key = lambda df: sorted((r.id, r.meteor) for r in df.collect())
+    broadcast = key(textscores.meteor(frame, synonyms=lexicon))
+    monkeypatch.setattr(textscores, "spread_join", partial(spread_join, rows_per_salt=4))
+    assert key(textscores.meteor(frame, synonyms=lexicon, broadcast_rows=0)) == broadcast
+    assert dict(broadcast)[0] > dict(key(textscores.meteor(frame)))[0]
+
+
+def test_poisson_sums_leave_within_a_batch(spark, monkeypatch):
+    rows = [(f"r{i % 40}", str(i), "m", float(i % 7)) for i in range(400)]
+    scores = spark.createDataFrame(rows, "inference_id string, id string, metric string, value double")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole = key(stats.poisson_means(scores, n_boot=5))
+    monkeypatch.setattr(stats, "HELD_BYTES", 3 * 16 * 5)
+    parts = key(stats.poisson_means(scores, n_boot=5))
+    assert [r[:3] for r in whole] == [r[:3] for r in parts] and len(whole) == 200
+    assert [r[3] for r in parts] == pytest.approx([r[3] for r in whole])
