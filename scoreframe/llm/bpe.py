@@ -11,8 +11,9 @@ certain and is emitted; the lookahead is bounded by the vocabulary. States and
 transitions are made when a text first asks for them and kept in the worker.
 
 A piece that is a token as a whole is that token, also where merging would not
-lead to it. Pieces met before come from a cache; both, states and pieces, start
-anew beyond a stated number.
+lead to it. Pieces met before come from a cache as the bytes of their ids; it starts
+anew beyond a stated number. Beyond a stated number of states a piece is read to its
+end without new ones. Every task slot has a worker with both, so they are kept small.
 
 Decoding joins the bytes of tokens in a state machine for UTF-8: a character may
 end in a later token than it began in. Its transitions are by byte, and those of
@@ -38,6 +39,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrays
+from .base import bounded_batches
 
 #: States, pairs of tokens and pieces that a worker keeps; pieces twice as many at most.
 MOST_STATES = 40_000
@@ -130,24 +132,35 @@ class _Reader:
         self.pending, self.open = pending, open_
         self.starts, self.tokens, self.firsts = list(starts), list(tokens), list(firsts)
 
+    def packed(self) -> tuple:
+        """All of it in one tuple, a third of the memory."""
+        return (self.pending, *self.starts, *self.tokens, *self.firsts, *chain.from_iterable(self.open))
+
+    @classmethod
+    def unpacked(cls, held: tuple) -> _Reader:
+        n = len(held[0]) + 1
+        places = iter(held[1 + 3 * n :])
+        return cls(held[0], held[1 : 1 + n], held[1 + n : 1 + 2 * n], held[1 + 2 * n : 1 + 3 * n],
+                   list(zip(places, places)))
+
     def read(self, merges: _Merges, data: bytes) -> None:
-        child, ends, meet = merges.child.get, merges.ends, merges.meet
+        child, ends, meet, known = merges.child.get, merges.ends, merges.meet, merges._meet.get
         starts, tokens, firsts, places = self.starts, self.tokens, self.firsts, self.open
         self.pending += data
         for byte in data:
-            still, fits = [], []
-            for start, node in places:
+            still, start, sure = [], -1, False
+            for begin, node in places:
                 node = child(node << 8 | byte)
                 if node is not None:
-                    still.append((start, node))
-                    if ends[node] >= 0:
-                        fits.append((start, ends[node]))
-            # Exactly one of them comes rightly after the tokens before it.
-            for start, token in fits[:-1]:
-                if meet(tokens[start], token):
-                    break
-            else:
-                start, token = fits[-1]
+                    still.append((begin, node))
+                    if not sure and (end := ends[node]) >= 0:
+                        # Exactly one of them comes rightly after the tokens before it.
+                        if start >= 0:
+                            sure = known((tokens[start] + 1 << 32) + token)
+                            if sure is None:
+                                sure = meet(tokens[start], token)
+                        if not sure:
+                            start, token = begin, end
             here = len(starts)
             still.append((here, 0))
             places = still
@@ -186,10 +199,10 @@ class _Reader:
 class _State:
     """A state of the transducer: a settled reader, its rest and its transitions."""
 
-    __slots__ = ("reader", "rest", "next")
+    __slots__ = ("held", "rest", "next")
 
     def __init__(self, reader: _Reader):
-        self.reader, self.rest = reader, tuple(reader.rest())
+        self.held, self.rest = reader.packed(), tuple(reader.rest())
         self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
 
 
@@ -202,14 +215,13 @@ class Transducer:
         self.most_states, self.most_pieces = most_states, most_pieces
         self.start = _State(_Reader())
         self.states = {(-1, b""): self.start}
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.longest_wait = 0
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """Make the transition by one byte: the next state, and what becomes certain."""
-        held = state.reader
-        reader = _Reader(held.pending, held.starts, held.tokens, held.firsts, held.open)
+        reader = _Reader.unpacked(state.held)
         reader.read(self.merges, bytes((byte,)))
         certain = tuple(reader.settle())
         key = (reader.tokens[0], reader.pending)
@@ -236,21 +248,20 @@ class Transducer:
 
     def _read_on(self, state: _State, data: bytes) -> list[int]:
         """Read to the end from a state on without making new ones."""
-        held, out = state.reader, []
-        reader = _Reader(held.pending, held.starts, held.tokens, held.firsts, held.open)
+        reader, out = _Reader.unpacked(state.held), []
         for at in range(0, len(data), SETTLE_BYTES):
             reader.read(self.merges, data[at : at + SETTLE_BYTES])
             if at + SETTLE_BYTES < len(data):
                 out += reader.settle()
         return out + reader.rest()
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """The ids of a piece that is not among the recent ones."""
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece that is not among the recent ones, as bytes of an array."""
         known = self.older.get(piece)
         if known is None:
             data = piece.encode()
             whole = self.merges.ranks.get(data)
-            known = (whole,) if whole is not None else tuple(self.run(data))
+            known = array("I", (whole,) if whole is not None else self.run(data)).tobytes()
         if len(piece) <= KEPT_CHARS:
             if len(self.recent) >= self.most_pieces:
                 self.older, self.recent = self.recent, {}
@@ -262,7 +273,7 @@ class Transducer:
         ids = array("I")
         for pieces in split(text):
             recent, make = self.recent, self.piece
-            ids.extend(chain.from_iterable([recent.get(p) or make(p) for p in pieces]))
+            ids.frombytes(b"".join([recent.get(p) or make(p) for p in pieces]))
         return ids
 
 
@@ -389,7 +400,10 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> str:
         """The text that these ids complete."""
+        ids = list(ids)
         parts, held, whole = [], self.held, self.whole
+        if not held and all(map(whole.__contains__, ids)):
+            return "".join(map(whole.__getitem__, ids))
         for token in ids:
             text = None if held else whole.get(token)
             if text is None:
@@ -452,8 +466,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                     yield name, _little(coder.encode(value or "", split))
 
         yield from _batches(rows(), pa.schema([(key, pa.int64()), ("ids", pa.binary())]), 1)
+        arrays.release(task=False)
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(
+    return bounded_batches(docs).select(F.col(key).cast("long").alias(key), text).mapInArrow(
         run, f"`{key}` long, ids binary"
     )
 
@@ -478,5 +493,6 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFram
 
         schema = pa.schema([(key, pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
         yield from _batches(rows(), schema, 1)
+        arrays.release(task=False)
 
-    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` long, ids binary, text string")
+    return bounded_batches(encoded).select(key, "ids").mapInArrow(run, f"`{key}` long, ids binary, text string")

@@ -4,17 +4,19 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 
 from pyspark.sql import functions as F
 
-from scoreframe.llm import bpe, lexical, negatives
+from scoreframe.llm import base, bpe, lexical, negatives
 
 RANKS = str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 PATTERN = public_tokenizers.PATTERN
@@ -90,6 +92,33 @@ def test_decoding_goes_on_inside_characters(ranks):
         assert "".join(parts) == b"".join(tokens[i] for i in ids).decode(errors="replace")
 
 
+def test_a_worker_keeps_little(ranks):
+    """Every task slot has such a worker, beside the decoder and the executor itself."""
+    tracemalloc.start()
+    try:
+        coder, rng = bpe.Transducer(ranks, 40_000, 50_000), random.Random(4)
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in range(100_000):
+            coder.piece(" " + "".join(rng.choices("etaoinshrdlu", k=9)))
+        held = tracemalloc.get_traced_memory()[0] - before
+        assert len(coder.older) == 50_000 and len(coder.states) == 40_000
+        assert held < 72_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_batches_of_whole_texts_end_by_bytes(spark):
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
+    bpe.encode(docs, RANKS, PATTERN)  # from here on the session has small batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 1 and max(got) <= 2 * base.BATCH_BYTES
+
+
 def test_encode_and_decode_rows(spark, library):
     long = "Überlänge, don't ask.\n" * 30_000
     rows = [(1, "plain text"), (2, None), (3, ""), (3, "plain text"), (3, "plain text"), (None, "x"), (4, long)]
