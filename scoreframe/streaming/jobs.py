@@ -298,26 +298,37 @@ class _Last(StatefulProcessor):
         # As in a batch: the version, then the values, nulls first.
         return tuple((v is not None, v if v is not None else 0) for v in change[:-1])
 
+    @staticmethod
+    def _deleted(change: tuple) -> bool:
+        return all(v is None for v in change[1:-1])
+
+    @staticmethod
+    def _time(change: tuple) -> int:
+        return int(change[-1].timestamp() * 1000)
+
     def handleInputRows(self, key, rows, timerValues):
-        before = tuple(self.last.get()) if self.last.exists() else None
-        best = before
+        held = self.last.get()
+        before = best = None if held is None else tuple(held)
         for row in rows:
             change = (row[self.version], *[row[v] for v in self.values], row[self.at])
             if best is None or self._order(change) > self._order(best):
                 best = change
         if best == before:
             return
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        deleted = all(v is None for v in best[1:-1])
+        # Every call asks the executor: the value says which timer there is, if any.
+        if before is not None and self._deleted(before):
+            self.handle.deleteTimer(self._time(before))
+        deleted = self._deleted(best)
         if deleted:
             # An older change that comes after this is late and never gets here.
-            self.handle.registerTimer(int(best[-1].timestamp() * 1000))
+            self.handle.registerTimer(self._time(best))
         self.last.update(best)
         yield Row(**dict(zip(self.names, (*key, *best[1:-1], best[0], deleted))))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
+        held = self.last.get()
+        if held is not None and self._deleted(tuple(held)):
+            self.last.clear()
         return iter(())
 
     def close(self) -> None:

@@ -6,7 +6,7 @@ import subprocess
 import sys
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from scoreframe import ParserSpec, ScoringPlan, evaluate
 from scoreframe.functions import metricmaps as M, parsers as P
@@ -318,6 +318,46 @@ def test_keyed_state_holds_live_keys(spark, tmp_path):
     assert drain(("a", 62, 1)) == ([("a", 1), ("b", 1), ("c", 4), ("d", 3)], ["a", "b", "c", "d"])
 
 
+def test_keyed_state_asks_twice_per_key():
+    """Every call of the handle is a round trip to the executor."""
+    asked, held = [], {}
+
+    class Value:
+        def get(self):
+            asked.append("get")
+            return held.get("v")
+
+        def update(self, value):
+            asked.append("update")
+            held["v"] = value
+
+        def clear(self):
+            held.clear()
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def __getattr__(self, name):
+            return lambda *a: asked.append((name, *a)) or iter(())
+
+    out = T.StructType.fromDDL("e string, score int, version long, deleted boolean")
+    state = J._Last(["score"], "version", "at", T.StructType(), out)
+    state.init(Handle())
+
+    def change(version, score):
+        asked.clear()
+        row = {"version": version, "score": score, "at": datetime.datetime.fromtimestamp(60 * version)}
+        return [tuple(r) for r in state.handleInputRows(("a",), iter([row]), None)], list(asked)
+
+    assert change(1, 5) == ([("a", 5, 1, False)], ["get", "update"])
+    assert change(3, None) == ([("a", None, 3, True)], ["get", ("registerTimer", 180_000), "update"])
+    assert change(2, 4) == ([], ["get"])
+    assert change(4, 2) == ([("a", 2, 4, False)], ["get", ("deleteTimer", 180_000), "update"])
+    state.handleExpiredTimer(("a",), None, None)
+    assert held  # a live value stays
+
+
 def test_embedding_blocks_are_crossed(spark):
     tokens = spark.range(40).select(
         (F.col("id") % 2).alias("id"), F.col("id").alias("pos"),
