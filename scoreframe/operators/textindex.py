@@ -6,16 +6,21 @@ of the rarest trigrams of its text, takes the rows that hold all of them in one
 column, and looks at the texts of those rows alone.
 
 Under a path lie ``rows`` (a folder per part of the table), ``postings``
-(trigram, column, row; a folder per bucket of trigrams, sorted) and ``grams``
-(rows per trigram). The lists are made from the stored rows, so a task that is
-repeated changes nothing. Texts longer than ``SLICE`` are cut with an overlap.
+(column, trigram, list of rows; a folder per bucket of trigrams, sorted) and
+``grams`` (rows per trigram). A trigram is one number of three code points of 21
+bits. A task joins the rows of a trigram in lists before it deals them, so what is
+shuffled is a number per row and trigram and not a row. The lists are made from the
+stored rows, so a task that is repeated changes nothing. Texts longer than ``SLICE``
+are cut with an overlap.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..plans.scale import cut, fits
@@ -23,14 +28,50 @@ from ..sources.storage import empty_table
 from .views import search
 
 SLICE = 1_000_000  # characters whose trigrams are one array
+FLUSH = 2_000_000  # trigrams of rows that a task joins in lists
 SPARE_ROWS = 1_000_000  # entries of further lists that are always worth reading
 
 _ROW, _PART = "__row", "__part"
 
 
-def _grams(text: Column) -> Column:
-    """Trigrams of a text; a look-ahead finds them at every place."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
+def _grams(text: str) -> np.ndarray:
+    """The distinct trigrams of a text, as numbers."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:])
+
+
+def _text(value: pa.Scalar) -> str:
+    """A text of a column; bytes that are no UTF-8 are read as U+FFFD."""
+    return value.as_buffer().to_pybytes().decode(errors="replace")
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(col, gram, rows) of batches of (row, col, text): a row per trigram of many texts."""
+    rows, cols, grams, held = [], [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        each = [len(g) for g in grams]
+        row, col, gram = np.repeat(rows, each), np.repeat(np.array(cols, np.int16), each), np.concatenate(grams)
+        order = np.lexsort((gram, col))
+        row, col, gram = row[order], col[order], gram[order]
+        first = np.ones(len(gram), bool)
+        first[1:] = (gram[1:] != gram[:-1]) | (col[1:] != col[:-1])
+        at = np.flatnonzero(first)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(gram)), pa.int32()), pa.array(row, pa.int64()))
+        return pa.record_batch([pa.array(col[at], pa.int32()), pa.array(gram[at]), lists], ["col", "gram", "rows"])
+
+    for batch in batches:
+        for row, col, text in zip(*[batch.column(i) for i in range(3)]):
+            found = _grams(_text(text))
+            rows.append(row.as_py())
+            cols.append(col.as_py())
+            grams.append(found)
+            held += len(found)
+            if held >= FLUSH:
+                yield flush()
+                rows, cols, grams, held = [], [], [], 0
+    if held:
+        yield flush()
 
 
 def _quoted(name: str) -> Column:
@@ -62,7 +103,7 @@ def store_search_index(
     slices = one.select(_PART, _ROW, "col", "text", F.explode(starts).alias("start")).select(
         _PART, _ROW, "col", F.substring("text", F.col("start"), F.lit(SLICE + 2)).alias("text")
     )
-    postings = slices.select(_PART, _ROW, "col", F.explode(_grams(F.col("text"))).alias("gram"))
+    postings = slices.select(_ROW, "col", "text").mapInArrow(_lists, "col int, gram long, rows array<long>")
     (
         postings.withColumn("bucket", _bucket(F.col("gram"), buckets))
         .hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram")
@@ -70,7 +111,7 @@ def store_search_index(
     )
     counted = spark.read.schema(_postings_schema()).parquet(f"{path}/postings").groupBy("bucket", "gram", "col")
     (
-        counted.agg(F.count(F.lit(1)).alias("rows")).hint("rebalance", "bucket")
+        counted.agg(F.sum(F.size("rows")).alias("rows")).hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/grams")
     )
     about = [(cols, buckets, df.schema.json())]
@@ -84,7 +125,7 @@ def _bucket(gram: Column, buckets: int) -> Column:
 
 
 def _postings_schema() -> str:
-    return f"{_PART} int, {_ROW} long, col int, gram string, bucket int"
+    return "col int, gram long, rows array<long>, bucket int"
 
 
 def search_stored(
@@ -121,13 +162,14 @@ def candidates(spark: SparkSession, path: str, text: str, cols: Sequence[str]) -
     it: a list left out only leaves more rows to be looked at.
     """
     about = spark.read.schema("cols array<string>, buckets int, schema string").json(f"{path}/about").first()
-    gram = F.explode(_grams(F.lower(F.lit(text))))
+    lowered = spark.range(1).select(F.lower(F.lit(text))).first()[0]
+    named = [(int(g),) for g in (_grams(lowered) if len(lowered) > 2 else ())]
+    if not named:
+        return None
     wanted = [
-        tuple(r) for r in spark.range(1).select(gram.alias("gram"))
+        tuple(r) for r in spark.createDataFrame(named, "gram long")
         .select("gram", _bucket(F.col("gram"), about.buckets)).collect()
     ]
-    if not wanted:
-        return None
     grams = [g for g, _ in wanted]
     at = [about.cols.index(c) for c in cols]
 
@@ -137,7 +179,7 @@ def candidates(spark: SparkSession, path: str, text: str, cols: Sequence[str]) -
             F.col("bucket").isin(buckets) & F.col("gram").isin(list(some)) & F.col("col").isin(at)
         )
 
-    counts = spark.read.schema("gram string, col int, rows long, bucket int").parquet(f"{path}/grams")
+    counts = spark.read.schema("gram long, col int, rows long, bucket int").parquet(f"{path}/grams")
     known = lists(counts, grams).groupBy("gram").agg(F.sum("rows").alias("rows")).collect()
     size = {r.gram: r.rows for r in known}
     order = sorted(grams, key=lambda g: (size.get(g, 0), g))
@@ -148,5 +190,8 @@ def candidates(spark: SparkSession, path: str, text: str, cols: Sequence[str]) -
             break
         chosen.append(g)
     postings = spark.read.schema(_postings_schema()).parquet(f"{path}/postings")
-    held = lists(postings, chosen).groupBy(_PART, _ROW, "col").agg(F.collect_set("gram").alias("grams"))
-    return cut(held.filter(F.size("grams") == len(chosen)).select(_PART, _ROW).distinct())
+    each = lists(postings, chosen).select("col", "gram", F.explode("rows").alias(_ROW))
+    held = each.groupBy(_ROW, "col").agg(F.collect_set("gram").alias("grams"))
+    # The upper bits of a row's number are the partition that it came from.
+    part = F.shiftright(_ROW, 33).cast("int").alias(_PART)
+    return cut(held.filter(F.size("grams") == len(chosen)).select(part, _ROW).distinct())

@@ -4,6 +4,7 @@ from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scoreframe.operators import stats, textindex, textscores, tokens
 from scoreframe.operators.views import search
@@ -53,6 +54,15 @@ def test_index_of_long_texts_and_of_nothing(spark, tmp_path, monkeypatch):
     assert textindex.search_stored(spark, str(tmp_path / "e"), "abc").count() == 0
 
 
+def test_index_shuffles_lists_of_rows(spark, tmp_path):
+    table = spark.range(0, 500, 1, 2).select("id", F.concat(F.lit("the same words of row "), "id").alias("t"))
+    textindex.store_search_index(table, str(tmp_path / "s"), ["t"], buckets=2)
+    stored = spark.read.parquet(str(tmp_path / "s/postings"))
+    entries = spark.read.parquet(str(tmp_path / "s/grams")).agg(F.sum("rows")).first()[0]
+    assert entries > 10_000 and stored.count() < entries / 10
+    assert textindex.search_stored(spark, str(tmp_path / "s"), "row 49").count() == 11
+
+
 def _tokens(spark, texts):
     rows = [(key, at, [float(x) for x in v]) for key, vectors in texts.items() for at, v in enumerate(vectors)]
     return spark.createDataFrame(rows, "id string, pos long, vector array<float>")
