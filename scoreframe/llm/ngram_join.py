@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import arrays
 from ..plans.scale import fits
-from .base import saved
+from .base import bounded_batches, saved
 from .components import components
 
 #: Shingles that a bucket holds, about, and that a task holds before it deals them.
@@ -83,7 +83,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
             )
         arrays.release()
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_shingles long, key long, digest binary"
     )
 
@@ -245,7 +245,7 @@ def shared_counts(docs: DataFrame, size: int, buckets: int, parts: int) -> DataF
         return pa.table({"key": each, "shared": np.bincount(at, hits).astype(np.int64)})
 
     return (
-        docs.select("text")
+        bounded_batches(docs).select("text")
         .mapInArrow(deal, _BLOCKS)
         .groupBy("bucket").applyInArrow(count, "part long, keys binary, hits binary")
         .groupBy("part").applyInArrow(total, "key long, shared long")
@@ -276,7 +276,7 @@ def load_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     if fits(wanted):
         wanted = F.broadcast(wanted)
-    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(
+    return bounded_batches(docs).select("doc_id", "text").join(wanted, "doc_id").mapInArrow(
         run, "set_id long, tokens binary"
     )
 
@@ -349,7 +349,7 @@ def rare_tokens(sets: DataFrame, percent: int, buckets: int, parts: int) -> Data
         )
 
     return (
-        sets.mapInArrow(deal, _BLOCKS)
+        bounded_batches(sets).mapInArrow(deal, _BLOCKS)
         .groupBy("bucket").applyInArrow(
             count,
             "part long, keys binary, every binary, hits binary, tokens binary, lengths binary",

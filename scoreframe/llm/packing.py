@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import arrays
-from .base import saved
+from .base import bounded_batches, saved
 
 SEQUENCE = 4096
 END_ID = 1
@@ -231,7 +231,7 @@ def tokenise(
         arrays.release()
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 # --- the plan ------------------------------------------------------------------

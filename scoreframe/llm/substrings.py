@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrays
-from .base import saved, word_count
+from .base import bounded_batches, saved, word_count
 
 #: Mean words of a chunk.
 AVERAGE_WORDS = 4
@@ -117,7 +117,7 @@ def repeats(docs: DataFrame, average: int, buckets: int, parts: int) -> DataFram
         return pa.Table.from_batches([_rows(rows)]).rename_columns(["part", "items"])
 
     return (
-        docs.select("doc_id", "text").mapInArrow(deal, _DEALT)
+        bounded_batches(docs).select("doc_id", "text").mapInArrow(deal, _DEALT)
         .groupBy("bucket").applyInArrow(meet, "part long, items binary")
     )
 
@@ -197,7 +197,7 @@ def cut_out(docs: DataFrame, found: DataFrame, average: int) -> DataFrame:
     plain = docs.select(*keep).schema
     for name in ("n_spans", "removed_words", "removed_chars"):
         plain = plain.add(name, "long")
-    return joined.select(*keep, "__runs").mapInArrow(run, plain)
+    return bounded_batches(joined).select(*keep, "__runs").mapInArrow(run, plain)
 
 
 def _without(data, begin, end, chunks, mine, runs):

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import oracle
-from scoreframe.llm import arrays, queries, substrings
+from scoreframe.llm import arrays, ngram_join, packing, queries, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -160,3 +160,20 @@ def test_every_stage_keeps_the_columns(spark, sf_dir):
                 assert out.columns == list(corpus_pipeline.COLUMNS)
                 assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
             assert (out.count() > 0) == (frame is odd)
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.createDataFrame([(1, "one two three four five")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(1, 1)], "doc_id long, key long")
+    for stage in (
+        lambda: substrings.repeats(rows, 4, 2, 2), lambda: ngram_join.describe(rows, 4),
+        lambda: ngram_join.load_sets(rows, wanted, 4), lambda: packing.tokenise(rows, "unread"),
+    ):
+        spark.conf.unset(key)
+        stage()
+        assert int(spark.conf.get(key)) <= 4_000_000
+    spark.conf.set(key, "9000000")  # what a session sets itself stays
+    packing.tokenise(rows, "unread")
+    assert spark.conf.get(key) == "9000000"
+    spark.conf.unset(key)
