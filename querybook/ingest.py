@@ -24,6 +24,12 @@ def _shape():
     return ["id", "reference", F.length("input").alias("chars"), F.md5("input").alias("digest")]
 
 
+def _whole(checked):
+    """Good and bad rows of a split read: a document may have no text, and its row counts too."""
+    bad = checked.bad.select("id", F.col("input_raw").alias("input"), "reference")
+    return checked.good.union(bad)
+
+
 @query(
     "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS reference, CAST(length(text) AS INT) AS chars, "
     "md5(text) AS digest FROM documents"
@@ -31,12 +37,13 @@ def _shape():
 def ingest_csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    # Not quoteAll, which writes a missing text as an empty one.
     docs.write.options(
-        header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
     mapping = {"id": "doc_id", "input_raw": "text", "reference": "lang"}
-    return read_dataset(spark, path, "csv", mapping, multi_line=True).select(*_shape())
+    rows = read_dataset(spark, path, "csv", mapping, mode="split", multi_line=True)
+    return _whole(rows).select(*_shape())
 
 
 @query(

@@ -22,14 +22,17 @@ def scan(
     """Read CSV, JSON, JSON Lines or Parquet.
 
     CSV columns are text, as they stand in the file, so that an id ``007`` or a
-    label ``1.10`` stays one. ``json`` is one array of objects per file and
+    label ``1.10`` stays one; a quoted empty field is an empty text, an unquoted
+    one is missing. ``json`` is one array of objects per file and
     cannot be split, nor can CSV with line ends inside quotes, which needs
     ``multi_line``; all else can. Give JSON a ``schema`` to skip its inference.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        return reader.options(header=True, multiLine=multi_line, escape='"').csv(paths)
+        # By default, Spark reads "" as missing too.
+        options = {"header": True, "multiLine": multi_line, "escape": '"', "nullValue": None}
+        return reader.options(**options).csv(paths)
     if fmt == "json":
         return reader.option("multiLine", True).json(paths)
     if fmt == "jsonl":

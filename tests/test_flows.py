@@ -44,6 +44,34 @@ def test_json_array_file_and_csv_with_quotes(spark, tmp_path):
     assert tuple(row) == ("1", 'say "hi"\nthere', "yes")
 
 
+def test_quoted_empty_csv_field_is_not_missing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,text,label\n1,"",x\n2,,""\n3,null,\n')
+    for multi_line in (False, True):
+        checked = I.read_dataset(spark, str(tmp_path / "a.csv"), "csv", mode="split", multi_line=multi_line)
+        assert checked.good.count() == 0
+        assert {r.id: (r.input_raw, r.reference, r.problem) for r in checked.bad.collect()} == {
+            "1": ("", "x", "input_raw is empty"), "2": (None, "", "input_raw is missing"),
+            "3": ("null", None, "reference is missing")}
+    # A field of a given schema that can't be read is missing, quoted or not.
+    (tmp_path / "b.csv").write_text('n,text,label\n"",a,x\n,b,y\n3,c,z\n')
+    rows = I.scan(spark, str(tmp_path / "b.csv"), "csv", "n int, text string, label string")
+    assert sorted(map(tuple, rows.collect()), key=str) == [(3, "c", "z"), (None, "a", "x"), (None, "b", "y")]
+
+
+@pytest.mark.parametrize("name", ["ingest_csv"])
+def test_documents_without_text_are_read_too(spark, tmp_path, name):
+    import querybook
+
+    texts = {0: "", 1: "one", 2: None, 3: 'say "hi",\nthere\r\n', 4: "", 5: " ", 6: '"', 7: "null", 8: '""'}
+    frame = spark.createDataFrame(
+        [(i, t, "de", "web") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = querybook.QUERIES[name](spark, str(tmp_path)).collect()
+    reference = '["de","web"]' if name == "ingest_json" else "de"
+    want = frame.select(F.col("doc_id").cast("string"), F.lit(reference), F.length("text"), F.md5("text"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
 def test_export_keeps_long_digits(spark):
     frame = spark.createDataFrame([(2**60, [2**55], 1.5)], "a long, b array<long>, c double")
     path = scratch_path(spark, "longs")
