@@ -115,7 +115,7 @@ def ingest_json(spark, sf_dir):
         F.array("lang", "source").alias("reference"),
     ).write.json(path)
     mapping = {c: c for c in ("id", "input_raw", "reference")}
-    return read_dataset(spark, path, "jsonl", mapping).select(*_shape())
+    return _whole(read_dataset(spark, path, "jsonl", mapping, mode="split")).select(*_shape())
 
 
 @query(
