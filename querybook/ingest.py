@@ -101,7 +101,7 @@ def ingest_json_array(spark, sf_dir):
     )
     rows.mapInArrow(_arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
     mapping = {c: c for c in ("id", "input_raw", "reference")}
-    return read_dataset(spark, path, "json", mapping).select(*_shape())
+    return _whole(read_dataset(spark, path, "json", mapping, mode="split")).select(*_shape())
 
 
 @query(
