@@ -124,7 +124,8 @@ def ingest_json(spark, sf_dir):
 )
 def ingest_parquet(spark, sf_dir):
     # The first three columns in order are the default mapping.
-    return read_dataset(spark, f"{sf_dir}/documents.parquet", "parquet").select(*_shape())
+    rows = read_dataset(spark, f"{sf_dir}/documents.parquet", "parquet", mode="split")
+    return _whole(rows).select(*_shape())
 
 
 @query(

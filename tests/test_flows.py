@@ -58,7 +58,7 @@ def test_quoted_empty_csv_field_is_not_missing(spark, tmp_path):
     assert sorted(map(tuple, rows.collect()), key=str) == [(3, "c", "z"), (None, "a", "x"), (None, "b", "y")]
 
 
-@pytest.mark.parametrize("name", ["ingest_csv", "ingest_json", "ingest_json_array"])
+@pytest.mark.parametrize("name", ["ingest_csv", "ingest_json", "ingest_json_array", "ingest_parquet"])
 def test_documents_without_text_are_read_too(spark, tmp_path, name):
     import querybook
 
